@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
 from .exact import exact_dedup
+from .language import fit_profiles, language_id
 from .lines import line_dedup
 from .simhash import simhash_dedup
 
@@ -25,10 +29,27 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def fold(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = fit_profiles(docs.where(fold(4) != 2))
+    out = language_id(docs, profiles)
+    return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op6_simhash": op6_simhash,
+    "op7_language_id": op7_language_id,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL = {
