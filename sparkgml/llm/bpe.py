@@ -204,9 +204,10 @@ class SpeculativeBpe:
         for name, i in self.special.items():
             cache[(name,)] = (1, np.array([i], "<u4").tobytes(), name)
         new = {w for p in pieces for w in p if w not in cache}
-        for w in new & old.keys():
-            cache[w] = old[w]
-        if new := list(new - old.keys()):
+        for w in new:
+            if w in old:
+                cache[w] = old[w]
+        if new := [w for w in new if w not in cache]:
             self.learn(new)
         for p in pieces:
             got = [cache[w] for w in p]

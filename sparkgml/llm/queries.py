@@ -10,13 +10,20 @@ from .bpe import bpe_round_trip
 from .exact import exact_dedup
 from .language import fit_profiles, language_id
 from .lines import line_dedup
+from .quality import fit_quality, quality_rules
 from .simhash import simhash_dedup
+from .toxicity import fit_toxicity, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -40,15 +47,24 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    grammar = fit_toxicity(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
+    out = toxicity(docs, grammar)
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
 }
 
