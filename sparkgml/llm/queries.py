@@ -10,8 +10,10 @@ from .bpe import bpe_round_trip
 from .exact import exact_dedup
 from .language import fit_profiles, language_id
 from .lines import line_dedup
+from .packing import pack
 from .quality import fit_quality, quality_rules
 from .simhash import simhash_dedup
+from .tokens import token_counts
 from .toxicity import fit_toxicity, toxicity
 
 
@@ -24,6 +26,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -58,14 +64,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {

@@ -33,7 +33,8 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP, QUOTE = range(8)
 AIMED, BARE, MENACE, DENIED, QUOTED = range(5)
 #: Words that negation and target reach over.
 REACH = 4
-PRIOR = np.array([1.0, 1.0, 1.0, 0.2, 0.2, -1.0])
+#: Weights of the outcomes and the intercept that fitting starts from and is drawn to.
+PRIOR = np.array([8.0, 7.0, 8.0, 1.5, 1.5, -4.0])
 
 
 def scope(symbols: list[int], opens: int) -> list[int]:
@@ -80,7 +81,7 @@ class ToxicityGrammar:
 
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 1.0))
     stems: dict[str, float] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: PRIOR * 3)
+    weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def __post_init__(self):
         self.memo: dict[str, tuple[int, float]] = {}
@@ -178,7 +179,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000) -
     if toxic and clean:
         x = np.array([grammar.features(t) for t in toxic + clean])
         y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-        grammar.weights = fit_dense(x, y, PRIOR * 3, 1.0)
+        grammar.weights = fit_dense(x, y, PRIOR, 3.0)
     return grammar
 
 
