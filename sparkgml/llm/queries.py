@@ -13,6 +13,7 @@ from .lines import line_dedup
 from .packing import pack
 from .quality import fit_quality, quality_rules
 from .simhash import simhash_dedup
+from .suffix import suffix_dedup
 from .tokens import token_counts
 from .toxicity import fit_toxicity, toxicity
 
@@ -38,6 +39,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_bytes")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
