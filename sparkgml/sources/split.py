@@ -119,20 +119,22 @@ class Splitter:
             raise SplitError(f"no tag at byte {at}")
         return m.end()
 
+    def stop(self, at: int) -> int:
+        """Where the element that starts at a byte ends."""
+        first = self.end_of_tag(at)
+        return first if self.data[first - 2 : first] == b"/>" else self.end_of_tag(self.parser.CurrentByteIndex)
+
     def end(self, expanded: str) -> None:
         role, _ = self.states.pop()
         if role == "feature":
             at, ns, name, prefixes, bounded = self.feature
-            stop = self.end_of_tag(self.parser.CurrentByteIndex)
-            self.emit(at, stop, ns, name, prefixes, bounded)
+            self.emit(at, self.stop(at), ns, name, prefixes, bounded)
         elif role == "bounds" and self.states:
-            stop = self.end_of_tag(self.parser.CurrentByteIndex)
-            inner = self.data[self.bounded_at : stop]
+            inner = self.data[self.bounded_at : self.stop(self.bounded_at)]
             self.states[-1] = (self.states[-1][0], json.dumps({"xml": inner.decode("utf-8"), "ns": self.prefixes()}))
         elif not self.states and not self.members_seen and self.options.allow_single_feature_root and self.root and not self.root[1].endswith("Collection") and not (self.root[0] == WFS2 or self.root[0].startswith(WFS1)):
-            stop = self.end_of_tag(self.parser.CurrentByteIndex)
             h = self.header
-            self.emit(h["at"], stop, *self.root, h["prefixes"], None)
+            self.emit(h["at"], self.stop(h["at"]), *self.root, h["prefixes"], None)
 
     def emit(self, at: int, stop: int, ns: str, name: str, prefixes: dict[str, str], bounded: str | None) -> None:
         wanted = self.options.layers
