@@ -54,7 +54,7 @@ def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarr
     with most of its bytes (the earlier among equals).
     """
     n = len(bounds) - 1
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
     first = np.clip(np.searchsorted(bounds, starts, "right") - 1, 0, n - 1)
     last = np.clip(np.searchsorted(bounds, ends - 1, "right") - 1, 0, n - 1)
     # a section without bytes has no token: searchsorted gives the last of equal bounds

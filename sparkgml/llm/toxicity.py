@@ -24,8 +24,8 @@ REPORTS = frozenset("said says say called calls wrote writes quoted quotes claim
 
 #: A word with inner apostrophes, or a mark that ends a clause, or a quotation mark.
 TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n]+|[\"“”«»„]")
-#: Prefixes of words that may be learned, in letters.
-STEMS = (4, 5, 6)
+#: Prefixes of words that may be learned, in letters, and how often one must stand in a text to count.
+STEMS, NEEDS = (8, 7, 6, 5, 4), (1, 2, 3)
 
 # Tape symbols after the lexicon: insult, threat, target, negation, report, clause end, quotation mark, other word.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP, QUOTE = range(8)
@@ -80,28 +80,28 @@ class ToxicityGrammar:
     """The lexicon with learned insults and stems, and the weight of each outcome and of the intercept."""
 
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 1.0))
-    stems: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, tuple[float, int]] = field(default_factory=dict)  # weight, and how often a text must have it
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def __post_init__(self):
-        self.memo: dict[str, tuple[int, float]] = {}
+        self.memo: dict[str, tuple[int, float, str | None]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
 
-    def symbol(self, token: str) -> tuple[int, float]:
-        """The lexicon transducer: tape symbol and weight of a lower-cased token."""
+    def symbol(self, token: str) -> tuple[int, float, str | None]:
+        """The lexicon transducer: tape symbol and weight of a lower-cased token, and the stem by which it is known."""
         if token in self.words:
-            return INSULT, self.words[token]
+            return INSULT, self.words[token], None
         for n in STEMS:
-            if token[:n] in self.stems and len(token) >= n:
-                return INSULT, self.stems[token[:n]]
+            if len(token) >= n and token[:n] in self.stems:
+                return INSULT, self.stems[token[:n]][0], token[:n]
         for known, s in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             if token in known:
-                return s, 1.0
+                return s, 1.0, None
         if token[0] in ".!?;:\n":
-            return STOP, 0.0
-        return (QUOTE, 0.0) if token in "\"“”«»„" else (OTHER, 0.0)
+            return STOP, 0.0, None
+        return QUOTE if token in "\"“”«»„" else OTHER, 0.0, None
 
     def features(self, text: str) -> np.ndarray:
         """For each outcome log(1 + weight of its matches)."""
@@ -113,8 +113,10 @@ class ToxicityGrammar:
                 memo[t] = self.symbol(t)
         tape = [memo[t] for t in tokens]
         out = np.zeros(len(PRIOR) - 1)
-        symbols = [s for s, _ in tape]
+        symbols = [x[0] for x in tape]
         if INSULT in symbols or THREAT in symbols:
+            often = Counter(stem for _, _, stem in tape if stem)
+            symbols = [OTHER if stem and often[stem] < self.stems[stem][1] else s for s, _, stem in tape]
             for i, what in outcomes(symbols):
                 out[what] += tape[i][1]
         return np.log1p(out)
@@ -125,25 +127,33 @@ class ToxicityGrammar:
 
 
 def atoms(text: str) -> set[str]:
-    """Words (after =) and stems (after ^) of a text."""
-    words = {w for w in TOKENS.findall(text.lower()) if w[0].isalpha()}
-    return {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in STEMS if len(w) >= n}
+    """What may be learned from a text: =word, and n^stem for stems that stand in it n times or more."""
+    words = [w for w in TOKENS.findall(text.lower()) if w[0].isalpha()]
+    stems = Counter(w[:n] for w in words for n in STEMS if len(w) >= n)
+    return {f"={w}" for w in words} | {f"{k}^{stem}" for stem, n in stems.items() for k in NEEDS if n >= k}
 
 
-def learn_insults(toxic: list[str], clean: list[str], known: frozenset[str] = INSULTS, *, least: int = 5, odds: float = 40.0) -> list[tuple[str, float]]:
+def learn_insults(toxic: list[str], clean: list[str], known: frozenset[str] = INSULTS, *, least: int = 3, odds: float = 80.0) -> list[tuple[str, float]]:
     """Words and stems that tell toxic texts apart, chosen greedily by the toxic texts that no earlier choice covers.
 
     Copies of a text count once; `known` words cover their texts before any
-    choice, and a chosen word covers its own afterwards, so that what only happens to stand in the same texts as an insult isn't learned.
-    A candidate is in `least` toxic texts and has `odds` to 1 against clean ones.
+    choice, and a chosen word covers its own afterwards, so that what only
+    happens to stand in the same texts as an insult isn't learned. A
+    candidate is in `least` toxic texts and has `odds` to 1 against clean
+    ones; each clean text that has it weighs as two toxic ones less.
     """
     toxic, clean = sorted(set(toxic)), sorted(set(clean))
     if not toxic or not clean:
         return []
+    # a table of fixed size says which of the many candidates can be frequent; only those are kept as strings
+    sketch = np.zeros(1 << 22, np.int32)
+    for t in toxic:
+        sketch[np.unique([hash(a) & len(sketch) - 1 for a in atoms(t)]).astype(np.int64)] += 1
     where: dict[str, list[int]] = {}
     for i, t in enumerate(toxic):
         for a in atoms(t):
-            where.setdefault(a, []).append(i)
+            if sketch[hash(a) & len(sketch) - 1] >= least:
+                where.setdefault(a, []).append(i)
     where = {a: w for a, w in where.items() if len(w) >= least}
     seen = Counter(a for t in clean for a in atoms(t) if a in where)
     ratio = {a: len(w) / len(toxic) / ((seen[a] + 0.5) / len(clean)) for a, w in where.items()}
@@ -151,10 +161,10 @@ def learn_insults(toxic: list[str], clean: list[str], known: frozenset[str] = IN
     covered, chosen = np.zeros(len(toxic), bool), []
     for word in known:
         covered[where.get(f"={word}", [])] = True
-    gain = {a: len(w) for a, w in where.items()}
+    gain = {a: len(w) - 2 * seen[a] for a, w in where.items()}
     while gain:
         a = max(gain, key=lambda k: (gain[k], len(k), k[0] == "=", k))
-        fresh = int((~covered[where[a]]).sum())
+        fresh = int((~covered[where[a]]).sum()) - 2 * seen[a]
         if fresh < gain[a]:  # counted before other choices
             gain[a] = fresh
             if fresh < least:
@@ -163,7 +173,7 @@ def learn_insults(toxic: list[str], clean: list[str], known: frozenset[str] = IN
         if fresh < least:
             break
         covered[where[a]] = True
-        chosen.append((a, min(2.0, max(0.5, np.log(ratio[a]) / 4))))
+        chosen.append((a, min(2.0, max(0.5, float(np.log(ratio[a])) / 4))))
         del gain[a]
     return chosen
 
@@ -173,9 +183,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000) -
     rows = sample_labelled(docs, labels, "toxic", per_class)
     toxic, clean = ([t for _, t, y in rows if y == k] for k in (1, 0))
     grammar = ToxicityGrammar()
-    # half of the rows choose words, the other half sets the weights, so that chance finds don't look good
-    for atom, weight in learn_insults(toxic[::2], clean[::2]) + learn_insults(toxic[1::2], clean[1::2]):
-        (grammar.words if atom[0] == "=" else grammar.stems)[atom[1:]] = weight
+    for atom, weight in learn_insults(toxic, clean):
+        if atom[0] == "=":
+            grammar.words[atom[1:]] = weight
+        else:
+            grammar.stems.setdefault(atom[2:], (weight, int(atom[0])))
     if toxic and clean:
         x = np.array([grammar.features(t) for t in toxic + clean])
         y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
