@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import json
 import os
 from collections.abc import Iterator
 
@@ -74,12 +75,13 @@ class GmlReader(DataSourceReader):
         reader, bounds = RowReader(plan), {}
         boxes = {f.name: f.dataType for f in fields.fields if isinstance(f.dataType, StructType)}
         at = fields.names.index
-        for _, start, _, ns, local, _, bounded, xml in (s := Splitter(as_utf8(unpacked(data)), SplitOptions())).run():
-            if not layer_matches(layer, ns, local, s.prefixes()) or self.wanted not in (None, local):
+        for _, start, _, ns, local, context, bounded, xml in Splitter(as_utf8(unpacked(data)), SplitOptions()).run():
+            prefixes = json.loads(context)
+            if not layer_matches(layer, ns, local, prefixes) or self.wanted not in (None, local):
                 continue
             if bounded not in bounds:
                 bounds = {bounded: bounded_info(bounded)}
-            row, _, error = reader.read(name, parse_element(xml, s.prefixes()), xml, bounds[bounded])
+            row, _, error = reader.read(name, parse_element(xml, prefixes), xml, bounds[bounded])
             if error is not None:
                 if plan.on_error == "skip":
                     continue
@@ -129,4 +131,6 @@ class GmlDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to a session, and let it push filters into Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GmlDataSource)

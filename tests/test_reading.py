@@ -165,9 +165,9 @@ def test_sinks(spark, tmp_path):
     layer = read_layer(spark, {"d": doc(f"<t:A><t:n>1</t:n>{poly}</t:A>", "<t:A><t:n>2</t:n></t:A>")}, "A")
     done = write_geoparquet(layer.df.coalesce(1), str(tmp_path / "p"), settings="{}").collect()
     file = pq.ParquetFile(tmp_path / "p" / done[0].file)
-    geo = json.loads(file.schema_arrow.metadata[b"geo"])
+    geo = json.loads(file.metadata.metadata[b"geo"])
     assert geo["columns"]["g"]["geometry_types"] == ["Polygon"] and geo["columns"]["g"]["bbox"] == [0, 0, 4, 4] and geo["columns"]["g"]["crs"]["id"]["code"] == 2180
-    assert geo["columns"]["g"]["covering"]["bbox"]["xmin"] == ["g_bbox", "xmin"] and file.schema_arrow.metadata[b"gml:settings"] == b"{}"
+    assert geo["columns"]["g"]["covering"]["bbox"]["xmin"] == ["g_bbox", "xmin"] and file.metadata.metadata[b"gml:settings"] == b"{}"
     assert file.read().column("g_bbox").to_pylist()[0]["xmax"] == 4.0
     ipc = write_ipc(layer.df.coalesce(1), str(tmp_path / "i")).collect()
     assert pa.ipc.open_file(io.BytesIO((tmp_path / "i" / ipc[0].file).read_bytes())).read_all().num_rows == 2
