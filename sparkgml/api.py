@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .functions.crs import Context, Decision, Evidence, decide
-from .operators.observe import axis_evidence, observe
+from .operators.observe import axis_evidence, headers, observations, observe
 from .operators.parse import ReadPlan, parse_layer, parse_report
 from .plans.infer import InferenceOptions, infer
 from .plans.schema import LayerSchema, SchemaError, load_settings, settings_json
@@ -128,20 +128,19 @@ def contexts_of(headers: list[dict[str, Any]]) -> dict[str, Context]:
     return out
 
 
-def headers_of(features: DataFrame) -> list[dict[str, Any]]:
+def headers_of(seen: DataFrame) -> list[dict[str, Any]]:
     """One for each source; not for each feature."""
-    rows = features.where("kind <> 'feature'").select("kind", "source", "info").toLocalIterator()
-    return [json.loads(r.info) | {"source": r.source, "kind": r.kind} for r in rows]
+    return [json.loads(r.info) | {"source": r.source, "kind": r.kind} for r in headers(seen).toLocalIterator()]
 
 
-def decisions_of(features: DataFrame, headers: list[dict[str, Any]], options: ReadOptions) -> tuple[dict[tuple[str, str, str], Decision], dict[str, Context]]:
-    contexts = contexts_of(headers)
-    out = {}
+def decisions_of(seen: DataFrame, found: list[dict[str, Any]], options: ReadOptions) -> dict[tuple[str, str, str], Decision]:
+    """By source, srsName and dialect; only the automatic mode looks at coordinates."""
+    contexts, out = contexts_of(found), {}
     if options.axis_order == "auto":
-        for r in axis_evidence(features).toLocalIterator():
+        for r in axis_evidence(seen).toLocalIterator():
             e = Evidence((r.a_min, r.a_max), (r.b_min, r.b_max), [x for x in r.labels if x])
             out[r.source, r.srs, r.dialect] = decide(r.srs, r.dialect, e, contexts.get(r.source, Context()), "auto", options.axis_overrides)
-    return out, contexts
+    return out
 
 
 def sampled(features: DataFrame, n: int) -> DataFrame:
@@ -156,18 +155,20 @@ def scan(spark: SparkSession, inputs: Any, options: ReadOptions | None = None) -
     inference = options.inference
     if options.sample_features:
         features, inference = sampled(features, options.sample_features), replace(inference, sampled=True)
-    headers = headers_of(features)
-    rows = [r.asDict(recursive=True) | {"first_seen": tuple(r.first_seen)} for r in observe(features).collect()]  # as many as the layers have paths
-    if not rows:
-        raise NoFeatures("no features in the input")
-    decisions, _ = decisions_of(features, headers, options)
+    seen = observations(features).persist()  # a few rows for each task: one pass serves all that follows
+    try:
+        found = headers_of(seen)
+        rows = [r.asDict(recursive=True) | {"first_seen": tuple(r.first_seen)} for r in observe(seen).collect()]  # as many as the layers have paths
+        if not rows:
+            raise NoFeatures("no features in the input")
+        decisions = decisions_of(seen, found, options)
+        extent = {r.srs: (r.a_min, r.b_min, r.a_max, r.b_max) for r in axis_evidence(seen).groupBy("srs").agg(F.min("a_min").alias("a_min"), F.min("b_min").alias("b_min"), F.max("a_max").alias("a_max"), F.max("b_max").alias("b_max")).collect()}
+    finally:
+        seen.unpersist()
     schemas = infer(rows, inference)
     local = {(r["layer_ns"], r["layer"]): r["instances"] for r in rows if r["path"] == ""}
     counts = {k: next(n for (ns, name), n in local.items() if k in (name, f"{{{ns}}}{name}") and s.namespace == ns) for k, s in schemas.items()}
-    extent: dict[str, tuple] = {}
-    for r in axis_evidence(features).collect() if options.axis_order != "auto" else []:
-        extent[r.srs] = (r.a_min, r.b_min, r.a_max, r.b_max)
-    return Scan(counts, schemas, decisions, [h["source"] for h in headers if h["kind"] == "skipped"], headers, extent, rows)
+    return Scan(counts, schemas, decisions, [h["source"] for h in found if h["kind"] == "skipped"], found, extent, rows)
 
 
 @dataclass
@@ -205,7 +206,10 @@ def read_layer(spark: SparkSession, inputs: Any, layer: str | None = None, schem
             raise SchemaError(f"which layer: {', '.join(found.layers)}?")
         schema, decisions, contexts = found.schema(layer or found.layers[0]), found.decisions, contexts_of(found.headers)
     elif any(c.type in ("geometry", "binary") for c in schema.columns) and options.axis_order == "auto":
-        decisions, contexts = decisions_of(features, headers_of(features), options)
+        seen = observations(features).persist()
+        heads = headers_of(seen)
+        decisions, contexts = decisions_of(seen, heads, options), contexts_of(heads)
+        seen.unpersist()
     else:
         decisions, contexts = {}, {}
     if options.columns:

@@ -29,19 +29,19 @@ DEGREES = {"deg": 1.0, "degree": 1.0, "9102": 1.0, "9122": 1.0, "rad": 180 / mat
 MAX_DEPTH = 128
 
 
-@dataclass
 class Node:
-    """An element: name as (namespace, local), attributes, text before the first child, children, byte range."""
-
-    ns: str
-    name: str
-    attrs: dict[str, str]
-    text: str = ""
-    children: list[Node] = field(default_factory=list)
-    start: int = 0
-    inner: int = 0
-    inner_end: int = 0
-    all_text: str = ""
+    """An element: name as (namespace, local), attributes, text before the first child, children, place in document order."""
+
+    __slots__ = ("ns", "name", "attrs", "text", "children", "index", "element")
+
+    def __init__(self, ns: str, name: str, attrs: dict[str, str], text: str = "", index: int = 0, element=None):
+        self.ns, self.name, self.attrs, self.text, self.index, self.element = ns, name, attrs, text, index, element
+        self.children: list[Node] = []
+
+    @property
+    def all_text(self) -> str:
+        """All text below, without markup."""
+        return "".join(self.element.itertext())
 
     def attr(self, name: str) -> str | None:
         return self.attrs.get(name)

@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +14,17 @@ from ..functions.crs import dialect_of
 from ..functions.gml_geometry import UNSUPPORTED, Node, Scope, geometry, is_geometry, srs_of
 from ..functions.geometry import GeometryError, has_curves, positions
 from ..functions.lexical import ALL, INTEGER, classify, scale_of, zone_of
-from ..sources.split import parse_element
+from ..sources.split import SplitError, parse_batch, parse_element
 
 MAX_DEPTH, MAX_CHILDREN, DISTINCT = 16, 512, 64
 COUNTS = ("instances", "parents", "empty", "single_child", "by_reference", "href_and_content", "nil", "n_values", "n_zone", "n_elements", "n_geometry")
 FIELDS = [("layer_ns", pa.string()), ("layer", pa.string()), ("path", pa.string()), ("source", pa.string()), ("start", pa.int64()), ("place", pa.int32()), *((c, pa.int64()) for c in COUNTS), ("max_occurs", pa.int64()), ("exact", pa.int32()), ("lossy", pa.int32()), ("int_min", pa.string()), ("int_max", pa.string()), ("max_len", pa.int64()), ("max_scale", pa.int64()), ("zone_min", pa.int32()), ("zone_max", pa.int32()), ("values", pa.list_(pa.string())), ("mixed", pa.bool_()), ("truncated", pa.bool_()), ("kinds", pa.list_(pa.string())), ("curves", pa.bool_()), ("srs", pa.list_(pa.string())), ("dims", pa.list_(pa.int32())), ("wrappers", pa.list_(pa.string()))]
-SCHEMA = ", ".join(f"{n} {({'int64': 'bigint', 'int32': 'int', 'bool': 'boolean', 'string': 'string'}.get(str(t)) or ('array<int>' if 'int32' in str(t) else 'array<string>'))}" for n, t in FIELDS)
-AXIS_FIELDS = [("source", pa.string()), ("srs", pa.string()), ("dialect", pa.string()), ("layer", pa.string()), ("a_min", pa.float64()), ("a_max", pa.float64()), ("b_min", pa.float64()), ("b_max", pa.float64()), ("n", pa.int64()), ("labels", pa.string())]
-AXIS_SCHEMA = "source string, srs string, dialect string, layer string, a_min double, a_max double, b_min double, b_max double, n bigint, labels string"
+def ddl(fields: list[tuple]) -> str:
+    kinds = {"int64": "bigint", "int32": "int", "bool": "boolean", "string": "string", "double": "double"}
+    return ", ".join(f"{n} {kinds.get(str(t)) or ('array<int>' if 'int32' in str(t) else 'array<string>')}" for n, t in fields)
+
+
+AXIS_FIELDS = [("source", pa.string()), ("srs_name", pa.string()), ("dialect", pa.string()), ("layer", pa.string()), ("a_min", pa.float64()), ("a_max", pa.float64()), ("b_min", pa.float64()), ("b_max", pa.float64()), ("n", pa.int64()), ("labels", pa.string())]
 
 
 class Stats:
@@ -180,25 +184,44 @@ def bounded_info(bounded: str | None) -> dict:
     return {"srs": env.attr("srsName").strip() if env.attr("srsName") else None, "dimension": int(dim) if dim else None}
 
 
-def observing(axis: bool):
-    def work(batches: Iterator[pa.RecordBatch]):
-        o, memo = Observer(), {}
-        for b in batches:
-            for source, start, ns, layer, prefixes, bounded, xml in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if bounded not in memo:
-                    memo = {bounded: bounded_info(bounded)}
-                o.feature(source, start, ns, layer, parse_element(xml, json.loads(prefixes)), memo[bounded])
-        yield from o.axis_rows() if axis else o.rows()
+def observing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Statistics, axis evidence and headers of a task, told apart by `what`."""
+    o, bounds, scopes, headers = Observer(), {}, {}, []
+    for b in batches:
+        kinds = b.column(0).to_pylist()
+        headers += [(k, s, i) for k, s, i in zip(kinds, b.column(1).to_pylist(), b.column(8).to_pylist(), strict=True) if k != "feature"]
+        b = b.filter(pc.equal(b.column(0), "feature"))
+        columns = [b.column(i).to_pylist() for i in range(1, 8)]
+        for source, start, ns, layer, _, bounded, _, node in zip(*columns, parse_batch(columns[6], columns[4], scopes), strict=True):
+            if isinstance(node, SplitError):
+                raise node
+            if bounded not in bounds:
+                bounds = {bounded: bounded_info(bounded)}
+            o.feature(source, start, ns, layer, node, bounds[bounded])
+    for what, part in (("path", o.rows()), ("axis", o.axis_rows()), ("header", header_rows(headers))):
+        for found in part:
+            n = found.num_rows
+            given = dict(zip(found.schema.names, found.columns, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([what] * n), *(given.get(f, pa.nulls(n, t)) for f, t in ALL_FIELDS)], ["what", *(f for f, _ in ALL_FIELDS)])
+
+
+def header_rows(headers: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if headers:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*headers, strict=True)], ["kind", "source", "info"])
+
+
+ALL_FIELDS = FIELDS + [f for f in AXIS_FIELDS if f[0] not in {n for n, _ in FIELDS}] + [("kind", pa.string()), ("info", pa.string())]
+INPUT = ("source", "start", "layer_ns", "layer", "ns", "bounded", "xml")
 
-    return work
 
+def observations(features: DataFrame) -> DataFrame:
+    """One pass over features: a few rows for each task, which observe(), axis_evidence() and headers() merge."""
+    return features.select("kind", *INPUT, "info").mapInArrow(observing, ddl([("what", pa.string()), *ALL_FIELDS]))
 
-INPUT = ("source", "start", "layer_ns", "layer", "ns", "bounded", "xml")
 
-
-def observe(features: DataFrame) -> DataFrame:
-    """One row for each (layer, path) of features as split_features() gives them."""
-    rows = features.where("kind = 'feature'").select(*INPUT).mapInArrow(observing(False), SCHEMA)
+def observe(seen: DataFrame) -> DataFrame:
+    """One row for each (layer, path) of observations()."""
+    rows = seen.where("what = 'path'")
     merged = [F.sum(c).alias(c) for c in COUNTS]
     merged += [F.max(c).alias(c) for c in ("max_occurs", "max_len", "max_scale", "zone_max")] + [F.min("zone_min").alias("zone_min")]
     merged += [F.bit_and(c).alias(c) for c in ("exact", "lossy")] + [F.bool_or(c).alias(c) for c in ("mixed", "truncated", "curves")]
@@ -210,7 +233,12 @@ def observe(features: DataFrame) -> DataFrame:
     return rows.groupBy("layer_ns", "layer", "path").agg(*merged)
 
 
-def axis_evidence(features: DataFrame) -> DataFrame:
-    """Ranges of first positions as written, for each source, srsName and dialect."""
-    rows = features.where("kind = 'feature'").select(*INPUT).mapInArrow(observing(True), AXIS_SCHEMA)
+def axis_evidence(seen: DataFrame) -> DataFrame:
+    """Ranges of first positions as written, for each source, srsName and dialect of observations()."""
+    rows = seen.where("what = 'axis'").withColumn("srs", F.col("srs_name"))
     return rows.groupBy("source", "srs", "dialect").agg(F.min("a_min").alias("a_min"), F.max("a_max").alias("a_max"), F.min("b_min").alias("b_min"), F.max("b_max").alias("b_max"), F.sum("n").alias("n"), F.collect_set("labels").alias("labels"))
+
+
+def headers(seen: DataFrame) -> DataFrame:
+    """(kind, source, info) for each source of observations()."""
+    return seen.where("what = 'header'").select("kind", "source", "info")

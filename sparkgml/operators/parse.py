@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -19,7 +18,7 @@ from ..functions.gml_geometry import Node, Scope, envelope, geometry, is_geometr
 from ..functions.lexical import Misfit, read_scalar
 from ..functions.project import Transform
 from ..plans.schema import LOCATION, Column, LayerSchema
-from ..sources.split import SplitError, inner_xml, layer_matches, parse_element
+from ..sources.split import SplitError, inner_xml, layer_matches, parse_batch
 from .observe import INPUT, bounded_info
 
 REPORT = StructType([StructField("source", StringType()), StructField("start", LongType()), StructField("kind", StringType()), StructField("message", StringType())])
@@ -271,17 +270,16 @@ def walk(plan: ReadPlan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     reader, bounds, scopes = RowReader(plan), {}, {}
     layer = plan.schema.layer
     for b in batches:
-        for source, start, ns, name, prefixes, bounded, xml, end in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            if prefixes not in scopes:
-                scopes[prefixes] = json.loads(prefixes)
-            if not layer_matches(layer, ns, name, scopes[prefixes]):
+        columns = [x.to_pylist() for x in b.columns]
+        for source, start, ns, name, context, bounded, xml, end, node in zip(*columns, parse_batch(columns[6], columns[4], scopes), strict=True):
+            if not layer_matches(layer, ns, name, scopes[context]):
+                continue
+            if isinstance(node, SplitError):
+                yield source, start, end, [None] * len(plan.schema.columns), [], Misfit(str(node))
                 continue
             if bounded not in bounds:
                 bounds = {bounded: bounded_info(bounded)}
-            try:
-                row, warnings, error = reader.read(source, parse_element(xml, scopes[prefixes]), xml, bounds[bounded])
-            except SplitError as e:
-                row, warnings, error = [None] * len(plan.schema.columns), [], Misfit(str(e))
+            row, warnings, error = reader.read(source, node, xml, bounds[bounded])
             yield source, start, end, row, warnings, error
 
 

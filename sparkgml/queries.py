@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .api import ReadOptions, read, read_layer, scan
 from .functions.columns import convert_xy, geod_inverse, strip_local_hash, wkb_bbox, wkb_kind, wkb_linearize, wkb_swap_xy, wkb_text, wkb_transform
 from .functions.lexical import as_type
-from .operators.observe import observe
+from .operators.observe import observations, observe
 from .sources.split import SplitOptions, split_features
 
 FLAGSHIP = "typed_scalars"
@@ -94,7 +94,7 @@ def leading_zero_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = observe(split_features(orders_gml(spark, sf_dir)))
+    seen = observe(observations(split_features(orders_gml(spark, sf_dir))))
     return seen.where("path <> ''").select("path", F.col("exact").cast("bigint").alias("exact"), "n_values")
 
 

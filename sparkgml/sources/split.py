@@ -6,7 +6,11 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import groupby
+from xml.etree import ElementTree
 from xml.parsers import expat
+from xml.sax.saxutils import quoteattr
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +24,8 @@ WFS1 = "http://www.opengis.net/wfs"
 SCHEMA = "kind string, source string, seq bigint, start bigint, end bigint, layer_ns string, layer string, ns string, bounded string, xml binary, info string"
 ARROW = pa.schema([("kind", pa.string()), ("source", pa.string()), ("seq", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("layer_ns", pa.string()), ("layer", pa.string()), ("ns", pa.string()), ("bounded", pa.string()), ("xml", pa.binary()), ("info", pa.string())])
 TAG = re.compile(rb"<(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>")
+#: Elements within each other in a feature, at most.
+MAX_DEPTH = 200
 #: Bytes of XML in an Arrow batch of features.
 BATCH_BYTES = 4 << 20
 
@@ -214,50 +220,87 @@ def split_by_tag(spark, paths: str | list[str], member: str = "gml:featureMember
     return lines.mapInArrow(work, SCHEMA)
 
 
-def parse_element(xml: bytes, prefixes: dict[str, str], max_depth: int = 200) -> Node:
-    """An element cut out of its document, with the namespaces that hold there, as a tree."""
-    open_tag = b"<_" + b"".join(f' xmlns{":" + p if p else ""}="{u.replace("&", "&amp;").replace(chr(34), "&quot;").replace("<", "&lt;")}"'.encode() for p, u in prefixes.items() if p != "xml") + b">"
-    shift = len(open_tag)
-    p = expat.ParserCreate("utf-8", " ")
-    p.buffer_text = True
-    stack: list[Node] = [Node("", "_", {})]
+def parse_elements(xmls: list[bytes], prefixes: dict[str, str]) -> list[Node]:
+    """Elements cut out of a document, with the namespaces that hold there, as trees; all in one parse."""
+    declared = "".join(f' xmlns{":" + p if p else ""}={quoteattr(u)}' for p, u in prefixes.items() if p != "xml").encode()
+    try:
+        root = ElementTree.fromstring(b"".join([b"<_", declared, b">", *xmls, b"</_>"]))
+    except ElementTree.ParseError as e:
+        raise SplitError(f"not well formed: {e}") from None
+    return [tree_of(e) for e in root]
 
-    def start(expanded: str, attrs: dict[str, str]) -> None:
-        ns, name = name_of(expanded)
-        node = Node(ns, name, {(f"{XLINK_NAMES[a[0]]}{a[1]}" if (a := name_of(k))[0] in XLINK_NAMES else a[1] if not a[0] else f"{{{a[0]}}}{a[1]}"): v for k, v in attrs.items()})
-        node.start = p.CurrentByteIndex - shift
-        if len(stack) > max_depth:
+
+def parse_batch(xmls: list[bytes], contexts: list[str], scopes: dict[str, dict[str, str]]) -> Iterator[Node | SplitError]:
+    """Trees of a batch's features; neighbours under the same namespaces are parsed together. `scopes` is the caller's memory of contexts."""
+    at = 0
+    for context, group in groupby(contexts):
+        if context not in scopes:
+            scopes[context] = json.loads(context)
+        part = xmls[at : at + sum(1 for _ in group)]
+        at += len(part)
+        try:
+            yield from parse_elements(part, scopes[context])
+        except SplitError:  # which one?
+            for xml in part:
+                try:
+                    yield parse_element(xml, scopes[context])
+                except SplitError as e:
+                    yield e
+
+
+def parse_element(xml: bytes, prefixes: dict[str, str]) -> Node:
+    return parse_elements([xml], prefixes)[0]
+
+
+def tree_of(element: ElementTree.Element) -> Node:
+    count = 0
+
+    def one(e: ElementTree.Element, depth: int) -> Node:
+        nonlocal count
+        if depth > MAX_DEPTH:
             raise SplitError("nested too deep")
-        stack[-1].children.append(node)
-        stack.append(node)
+        ns, _, name = e.tag.rpartition("}")
+        node = Node(ns[1:], name, {attribute_name(k): v for k, v in e.items()} if e.attrib else {}, e.text or "", count, e)
+        count += 1
+        for c in e:
+            node.children.append(one(c, depth + 1))
+        return node
 
-    def text(data: str) -> None:
-        node = stack[-1]
-        if not node.children:
-            node.text += data
-        node.all_text += data
+    return one(element, 1)
 
-    def end(_: str) -> None:
-        node = stack.pop()
-        node.inner_end = p.CurrentByteIndex - shift
-        stack[-1].all_text += node.all_text if len(stack) > 1 else ""
 
-    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = start, end, text
-    p.StartDoctypeDeclHandler = Splitter.doctype
-    try:
-        p.Parse(open_tag + xml + b"</_>", True)
-    except expat.ExpatError as e:
-        raise SplitError(f"not well formed: {e}") from None
-    return stack[0].children[0].children[0]
+def attribute_name(key: str) -> str:
+    if key[0] != "{":
+        return key
+    ns, _, name = key[1:].partition("}")
+    return f"{XLINK_NAMES[ns]}{name}" if ns in XLINK_NAMES else key
 
 
 #: How attributes of these namespaces are named.
 XLINK_NAMES = {XLINK: "xlink:", GML: "gml:", GML32: "gml:", "http://www.w3.org/2001/XMLSchema-instance": "xsi:", "http://www.w3.org/XML/1998/namespace": "xml:"}
 
 
+@lru_cache(maxsize=4)
+def ranges(xml: bytes) -> list[list[int]]:
+    """Where the content of each element starts and ends, in document order."""
+    out: list[list[int]] = []
+    open_: list[int] = []
+    p = expat.ParserCreate("utf-8")
+
+    def start(*_) -> None:
+        open_.append(len(out))
+        out.append([TAG.match(xml, p.CurrentByteIndex).end(), 0])
+
+    def end(_: str) -> None:
+        at = out[open_.pop()]
+        at[1] = max(at[0], p.CurrentByteIndex)
+
+    p.StartElementHandler, p.EndElementHandler = start, end
+    p.Parse(xml, True)
+    return out
+
+
 def inner_xml(xml: bytes, node: Node) -> str:
     """Source text of what an element holds, trimmed."""
-    m = TAG.match(xml, node.start)
-    if xml[m.end() - 2 : m.end()] == b"/>":
-        return ""
-    return xml[m.end() : node.inner_end].decode("utf-8").strip()
+    start, end = ranges(xml)[node.index]
+    return xml[start:end].decode("utf-8").strip()
