@@ -53,6 +53,7 @@ KNOWN = {c.code: c for c in (
     Crs(3031, "WGS 84 / Antarctic Polar Stereographic", "E", False, "WGS84", (-180, -90, 180, -60), "WGS84", ("stere", -71.0, 0.0, 0.0, 0.0)),
     Crs(3995, "WGS 84 / Arctic Polar Stereographic", "E", False, "WGS84", (-180, 60, 180, 90), "WGS84", ("stere", 71.0, 0.0, 0.0, 0.0)),
     Crs(28992, "Amersfoort / RD New", "E", False, "bessel", (3.2, 50.75, 7.22, 53.7), "Amersfoort", ("sterea", 52.15616055555555, 5.38763888888889, 0.9999079, 155000.0, 463000.0)),
+    Crs(5514, "S-JTSK / Krovak East North", "E", False, "bessel", (12.09, 47.73, 22.56, 51.06), "S-JTSK", ("krovak", 49.5, 24.833333333333332, 30.28813975277778, 78.5, 0.9999, 0.0, 0.0)),
     Crs(6933, "WGS 84 / NSIDC EASE-Grid 2.0 Global", "E", False, "WGS84", (-180, -86, 180, 86), "WGS84", ("cea", 30.0, 0.0, 0.0, 0.0)),
     Crs(8857, "WGS 84 / Equal Earth Greenwich", "E", False, "WGS84", (-180, -90, 180, 90), "WGS84", ("eqearth", 0.0, 0.0, 0.0)),
 )}

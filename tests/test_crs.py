@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from sparkgml.functions.crs import KNOWN, Context, Crs, Evidence, add_user_crs, crs_of, decide, parse_srs, projjson
-from sparkgml.functions.project import Transform, geodesic_direct, geodesic_inverse, laea, lcc, projection, sterea, tmerc
+from sparkgml.functions.project import METHODS, Transform, geodesic_direct, geodesic_inverse, laea, lcc, projection, sterea, tmerc
 
 
 @pytest.mark.parametrize("raw, code", [
@@ -40,6 +40,30 @@ def test_published_examples():
     assert np.allclose(lcc("clrk66", 27.833333333333332, -99, 28.383333333333333, 30.283333333333335, 2000000 * 1200 / 3937, 0)[0](np.array([-96.0]), np.array([28.5])), [[2963503.91 * 1200 / 3937], [254759.80 * 1200 / 3937]], atol=0.01)
 
 
+def dms(d, m, s):
+    return d + m / 60 + s / 3600
+
+
+def test_published_examples_of_other_methods():
+    link = 0.201166195164
+    x, y = METHODS["cass"]("clrk58", dms(10, 26, 30), -dms(61, 20, 0), 430000 * link, 325000 * link)[0](np.array([-62.0]), np.array([10.0]))
+    assert np.allclose([x / link, y / link], [[66644.94], [82536.22]], atol=0.01)
+    krovak = METHODS["krovak"]("bessel", 49.5, dms(24, 50, 0), dms(30, 17, 17.3031), 78.5, 0.9999, 0, 0)[0](np.array([dms(16, 50, 59.179)]), np.array([dms(50, 12, 32.442)]))
+    assert np.allclose(krovak, [[-568990.995], [-1050538.63]], atol=0.01)
+    omerc = METHODS["omerc"]("evrst67", 4, 115, dms(53, 18, 56.9537), dms(53, 7, 48.3685), 0.99984, 590476.87, 442857.65)[0](np.array([dms(115, 48, 19.8196)]), np.array([dms(5, 23, 14.1129)]))
+    assert np.allclose(omerc, [[679245.73], [596562.78]], atol=0.01)
+
+
+@pytest.mark.parametrize("method, parameters", [
+    ("bonne", ("GRS80", 40.0, 10.0, 0.0, 0.0)), ("eqdc", ("GRS80", 40.0, 10.0, 30.0, 50.0, 0.0, 0.0)), ("poly", ("GRS80", 0.0, 10.0, 0.0, 0.0)), ("eqc", ("WGS84", 30.0, 10.0, 0.0, 0.0)), ("sinu", ("WGS84", 10.0, 0.0, 0.0)), ("moll", ("WGS84", 10.0, 0.0, 0.0)),
+    *[(m, ("sphere", 30.0, 10.0, 0.0, 0.0)) for m in ("aeqd_sphere", "ortho_sphere", "gnom", "stere_sphere")], *[(m, ("sphere", 10.0, 0.0, 0.0)) for m in ("mill", "gall", "natearth", "eck3", "craster", "wag3")],
+])
+def test_other_round_trips(method, parameters):
+    forward, inverse = METHODS[method](*parameters)
+    lon, lat = inverse(*forward(np.array([12.0, 8.0]), np.array([35.0, 42.0])))
+    assert np.allclose(lon, [12, 8], atol=1e-9) and np.allclose(lat, [35, 42], atol=1e-9)
+
+
 @pytest.mark.parametrize("code", [c for c in KNOWN if not KNOWN[c].geographic] + [32633, 32733, 25832, 26917])
 def test_round_trips(code):
     crs = crs_of(code)
