@@ -38,6 +38,7 @@ class ReadOptions:
     columns: list[str] | None = None
     preserve_order: bool = False
     sample_features: int | None = None
+    spread: bool = False  # deal features anew after splitting: for documents that are few and large
 
     @classmethod
     def parse(cls, pairs: dict[str, str]) -> ReadOptions:
@@ -58,6 +59,8 @@ class ReadOptions:
                 out.on_feature_error = v
             elif k == "linear":
                 out.linear = str(v).lower() == "true"
+            elif k == "spread":
+                out.spread = str(v).lower() == "true"
             elif k == "location":
                 out.location_column = str(v).lower() == "true"
             elif k == "columns":
@@ -73,7 +76,8 @@ def features_of(spark: SparkSession, inputs: Any, options: ReadOptions) -> DataF
         docs = of_bytes(spark, list(inputs.items()))
     else:
         docs = inputs if isinstance(inputs, DataFrame) else sources(spark, inputs)
-    return split_features(docs, options.split)
+    features = split_features(docs, options.split)
+    return features.repartition(spark.sparkContext.defaultParallelism * 4) if options.spread else features
 
 
 @dataclass

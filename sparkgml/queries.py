@@ -42,7 +42,8 @@ def escaped(c: Column) -> Column:
 def documents(rows: DataFrame, key: str, feature: Column, head: str = HEAD) -> DataFrame:
     """(name, content): one document for each bucket of keys."""
     member = F.concat(F.lit("<gml:featureMember>"), feature, F.lit("</gml:featureMember>"))
-    docs = rows.select(F.floor(F.col(key) / DOC_ROWS).cast("string").alias("name"), member.alias("m")).groupBy("name").agg(F.array_join(F.collect_list("m"), "\n").alias("body"))
+    parts = rows.sparkSession.sparkContext.defaultParallelism  # a given number: small texts, but much work on each
+    docs = rows.select(F.floor(F.col(key) / DOC_ROWS).cast("string").alias("name"), member.alias("m")).repartition(parts, "name").groupBy("name").agg(F.array_join(F.collect_list("m"), "\n").alias("body"))
     return docs.select("name", F.encode(F.concat(F.lit(head), "body", F.lit(TAIL)), "utf-8").alias("content"))
 
 

@@ -113,6 +113,7 @@ def test_settings_round_trip(spark):
     layers, _ = load_settings(found.save())
     assert [(c.name, c.type, c.path) for c in layers["A"].columns] == [(c.name, c.type, c.path) for c in found.schema("A").columns]
     assert read(spark, {"d": doc(*FEATURES)}, "A", found.save()).count() == 2
+    assert read(spark, {"d": doc(*FEATURES)}, "A", found.save(), ReadOptions(spread=True)).count() == 2
     again = LayerSchema.of_struct("A", found.schema("A").struct())
     assert [(c.name, c.path, c.is_list) for c in again.columns] == [(c.name, c.path, c.is_list) for c in found.schema("A").columns]
 
