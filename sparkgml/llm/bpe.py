@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import frugal, slices
 
 END = "</w>"
 #: No merge, or a token that nothing absorbs.
@@ -239,5 +239,6 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
                 text.append(hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    frugal(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Characters that count as white space everywhere in this subpackage: [\x20\x09-\x0D].
 WS = b" \t\n\x0b\x0c\r"
 
@@ -52,6 +54,22 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def frugal(df: DataFrame) -> None:
+    """Keep Arrow batches of whole texts small, unless the session has a setting of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(ROWS_PER_BATCH, None) is None:
+        conf.set(ROWS_PER_BATCH, "1000")
+
+
+def trim() -> None:
+    """Give memory that a task has freed back to the system; Python workers live on after it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -74,6 +92,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
         ends.append((start, n))
         for a, b in ends:
             yield batch.slice(a, b - a)
+    trim()
 
 
 def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

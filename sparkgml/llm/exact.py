@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, pin, slices, texts
+from .common import WS, frugal, pin, slices, texts
 
 #: Size limits of the filter over digests of several rows, in bits.
 FILTER_BITS = (1 << 16, 1 << 27)
@@ -128,6 +128,7 @@ def exact_dedup(docs: DataFrame, *, digest_bytes: int = 32, memtable_entries: in
     task after a sort by digest. Digests that stand for different texts are
     regrouped by the text itself.
     """
+    frugal(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     level0 = rows.mapInArrow(runs(digest_bytes, memtable_entries), "digest binary, shorter long, id long, n long")
     level1 = level0.groupBy("digest").agg(F.min(F.struct("shorter", "id")).alias("best"), F.sum("n").alias("n"))

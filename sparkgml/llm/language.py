@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin, slices
+from .common import frugal, pin, slices
 
 #: Marks the ends of a word; no letter has this code.
 EDGE = 1
@@ -150,6 +150,7 @@ def language_id(docs: DataFrame, profiles: dict[str, np.ndarray], *, top: int =
             found = [ranker.predict(x) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
+    frugal(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, lang_pred string, score double")
 
@@ -158,6 +159,7 @@ def with_language(docs: DataFrame, profiles: dict[str, np.ndarray], *, top: int
     """The rows of `docs` whose text has a language, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     schema = docs.schema
+    frugal(docs)
 
     def work(batches: Iterator[pa.RecordBatch]):
         ranker = Ranker(shared.value, top)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, mix, pin, slices, texts
+from .common import WS, frugal, mix, pin, slices, texts
 
 #: Bits of a level for each key that is placed there, and levels at most.
 GAMMA, LEVELS = 2.0, 40
@@ -261,6 +261,7 @@ def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, memta
     memory; beyond that, line hashes go to their shard, and only those that
     are to be dropped come back to their documents.
     """
+    frugal(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     counts = rows.mapInArrow(counted(min_chars, memtable_entries), "key long, fingerprint long, n long").groupBy("key", "fingerprint").agg(F.sum("n").alias("n"))
     common = pin(counts.where(F.col("n") >= min_docs))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pin, slices, texts
+from .common import frugal, pin, slices, texts
 from .tokens import encoding
 
 #: Histogram bins between a length and its double; lengths under twice this number have a bin each.
@@ -61,6 +61,7 @@ def token_lengths(docs: DataFrame, path: str) -> DataFrame:
             n = [len(enc.encode_ordinary(x.decode("utf-8", "replace"))) for x in raw]
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array([xxhash.xxh3_64_intdigest(x) - 2**63 for x in raw], pa.int64())], ["id", "n_tokens", "mark"])
 
+    frugal(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "id long, n_tokens long, mark long")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, joined, mix, slices, texts
+from .common import WS, frugal, joined, mix, slices, texts
 from .labelled import fit_dense, sample_labelled, sigmoid
 
 #: Hash buckets of each family; the families are character n-grams (bytes) and word n-grams.
@@ -204,5 +204,6 @@ def quality_rules(docs: DataFrame, model: QualityModel, *, min_words: int = 10,
             quality = model.probability(raw)
             yield pa.record_batch([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in longs), pa.array(failed), pa.array(~failed & (quality >= min_quality)), pa.array(quality)], ["doc_id", *longs, "base_failed", "kept", "quality"])
 
+    frugal(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, f"doc_id long, {', '.join(f'{k} long' for k in longs)}, base_failed boolean, kept boolean, quality double")

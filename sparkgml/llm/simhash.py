@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pin, release, slices, texts, unpin
+from .common import frugal, mix, pin, release, slices, texts, unpin
 
 #: Children of a node; queries that go down the index together; rows taken from the sorted stream at once.
 FAN, BLOCK, STREAM_ROWS = 16, 128, 1 << 17
@@ -242,6 +242,7 @@ def simhash_fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42) -
             words = fingerprint_batch(texts(batch.column(1)), shingle, seed)
             yield pa.record_batch([batch.column(0), pa.array(words.view(np.int64))], ["id", "word"])
 
+    frugal(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "id long, word long")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import joined, mix, pin, release, slices, texts
+from .common import frugal, joined, mix, pin, release, slices, texts, trim
 
 BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -187,6 +187,7 @@ def compared(batches: Iterator[pa.RecordBatch]):
         yield from batched(iter(passed), ANCHOR_ROWS)
     if blobs:
         yield from done(blobs)
+    trim()
 
 
 ANCHOR_ROWS = pa.schema([("id", pa.int64()), ("again", pa.binary()), ("ask", pa.binary()), ("gram", pa.binary())])
@@ -405,6 +406,7 @@ def resolved(shape: Shape, most: int):
                 blobs.append(data)
         if blobs:
             yield from done(blobs)
+        trim()
 
     return work
 
@@ -468,6 +470,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False) ->
     comparisons find common prefixes by binary search over prefix polynomial
     hashes, and what is found is verified on bytes.
     """
+    frugal(docs)
     spark, shape = docs.sparkSession, Shape(length)
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"]) if carry else F.lit(None).cast("struct<doc_id:bigint>")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"), row.alias("row"))

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import frugal, slices, texts
 
 #: Fixed value: how the rank files' tokenizers split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -104,5 +104,6 @@ def token_counts(docs: DataFrame, path: str, *, rule: str = "first", separator:
                 out.append((np.arange(len(n)), points[:-1], np.diff(points), n, crossing))
             yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True))], ["doc_id", "section", "start", "n_chars", "n_tokens", "n_crossing"])
 
+    frugal(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, section long, start long, n_chars long, n_tokens long, n_crossing long")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import frugal, slices
 from .labelled import fit_dense, sample_labelled, sigmoid
 
 #: Words that each transducer knows before anything is learned.
@@ -213,5 +213,6 @@ def toxicity(docs: DataFrame, grammar: ToxicityGrammar, *, threshold: float = 0.
             score = grammar.scores([x or "" for x in batch.column(1).to_pylist()])
             yield pa.record_batch([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
+    frugal(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, score double, predicted int")
