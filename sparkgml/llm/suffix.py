@@ -22,6 +22,8 @@ WORDS = mix(np.arange(256, dtype=np.uint64), 7)
 NULL_ID = -(2**63)
 #: Anchors that a task gathers before it sends them; anchors and suffixes of a shard.
 HELD, SHARD_ANCHORS, SHARD_SUFFIXES = 300_000, 1_000_000, 40_000
+#: Surroundings of one gram that a task compares; those of a gram with more become rows of their own strings.
+GRAM_CONTEXTS = 50_000
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -149,8 +151,8 @@ def gathered(shape: Shape, shards: int):
     return work
 
 
-def compared(batches: Iterator[pa.RecordBatch]):
-    """Rows sorted by shard: anchors whose context came before, and those to be compared as their gram has several contexts."""
+def compared(most: int):
+    """Rows sorted by shard: anchors whose context came before, and those to be compared as their gram has several contexts; those of grams with over `most` contexts apart, as hot."""
 
     def done(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         columns: list[list] = [[], [], [], []]
@@ -169,28 +171,69 @@ def compared(batches: Iterator[pa.RecordBatch]):
         once, first, group = runs_of(h, c, i, off), runs_of(h, c), np.cumsum(runs_of(h)) - 1
         classes = np.bincount(group, first, int(group[-1]) + 1 if len(group) else 0)
         again, ask = once & ~first, first & (classes[group] > 1)
-        yield from batched(((doc, data, None, None) for doc, (data,) in packed(i[again], off[again])), ANCHOR_ROWS)
-        yield from batched(((doc, None, a, b) for doc, (a, b) in packed(i[ask], off[ask], h[ask])), ANCHOR_ROWS)
-
-    shard, blobs = None, []
-    for batch in batches:
-        passed = []
-        for s, found, again in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if again is not None:
-                passed.append((int(np.frombuffer(again, np.int64, 1)[0]), again[8:], None, None))
-                continue
-            if s != shard and blobs:
-                yield from done(blobs)
-                blobs = []
-            shard = s
-            blobs.append(found)
-        yield from batched(iter(passed), ANCHOR_ROWS)
-    if blobs:
-        yield from done(blobs)
-    trim()
-
-
-ANCHOR_ROWS = pa.schema([("id", pa.int64()), ("again", pa.binary()), ("ask", pa.binary()), ("gram", pa.binary())])
+        hot = ask & (classes[group] > most)
+        ask &= ~hot
+        yield from batched(((doc, data, None, None, None) for doc, (data,) in packed(i[again], off[again])), ANCHOR_ROWS)
+        yield from batched(((doc, None, a, b, None) for doc, (a, b) in packed(i[ask], off[ask], h[ask])), ANCHOR_ROWS)
+        yield from batched(((doc, None, None, None, data) for doc, (data,) in packed(i[hot], off[hot])), ANCHOR_ROWS)
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        shard, blobs = None, []
+        for batch in batches:
+            passed = []
+            for s, found, again in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if again is not None:
+                    passed.append((int(np.frombuffer(again, np.int64, 1)[0]), again[8:], None, None, None))
+                    continue
+                if s != shard and blobs:
+                    yield from done(blobs)
+                    blobs = []
+                shard = s
+                blobs.append(found)
+            yield from batched(iter(passed), ANCHOR_ROWS)
+        if blobs:
+            yield from done(blobs)
+        trim()
+
+    return work
+
+
+def windows(shape: Shape):
+    """Texts with hot anchors: a 128-bit hash of every string through one, and where it starts."""
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in slices(batches, "text", 1 << 18):
+            for doc, text, hots in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                data = (text or "").encode("utf-8")
+                at = np.frombuffer(b"".join(hots), np.uint32).astype(np.int64)
+                starts = np.unique((at[:, None] - np.arange(shape.places)).ravel())
+                starts = starts[(starts >= 0) & (starts + shape.length <= len(data))]
+                if len(starts):
+                    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a : a + shape.length]) for a in starts.tolist()), "<i8").reshape(-1, 2)
+                    yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(len(starts), doc, np.int64)), pa.array(starts)], ["a", "b", "id", "start"])
+
+    return work
+
+
+def as_spans(shape: Shape):
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            ids, start = (x.to_numpy() for x in batch.columns)
+            yield from batched(((doc, data) for doc, (data,) in packed(ids, np.stack([start, start + shape.length], 1))), SPAN_ROWS)
+
+    return work
+
+
+def hot_spans(rows: DataFrame, hot: DataFrame, shape: Shape) -> DataFrame:
+    """Spans of the strings through hot anchors: one row for each string, whose first start Spark's aggregate finds."""
+    wanted = hot.groupBy("id").agg(F.collect_list("hot").alias("hots"))
+    found = pin(rows.join(wanted, "id").select("id", "text", "hots").mapInArrow(windows(shape), "a long, b long, id long, start long"))
+    first = found.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = found.join(first, ["a", "b"]).where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
+    return later.select("id", "start").mapInArrow(as_spans(shape), "id long, spans binary")
+
+
+ANCHOR_ROWS = pa.schema([("id", pa.int64()), ("again", pa.binary()), ("ask", pa.binary()), ("gram", pa.binary()), ("hot", pa.binary())])
 SPAN_ROWS = pa.schema([("id", pa.int64()), ("spans", pa.binary())])
 
 
@@ -446,7 +489,7 @@ def applied(shape: Shape):
     return work
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False, gram_contexts: int = GRAM_CONTEXTS) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes.
 
     Every byte is removed that is covered by a string of `length` bytes which
@@ -468,7 +511,10 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False) ->
     several surroundings, the first anchor of each is fetched with its bytes;
     the suffixes from the anchors on are sorted by a mergesort whose
     comparisons find common prefixes by binary search over prefix polynomial
-    hashes, and what is found is verified on bytes.
+    hashes, and what is found is verified on bytes. A gram with over
+    `gram_contexts` surroundings isn't one task's work: every string through
+    its anchors becomes a row under a 128-bit hash, and Spark's aggregate
+    finds the first of each.
     """
     frugal(docs)
     spark, shape = docs.sparkSession, Shape(length)
@@ -478,7 +524,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False) ->
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(tasks, total // (SHARD_ANCHORS * shape.places // 2) + 1)
     found = rows.select("id", "text").where(F.octet_length("text") >= length).mapInArrow(gathered(shape, shards), "shard long, found binary, again binary")
-    marks = pin(found.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(compared, "id long, again binary, ask binary, gram binary"))
+    marks = pin(found.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(compared(gram_contexts), "id long, again binary, ask binary, gram binary, hot binary"))
     release(spark)
     asked = marks.where("ask is not null")
     n = asked.agg(F.sum(F.octet_length("ask"))).first()[0] or 0
@@ -487,6 +533,9 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False) ->
     suffixes = rows.join(asked, "id").select("id", "text", "asks", "grams").mapInArrow(fetched(shape, shards), "shard long, data binary")
     spans = pin(suffixes.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(resolved(shape, SHARD_SUFFIXES), "id long, spans binary"))
     release(spark)
+    hot = marks.where("hot is not null").select("id", "hot")
+    if not hot.isEmpty():
+        spans = spans.unionByName(hot_spans(rows.select("id", "text"), hot, shape))
     cut = marks.where("again is not null").select("id", "again", F.lit(None).cast("binary").alias("spans")).unionByName(spans.select("id", F.lit(None).cast("binary").alias("again"), "spans"))
     cut = cut.groupBy("id").agg(F.collect_list("again").alias("again"), F.collect_list("spans").alias("spans"))
     out = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary").add("row", rows.schema["row"].dataType)

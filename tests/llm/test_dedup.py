@@ -172,10 +172,11 @@ def passages(seed, n, length, alphabet):
     return docs
 
 
-@pytest.mark.parametrize("length, alphabet, n", [(100, "abcdefgh é", 50), (20, "ab", 40), (7, "abc", 30)])
-def test_suffix(spark, length, alphabet, n):
+@pytest.mark.parametrize("length, alphabet, n, contexts", [(100, "abcdefgh é", 50, 50_000), (20, "ab", 40, 50_000), (7, "abc", 30, 50_000), (100, "abcdefgh é", 50, 1), (20, "ab", 40, 3)])
+def test_suffix(spark, length, alphabet, n, contexts):
+    """Also with grams of more than 1 and 3 surroundings treated as hot."""
     docs = passages(length, n, length, alphabet)
-    assert rows(suffix_dedup(frame(spark, docs), length=length), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffix(docs, length)
+    assert rows(suffix_dedup(frame(spark, docs), length=length, gram_contexts=contexts), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffix(docs, length)
 
 
 def test_suffix_repeated_rows(spark):
