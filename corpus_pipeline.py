@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from sparkgml.llm.common import pin, release
 from sparkgml.llm.exact import exact_dedup
 from sparkgml.llm.language import fit_profiles, with_language
+from sparkgml.llm.near import jaccard_dedup
 from sparkgml.llm.packing import pack
-from sparkgml.llm.simhash import simhash_dedup
 from sparkgml.llm.suffix import suffix_dedup
 
 
@@ -48,9 +48,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of each component of near copies; a null doc_id counts as the greatest."""
+    """Keeps the row with the smallest doc_id of each component of near copies (0.8 of 5-word shingles); a null doc_id counts as the greatest."""
     rows = numbered(docs, nulls_first=False)
-    return without(rows, simhash_dedup(rows), docs.columns)
+    return without(rows, jaccard_dedup(rows), docs.columns)
 
 
 def as_text(batches: Iterator[pa.RecordBatch]):
