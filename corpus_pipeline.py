@@ -18,7 +18,7 @@ from sparkgml.llm.suffix import suffix_dedup
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without letters."""
+    """Drops null texts and texts without letters, and nothing else: no text with a letter is rejected at any distance, with or without profiles."""
     return with_language(docs, fit_profiles(docs))
 
 

@@ -156,7 +156,11 @@ def language_id(docs: DataFrame, profiles: dict[str, np.ndarray], *, top: int =
 
 
 def with_language(docs: DataFrame, profiles: dict[str, np.ndarray], *, top: int = 600) -> DataFrame:
-    """The rows of `docs` whose text has a language, with all their columns."""
+    """The rows of `docs` whose text has a language, with all their columns.
+
+    Every text with a letter has one, however far the nearest profile is;
+    without any profile letters alone decide.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     schema = docs.schema
     frugal(docs)
@@ -165,6 +169,6 @@ def with_language(docs: DataFrame, profiles: dict[str, np.ndarray], *, top: int
         ranker = Ranker(shared.value, top)
         for batch in slices(batches, "text"):
             column = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([ranker.predict(x)[0] != "und" for x in column], pa.bool_()))
+            yield batch.filter(pa.array([ranker.predict(x)[0] != "und" if ranker.langs else bool(x) and len(ngrams(x)) > 0 for x in column], pa.bool_()))
 
     return docs.mapInArrow(work, schema)

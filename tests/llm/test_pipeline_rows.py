@@ -30,3 +30,8 @@ def test_passages_by_row(spark):
     for i in (9, None):
         rows = [(-5, passage + "a"), (i, passage + "b"), (i, unique)]
         assert sorted(t for _, t in left(spark, "suffix_dedup", rows)) == sorted([passage + "a", "b", unique] if i else ["a", passage + "b", unique])
+
+
+def test_language_without_profiles(spark):
+    docs = spark.createDataFrame([(1, "clean text", None, "s", 10), (2, "123 !!", None, "s", 6), (3, None, None, "s", 0), (4, "é", None, "s", 1)], SCHEMA)
+    assert sorted(r.doc_id for r in dict(P.STAGES)["language_id"](spark, docs, "").collect()) == [1, 4]
