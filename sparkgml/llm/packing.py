@@ -13,17 +13,15 @@ from pyspark.sql import functions as F
 from .common import frugal, pin, slices, texts
 from .tokens import encoding
 
-#: Histogram bins between a length and its double; lengths under twice this number have a bin each.
-FINE = 64
-
 
 def optimal_bounds(upper: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most `buckets` buckets over bins in order of length, with the least padding.
 
     `upper` is the greatest length in a bin, `count` its rows, `total` their
     lengths' sum. Dynamic programming over (buckets used, bins covered): the
-    last bucket starts at every earlier bin in turn. Among equals the one
-    with fewer buckets, then the longer last bucket, wins.
+    start of the last bucket never moves back when a bin is added, so all
+    middles of halves are solved together within their neighbours' starts.
+    Among equals the one with fewer buckets, then the longer last bucket, wins.
     """
     n = len(upper)
     rows = np.concatenate([[0], np.cumsum(count)]).astype(float)
@@ -33,10 +31,21 @@ def optimal_bounds(upper: np.ndarray, count: np.ndarray, total: np.ndarray, buck
     cuts, ends = [], []
     for _ in range(min(buckets, n)):
         new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        for j in range(1, n + 1):
-            cost = best[:j] + upper[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])
-            cut[j] = int(cost.argmin())
-            new[j] = cost[cut[j]]
+        first, last = np.array([1]), np.array([n])  # bins to solve, and where their starts lie
+        low, high = np.array([0]), np.array([n - 1])
+        while len(first):
+            j = (first + last) // 2
+            sizes = np.minimum(high, j - 1) - low + 1
+            at = np.cumsum(sizes) - sizes
+            i = np.arange(sizes.sum()) - np.repeat(at - low, sizes)
+            of = np.repeat(j, sizes)
+            cost = best[i] + upper[of - 1] * (rows[of] - rows[i]) - (tokens[of] - tokens[i])
+            new[j] = np.minimum.reduceat(cost, at)
+            cut[j] = np.minimum.reduceat(np.where(cost == np.repeat(new[j], sizes), i, n), at)
+            first, last = np.concatenate([first, j + 1]), np.concatenate([j - 1, last])
+            low, high = np.concatenate([low, cut[j]]), np.concatenate([cut[j], high])
+            some = first <= last
+            first, last, low, high = first[some], last[some], low[some], high[some]
         cuts.append(cut)
         ends.append(new[n])
         best = new
@@ -70,8 +79,8 @@ def pack(docs: DataFrame, path: str, *, buckets: int = 16, token_budget: int = 6
     """One row per row of `docs` (doc_id, text): doc_id, n_tokens, bucket, bucket_tokens, shard, batch, position.
 
     Lengths are tokens of the rank file at `path`, which every executor must
-    have. The global histogram of lengths has a number of bins that depends
-    on the greatest length alone; dynamic programming over it chooses the
+    have. The global histogram has a bin for each distinct length, at most the
+    root of twice the table's tokens; dynamic programming over it chooses the
     upper bounds of at most `buckets` buckets that make padding least. A
     batch has as many rows of a bucket as fit into `token_budget` when padded
     to `bucket_tokens`, one at least: a text longer than the budget is a
@@ -81,8 +90,7 @@ def pack(docs: DataFrame, path: str, *, buckets: int = 16, token_budget: int = 6
     Null and empty texts have length 0 and are packed too.
     """
     lengths = pin(token_lengths(docs, path))
-    width = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(F.greatest("n_tokens", F.lit(1)).cast("double"))) - int(np.log2(FINE)))).cast("long")
-    hist = lengths.groupBy(F.floor(F.col("n_tokens") / width).alias("bin"), width.alias("width")).agg(F.max("n_tokens").alias("upper"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
+    hist = lengths.groupBy(F.col("n_tokens").alias("upper")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
     table = hist.toArrow().sort_by("upper")
     upper, count, total = (table[c].to_numpy() for c in ("upper", "n", "total"))
     bounds = optimal_bounds(upper, count, total, buckets)
