@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Characters that count as white space everywhere in this subpackage: [\x20\x09-\x0D].
@@ -54,6 +55,37 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def distinct_ids(docs: DataFrame) -> bool:
+    """Whether no row's doc_id is null and no two rows share one; a narrow aggregate decides."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return ids.where("n > 1 or id is null").isEmpty()
+
+
+def numbered(docs: DataFrame, nulls_first: bool = True) -> tuple[DataFrame, bool]:
+    """`docs` with a long doc_id of its own for each row, the given one as __doc_id; and whether the numbers are new.
+
+    Null and repeated doc_ids are rows of their own. Where there are none, the
+    given doc_ids stay. Otherwise rows are numbered in the order of doc_id,
+    then of a hash of the text and of their place, which also spread a
+    frequent doc_id or row over the sort's tasks.
+    """
+    key = F.col("doc_id").cast("long")
+    if distinct_ids(docs):
+        return docs.withColumns({"__doc_id": F.col("doc_id"), "doc_id": key}), False
+    rows = docs.withColumns({"__doc_id": F.col("doc_id"), "__place": F.monotonically_increasing_id()})
+    rows = rows.orderBy(key.asc_nulls_first() if nulls_first else key.asc_nulls_last(), F.xxhash64("text"), "__place").drop("__place")
+    return pin(rows.withColumn("doc_id", F.monotonically_increasing_id())), True
+
+
+def restored(out: DataFrame, named: DataFrame, *columns: str) -> DataFrame:
+    """`out` with the given doc_ids instead of the new numbers in `columns`."""
+    order = out.columns
+    names = named.select(F.col("doc_id").alias("__id"), F.col("__doc_id").cast("long").alias("__name"))
+    for c in columns:
+        out = out.join(names, out[c] == names["__id"], "left").drop("__id", c).withColumnRenamed("__name", c)
+    return out.select(*order)
+
+
 def frugal(df: DataFrame) -> None:
     """Keep Arrow batches of whole texts small, unless the session has a setting of its own."""
     conf = df.sparkSession.conf

@@ -11,12 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, frugal, mix, pin, slices, texts
+from .common import WS, frugal, mix, numbered, pin, restored, slices, texts
 
 #: Bits of a level for each key that is placed there, and levels at most.
 GAMMA, LEVELS = 2.0, 40
-#: Table rows of one shard, and table bytes that are sent to every executor.
-SHARD_KEYS, TABLE_BYTES = 1 << 18, 32 << 20
+#: Table rows of one shard, table bytes that are sent to every executor, and asked rows that probe one copy of a shard's table.
+SHARD_KEYS, TABLE_BYTES, COPY_ROWS = 1 << 18, 32 << 20, 1 << 20
 
 
 def key_hash(line: bytes) -> bytes:
@@ -33,30 +33,34 @@ class PerfectHash:
 
     Each level has a bit array; a key that is alone on its bit stays there,
     the others go to the next level. A key's number is the count of bits
-    before its own.
+    before its own. Keys that no level takes, as they are equal and only
+    their fingerprints differ, are kept in a list of their own after the
+    others.
     """
 
     def __init__(self, keys: np.ndarray, fingerprints: np.ndarray, counts: np.ndarray):
-        levels, rest = [], keys
+        levels, rest = [], np.arange(len(keys))
         for level in range(LEVELS):
             if not len(rest):
                 break
             size = max(64, int(GAMMA * len(rest)) + 63 & ~63)
-            at = mix(rest, level) % np.uint64(size)
-            where, first, n = np.unique(at, return_index=True, return_counts=True)
+            at = mix(keys[rest], level) % np.uint64(size)
+            where, n = np.unique(at, return_counts=True)
             bits = np.zeros(size, dtype=np.uint8)
             bits[where[n == 1].astype(np.int64)] = 1
             levels.append(bits)
             rest = rest[bits[at.astype(np.int64)] == 0]
-        if len(rest):
-            raise ValueError("keys repeat")
         self.sizes = [len(x) for x in levels]
         self.bits = np.packbits(np.concatenate(levels), bitorder="little") if levels else np.zeros(0, np.uint8)
         self._ranks()
-        slots = self.slots(keys)
+        placed = np.ones(len(keys), bool)
+        placed[rest] = False
+        slots = self.slots(keys[placed])
+        self.over = keys[rest]
         self.fingerprints, self.counts = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint32)
-        self.fingerprints[slots] = fingerprints
-        self.counts[slots] = counts
+        self.fingerprints[slots], self.counts[slots] = fingerprints[placed], counts[placed]
+        last = len(keys) - len(rest)
+        self.fingerprints[last:], self.counts[last:] = fingerprints[rest], counts[rest]
 
     def _ranks(self) -> None:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
@@ -84,21 +88,26 @@ class PerfectHash:
             return np.zeros(len(keys), np.uint32)
         slots = self.slots(keys)
         safe = np.maximum(slots, 0)
-        return np.where((slots >= 0) & (self.fingerprints[safe] == fingerprints), self.counts[safe], np.uint32(0))
+        out = np.where((slots >= 0) & (self.fingerprints[safe] == fingerprints), self.counts[safe], np.uint32(0))
+        last = len(self.counts) - len(self.over)
+        for i, key in enumerate(self.over, last):
+            out[(keys == key) & (fingerprints == self.fingerprints[i])] = self.counts[i]
+        return out
 
     def dump(self) -> bytes:
-        head = np.array([len(self.sizes), len(self.counts), *self.sizes], dtype=np.int64)
-        return b"".join(x.tobytes() for x in (head, self.bits, self.fingerprints, self.counts))
+        head = np.array([len(self.sizes), len(self.counts), len(self.over), *self.sizes], dtype=np.int64)
+        return b"".join(x.tobytes() for x in (head, self.bits, self.fingerprints, self.over, self.counts))
 
     @classmethod
     def load(cls, data: bytes) -> PerfectHash:
         out = cls.__new__(cls)
-        levels, n = np.frombuffer(data, np.int64, 2)
-        out.sizes = np.frombuffer(data, np.int64, levels, 16).tolist()
-        at = 16 + 8 * int(levels)
+        levels, n, over = (int(x) for x in np.frombuffer(data, np.int64, 3))
+        out.sizes = np.frombuffer(data, np.int64, levels, 24).tolist()
+        at = 24 + 8 * levels
         out.bits = np.frombuffer(data, np.uint8, sum(out.sizes) // 8, at)
         out.fingerprints = np.frombuffer(data, np.uint64, n, at := at + len(out.bits))
-        out.counts = np.frombuffer(data, np.uint32, n, at + 8 * int(n))
+        out.over = np.frombuffer(data, np.uint64, over, at := at + 8 * n)
+        out.counts = np.frombuffer(data, np.uint32, n, at + 8 * over)
         out._ranks()
         return out
 
@@ -202,64 +211,74 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def routed(min_chars: int, shards: int):
-    """One row for each line that may be dropped: shard, key, fingerprint, document, line number."""
+def routed(min_chars: int, copies: np.ndarray):
+    """One row for each document and distinct key: shard, the table's copy that it asks, key, fingerprint, document."""
 
     def work(batches: Iterator[pa.RecordBatch]):
-        for batch in slices(batches, "text"):
-            ids, hashes, out = batch.column(0).to_pylist(), texts(batch.column(1)), []
-            for i, text in zip(ids, hashes, strict=True):
-                mark = xxhash.xxh3_64_intdigest(text) - 2**63
-                out += [(key_hash(k), i, mark, n) for n, k in enumerate(keys_of(text)) if long_enough(k, min_chars)]
-            if out:
-                a, b = halves([x[0] for x in out])
-                yield pa.record_batch([pa.array(shard_of(a, shards)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.int64())], ["shard", "key", "fingerprint", "id", "mark", "line"])
+        for batch in slices(batches, "text", 1 << 20):
+            ids, digests = [], []
+            for i, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                mine = [key_hash(k) for k in set(keys_of(text)) if long_enough(k, min_chars)]
+                ids += [i] * len(mine)
+                digests += mine
+            if ids:
+                a, b = halves(digests)
+                i, shard = np.array(ids, np.int64), shard_of(a, len(copies))
+                copy = (mix(i.view(np.uint64), 3) % copies[shard].astype(np.uint64)).astype(np.int64)
+                yield pa.record_batch([pa.array(shard), pa.array(copy), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(i)], ["shard", "copy", "key", "fingerprint", "id"])
 
     return work
 
 
 def looked_up(min_docs: int):
-    """Rows of lines, each with its shard's table: those that stay in the result are to be dropped."""
+    """Rows sorted by shard and copy, first the table and then who asks it: those whose lines are to be dropped."""
 
     def work(batches: Iterator[pa.RecordBatch]):
-        shard, table = None, None
+        table = None
         for batch in batches:
-            shards = batch.column(0).to_numpy()
-            keep = np.zeros(len(shards), bool)
-            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
+            data = batch.column(5)
+            tables = np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for a, b in zip([0, *tables], [*tables, batch.num_rows], strict=True):
+                if a in tables:
+                    table, a = PerfectHash.load(data[a].as_py()), a + 1
+                if a >= b:
                     continue
-                if shards[a] != shard:
-                    shard, table = shards[a], PerfectHash.load(batch.column(6)[a].as_py())
-                key, fingerprint = (batch.column(i).to_numpy()[a:b].view(np.uint64) for i in (1, 2))
-                keep[a:b] = table.counts_of(key, fingerprint) >= min_docs
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (3, 4, 5)], ["id", "mark", "line"])
+                key, fingerprint = (batch.column(i).slice(a, b - a).to_numpy().view(np.uint64) for i in (2, 3))
+                keep = pa.array(table.counts_of(key, fingerprint) >= min_docs)
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a).filter(keep) for i in (4, 2, 3)], ["id", "key", "fingerprint"])
 
     return work
 
 
 def removed(batches: Iterator[pa.RecordBatch]):
+    """Texts with the hashes of the keys to be dropped."""
     for batch in slices(batches, "text"):
-        yield report(batch.column(0), texts(batch.column(1)), [x or [] for x in batch.column(2).to_pylist()])
+        raw, drop = texts(batch.column(1)), []
+        for text, gone in zip(raw, batch.column(2).to_pylist(), strict=True):
+            gone = {x["key"] & 2**64 - 1 | (x["fingerprint"] & 2**64 - 1) << 64 for x in gone or ()}
+            drop.append([n for n, k in enumerate(keys_of(text)) if int.from_bytes(key_hash(k), "little") in gone] if gone else [])
+        yield report(batch.column(0), raw, drop)
 
 
-def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, memtable_entries: int = 200_000, shard_keys: int = SHARD_KEYS, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, memtable_entries: int = 200_000, shard_keys: int = SHARD_KEYS, table_bytes: int = TABLE_BYTES, copy_rows: int = COPY_ROWS) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_lines, n_dropped, kept_text, kept_sha256.
 
     Lines end at \\n; a null or empty text is one empty line. A line's key is
     the line stripped of [\\x20\\x09-\\x0D] at both ends with A-Z lower-cased.
     Keys of at least `min_chars` code points that at least `min_docs` rows
     hold lose all their lines in every row; the others stay, joined by \\n.
-    Repeated rows count as documents of their own. Other columns are ignored.
+    Null and repeated doc_ids are documents of their own. Other columns are
+    ignored; an empty table gives an empty result.
 
     A key is known by 128 bits of hash. Counts are summed in each task, then
     by key. The keys that reach `min_docs` (no other can be dropped) are
     dealt into shards by their hash; each shard becomes a minimal perfect
     hash with an array of 64-bit fingerprints and one of counts. While all
     shards together have at most `table_bytes`, every task probes them in
-    memory; beyond that, line hashes go to their shard, and only those that
-    are to be dropped come back to their documents.
+    memory; beyond that, each document's distinct line hashes go to their
+    shard, stream past its table, which is there once, and those that are to
+    be dropped come back to their documents. A shard that many documents ask
+    has several copies, about one for `copy_rows` of them.
     """
     frugal(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -274,13 +293,25 @@ def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, memta
     if n * 13 <= table_bytes:
         shared = docs.sparkSession.sparkContext.broadcast([(r.shard, bytes(r.data)) for r in tables.toLocalIterator()])
         return rows.mapInArrow(lambda it: probe(shared.value, shards, min_docs, min_chars)(it), result)
-    asked = rows.mapInArrow(routed(min_chars, shards), "shard long, key long, fingerprint long, id long, mark long, line long")
-    found = asked.hint("merge").join(tables, "shard").select("shard", "key", "fingerprint", "id", "mark", "line", "data").mapInArrow(looked_up(min_docs), "id long, mark long, line long")
-    drop = found.groupBy("id", "mark").agg(F.collect_set("line").alias("drop")).select(F.col("id").alias("of"), F.col("mark").alias("marked"), "drop")
-    marked = rows.mapInArrow(with_mark, "id long, text string, mark long")
-    return marked.join(drop, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")), "left").select("id", "text", "drop").mapInArrow(removed, result)
-
-
-def with_mark(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_64_intdigest(x) - 2**63 for x in texts(batch.column(1))], pa.int64())], ["id", "text", "mark"])
+    named, new = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    rows = named.select(F.col("doc_id").alias("id"), "text")
+    # what a shard's common keys alone are asked; other keys are spread evenly
+    asked = sharded.groupBy("shard").agg(F.sum("n").alias("n")).toArrow()
+    copies = np.ones(shards, np.int64)
+    copies[asked["shard"].to_numpy()] += asked["n"].to_numpy() // copy_rows
+    many = docs.sparkSession.sparkContext.broadcast(copies)
+    of = asked_copies(tables, copies)
+    asks = rows.mapInArrow(lambda it: routed(min_chars, many.value)(it), "shard long, copy long, key long, fingerprint long, id long").withColumn("data", F.lit(None).cast("binary"))
+    both = of.select("shard", "copy", *[F.lit(None).cast("long").alias(c) for c in ("key", "fingerprint", "id")], "data").unionByName(asks)
+    found = both.repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("data").isNull()).mapInArrow(looked_up(min_docs), "id long, key long, fingerprint long")
+    drop = found.groupBy("id").agg(F.collect_list(F.struct("key", "fingerprint")).alias("drop"))
+    out = rows.join(drop, "id", "left").select("id", "text", "drop").mapInArrow(removed, result)
+    return restored(out, named, "doc_id") if new else out
+
+
+def asked_copies(tables: DataFrame, copies: np.ndarray) -> DataFrame:
+    """Each shard's table as often as `copies` says; a shard without keys isn't there."""
+    several = [(int(s), int(copies[s])) for s in np.flatnonzero(copies > 1)]
+    times = tables.sparkSession.createDataFrame(several, "of long, times long")
+    out = tables.join(times, F.col("shard") == F.col("of"), "left")
+    return out.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("times", F.lit(1).cast("long")) - 1)).alias("copy"), "data")

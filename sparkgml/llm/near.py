@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands find candidates, exact sets decide."""
+"""Pairs of texts of a given Jaccard similarity of word shingles: candidates from SimHash and from bands of minima, decided on the sets."""
 
 from __future__ import annotations
 
@@ -10,24 +10,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, mix, pin, release, slices, texts, unpin
-from .simhash import connected
+from .common import mix, pin, release, slices, texts, unpin
+from .graph import connected
+from .shingles import shingle_hashes, simhashes
 
 #: Rounds in which each bucket compares its rows with one of them, before all pairs that are left are compared.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Bands, and minima that are hashed together in each.
+BANDS, ROWS = 24, 5
 
 
-def shingle_set(text: bytes, shingle: int, seed: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; with fewer words than a shingle has, of all its words."""
-    words = text.lower().split()
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
-    line = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    stops = np.cumsum(sizes)
-    starts = (stops - sizes)[: len(words) - shingle + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], seed) for a, b in zip(starts, (stops[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64))
+def shingle_set(hashes: list[int], seed: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a text without words has one of its own kind."""
+    return np.unique(np.array(hashes or [xxhash.xxh64_intdigest(b"", seed)], np.uint64))
 
 
 def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
@@ -43,14 +38,38 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def similar(similarity: float, shingle: int, seed: int):
-    """Rows (u, v, a, b) of two texts: those of (u, v) whose sets are similar."""
+def sketches_of(docs: DataFrame, shingle: int, seed: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, word, n, keys) for each row of `docs` (doc_id, text): SimHash, size of the set of shingles, key of each band."""
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in slices(batches, "text", 1 << 19):
+            hashes = [shingle_hashes(t, shingle, seed) for t in texts(batch.column(1))]
+            sets = [shingle_set(h, seed) for h in hashes]
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(band_keys(sets, bands, rows).view(np.int64).ravel()))
+            yield pa.record_batch([batch.column(0), pa.array(simhashes(hashes).view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), keys], ["id", "word", "n", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, "id long, word long, n long, keys array<long>")
+
+
+def sets_of(shingle: int, seed: int):
+    """Texts become their sets, as bytes."""
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in slices(batches, "text", 1 << 20):
+            sets = [shingle_set(shingle_hashes(t, shingle, seed), seed).tobytes() for t in texts(batch.column(1))]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["id", "members"])
+
+    return work
+
+
+def similar(similarity: float):
+    """Rows (u, v, a, b) of two sets: those of (u, v) that are similar."""
 
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             near = []
-            for a, b in zip(texts(batch.column(2)), texts(batch.column(3)), strict=True):
-                x, y = shingle_set(a, shingle, seed), shingle_set(b, shingle, seed)
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
@@ -58,46 +77,39 @@ def similar(similarity: float, shingle: int, seed: int):
     return work
 
 
-def jaccard_dedup(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5, seed: int = 42) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, component_id, kept. doc_ids must be unique and not null.
-
-    Words are as in simhash_dedup, and so are texts of fewer words than a
-    shingle has. Texts are linked when the Jaccard similarity of their sets of
-    `shingle`-word shingles is at least `similarity`; component_id is the
-    smallest doc_id that links reach, and `kept` says that the row is it.
+def similar_pairs(docs: DataFrame, sketches: DataFrame, seeds: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """(u, v) of rows of `docs` (doc_id, text), ids unique, whose components are those of all pairs that bands or `seeds` (u, v) have and that are similar.
 
     A pair of similarity s is a candidate unless all bands differ, with
-    probability (1 - s ** rows) ** bands: 7e-5 at 0.8. Every candidate is
-    decided on its sets. In a bucket (texts with equal key of a band) each
-    text is compared with one of them first, a different one in each round;
-    pairs that are by then in one component need no comparison, and all others
-    get it, so large groups of copies don't cost the square of their size.
+    probability (1 - s ** ROWS) ** BANDS: 7e-5 at 0.8. Every candidate is
+    decided on its sets. `seeds` come first. Then, in a bucket (texts with
+    equal key of a band) each text is compared with one of them, a different
+    one in each round; pairs that are by then in one component need no
+    comparison, and all others get it, so large groups of copies don't cost
+    the square of their size. Only texts that share a bucket or a seed are
+    fetched, once, as sets.
     """
-    frugal(docs)
     spark = docs.sparkSession
-    full = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-
-    def sketched(batches: Iterator[pa.RecordBatch]):
-        for batch in slices(batches, "text", 1 << 20):
-            sets = [shingle_set(t, shingle, seed) for t in texts(batch.column(1))]
-            keys = band_keys(sets, bands, rows).view(np.int64)
-            n = np.array([len(x) for x in sets], np.int64)
-            yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(np.repeat(n, bands))], ["key", "id", "n"])
-
-    keys = pin(full.mapInArrow(sketched, "key long, id long, n long"))
+    keys = sketches.select("id", "n", F.explode("keys").alias("key"))
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    buckets = pin(keys.join(several, "key").withColumn("label", F.col("id")))
-    unpin(keys)
+    buckets = pin(keys.join(several, "key").select("key", "id", "n", F.col("id").alias("label")))
+    some = pin(buckets.select("id").unionByName(seeds.select(F.col("u").alias("id"))).unionByName(seeds.select(F.col("v").alias("id"))).distinct())
+    members = pin(docs.select(F.col("doc_id").alias("id"), "text").join(some, "id", "left_semi").mapInArrow(sets_of(shingle, seed), "id long, members binary"))
+    release(spark)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pin(pairs.where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9).select("u", "v").distinct())
-        a = full.select(F.col("id").alias("u"), F.col("text").alias("a"))
-        b = full.select(F.col("id").alias("v"), F.col("text").alias("b"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(similar(similarity, shingle, seed), "u long, v long")
+    def decided(pairs: DataFrame) -> DataFrame:
+        pairs = pin(pairs.select("u", "v").distinct())
+        a = members.select(F.col("id").alias("u"), F.col("members").alias("a"))
+        b = members.select(F.col("id").alias("v"), F.col("members").alias("b"))
+        return pin(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(similar(similarity), "u long, v long"))
 
-    edges = spark.createDataFrame([], "u long, v long")
-    star = edges
+    edges = decided(seeds)
     for turn in range(STAR_ROUNDS + 1):
+        star = connected(edges)
+        names = star.select(F.col("v").alias("id"), F.col("u").alias("root"))
+        old = buckets
+        buckets = pin(old.drop("label").join(names, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("label")))
+        unpin(old)
         mixed = buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "label")).alias("one")).where("lo <> hi")
         left = buckets.join(mixed.select("key", "one"), "key")
         if turn < STAR_ROUNDS:
@@ -106,15 +118,6 @@ def jaccard_dedup(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8,
             left = left.select("key", "id", "n", "label")
             other = left.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("label").alias("l"))
             pairs = left.join(other, "key").where("id < v and label <> l").select(F.col("id").alias("u"), "v", "m", "n")
-        new = pin(linked(pairs))
-        if new.isEmpty():
-            continue
-        edges = pin(edges.unionByName(new))
-        star = connected(edges)
-        names = star.select(F.col("v").alias("id"), F.col("u").alias("root"))
-        old = buckets
-        buckets = pin(old.drop("label").join(names, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("label")))
-        unpin(old)
-    release(spark)
-    out = full.select(F.col("id").alias("doc_id")).join(star.select(F.col("v").alias("doc_id"), F.col("u").alias("root")), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("root", "doc_id").alias("component_id"), F.col("root").isNull().alias("kept"))
+        new = decided(pairs.where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9))
+        edges = pin(star.select("u", "v").unionByName(new))
+    return edges

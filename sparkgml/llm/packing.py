@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, pin, slices, texts
-from .tokens import encoding
+from .common import frugal, numbered, pin, restored, slices, texts
+from .tokens import encode, encoding
 
 
 def optimal_bounds(upper: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
@@ -61,18 +60,17 @@ def optimal_bounds(upper: np.ndarray, count: np.ndarray, total: np.ndarray, buck
 
 
 def token_lengths(docs: DataFrame, path: str) -> DataFrame:
-    """(id, n_tokens, mark) for each row of `docs`; mark is a hash of the text."""
+    """(id, n_tokens) for each row of `docs` (doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]):
         enc = encoding(path)
         for batch in slices(batches, "text"):
-            raw = texts(batch.column(1))
-            n = [len(enc.encode_ordinary(x.decode("utf-8", "replace"))) for x in raw]
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array([xxhash.xxh3_64_intdigest(x) - 2**63 for x in raw], pa.int64())], ["id", "n_tokens", "mark"])
+            n = [len(encode(enc, x.decode("utf-8", "replace"))) for x in texts(batch.column(1))]
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], ["id", "n_tokens"])
 
     frugal(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "id long, n_tokens long, mark long")
+    return rows.mapInArrow(work, "id long, n_tokens long")
 
 
 def pack(docs: DataFrame, path: str, *, buckets: int = 16, token_budget: int = 65_536, shard_rows: int = 50_000) -> DataFrame:
@@ -87,9 +85,12 @@ def pack(docs: DataFrame, path: str, *, buckets: int = 16, token_budget: int = 6
     batch by itself and stays whole. A bucket's rows are dealt by hash into
     shards of about `shard_rows` rows, whatever share of the table the bucket
     has, and batches form inside a shard in order of doc_id (null first).
-    Null and empty texts have length 0 and are packed too.
+    Null and repeated doc_ids and repeated rows are rows of their own. Null
+    and empty texts have length 0 and are packed too. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    lengths = pin(token_lengths(docs, path))
+    named, new = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    lengths = pin(token_lengths(named, path))
     hist = lengths.groupBy(F.col("n_tokens").alias("upper")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
     table = hist.toArrow().sort_by("upper")
     upper, count, total = (table[c].to_numpy() for c in ("upper", "n", "total"))
@@ -102,8 +103,9 @@ def pack(docs: DataFrame, path: str, *, buckets: int = 16, token_budget: int = 6
 
     bucket = F.size(F.filter(F.array(*[F.lit(int(b)).cast("long") for b in bounds]), lambda b: b < F.col("n_tokens"))) if bounds else F.lit(0)
     rows = lengths.withColumn("bucket", bucket.cast("int")).withColumn("bucket_tokens", chosen(bounds))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "mark"), chosen([-(-int(n) // shard_rows) or 1 for n in sizes])))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), chosen([-(-int(n) // shard_rows) or 1 for n in sizes])))
     rows = rows.withColumn("fits", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(token_budget) / F.greatest("bucket_tokens", F.lit(1).cast("long")))))
-    place = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "mark")) - 1
+    place = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id")) - 1
     rows = rows.withColumn("place", place.cast("long"))
-    return rows.select(F.col("id").alias("doc_id"), "n_tokens", "bucket", "bucket_tokens", "shard", F.floor(F.col("place") / F.col("fits")).alias("batch"), (F.col("place") % F.col("fits")).alias("position"))
+    out = rows.select(F.col("id").alias("doc_id"), "n_tokens", "bucket", "bucket_tokens", "shard", F.floor(F.col("place") / F.col("fits")).alias("batch"), (F.col("place") % F.col("fits")).alias("position"))
+    return restored(out, named, "doc_id") if new else out

@@ -6,44 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, mix, pin, release, slices, texts, unpin
+from .common import frugal, numbered, pin, release, restored, slices, texts
+from .graph import connected
+from .near import similar_pairs, sketches_of
+from .shingles import shingle_hashes, simhashes
 
-#: Children of a node; queries that go down the index together; rows taken from the sorted stream at once.
-FAN, BLOCK, STREAM_ROWS = 16, 128, 1 << 17
-#: Blocks of the fingerprint, one of which two fingerprints with fewer differing bits than blocks share.
-BLOCK_BITS = 16
+#: Children of a node; queries that go down the index together; rows under one index, but for a larger group.
+FAN, BLOCK, INDEX_ROWS = 16, 256, 1 << 17
+#: The top of the index: 4 blocks of a fingerprint, one of which two fingerprints with 3 differing bits share; and 4 parts of what a block leaves.
+BLOCKS, BLOCK_BITS, PART_BITS = 4, 16, 12
+REST_BITS = 64 - BLOCK_BITS
+#: Groups under a block and a part are numbered from here on.
+PARTED = 1 << 40
 
 
 def fingerprint_batch(raw: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
     """SimHash of each text over its word shingles, repeats included; no words: zero."""
-    hashes: list[int] = []
-    ends = []
-    digest = xxhash.xxh64_intdigest
-    for text in raw:
-        words = text.lower().split()
-        if len(words) <= shingle:
-            if words:
-                hashes.append(digest(b" ".join(words), seed))
-        else:
-            line = b" ".join(words)
-            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            stops = np.cumsum(sizes)
-            starts = (stops - sizes)[: len(words) - shingle + 1].tolist()
-            hashes += [digest(line[a:b], seed) for a, b in zip(starts, (stops[shingle - 1 :] - 1).tolist(), strict=True)]
-        ends.append(len(hashes))
-    out = np.zeros(len(raw), np.uint64)
-    stops = np.array(ends, np.int64)
-    starts = np.concatenate([[0], stops[:-1]])
-    some = np.flatnonzero(stops > starts)
-    if len(some):
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-        ones = np.add.reduceat(bits, starts[some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > (stops - starts)[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    return simhashes([shingle_hashes(t, shingle, seed) for t in raw])
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -59,13 +41,15 @@ class GrayIndex:
 
     A node holds the bits that all fingerprints below it share and its parent
     doesn't hold already; the differences met on the way down add up, and a
-    whole group is left out once they exceed the radius, or when the group is
-    known to be in the query's component.
+    whole group is left out once they exceed the radius, or touch one of the
+    `held` leading bits, in which no difference is allowed, or when the group
+    is known to be in the query's component.
     """
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, held: int = 0):
         self.order = np.argsort(gray_rank(words), kind="stable")
         self.words = words[self.order]
+        self.fixed = np.uint64((2**64 - 1) ^ (2 ** (64 - held) - 1))
         low, high = self.words, self.words
         levels = []
         while len(low) > 1 or not levels:
@@ -101,13 +85,15 @@ class GrayIndex:
             only.append(np.where(lo == hi, lo, -1))
         q, node, far = ask, np.zeros(len(ask), np.int64), np.zeros(len(ask), np.uint8)
         for depth, (mask, value) in enumerate(self.levels):
-            far = far + np.bitwise_count((self.words[q] ^ value[node]) & mask[node])
-            keep = (far <= radius) & (only[-1 - depth][node] != label[q])
+            differing = (self.words[q] ^ value[node]) & mask[node]
+            far = far + np.bitwise_count(differing)
+            keep = (far <= radius) & (differing & self.fixed == 0) & (only[-1 - depth][node] != label[q])
             q, far = np.repeat(q[keep], FAN), np.repeat(far[keep], FAN)
             node = (node[keep][:, None] * FAN + np.arange(FAN)).ravel()
             inside = node < (len(self.levels[depth + 1][0]) if depth + 1 < len(self.levels) else len(self.words))
             q, node, far = q[inside], node[inside], far[inside]
-        keep = (np.bitwise_count(self.words[q] ^ self.words[node]) <= radius) & (label[q] != label[node])
+        differing = self.words[q] ^ self.words[node]
+        keep = (np.bitwise_count(differing) <= radius) & (differing & self.fixed == 0) & (label[q] != label[node])
         return q[keep], node[keep]
 
 
@@ -134,104 +120,99 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return to[label]
 
 
-def near_pairs(group: np.ndarray, words: np.ndarray, radius: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves: rows sorted by group, all of at most `largest` rows; each row against the following of its group."""
-    a, b = [], []
-    for s in range(1, largest):
-        i = np.flatnonzero(group[s:] == group[:-s])
-        if not len(i):
-            break
-        i = i[np.bitwise_count(words[i] ^ words[i + s]) <= radius]
-        a.append(i)
-        b.append(i + s)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
-
-
-def stars(group: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by group: a word of each component, and each of its other words."""
-    cuts = np.flatnonzero(np.diff(group)) + 1
-    starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(group)]])
-    large = stops - starts > FAN
-    small = np.repeat(~large, stops - starts)
-    at = np.flatnonzero(small)
-    i, j = near_pairs(group[at], words[at], radius, FAN)
-    label = np.arange(len(group))
-    label = merged(label, at[i], at[j])
-    for start, stop in zip(starts[large].tolist(), stops[large].tolist(), strict=True):
-        label[start:stop] = start + GrayIndex(words[start:stop]).components(radius)
-    other = np.flatnonzero(label != np.arange(len(group)))
-    return words[label[other]], words[other]
+def turned(x: np.ndarray, by: int, width: int) -> np.ndarray:
+    """The lower `width` bits rotated to the left; the others stay."""
+    if not by % width:
+        return x
+    low = x & np.uint64(2**width - 1)
+    return (x ^ low) | ((low << np.uint64(by % width) | low >> np.uint64(width - by % width)) & np.uint64(2**width - 1))
 
 
-def linked(radius: int):
-    def edges(group, words):
-        a, b = stars(group, words, radius)
-        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
+def to_front(words: np.ndarray, block: int, part: int | None = None) -> np.ndarray:
+    """Words with the bits of a block, and of a part of the rest, moved to the top."""
+    words = turned(words, 64 - BLOCK_BITS * (block + 1), 64)
+    return words if part is None else turned(words, REST_BITS - PART_BITS * (part + 1), REST_BITS)
 
-    def work(batches: Iterator[pa.RecordBatch]):
-        groups, words, rows = [], [], 0
-        for batch in batches:
-            groups.append(batch.column(0).to_numpy())
-            words.append(batch.column(1).to_numpy().view(np.uint64))
-            rows += batch.num_rows
-            if rows >= STREAM_ROWS:
-                group, word = np.concatenate(groups), np.concatenate(words)
-                cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
-                if cut:
-                    yield edges(group[:cut], word[:cut])
-                groups, words, rows = [group[cut:]], [word[cut:]], len(group) - cut
-        if rows:
-            yield edges(np.concatenate(groups), np.concatenate(words))
 
-    return work
+def from_front(words: np.ndarray, block: int, part: int | None = None) -> np.ndarray:
+    """The words that to_front() had."""
+    words = words if part is None else turned(words, PART_BITS * (part + 1), REST_BITS)
+    return turned(words, BLOCK_BITS * (block + 1), 64)
+
 
+def order_of(group: np.ndarray) -> np.ndarray:
+    """Which bits a group's words have in front: the block, or 4 + 4 * block + part."""
+    return np.where(group < PARTED, group >> BLOCK_BITS, 4 + (group - PARTED >> BLOCK_BITS + PART_BITS))
 
-def dealt(parts: np.ndarray, blocks: int):
-    """Rows (group, word) for each block of a word; a group of several parts becomes one for each pair of parts."""
+
+def dealt(large: np.ndarray):
+    """Rows (group, word) of a word under each of its blocks; under those that are large, of each part of the rest."""
 
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             words = batch.column(0).to_numpy().view(np.uint64)
-            for t in range(blocks):
-                key = block_key(words, t)
-                n = parts[key]
-                group, word = [key[n == 1] << 20], [words[n == 1]]
-                for i in np.flatnonzero(n > 1).tolist():
-                    own, every = int(mix(words[i : i + 1])[0] % np.uint64(n[i])), np.arange(n[i], dtype=np.int64)
-                    lo, hi = np.minimum(own, every), np.maximum(own, every)
-                    group.append((key[i] << 20) + lo * n[i] + hi)
-                    word.append(np.full(n[i], words[i]))
-                yield pa.record_batch([pa.array(np.concatenate(group)), pa.array(np.concatenate(word).view(np.int64))], ["group", "word"])
+            groups, fronts = [], []
+            for block in range(BLOCKS):
+                front = to_front(words, block)
+                value = (front >> np.uint64(REST_BITS)).astype(np.int64)
+                key = value + (block << BLOCK_BITS)
+                small = ~large[key]
+                groups.append(key[small])
+                fronts.append(front[small])
+                for part in range(BLOCKS) if not small.all() else ():
+                    front = to_front(words[~small], block, part)
+                    groups.append((front >> np.uint64(REST_BITS - PART_BITS)).astype(np.int64) + PARTED + ((block << 2 | part) << BLOCK_BITS + PART_BITS))
+                    fronts.append(front)
+            yield pa.record_batch([pa.array(np.concatenate(groups)), pa.array(np.concatenate(fronts).view(np.int64))], ["group", "word"])
 
     return work
 
 
-def block_key(words: np.ndarray, t: int) -> np.ndarray:
-    return (words >> np.uint64(BLOCK_BITS * t) & np.uint64(2**BLOCK_BITS - 1)).astype(np.int64) + (t << BLOCK_BITS)
+def linked(radius: int):
+    """Over rows sorted by group: stars of the components that the index finds, a word of each and each of its others."""
+
+    def edges(group: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        orders = order_of(group)
+        for k in np.unique(orders).tolist():  # words with the same bits in front are comparable
+            mine = words[orders == k]
+            block, part = (k, None) if k < BLOCKS else divmod(k - BLOCKS, BLOCKS)
+            least = GrayIndex(mine, BLOCK_BITS + (0 if part is None else PART_BITS)).components(radius)
+            other = np.flatnonzero(least != np.arange(len(mine)))
+            if len(other):
+                u, v = (from_front(mine[x], block, part).view(np.int64) for x in (least[other], other))
+                yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
 
+    def work(batches: Iterator[pa.RecordBatch]):
+        groups, words, rows, enough = [], [], 0, INDEX_ROWS
+        for batch in batches:
+            groups.append(batch.column(0).to_numpy())
+            words.append(batch.column(1).to_numpy().view(np.uint64))
+            rows += batch.num_rows
+            if rows >= enough:
+                group, word = np.concatenate(groups), np.concatenate(words)
+                cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                if cut:
+                    yield from edges(group[:cut], word[:cut])
+                groups, words, rows = [group[cut:]], [word[cut:]], len(group) - cut
+                enough = max(INDEX_ROWS, 2 * rows)
+        if rows:
+            yield from edges(np.concatenate(groups), np.concatenate(words))
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(u, v): for each node v but the least of its component, that least node u. Large and small stars in turn."""
+    return work
 
-    def seen(df: DataFrame):
-        r = df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        return r[0], r[1]
 
-    e = pin(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
-    was = seen(e)
-    while was[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), "v"), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        new = pin(small)
-        unpin(e)
-        e, now = new, seen(new)
-        if now == was:
-            break
-        was = now
-    return e
+def fingerprint_links(words: DataFrame, radius: int, part_rows: int) -> DataFrame:
+    """(u, v) of distinct fingerprints (word): stars whose components are those of all links."""
+    if radius >= BLOCKS:
+        raise ValueError("radius must be below the number of blocks")
+    # Rows of each block value: there are 4 * 65536 values at most, whatever the input.
+    key = F.explode(F.array(*[F.shiftrightunsigned("word", BLOCK_BITS * t).bitwiseAND(2**BLOCK_BITS - 1) + (t << BLOCK_BITS) for t in range(BLOCKS)]))
+    sizes = words.select(key.alias("key")).groupBy("key").count().where(F.col("count") > part_rows).toArrow()
+    large = np.zeros(BLOCKS << BLOCK_BITS, bool)
+    large[sizes["key"].to_numpy().astype(np.int64)] = True
+    shared = words.sparkSession.sparkContext.broadcast(large)
+    groups = words.select("word").mapInArrow(lambda it: dealt(shared.value)(it), "group long, word long")
+    return groups.repartition(F.col("group")).sortWithinPartitions("group").mapInArrow(linked(radius), "u long, v long")
 
 
 def simhash_fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -247,7 +228,7 @@ def simhash_fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42) -
     return rows.mapInArrow(work, "id long, word long")
 
 
-def simhash_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 3, seed: int = 42, part_rows: int = 1 << 18) -> DataFrame:
+def simhash_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 3, similarity: float | None = None, seed: int = 42, part_rows: int = 1 << 18) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, fingerprint, component_id, kept.
 
     Texts have A-Z lower-cased; words are [^\\x20\\x09-\\x0D]+; shingles of
@@ -256,33 +237,43 @@ def simhash_dedup(docs: DataFrame, *, shingle: int = 3, radius: int = 3, seed: i
     is set in over half the hashes; without words the fingerprint is zero.
     Fingerprints with at most `radius` differing bits are linked;
     component_id is the smallest doc_id that links reach, and `kept` says
-    that the row is it. Rows with a null doc_id name a component only where
-    no other row does. Repeated rows share their result.
+    that the row is it: one row of each component. Null and repeated doc_ids
+    are rows of their own; a null doc_id counts as the greatest, so it names a
+    component only where no other row does. Null and empty texts are linked
+    to each other. Other columns are ignored, an empty table gives no row.
 
     Equal fingerprints become one node. Two nodes with at most 3 differing
-    bits share one of 4 blocks of 16 bits, so each block is an upper node of
-    the index; below it, fingerprints in Gray order hang under a tree of
-    shared bits. Within a block only a star for each component is sent on. A
-    block of over `part_rows` nodes is cut into parts, each pair of which is
-    searched by a task of its own. Components join by large and small stars.
+    bits share one of 4 blocks of 16 bits, so blocks are the top of the
+    index, and what is dealt out; a task hangs all fingerprints of its blocks
+    in Gray order under a tree of shared bits and goes down that tree with
+    the sum of differences. A block of over `part_rows` nodes is dealt by the
+    4 parts of its other bits as well, one of which such nodes share too.
+    Only a star for each component is sent on; components join by large and
+    small stars.
+
+    With `similarity`, links are pairs whose sets of shingles have that
+    Jaccard similarity, decided on the sets. Pairs that the index finds are
+    looked at first; as SimHash at this radius misses most pairs of 0.8, what
+    is left comes from bands of minima of the sets, see similar_pairs().
     """
-    if radius >= 64 // BLOCK_BITS:
-        raise ValueError("radius must be below the number of blocks")
-    blocks = 64 // BLOCK_BITS
-    words = pin(simhash_fingerprints(docs, shingle=shingle, seed=seed))
+    spark = docs.sparkSession
+    frugal(docs)
+    named, new = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")), nulls_first=False)
+    if similarity is None:
+        words = pin(simhash_fingerprints(named, shingle=shingle, seed=seed))
+    else:
+        sketches = pin(sketches_of(named, shingle, seed))
+        words = sketches.select("id", "word")
     nodes = pin(words.groupBy("word").agg(F.min("id").alias("first")))
-    # Rows of each block value: there are 4 * 65536 values at most, whatever the input.
-    key = F.explode(F.array(*[F.shiftrightunsigned("word", BLOCK_BITS * t).bitwiseAND(2**BLOCK_BITS - 1) + (t << BLOCK_BITS) for t in range(blocks)]))
-    sizes = nodes.select(key.alias("key")).groupBy("key").count().where(F.col("count") > part_rows).toArrow()
-    parts = np.ones(blocks << BLOCK_BITS, np.int64)
-    parts[sizes["key"].to_numpy().astype(np.int64)] = -(-2 * sizes["count"].to_numpy() // part_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
-    groups = nodes.select("word").mapInArrow(lambda it: dealt(shared.value, blocks)(it), "group long, word long")
-    edges = groups.repartition(F.col("group")).sortWithinPartitions("group").mapInArrow(linked(radius), "u long, v long")
-    star = connected(edges).select(F.col("u").alias("root"), F.col("v").alias("word"))
+    star = connected(fingerprint_links(nodes, radius, part_rows)).select(F.col("u").alias("root"), F.col("v").alias("word"))
     firsts = nodes.join(star, "word", "left").select("word", "first", F.coalesce("root", "word").alias("root"))
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = pin(firsts.join(least, "root").select("word", "component_id"))
-    release(docs.sparkSession)
-    out = words.join(named, "word").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("word")), 16, "0").alias("fingerprint"), "component_id")
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of = pin(words.join(firsts.join(least, "root").select("word", "component_id"), "word").select("id", "word", "component_id"))
+    release(spark)
+    if similarity is not None:
+        seeds = of.where("id <> component_id").select(F.col("component_id").alias("u"), F.col("id").alias("v"))
+        star = connected(similar_pairs(named, sketches, seeds, similarity, shingle, seed))
+        names = star.select(F.col("v").alias("id"), F.col("u").alias("least"))
+        of = of.drop("component_id").join(names, "id", "left").select("id", "word", F.coalesce("least", "id").alias("component_id"))
+    out = of.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("word")), 16, "0").alias("fingerprint"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return restored(out, named, "doc_id", "component_id") if new else out

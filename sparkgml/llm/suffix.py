@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import frugal, joined, mix, pin, release, slices, texts, trim
+from .common import frugal, joined, mix, numbered, pin, release, restored, slices, texts, trim
 
 BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
 #: A random 64-bit word for each byte value, from the finaliser that everything else uses.
 WORDS = mix(np.arange(256, dtype=np.uint64), 7)
-#: Stands for a null doc_id, so that it sorts before all others.
-NULL_ID = -(2**63)
 #: Anchors that a task gathers before it sends them; anchors and suffixes of a shard.
 HELD, SHARD_ANCHORS, SHARD_SUFFIXES = 300_000, 1_000_000, 40_000
+#: Bytes of the input for each shuffle partition at most.
+TASK_BYTES = 128 << 20
 #: Surroundings of one gram that a task compares; those of a gram with more become rows of their own strings.
 GRAM_CONTEXTS = 50_000
 
@@ -259,8 +259,6 @@ def fetched(shape: Shape, shards: int):
                 data = np.frombuffer((text or "").encode("utf-8"), np.uint8)
                 at = np.frombuffer(b"".join(asks), np.uint32).astype(np.int64)
                 h = np.frombuffer(b"".join(grams), np.uint64)
-                fits = at + shape.gram <= len(data)  # rows that share a doc_id may differ
-                at, h = at[fits], h[fits]
                 start, end = contexts(np.zeros_like(at), np.full_like(at, len(data)), at, shape)
                 padded = np.concatenate([np.zeros(shape.left, np.uint8), data, np.zeros(shape.length, np.uint8)])
                 body = padded[at[:, None] + np.arange(width)]
@@ -360,10 +358,6 @@ def repeated(rec: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.
     common[runs_of(group)] = -1
     rank = np.empty(len(rec), np.int64)
     rank[np.lexsort((rec["off"], rec["id"]))] = np.arange(len(rec))
-    twin = np.lexsort((rec["off"], rec["id"], group))
-    same = ~runs_of(group[twin], rec["id"][twin], rec["off"][twin])
-    for a in np.flatnonzero(same).tolist():  # repeated rows: one occurrence
-        rank[twin[a]] = rank[twin[a - 1]]
     before = np.zeros(len(rec), np.uint64)
     low, high = np.full(len(rec), -1), np.full(len(rec), -1)
     low_of, high_of = np.zeros(len(rec), np.int64), np.zeros(len(rec), np.int64)
@@ -483,8 +477,7 @@ def applied(shape: Shape):
                     ends = [0, *(x for ab in cut for x in ab), len(text)]
                     text = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                 kept.append(text)
-            ids = batch.column(0).to_numpy()
-            yield pa.record_batch([pa.array(ids, mask=ids == NULL_ID), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()), batch.column(4)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "row"])
+            yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()), batch.column(4)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "row"])
 
     return work
 
@@ -495,11 +488,11 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False, gra
     Every byte is removed that is covered by a string of `length` bytes which
     also starts earlier: in a document with a smaller doc_id, or in the same
     at an earlier byte. Strings lie within one text and are judged on the
-    input. Null counts as empty; a null doc_id sorts first. Rows that share a
-    doc_id count as one document: equal strings at equal places are one
-    occurrence, and all of them lose what is found for the doc_id. Other
-    columns are ignored; with `carry` a struct column `row` has all columns
-    of the input but text.
+    input. Null counts as empty. Null and repeated doc_ids are documents of
+    their own: null comes first, and of equal doc_ids an order by a hash of
+    the text decides which is earlier. Other columns are ignored; with `carry`
+    a struct column `row` has all columns of the input but text. An empty
+    table gives an empty result.
 
     A gram that is the least by hash in some string is an anchor; equal
     strings have equal anchors, so only anchors (one in about `length` / 3
@@ -519,19 +512,23 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False, gra
     frugal(docs)
     spark, shape = docs.sparkSession, Shape(length)
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"]) if carry else F.lit(None).cast("struct<doc_id:bigint>")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"), row.alias("row"))
+    named, new = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text"), row.alias("row")))
+    rows = named.select(F.col("doc_id").alias("id"), "text", "row")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many shuffle partitions as the session says, or more of them where they would grow with the table
+    many = [-(-total // TASK_BYTES)] if total > tasks * TASK_BYTES else []
+    tasks = max([tasks, *many])
     shards = max(tasks, total // (SHARD_ANCHORS * shape.places // 2) + 1)
     found = rows.select("id", "text").where(F.octet_length("text") >= length).mapInArrow(gathered(shape, shards), "shard long, found binary, again binary")
-    marks = pin(found.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(compared(gram_contexts), "id long, again binary, ask binary, gram binary, hot binary"))
+    marks = pin(found.repartition(*many, F.col("shard")).sortWithinPartitions("shard").mapInArrow(compared(gram_contexts), "id long, again binary, ask binary, gram binary, hot binary"))
     release(spark)
     asked = marks.where("ask is not null")
     n = asked.agg(F.sum(F.octet_length("ask"))).first()[0] or 0
     shards = max(tasks, n // 4 // SHARD_SUFFIXES + 1)
     asked = asked.groupBy("id").agg(F.collect_list("ask").alias("asks"), F.collect_list("gram").alias("grams"))
     suffixes = rows.join(asked, "id").select("id", "text", "asks", "grams").mapInArrow(fetched(shape, shards), "shard long, data binary")
-    spans = pin(suffixes.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(resolved(shape, SHARD_SUFFIXES), "id long, spans binary"))
+    spans = pin(suffixes.repartition(*many, F.col("shard")).sortWithinPartitions("shard").mapInArrow(resolved(shape, SHARD_SUFFIXES), "id long, spans binary"))
     release(spark)
     hot = marks.where("hot is not null").select("id", "hot")
     if not hot.isEmpty():
@@ -540,4 +537,5 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False, gra
     cut = cut.groupBy("id").agg(F.collect_list("again").alias("again"), F.collect_list("spans").alias("spans"))
     out = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary").add("row", rows.schema["row"].dataType)
     done = rows.join(cut, "id", "left").select("id", "text", "again", "spans", "row").mapInArrow(applied(shape), out)
+    done = restored(done, named, "doc_id") if new else done
     return done if carry else done.drop("row")

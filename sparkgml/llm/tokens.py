@@ -18,6 +18,8 @@ from .common import frugal, slices, texts
 #: Fixed value: how the rank files' tokenizers split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("first", "last", "most")
+#: White space of which the pattern makes one piece, in runs that would be too long for the pattern's matcher.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @cache
@@ -28,6 +30,17 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """The tokens of a text; long runs of white space, all but a last character before other text, are pieces cut here."""
+    out, at = [], 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
 @cache
 def token_sizes(path: str) -> np.ndarray:
     """Bytes of each token."""
@@ -43,7 +56,7 @@ def token_sizes(path: str) -> np.ndarray:
 
 def token_ends(text: bytes, path: str) -> np.ndarray:
     """The byte at which each token of the whole text ends."""
-    return np.cumsum(token_sizes(path)[encoding(path).encode_ordinary(text.decode("utf-8", "replace"))])
+    return np.cumsum(token_sizes(path)[encode(encoding(path), text.decode("utf-8", "replace"))])
 
 
 def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:

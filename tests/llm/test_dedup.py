@@ -12,7 +12,9 @@ from sparkgml.llm import suffix
 from sparkgml.llm.common import mix
 from sparkgml.llm.exact import exact_dedup
 from sparkgml.llm.lines import PerfectHash, line_dedup
-from sparkgml.llm.simhash import GrayIndex, fingerprint_batch, gray_rank, simhash_dedup
+from sparkgml.llm.exact import RunFilter, halves
+from sparkgml.llm import simhash
+from sparkgml.llm.simhash import GrayIndex, fingerprint_batch, from_front, gray_rank, simhash_dedup, to_front
 from sparkgml.llm.suffix import suffix_dedup
 
 SCHEMA = "doc_id long, text string, kept string, keep_id string, fingerprint int, id int, group int"
@@ -40,8 +42,8 @@ def brute_exact(docs):
         groups.setdefault((t or "").encode().translate(None, b" \t\n\x0b\x0c\r"), []).append((-len(t or ""), i is not None, i or 0, i))
     out = []
     for key, g in groups.items():
-        best = min(g)
-        out += [(x[3], best[3], len(g), x == best, hashlib.sha256(key).hexdigest()) for x in g]
+        first, *others = sorted(g)
+        out += [(x[3], first[3], len(g), x is first, hashlib.sha256(key).hexdigest()) for x in (first, *others)]
     return ordered(out)
 
 
@@ -49,7 +51,7 @@ def brute_exact(docs):
 def test_exact(spark, digest_bytes, entries, held):
     """A digest of one byte, or of none, makes different texts meet: bytes decide."""
     docs = DOCS + [(100 + i, f"t{i % 40}") for i in range(120)]
-    df = exact_dedup(frame(spark, docs), digest_bytes=digest_bytes, memtable_entries=entries, memtable_bytes=held)
+    df = exact_dedup(frame(spark, docs), digest_bytes=digest_bytes, memtable_entries=entries, memtable_bytes=held, run_hits=held)
     assert rows(df, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact(docs)
 
 
@@ -76,6 +78,13 @@ def test_lines(spark, table_bytes, shard_keys):
     assert rows(df, "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute_lines(docs, 10)
 
 
+def test_lines_copies(spark):
+    """A shard that all documents ask has several copies of its table."""
+    docs = [(i % 40, f"hot\n{i % 7}\nown {i}\nhot") for i in range(90)] + [(None, "hot"), (None, "own")]
+    df = line_dedup(frame(spark, docs), table_bytes=0, shard_keys=3, copy_rows=10)
+    assert rows(df, "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute_lines(docs, 10)
+
+
 def test_lines_min_chars(spark):
     docs = [(i, "é\néé") for i in range(12)]
     assert rows(line_dedup(frame(spark, docs), min_chars=2), "n_dropped") == [(1,)] * 12
@@ -93,6 +102,15 @@ def test_perfect_hash():
         assert not table.counts_of(mix(keys, 9), mix(keys, 6)).any()
 
 
+def test_perfect_hash_with_equal_keys():
+    """Keys whose first 64 bits are equal are told apart by their fingerprints."""
+    keys = np.array([5, 9, 5, 7, 5, 2**63], np.uint64)
+    prints, counts = np.array([1, 2, 3, 4, 5, 6], np.uint64), np.array([10, 20, 30, 40, 50, 60], np.uint32)
+    table = PerfectHash.load(PerfectHash(keys, prints, counts).dump())
+    assert table.counts_of(keys, prints).tolist() == counts.tolist() and len(table.over) == 3
+    assert table.counts_of(keys, prints + np.uint64(100)).tolist() == [0] * 6
+
+
 def brute_components(words, radius):
     label = np.arange(len(words))
     for i in range(len(words)):
@@ -115,6 +133,47 @@ def test_gray_index(n):
     assert (GrayIndex(words).components(3) == brute_components(words, 3)).all()
 
 
+def test_words_turned():
+    words = np.random.default_rng(1).integers(0, 2**63, 50, dtype=np.uint64) * np.uint64(2)
+    for block in range(4):
+        front = to_front(words, block)
+        assert (front >> np.uint64(48) == words >> np.uint64(16 * block) & np.uint64(0xFFFF)).all() and (from_front(front, block) == words).all()
+        for part in range(4):
+            front = to_front(words, block, part)
+            assert (from_front(front, block, part) == words).all()
+            assert (front >> np.uint64(36) & np.uint64(0xFFF) == to_front(words, block) >> np.uint64(12 * part) & np.uint64(0xFFF)).all()
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_index_finds_the_links(monkeypatch, large):
+    """Rows dealt by block, or by block and part, reach the index whatever the size of their groups; components are those of all links."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**63, 40, dtype=np.uint64)[rng.integers(0, 40, 900)]
+    for _ in range(3):
+        words = words ^ np.where(rng.random(900) < 0.5, np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64), np.uint64(0))
+    words = np.unique(words)
+    asked, search = [], GrayIndex.search
+    monkeypatch.setattr(GrayIndex, "search", lambda self, ask, *a: asked.append(len(ask)) or search(self, ask, *a))
+    batch = simhash.pa.record_batch([simhash.pa.array(words.view(np.int64))], ["word"])
+    (dealt,) = simhash.dealt(np.full(1 << 18, large))(iter([batch]))
+    dealt = dealt.sort_by("group")
+    label = {w: i for i, w in enumerate(words.tolist())}
+    for out in simhash.linked(3)(iter([dealt.slice(0, 700), dealt.slice(700)])):
+        for u, v in zip(out.column(0).to_numpy().view(np.uint64).tolist(), out.column(1).to_numpy().view(np.uint64).tolist(), strict=True):
+            a, b = sorted((label[u], label[v]))
+            label = {w: a if x == b else x for w, x in label.items()}
+    assert [label[w] for w in words.tolist()] == brute_components(words, 3).tolist()
+    assert sum(asked) == dealt.num_rows == len(words) * (16 if large else 4)
+
+
+def test_run_filter():
+    rng = random.Random(4)
+    keys = [rng.randbytes(32) for _ in range(2000)]
+    f = RunFilter.of(RunFilter(keys[:1000], 12_000).words.tobytes())
+    assert f.has(*halves(keys[:1000])).all() and f.has(*halves(keys[1000:])).mean() < 0.03
+    assert RunFilter([b"", b"a"], 64).has(*halves([b"", b"a"])).all()
+
+
 def test_gray_rank():
     codes = np.array([i ^ (i >> 1) for i in range(500)], dtype=np.uint64)
     assert (gray_rank(codes) == np.arange(500)).all()
@@ -132,7 +191,7 @@ def test_simhash(spark, part_rows):
     """Also with blocks cut into parts, where each pair of parts is a task."""
     rng = random.Random(7)
     base = [" ".join(rng.choice("alpha beta gamma delta eps zeta eta É ü".split()) + str(rng.randint(0, 30)) for _ in range(rng.randint(0, 150))) for _ in range(12)]
-    docs = [(None, ""), (3, None), (4, "one"), (5, "ONE"), (6, "one two"), (7, "x" * 100_000), (7, "x" * 100_000)]
+    docs = [(None, ""), (3, None), (4, "one"), (5, "ONE"), (6, "one two"), (7, "x" * 100_000), (7, "x" * 100_000), (None, "own words here too")]
     for i in range(150):
         words = rng.choice(base).split()
         if words and rng.random() < 0.8:
@@ -145,7 +204,9 @@ def test_simhash(spark, part_rows):
     for (i, _), x in zip(docs, label, strict=True):
         least[x] = min([v for v in (least.get(x), i) if v is not None], default=None)
     expected = ordered([(i, f"{w:016x}", least[x]) for (i, _), w, x in zip(docs, words, label, strict=True)])
-    assert rows(simhash_dedup(frame(spark, docs), part_rows=part_rows), "doc_id", "fingerprint", "component_id") == expected
+    got = simhash_dedup(frame(spark, docs), part_rows=part_rows)
+    assert rows(got, "doc_id", "fingerprint", "component_id") == expected
+    assert got.where("kept").count() == len(set(label.tolist()))
 
 
 def brute_suffix(docs, length):
@@ -180,11 +241,11 @@ def test_suffix(spark, length, alphabet, n, contexts):
 
 
 def test_suffix_repeated_rows(spark):
-    """Rows that repeat a doc_id and text are one occurrence: neither loses by the other."""
+    """Rows of one doc_id, or of none, are documents of their own: copies lose their text, others nothing."""
     rng = random.Random(1)
-    text = "".join(rng.choice("abcdef ") for _ in range(500))
-    got = rows(suffix_dedup(frame(spark, [(1, text), (1, text), (2, text)])), "doc_id", "n_removed")
-    assert got == [(1, 0), (1, 0), (2, 500)]
+    text, other, third = ("".join(rng.choice("abcdef ") for _ in range(500)) for _ in range(3))
+    got = rows(suffix_dedup(frame(spark, [(1, text), (1, text), (2, text), (2, other), (None, third), (None, third), (None, "")])), "doc_id", "n_bytes", "n_removed")
+    assert got == [(None, 0, 0), (None, 500, 0), (None, 500, 500), (1, 500, 0), (1, 500, 500), (2, 500, 0), (2, 500, 500)]
 
 
 def test_suffix_collisions(monkeypatch):
@@ -239,7 +300,7 @@ def test_empty_table(spark, operator):
 
 def test_everything_null(spark):
     df = frame(spark, [(None, None)] * 3)
-    assert rows(exact_dedup(df), "doc_id", "keep_id", "group_size", "kept") == [(None, None, 3, True)] * 3
+    assert rows(exact_dedup(df), "doc_id", "keep_id", "group_size", "kept") == [(None, None, 3, False)] * 2 + [(None, None, 3, True)]
     assert rows(simhash_dedup(df), "fingerprint", "component_id") == [("0" * 16, None)] * 3
     assert rows(suffix_dedup(df), "doc_id", "n_bytes") == [(None, 0)] * 3
     assert line_dedup(df.withColumn("more", F.lit(1))).count() == 3

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline as P
 from sparkgml.llm.common import pin
-from sparkgml.llm.near import jaccard_dedup
+from sparkgml.llm.simhash import simhash_dedup
 
 
 def shingles(text, k=5):
@@ -40,7 +40,7 @@ def copies(seed, n):
 
 def test_against_brute_force(spark):
     docs = copies(5, 300)
-    got = {r.doc_id: (r.component_id, r.kept) for r in jaccard_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    got = {r.doc_id: (r.component_id, r.kept) for r in simhash_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), shingle=5, similarity=0.8).collect()}
     want = brute(docs)
     assert got == {i: (x, i == x) for i, x in want.items()} and len(set(want.values())) > 30
 

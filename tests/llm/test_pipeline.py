@@ -7,9 +7,9 @@ import pytest
 
 import corpus_pipeline as P
 from sparkgml.llm.common import pin
-from sparkgml.llm.simhash import fingerprint_batch
 
-from .test_dedup import brute_components, brute_exact, brute_suffix
+from .test_dedup import brute_exact, brute_suffix
+from .test_near import brute
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,9 +49,8 @@ def test_stages(spark, sf):
     kept = {x[0] for x in brute_exact(pairs(a)) if x[3]}
     assert b.columns == COLUMNS and pairs(b) == [x for x in pairs(a) if x[0] in kept]
     c = pin(stages["near_dedup"](spark, b, sf))
-    rows = pairs(b)
-    label = brute_components(fingerprint_batch([t.encode() for _, t in rows]), 3)
-    assert pairs(c) == [x for i, x in enumerate(rows) if label[i] == i]
+    label = brute(pairs(b))
+    assert pairs(c) == [x for x in pairs(b) if label[x[0]] == x[0]]
     d = pin(stages["suffix_dedup"](spark, c, sf))
     left = {x[0]: x[1] - x[2] for x in brute_suffix(pairs(c), 100)}
     assert d.columns == COLUMNS and {i: len(t.encode()) for i, t in pairs(d)} == left and any(len(t) != n for (_, t), n in zip(pairs(c), left.values(), strict=True))

@@ -15,7 +15,7 @@ from sparkgml.llm.bpe import SpeculativeBpe, bpe_round_trip
 from sparkgml.llm.language import Ranker, fit_profiles, language_id, ngrams, ranked, tally, with_language
 from sparkgml.llm.packing import optimal_bounds, pack
 from sparkgml.llm.quality import base_counts, fit_quality, quality_rules
-from sparkgml.llm.tokens import attribute, encoding, sections_of, token_counts, token_ends
+from sparkgml.llm.tokens import LONG_SPACE, attribute, encode, encoding, sections_of, token_counts, token_ends
 from sparkgml.llm.toxicity import AIMED, BARE, DENIED, MENACE, QUOTED, TARGET, ToxicityGrammar, fit_toxicity, learn_insults, outcomes, scope, toxicity
 
 SF = "/root/testdata/sf0.1"
@@ -199,6 +199,18 @@ def test_attribution(rule):
             assert n.sum() == len(encoding(RANKS).encode_ordinary(text))
 
 
+def test_long_white_space(spark):
+    """Runs that the library's matcher can take are cut as it does; longer ones are encoded too."""
+    enc, rng = encoding(RANKS), random.Random(9)
+    for _ in range(40):
+        text = "".join(rng.choice(["a", " b", "'s", "7", "\n", "".join(rng.choice(" \n\t\u3000") for _ in range(rng.randint(9_990, 10_020))), " " * rng.randint(9_999, 12_000)]) for _ in range(5))
+        assert encode(enc, text) == enc.encode_ordinary(text)
+    assert not LONG_SPACE.search("\x1c" * 20_000) and LONG_SPACE.search("x" + "\xa0\u2003" * 5_000)
+    docs = [(1, "a" + " " * 2_000_000 + "b"), (2, "\t" * 2_000_000), (3, "\n" * 2_000_000 + "x"), (4, "x")]
+    got = {r.doc_id: r.n_tokens for r in pack(frame(spark, docs), RANKS).collect()}
+    assert got[4] == 1 and got[1] > 2 and {r.doc_id: r.n_tokens for r in token_counts(frame(spark, docs[:2]), RANKS).collect()} == {i: got[i] for i in (1, 2)}
+
+
 def test_token_counts(spark):
     docs = ODD + [(9, "One two.\nThree\n"), (10, "a\n\nb")]
     got = token_counts(frame(spark, docs), RANKS).collect()
