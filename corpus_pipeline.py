@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgml.llm.common import pin, release
+from sparkgml.llm.common import numbered, pin
 from sparkgml.llm.exact import exact_dedup
 from sparkgml.llm.language import fit_profiles, with_language
-from sparkgml.llm.near import jaccard_dedup
 from sparkgml.llm.packing import pack
+from sparkgml.llm.simhash import simhash_dedup
 from sparkgml.llm.suffix import suffix_dedup
 
 
@@ -22,19 +22,6 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return with_language(docs, fit_profiles(docs))
 
 
-def numbered(docs: DataFrame, nulls_first: bool = True) -> DataFrame:
-    """`docs` with a number for each row as doc_id, in order of the doc_ids; these become the column __doc_id.
-
-    Null and repeated doc_ids are rows of their own, in order of a hash of the
-    text, which also spreads a frequent doc_id over the sort's tasks.
-    """
-    key = F.col("doc_id").cast("long")
-    rows = docs.orderBy(key.asc_nulls_first() if nulls_first else key.asc_nulls_last(), F.xxhash64("text"))
-    out = pin(rows.withColumnRenamed("doc_id", "__doc_id").withColumn("doc_id", F.monotonically_increasing_id()))
-    release(docs.sparkSession)
-    return out
-
-
 def without(rows: DataFrame, decisions: DataFrame, columns: list[str]) -> DataFrame:
     """The `columns` of the numbered `rows` less those that are decided against."""
     left = rows.join(decisions.where("not kept").select("doc_id"), "doc_id", "left_anti")
@@ -43,14 +30,14 @@ def without(rows: DataFrame, decisions: DataFrame, columns: list[str]) -> DataFr
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts."""
-    rows = numbered(docs)
+    rows, _ = numbered(docs)
     return without(rows, exact_dedup(rows), docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest doc_id of each component of near copies (0.8 of 5-word shingles); a null doc_id counts as the greatest."""
-    rows = numbered(docs, nulls_first=False)
-    return without(rows, jaccard_dedup(rows), docs.columns)
+    rows, _ = numbered(docs, nulls_first=False)
+    return without(rows, simhash_dedup(rows, shingle=5, similarity=0.8), docs.columns)
 
 
 def as_text(batches: Iterator[pa.RecordBatch]):
@@ -61,10 +48,10 @@ def as_text(batches: Iterator[pa.RecordBatch]):
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes strings of 100 bytes that start earlier; every row stays, with what is left of its text."""
-    done = suffix_dedup(numbered(docs), carry=True).select("row", "kept_bytes")
+    done = suffix_dedup(docs, carry=True).select("row", "kept_bytes")
     schema = done.select("row", F.lit("").cast("string").alias("text")).schema
     cut = done.mapInArrow(as_text, schema)
-    kept = {"doc_id": F.col("row")["__doc_id"], "text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    kept = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return cut.select(*[(kept[c] if c in kept else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
