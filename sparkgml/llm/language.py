@@ -7,10 +7,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, pin, slices
+from .common import frugal, slices
 
 #: Marks the ends of a word; no letter has this code.
 EDGE = 1
@@ -88,7 +89,8 @@ def fit_profiles(docs: DataFrame, *, top: int = 600, sample: int = 5000) -> dict
 
     `docs` has doc_id, text and lang; rows without lang or text are left out.
     About `sample` rows of a language at most are used, chosen by a hash of
-    doc_id; all of a language that has fewer.
+    doc_id; all of a language that has fewer. Each value of lang costs some
+    `top` rows on the driver.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -97,15 +99,40 @@ def fit_profiles(docs: DataFrame, *, top: int = 600, sample: int = 5000) -> dict
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 20, int(sample / n * (1 << 20)) + 1))])
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")])
     counts = chosen.select("lang", "text").mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = pin(counts)
-    # top rows of each language without sorting a language in one task
+    # each task keeps the best of its rows, so that no language is sorted in one task
+    best = counts.mapInArrow(lambda it: best_of(it, top), "lang string, gram long, n long").toArrow()
     pairs = {}
     for lang in sorted(sizes):
-        best = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(top).select("gram").toArrow()
-        pairs[lang] = best["gram"].to_numpy().view(np.uint64)
+        own = best.filter(pc.equal(best["lang"], lang))
+        pairs[lang] = ranked(own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy(), top)
     return pairs
 
 
+def best_of(batches: Iterator[pa.RecordBatch], top: int):
+    """The `top` most frequent n-grams of each language among a task's rows; those after them are cut off now and then."""
+    held: dict[str, list] = {}
+    rows = 0
+
+    def cut():
+        for lang, parts in held.items():
+            grams, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            at = np.lexsort((grams, -n))[:top]
+            held[lang] = [(grams[at], n[at])]
+
+    for batch in batches:
+        langs, grams, n = batch.column(0), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+        for lang in pc.unique(langs).to_pylist():
+            mine = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
+            held.setdefault(lang, []).append((grams[mine], n[mine]))
+        rows += batch.num_rows
+        if rows > 1 << 18:
+            cut()
+            rows = 0
+    cut()
+    for lang, [(grams, n)] in held.items():
+        yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
+
 class Ranker:
     """Out-of-place distances between a text and every profile."""
 
@@ -140,7 +167,9 @@ def language_id(docs: DataFrame, profiles: dict[str, np.ndarray], *, top: int =
     marked) are compared with each profile: an n-gram costs the difference of
     its two ranks, or `top` if the profile lacks it. The profile with the
     least sum wins; score is 1 less that sum over the greatest possible one.
-    Texts that are null or have no letter give `und` and 0.
+    Texts that are null or have no letter give `und` and 0. Other columns are
+    ignored, repeated rows have equal results; an empty table gives an empty
+    result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
@@ -155,20 +184,33 @@ def language_id(docs: DataFrame, profiles: dict[str, np.ndarray], *, top: int =
     return rows.mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, profiles: dict[str, np.ndarray], *, top: int = 600) -> DataFrame:
-    """The rows of `docs` whose text has a language, with all their columns.
+def with_language(docs: DataFrame, profiles: dict[str, np.ndarray], *, top: int = 600, min_score: float = 0.0) -> DataFrame:
+    """The rows of `docs` whose text has a language, with all their columns; a null lang becomes the prediction.
 
-    Every text with a letter has one, however far the nearest profile is;
-    without any profile letters alone decide.
+    Texts that are null or have no letter go, and those whose nearest profile
+    is full (`top` n-grams, so that it can tell) and gives a score below
+    `min_score`. Without any profile letters alone decide. Repeated rows have
+    equal results; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     schema = docs.schema
+    fills = "lang" in schema.names and schema["lang"].dataType.simpleString() == "string"
     frugal(docs)
 
     def work(batches: Iterator[pa.RecordBatch]):
         ranker = Ranker(shared.value, top)
+        full = {k for k, v in shared.value.items() if len(v) >= top}
         for batch in slices(batches, "text"):
             column = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([ranker.predict(x)[0] != "und" if ranker.langs else bool(x) and len(ngrams(x)) > 0 for x in column], pa.bool_()))
+            if not ranker.langs:
+                yield batch.filter(pa.array([bool(x) and len(ngrams(x)) > 0 for x in column], pa.bool_()))
+                continue
+            found = [ranker.predict(x) for x in column]
+            keep = pa.array([k != "und" and (score >= min_score or k not in full) for k, score in found], pa.bool_())
+            if fills:
+                at = batch.schema.get_field_index("lang")
+                lang = batch.column(at)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array([k if old is None else old for (k, _), old in zip(found, lang.to_pylist(), strict=True)], lang.type))
+            yield batch.filter(keep)
 
     return docs.mapInArrow(work, schema)

@@ -48,7 +48,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold(of: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % of
+    """The remainder that deals documents out; a null doc_id has that of the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,16 +97,17 @@ ORACLE_SQL = {
                first_value(doc_id) OVER w = doc_id AS kept, h AS text_sha256
         FROM n WINDOW w AS (PARTITION BY h ORDER BY len DESC, doc_id)""",
     "op4_line_dedup": r"""
-        WITH l AS (
-            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
-            FROM documents),
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        l AS (
+            SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS i
+            FROM d),
         k AS (
             SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
             FROM l),
-        c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
         SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.key IS NULL), '')) AS kept_sha256
-        FROM k LEFT JOIN c USING (key) GROUP BY doc_id""",
+        FROM k LEFT JOIN c USING (key) GROUP BY r, doc_id""",
 }

@@ -105,6 +105,10 @@ def test_language(spark, tables):
     kept = with_language(frame(spark, ODD), profiles)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["5", "5", "6", "None"] and kept.columns == frame(spark, ODD).columns
     assert language_id(frame(spark, []), profiles).count() == 0
+    strange = spark.createDataFrame([(1, "Жълтата дюля беше щастлива, че пухът, който цъфна, замръзна", None), (2, rows[0].text, None), (3, rows[1].text, "xx")], "doc_id long, text string, lang string")
+    left = with_language(strange, profiles, min_score=0.2).collect()
+    assert {r.doc_id: r.lang for r in left} == {2: rows[0].lang_pred, 3: "xx"}
+    assert with_language(strange, {k: v[:50] for k, v in profiles.items()}, min_score=0.2).count() == 3
     assert fit_profiles(docs.where("false")) == {} and Ranker({}, 10).predict("abc") == ("und", 0.0)
 
 
