@@ -17,9 +17,17 @@ from sparkgml.llm.simhash import simhash_dedup
 from sparkgml.llm.suffix import suffix_dedup
 
 
+#: Half of what the strangest document of the test tables has: below it hardly an n-gram is any language's.
+MIN_SCORE = 0.2
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops null texts and texts without letters, and nothing else: no text with a letter is rejected at any distance, with or without profiles."""
-    return with_language(docs, fit_profiles(docs))
+    """Drops null texts, texts without letters, and texts whose score against the nearest profile is below MIN_SCORE; fills a null lang.
+
+    A profile of fewer than 600 n-grams rejects nothing, and without profiles
+    letters alone decide.
+    """
+    return with_language(docs, fit_profiles(docs), min_score=MIN_SCORE)
 
 
 def without(rows: DataFrame, decisions: DataFrame, columns: list[str]) -> DataFrame:
