@@ -14,8 +14,8 @@ from .common import mix, pin, release, slices, texts, unpin
 from .graph import connected
 from .shingles import shingle_hashes, simhashes
 
-#: Rounds in which each bucket compares its rows with one of them, before all pairs that are left are compared.
-STAR_ROUNDS = 2
+#: Rounds in which each row is compared with one row of its buckets, before all pairs that are left are compared.
+STAR_ROUNDS = 3
 #: Bands, and minima that are hashed together in each.
 BANDS, ROWS = 24, 5
 
@@ -62,19 +62,15 @@ def sets_of(shingle: int, seed: int):
     return work
 
 
-def similar(similarity: float):
-    """Rows (u, v, a, b) of two sets: those of (u, v) that are similar."""
-
-    def work(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            near = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
-
-    return work
+def measured(batches: Iterator[pa.RecordBatch]):
+    """Rows (u, v, a, b) of two sets: their Jaccard similarity."""
+    for batch in batches:
+        j = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            j.append(both / (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64())], ["u", "v", "j"])
 
 
 def similar_pairs(docs: DataFrame, sketches: DataFrame, seeds: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
@@ -82,42 +78,62 @@ def similar_pairs(docs: DataFrame, sketches: DataFrame, seeds: DataFrame, simila
 
     A pair of similarity s is a candidate unless all bands differ, with
     probability (1 - s ** ROWS) ** BANDS: 7e-5 at 0.8. Every candidate is
-    decided on its sets. `seeds` come first. Then, in a bucket (texts with
-    equal key of a band) each text is compared with one of them, a different
-    one in each round; pairs that are by then in one component need no
-    comparison, and all others get it, so large groups of copies don't cost
-    the square of their size. Only texts that share a bucket or a seed are
-    fetched, once, as sets.
+    decided on its sets. Buckets are texts with equal key of a band. At first
+    every row is compared with the one of its buckets that stands in the
+    largest buckets, as the original of many copies does, and `seeds` are
+    looked at. Then each row is compared with one row of its buckets a round,
+    a different one in each, unless they are in one component already. All
+    pairs of a bucket that are left in different components are compared at
+    last, but for those that the triangle inequality rules out by their
+    distances from the same first row. So large groups of copies cost a few
+    comparisons a row. Only texts that share a bucket or a seed are fetched,
+    once, as sets.
     """
     spark = docs.sparkSession
     keys = sketches.select("id", "n", F.explode("keys").alias("key"))
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    buckets = pin(keys.join(several, "key").select("key", "id", "n", F.col("id").alias("label")))
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = pin(keys.join(several, "key").select("key", "id", "n", "c"))
+    weights = shared.groupBy("id").agg(F.sum("c").alias("weight"))
+    buckets = pin(shared.join(weights, "id").select("key", "id", "n", "weight", F.col("id").alias("label")))
+    unpin(shared)
     some = pin(buckets.select("id").unionByName(seeds.select(F.col("u").alias("id"))).unionByName(seeds.select(F.col("v").alias("id"))).distinct())
     members = pin(docs.select(F.col("doc_id").alias("id"), "text").join(some, "id", "left_semi").mapInArrow(sets_of(shingle, seed), "id long, members binary"))
     release(spark)
 
-    def decided(pairs: DataFrame) -> DataFrame:
-        pairs = pin(pairs.select("u", "v").distinct())
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = pin(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         a = members.select(F.col("id").alias("u"), F.col("members").alias("a"))
         b = members.select(F.col("id").alias("v"), F.col("members").alias("b"))
-        return pin(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(similar(similarity), "u long, v long"))
-
-    edges = decided(seeds)
-    for turn in range(STAR_ROUNDS + 1):
+        return pin(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(measured, "u long, v long, j double"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.col("j") >= similarity - 1e-9).select("u", "v")
+
+    def with_one(rank) -> DataFrame:
+        """Each row that has a bucket of several labels, with the one of its buckets' rows that ranks highest."""
+        ones = buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct(rank.alias("rank"), (-F.col("id")).alias("least"), "label")).alias("one")).where("lo <> hi")
+        rows = buckets.join(ones.select("key", "one"), "key").where("label <> one.label")
+        return rows.groupBy("id").agg(F.max("one").alias("one")).select(F.col("id").alias("u"), (-F.col("one.least")).alias("v"))
+
+    first = pin(with_one(F.col("weight")))
+    found = compared(first.unionByName(seeds))
+    ends = first.select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), F.col("u").alias("id"), F.col("v").alias("pivot"))
+    pivots = pin(ends.join(found, (F.col("lo") == F.col("u")) & (F.col("hi") == F.col("v"))).select("id", "pivot", (1 - F.col("j")).alias("far")))
+    edges = pin(near(found))
+    for turn in range(1, STAR_ROUNDS + 1):
         star = connected(edges)
         names = star.select(F.col("v").alias("id"), F.col("u").alias("root"))
         old = buckets
-        buckets = pin(old.drop("label").join(names, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("label")))
+        buckets = pin(old.drop("label").join(names, "id", "left").select("key", "id", "n", "weight", F.coalesce("root", "id").alias("label")))
         unpin(old)
-        mixed = buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "label")).alias("one")).where("lo <> hi")
-        left = buckets.join(mixed.select("key", "one"), "key")
         if turn < STAR_ROUNDS:
-            pairs = left.where("label <> one.label").select(F.least("id", "one.id").alias("u"), F.greatest("id", "one.id").alias("v"), F.col("n").alias("m"), F.col("one.n").alias("n"))
+            pairs = with_one(F.xxhash64("id", F.lit(turn)))
         else:
-            left = left.select("key", "id", "n", "label")
-            other = left.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("label").alias("l"))
-            pairs = left.join(other, "key").where("id < v and label <> l").select(F.col("id").alias("u"), "v", "m", "n")
-        new = decided(pairs.where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9))
-        edges = pin(star.select("u", "v").unionByName(new))
+            mixed = buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+            left = buckets.join(mixed, "key").join(pivots, "id", "left").select("key", "id", "n", "label", "pivot", "far")
+            other = left.select("key", *[F.col(c).alias(f"{c}2") for c in left.columns if c != "key"])
+            apart = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("far") - F.col("far2")) > 1 - similarity + 1e-9), F.lit(False))
+            sizes = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
+            pairs = left.join(other, (left["key"] == other["key"]) & (F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & sizes & ~apart).select(F.col("id").alias("u"), F.col("id2").alias("v"))
+        edges = pin(star.select("u", "v").unionByName(near(compared(pairs))))
     return edges
