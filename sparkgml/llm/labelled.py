@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 FINE = 1 << 20
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[int, str, int]]:
-    """About `per_class` rows (doc_id, text, label) at most of each class, chosen by a hash of doc_id.
+def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int = 32 << 20) -> list[tuple[int, str, int]]:
+    """About `per_class` rows (doc_id, text, label) at most of each class, of about `max_bytes` of text together, chosen by a hash of doc_id.
 
     Rows without label, doc_id or text are left out. The chosen identifiers
     are few by construction and so may be broadcast.
@@ -19,10 +19,18 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     sizes = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     if not sizes:
         return []
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(FINE, int(per_class / n * FINE) + 1))])
-    chosen = marked.where(F.pmod(F.xxhash64("id"), F.lit(FINE)) < share[F.col("label")])
+    place = F.pmod(F.xxhash64("id"), F.lit(FINE))
+    share = {k: min(FINE, int(per_class / n * FINE) + 1) for k, n in sizes.items()}
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).dropna()
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "label").toArrow()
+
+    def chosen(share: dict[int, int]) -> DataFrame:
+        part = marked.where(place < F.create_map(*[F.lit(x) for kn in share.items() for x in kn])[F.col("label")])
+        return texts.join(F.broadcast(part), "id").select("id", "text", "label")
+
+    size = chosen(share).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_bytes:
+        share = {k: max(1, int(n * max_bytes / size)) for k, n in share.items()}
+    rows = chosen(share).toArrow()
     return sorted(zip(*(rows[c].to_pylist() for c in ("id", "text", "label")), strict=True))
 
 

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from .common import WS, frugal, joined, mix, slices, texts
 from .labelled import fit_dense, sample_labelled, sigmoid
 
-#: Hash buckets of each family; the families are character n-grams (bytes) and word n-grams.
+#: Hash buckets of each family; the families are n-grams of code points and of words.
 BUCKETS = 1 << 15
 CHAR_SIZES, WORD_SIZES = (1, 3, 5), (1, 2)
+#: Base of the hash of several code points.
+CHAR_BASE = np.uint64(0x9E3779B97F4A7C15)
 FAMILIES = len(CHAR_SIZES) + len(WORD_SIZES)
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -43,19 +45,34 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def code_points(data: np.ndarray) -> np.ndarray:
+    """The code points of well-formed UTF-8, one for each byte that starts one."""
+    if not (data & 0x80).any():
+        return data.astype(np.uint64)
+    starts = np.flatnonzero(data & 0xC0 != 0x80)
+    lead = data[starts].astype(np.uint64)
+    size = np.diff(np.append(starts, len(data)))
+    out = np.where(size > 1, lead & (np.uint64(0x7F) >> size.astype(np.uint64)), lead)
+    for i in range(1, 4):
+        more = size > i
+        out[more] = out[more] << np.uint64(6) | (data[starts[more] + i] & 0x3F).astype(np.uint64)
+    return out
+
+
 def hashed_families(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each family: the texts that its n-grams belong to, ascending, and their buckets."""
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     x = data.astype(np.uint64)
+    points, of = code_points(data), owner[data & 0xC0 != 0x80]
     for f, n in enumerate(CHAR_SIZES):
-        if len(data) < n:
+        if len(points) < n:
             yield np.zeros(0, np.int64), np.zeros(0, np.int64)
             continue
-        code = np.zeros(len(data) - n + 1, np.uint64)
-        for i in range(n):
-            code = code << np.uint64(8) | x[i : len(data) - n + 1 + i]
-        same = owner[n - 1 :] == owner[: len(data) - n + 1]
-        yield owner[: len(same)][same], (mix(code[same], f) % np.uint64(BUCKETS)).astype(np.int64)
+        code = points[: len(points) - n + 1].copy()
+        for i in range(1, n):
+            code = code * CHAR_BASE + points[i : len(points) - n + 1 + i]
+        same = of[n - 1 :] == of[: len(code)]
+        yield of[: len(same)][same], (mix(code[same], f) % np.uint64(BUCKETS)).astype(np.int64)
     starts, ends = word_starts(data, offsets)
     power = np.cumprod(np.full(len(data) + 1, 0x9E3779B97F4A7C15, np.uint64))
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -94,9 +111,9 @@ class QualityModel:
         return sigmoid(self.slope * self.margins(raw) + self.shift)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, per_class: int = 1000, rounds: int = 80, penalty: float = 1e-5) -> QualityModel:
-    """Fit on about `per_class` labelled rows at most of each class; every fifth of them calibrates."""
-    rows = sample_labelled(docs, labels, "quality", per_class)
+def fit_quality(docs: DataFrame, labels: DataFrame, *, per_class: int = 1000, max_bytes: int = 32 << 20, rounds: int = 80, penalty: float = 1e-5) -> QualityModel:
+    """Fit on about `per_class` labelled rows at most of each class, of about `max_bytes` together; every fifth of them calibrates."""
+    rows = sample_labelled(docs, labels, "quality", per_class, max_bytes)
     model = QualityModel(np.zeros((FAMILIES, BUCKETS), np.float32), 0.0)
     y = np.array([r[2] for r in rows])
     if len(set(y.tolist())) < 2:
@@ -190,7 +207,8 @@ def quality_rules(docs: DataFrame, model: QualityModel, *, min_words: int = 10,
     more than `repeat_percent` of them repeated. `quality` is the model's
     calibrated probability; a row is kept if it did not fail and has
     `min_quality` at least. Other columns are ignored, repeated rows have
-    equal results.
+    equal results; an empty table gives an empty result. A text of n bytes
+    takes some 100 n bytes of memory in its task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

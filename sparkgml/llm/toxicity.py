@@ -6,6 +6,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -22,59 +24,127 @@ TARGETS = frozenset("you your yours u she he they them him her those these peopl
 NEGATIONS = frozenset("not never no nobody isn't aren't wasn't don't doesn't ain't nicht kein keine nie nunca jamás pas jamais".split())
 REPORTS = frozenset("said says say called calls wrote writes quoted quotes claimed claims reported reports accused alleges sagte nannte schrieb dijo llamó escribió dit appelé écrit".split())
 
-#: A word with inner apostrophes, or a mark that ends a clause, or a quotation mark.
-TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n]+|[\"“”«»„]")
+#: A word with inner apostrophes, marks that end a clause or a line, or a quotation mark; one after a digit is an inch.
+TOKENS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:]+|\n|(?<!\d)[\"“”«»„]")
 #: Prefixes of words that may be learned, in letters, and how often one must stand in a text to count.
 STEMS, NEEDS = (8, 7, 6, 5, 4), (1, 2, 3)
 
-# Tape symbols after the lexicon: insult, threat, target, negation, report, clause end, quotation mark, other word.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP, QUOTE = range(8)
-#: How a matched clause counts: aimed insult, insult, threat, and each of these negated or reported.
+# Tape symbols after the lexicon: insult, threat, target, negation, report, clause end, quotation mark, other word, line end.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP, QUOTE, LINE = range(9)
+#: How a matched clause counts: aimed insult, bare insult, threat, and each of these negated or reported.
 AIMED, BARE, MENACE, DENIED, QUOTED = range(5)
 #: Words that negation and target reach over.
 REACH = 4
-#: Weights of the outcomes and the intercept that fitting starts from and is drawn to.
-PRIOR = np.array([8.0, 7.0, 8.0, 1.5, 1.5, -4.0])
+#: What a path pays for an insult or threat that no target is found for.
+UNAIMED = 1.0
+#: Weights of the outcomes and the intercept that fitting starts from and is drawn to; one bare insult is below one half, two are above.
+PRIOR = np.array([8.0, 4.5, 8.0, 1.5, 1.5, -4.0])
 
+# Weighted transducers: a state and a symbol give arcs (next state, mark, cost). The mark says what a machine thinks of
+# an insult or threat; a path is only good if every machine ends in a final state.
 
-def scope(symbols: list[int], opens: int) -> list[int]:
-    """A transducer with REACH + 1 states: for each symbol the words left under an opening symbol, 0 outside; a clause end closes."""
-    out, left = [], 0
-    for s in symbols:
-        out.append(left)
-        left = REACH if s == opens else 0 if s == STOP else max(0, left - 1)
+
+def negation_arcs(left: int, symbol: int) -> list[tuple[int, bool, float]]:
+    """State: the words that a negation still reaches over. Mark: negated."""
+    after = REACH if symbol == NEGATION else 0 if symbol == STOP else max(0, left - 1)
+    return [(after, left > 0, 0.0)]
+
+
+def report_arcs(state: int, symbol: int) -> list[tuple[int, bool, float]]:
+    """States: 0 plain, 1 after a reporting verb to the end of its clause, 2 within a quotation. Mark: reported."""
+    if symbol == QUOTE:
+        after = 0 if state == 2 else 2
+    elif state == 2:
+        after = 2
+    else:
+        after = 0 if symbol == STOP else 1 if symbol == REPORT else state
+    return [(after, state > 0, 0.0)]
+
+
+def target_arcs(state: tuple[int, int], symbol: int) -> list[tuple[tuple[int, int], bool, float]]:
+    """State: words that a target still reaches over, and words within which a promised one must come. Mark: aimed.
+
+    At an insult or threat without a target before it, one path pays, another
+    promises a target; a promise that isn't kept within its clause is a dead end.
+    """
+    left, due = state
+    if symbol == TARGET:
+        return [((REACH, 0), True, 0.0)]
+    if symbol == STOP:
+        return [((0, 0), False, 0.0)] if not due else []
+    later = due - 1
+    if due and not later:
+        return []
+    after = max(0, left - 1)
+    if symbol not in (INSULT, THREAT) or left:
+        return [((after, later if due else 0), left > 0, 0.0)]
+    return [((after, later if due else 0), False, UNAIMED), ((after, min(later, REACH) if due else REACH), True, 0.0)]
+
+
+MACHINES = ((negation_arcs, 0), (report_arcs, 0), (target_arcs, (0, 0)))
+
+
+@cache
+def composed(state: tuple, symbol: int) -> list[tuple[tuple, tuple[bool, ...], float]]:
+    """Arcs of the composition: one of each machine, costs added."""
+    out = []
+    for arcs in product(*(machine(s, symbol) for (machine, _), s in zip(MACHINES, state, strict=True))):
+        out.append((tuple(a[0] for a in arcs), tuple(a[1] for a in arcs), sum(a[2] for a in arcs)))
     return out
 
 
-def reported(symbols: list[int]) -> list[bool]:
-    """A transducer with states clause, reported clause and quotation: whether each symbol is reported speech."""
-    out, speech, quote = [], False, False
-    for s in symbols:
-        out.append(speech or quote)
-        if s == REPORT:
-            speech = True
+def outcome_of(symbol: int, marks: tuple[bool, ...]) -> int | None:
+    denied, speech, aimed = marks
+    if symbol not in (INSULT, THREAT) or symbol == THREAT and not aimed:
+        return None  # a threat needs a target
+    return QUOTED if speech else DENIED if denied else MENACE if symbol == THREAT else AIMED if aimed else BARE
+
+
+def paired(symbols: list[int]) -> list[int]:
+    """Quotation marks without a partner in their line are ordinary symbols."""
+    out, open_ = list(symbols), None
+    for i, s in enumerate(symbols):
+        if s == LINE and open_ is not None:
+            out[open_], open_ = OTHER, None
         elif s == QUOTE:
-            quote = not quote
-        elif s == STOP:
-            speech = False
+            open_ = i if open_ is None else None
+    if open_ is not None:
+        out[open_] = OTHER
     return out
 
 
 def outcomes(symbols: list[int]) -> list[tuple[int, int]]:
-    """(position, outcome) of each insult or threat: the composition of the target, negation and report transducers."""
-    denied, speech = scope(symbols, NEGATION), reported(symbols)
-    before = scope(symbols, TARGET)
-    after = scope(symbols[::-1], TARGET)[::-1]
-    out = []
-    for i, s in enumerate(symbols):
-        if s in (INSULT, THREAT):
-            aimed = before[i] or after[i]
-            if s == THREAT and not aimed:
-                continue  # a threat needs a target
-            out.append((i, QUOTED if speech[i] else DENIED if denied[i] else MENACE if s == THREAT else AIMED if aimed else BARE))
+    """(position, outcome) of each insult or threat on the cheapest path through the composed machines, line by line."""
+    out, start = [], 0
+    symbols = paired(symbols)
+    ends = [i for i, s in enumerate(symbols) if s == LINE]
+    for stop in [*ends, len(symbols)]:
+        line = symbols[start:stop]
+        if INSULT in line or THREAT in line:
+            out += [(start + i, k) for i, k in cheapest(line)]
+        start = stop + 1
     return out
 
 
+def cheapest(line: list[int]) -> list[tuple[int, int]]:
+    """Best path: for each reachable state of the composition the least cost, and what it has met; ties go to the path found first."""
+    front: dict[tuple, tuple[float, tuple | None]] = {tuple(s for _, s in MACHINES): (0.0, None)}
+    for i, symbol in enumerate([*line, STOP]):
+        after: dict[tuple, tuple[float, tuple | None]] = {}
+        for state, (cost, met) in front.items():
+            for new, marks, more in composed(state, symbol):
+                if new not in after or cost + more < after[new][0]:
+                    k = outcome_of(symbol, marks)
+                    after[new] = (cost + more, met if k is None else (met, i, k))
+        front = after
+    _, met = min(front.values(), key=lambda x: x[0])
+    out = []
+    while met is not None:
+        met, i, k = met
+        out.append((i, k))
+    return out[::-1]
+
+
 @dataclass
 class ToxicityGrammar:
     """The lexicon with learned insults and stems, and the weight of each outcome and of the intercept."""
@@ -99,7 +169,9 @@ class ToxicityGrammar:
         for known, s in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             if token in known:
                 return s, 1.0, None
-        if token[0] in ".!?;:\n":
+        if token == "\n":
+            return LINE, 0.0, None
+        if token[0] in ".!?;:":
             return STOP, 0.0, None
         return QUOTE if token in "\"“”«»„" else OTHER, 0.0, None
 
@@ -178,9 +250,9 @@ def learn_insults(toxic: list[str], clean: list[str], known: frozenset[str] = IN
     return chosen
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000) -> ToxicityGrammar:
-    """Learn insults and weights from about `per_class` labelled rows at most of each class."""
-    rows = sample_labelled(docs, labels, "toxic", per_class)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, max_bytes: int = 32 << 20) -> ToxicityGrammar:
+    """Learn insults and weights from about `per_class` labelled rows at most of each class, of about `max_bytes` together."""
+    rows = sample_labelled(docs, labels, "toxic", per_class, max_bytes)
     toxic, clean = ([t for _, t, y in rows if y == k] for k in (1, 0))
     grammar = ToxicityGrammar()
     for atom, weight in learn_insults(toxic, clean):
@@ -191,7 +263,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000) -
     if toxic and clean:
         x = np.array([grammar.features(t) for t in toxic + clean])
         y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-        grammar.weights = fit_dense(x, y, PRIOR, 3.0)
+        grammar.weights = w = fit_dense(x, y, PRIOR, 3.0)
+        # a single insult word that nothing in its clause supports stays below one half
+        w[BARE] = min(w[BARE], (-w[-1] - 0.2) / np.log1p(1.0))
     return grammar
 
 
@@ -199,11 +273,14 @@ def toxicity(docs: DataFrame, grammar: ToxicityGrammar, *, threshold: float = 0.
     """One row per row of `docs` (doc_id, text): doc_id, score, predicted.
 
     Tokens become symbols of insult, threat, target, negation, reported
-    speech and clause end. Transducers carry target, negation and report over
-    the words of a clause; what they say together at an insult or threat
+    speech, clause end and line end. Weighted transducers for target, negation
+    and report are composed; on the cheapest path through a line they say at
+    each insult or threat whether it is aimed, negated or reported, which
     decides how its weight counts. A logistic function of the sums gives the
-    score; a null or empty text matches nothing. Other columns are ignored,
-    repeated rows have equal results.
+    score: an insult word by itself stays below one half, with a target in its
+    clause, or with others, it doesn't. Quotation marks count in pairs within
+    a line. A null or empty text matches nothing. Other columns are ignored,
+    repeated rows have equal results; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 

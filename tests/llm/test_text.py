@@ -14,9 +14,10 @@ from tokenizers import Tokenizer
 from sparkgml.llm.bpe import SpeculativeBpe, bpe_round_trip
 from sparkgml.llm.language import Ranker, fit_profiles, language_id, ngrams, ranked, tally, with_language
 from sparkgml.llm.packing import optimal_bounds, pack
-from sparkgml.llm.quality import base_counts, fit_quality, quality_rules
+from sparkgml.llm.common import joined
+from sparkgml.llm.quality import CHAR_SIZES, base_counts, code_points, fit_quality, hashed_families, quality_rules
 from sparkgml.llm.tokens import LONG_SPACE, attribute, encode, encoding, sections_of, token_counts, token_ends
-from sparkgml.llm.toxicity import AIMED, BARE, DENIED, MENACE, QUOTED, TARGET, ToxicityGrammar, fit_toxicity, learn_insults, outcomes, scope, toxicity
+from sparkgml.llm.toxicity import AIMED, BARE, DENIED, MACHINES, MENACE, QUOTED, STOP, TARGET, ToxicityGrammar, composed, fit_toxicity, learn_insults, outcome_of, outcomes, paired, toxicity
 
 SF = "/root/testdata/sf0.1"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +55,17 @@ def test_base_counts():
         assert tuple(int(got[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute_counts(t), t[:50]
 
 
+def test_character_ngrams():
+    """n-grams are of characters, whatever bytes these have, and stay within their text."""
+    texts = ["aé漢👍é", "", "abc", "漢", "é漢é漢é"]
+    data, offsets = joined([t.encode() for t in texts])
+    assert code_points(data).tolist() == [ord(c) for c in "".join(texts)]
+    for n, (owner, bucket) in zip(CHAR_SIZES, hashed_families(data, offsets), strict=False):
+        assert np.bincount(owner, minlength=5).tolist() == [max(0, len(t) - n + 1) for t in texts]
+        grams = [t[i : i + n] for t in texts for i in range(len(t) - n + 1)]
+        assert len(set(zip(grams, bucket.tolist(), strict=True))) == len(set(grams))
+
+
 def test_quality(spark, tables):
     """Accuracy on labelled rows that the fit leaves out, and calibration."""
     docs, labels = tables
@@ -114,7 +126,6 @@ def test_language(spark, tables):
 
 def test_transducers():
     other, insult, threat, negation, report, stop, quote = 0, 1, 2, 4, 5, 6, 7
-    assert scope([TARGET, other, stop, other], TARGET) == [0, 4, 3, 0]
     assert outcomes([TARGET, other, insult]) == [(2, AIMED)] and outcomes([other, insult]) == [(1, BARE)]
     assert outcomes([threat]) == [] and outcomes([threat, TARGET]) == [(0, MENACE)]
     assert outcomes([negation, other, insult]) == [(2, DENIED)] and outcomes([report, TARGET, insult]) == [(2, QUOTED)]
@@ -122,6 +133,27 @@ def test_transducers():
     g = ToxicityGrammar()
     plain, denied, quoted = g.scores(["you are an idiot", "you are not an idiot", "they said you are an idiot"])
     assert plain > 0.5 > denied and quoted < 0.5 and g.scores([""])[0] < 0.5
+    inch, word, alone, two = g.scores(['5" nails. they fit. you are an idiot. you moron.', "the word idiot is in the dictionary", "idiot", "idiot and moron"])
+    assert inch > 0.5 and word < 0.5 and alone < 0.5 and two > 0.5
+    stray, later, pair = g.scores(['he has a " mark\nyou are an idiot', 'a stray " mark. you are an idiot', 'it reads "you are an idiot" there'])
+    assert stray > 0.5 and later > 0.5 > pair
+
+
+def test_cheapest_path():
+    """Against every path through the composed machines."""
+    rng = random.Random(12)
+    for _ in range(400):
+        line = [rng.choice([0, 0, 1, 1, 2, 3, 4, 5, 6, 7]) for _ in range(rng.randint(1, 9))]
+        tape = [*paired(line), STOP]
+        paths = [(0.0, tuple(s for _, s in MACHINES), ())]
+        for i, symbol in enumerate(tape):
+            paths = [(cost + more, new, met + (((i, k),) if (k := outcome_of(symbol, marks)) is not None else ())) for cost, state, met in paths for new, marks, more in composed(state, symbol)]
+        least = min(p[0] for p in paths)
+        assert tuple(outcomes(line)) in {p[2] for p in paths if p[0] == least}, line
+        # a target within four words, on either side and in the same clause, aims an insult
+        for i, k in outcomes(line):
+            near = [j for j, s in enumerate(tape) if s == TARGET and 0 < abs(i - j) <= 4 and STOP not in tape[min(i, j) : max(i, j)]]
+            assert k in (DENIED, QUOTED) or (k in (AIMED, MENACE)) == bool(near), (line, i)
 
 
 def test_learned_insults():
