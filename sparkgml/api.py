@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .functions.crs import Context, Decision, Evidence, decide
-from .operators.observe import axis_evidence, headers, observations, observe
+from .operators.observe import axis_evidence, headers, observations, observe, srs_counts
 from .operators.parse import ReadPlan, parse_layer, parse_report
 from .plans.infer import InferenceOptions, infer
 from .plans.schema import LayerSchema, SchemaError, load_settings, settings_json
@@ -128,7 +128,10 @@ def contexts_of(headers: list[dict[str, Any]]) -> dict[str, Context]:
         version = next((v for v in ("2.0", "1.1", "1.0") if f"wfs/{v}" in located or f"version={v}" in located.lower()), "")
         if not version and "wfs/2.0" in json.dumps(h.get("namespaces", {})):
             version = "2.0"
-        out[h["source"]] = Context("fme" if "safe.com" in json.dumps(h) or "FME" in located else "", version)
+        text = json.dumps([h.get("namespaces", {}), located])
+        who = "fme" if "safe.com" in text or "FME" in located else next((x for x in ("mapserver.gis.umn.edu", "/wfsserver") if x in text.lower()), "")
+        if who or version:
+            out[h["source"]] = Context(who, version)
     return out
 
 
@@ -142,7 +145,8 @@ def decisions_of(seen: DataFrame, found: list[dict[str, Any]], options: ReadOpti
     contexts, out = contexts_of(found), {}
     if options.axis_order == "auto":
         for r in axis_evidence(seen).toLocalIterator():
-            e = Evidence((r.a_min, r.a_max), (r.b_min, r.b_max), [x for x in r.labels if x])
+            box = (r.e_a_min, r.e_b_min, r.e_a_max, r.e_b_max)
+            e = Evidence((r.a_min, r.a_max), (r.b_min, r.b_max), [x for x in r.labels if x], None if None in box else box)
             out[r.source, r.srs, r.dialect] = decide(r.srs, r.dialect, e, contexts.get(r.source, Context()), "auto", options.axis_overrides)
     return out
 
@@ -159,12 +163,18 @@ def scan(spark: SparkSession, inputs: Any, options: ReadOptions | None = None) -
     inference = options.inference
     if options.sample_features:
         features, inference = sampled(features, options.sample_features), replace(inference, sampled=True)
-    seen = observations(features).persist()  # a few rows for each task: one pass serves all that follows
+    seen = observations(features, options.on_feature_error != "error").persist()  # a few rows for each task: one pass serves all that follows
     try:
         found = headers_of(seen)
         rows = [r.asDict(recursive=True) | {"first_seen": tuple(r.first_seen)} for r in observe(seen).collect()]  # as many as the layers have paths
         if not rows:
             raise NoFeatures("no features in the input")
+        counted: dict[tuple, list] = {}
+        for r in srs_counts(seen).collect():  # as many as paths have srsNames
+            counted.setdefault((r.layer_ns, r.layer, r.path), []).append((-r.n, r.srs_name))
+        for r in rows:  # the most frequent first
+            first = [name for _, name in sorted(counted.get((r["layer_ns"], r["layer"], r["path"]), []))]
+            r["srs"] = first + [x for x in r["srs"] if x not in first]
         decisions = decisions_of(seen, found, options)
         extent = {r.srs: (r.a_min, r.b_min, r.a_max, r.b_max) for r in axis_evidence(seen).groupBy("srs").agg(F.min("a_min").alias("a_min"), F.min("b_min").alias("b_min"), F.max("a_max").alias("a_max"), F.max("b_max").alias("b_max")).collect()}
     finally:
@@ -188,6 +198,11 @@ class Layer:
         return parse_report(self.features, self.plan)
 
 
+def only(options: ReadOptions, layer: str) -> ReadOptions:
+    """Options whose splitter hands on a layer's features alone."""
+    return replace(options, split=replace(options.split, layers=[layer])) if options.split.layers is None and layer else options
+
+
 def read_layer(spark: SparkSession, inputs: Any, layer: str | None = None, schema: LayerSchema | StructType | dict | str | None = None, options: ReadOptions | None = None) -> Layer:
     """One layer as rows, with its schema and report.
 
@@ -203,14 +218,13 @@ def read_layer(spark: SparkSession, inputs: Any, layer: str | None = None, schem
         schema = LayerSchema.of_struct(layer or "", schema)
     elif isinstance(schema, dict):
         schema = LayerSchema.given(layer or "", schema)
-    features = features_of(spark, inputs, options)
     if schema is None:
         found = scan(spark, inputs, options)
         if layer is None and len(found.layers) > 1:
             raise SchemaError(f"which layer: {', '.join(found.layers)}?")
         schema, decisions, contexts = found.schema(layer or found.layers[0]), found.decisions, contexts_of(found.headers)
     elif any(c.type in ("geometry", "binary") for c in schema.columns) and options.axis_order == "auto":
-        seen = observations(features).persist()
+        seen = observations(features_of(spark, inputs, only(options, schema.layer)), options.on_feature_error != "error").persist()
         heads = headers_of(seen)
         decisions, contexts = decisions_of(seen, heads, options), contexts_of(heads)
         seen.unpersist()
@@ -218,7 +232,10 @@ def read_layer(spark: SparkSession, inputs: Any, layer: str | None = None, schem
         decisions, contexts = {}, {}
     if options.columns:
         schema = schema.select(options.columns)
-    plan = ReadPlan(schema, options.on_feature_error, options.location_column or options.preserve_order, options.linear, options.target_crs, axis_mode=options.axis_order, axis_overrides=options.axis_overrides, swaps={k: d.swap for k, d in decisions.items()}, contexts=contexts)
+    features = features_of(spark, inputs, only(options, schema.layer))
+    # tasks decide by the name alone where nothing else was decided: only other decisions are sent
+    swaps = {k: d.swap for k, d in decisions.items() if d.swap != decide(k[1], k[2], None, contexts.get(k[0], Context()), options.axis_order, options.axis_overrides).swap}
+    plan = ReadPlan(schema, options.on_feature_error, options.location_column or options.preserve_order, options.linear, options.target_crs, axis_mode=options.axis_order, axis_overrides=options.axis_overrides, swaps=swaps, contexts=contexts)
     df = parse_layer(features, plan)
     if options.preserve_order:
         df = df.orderBy("_location.source", "_location.start")

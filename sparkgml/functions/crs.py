@@ -146,19 +146,22 @@ def dialect_of(node: Node) -> str:
 
 @dataclass
 class Evidence:
-    """Ranges of first positions as written; axisLabels."""
+    """Ranges of first positions as written; axisLabels; corners of envelopes (least a, least b, greatest a, greatest b)."""
 
     a: tuple[float, float]
     b: tuple[float, float]
     labels: list[str] = field(default_factory=list)
+    envelope: tuple[float, float, float, float] | None = None
 
 
 @dataclass
 class Context:
-    """Of a source: who made it, the WFS version it says."""
+    """Of a source: who made it, the WFS version it says, the srsName and box that were asked for."""
 
     producer: str = ""
     wfs_version: str = ""
+    requested_srs: str = ""
+    requested_box: tuple[float, float, float, float] | None = None
 
 
 @dataclass
@@ -181,15 +184,71 @@ def label_vote(labels: list[str]) -> str | None:
     return votes.pop() if len(votes) == 1 else None
 
 
+#: What a coordinate may lie beyond the published area of use, in the CRS's units.
+SLACK = 0.1
+
+
+def writes_authority_order(context: Context, form: str) -> str | None:
+    """A producer that writes short srsNames in the order of the CRS."""
+    if form != "short":
+        return None
+    who = context.producer.lower()
+    if "fme" in who:
+        return "FME"
+    if context.wfs_version.startswith("1.1"):
+        if "mapserver.gis.umn.edu" in who:
+            return "MapServer's WFS 1.1"
+        if "/wfsserver" in who:
+            return "ArcGIS Server's WFS 1.1"
+    return None
+
+
+def wfs_vote(context: Context, form: str) -> tuple[str, str] | None:
+    """What the version of the service says of a CRS with north first."""
+    version = context.wfs_version
+    if version.startswith("1.0"):
+        return "WFS 1.0", "E"
+    if not version.startswith(("1.1", "2")):
+        return None
+    if form == "legacy":
+        return "legacy name from a WFS", "E"
+    if version.startswith("2"):
+        return "WFS 2.0", "N"
+    if form in ("short", "unknown"):
+        form = parse_srs(context.requested_srs).form if context.requested_srs else form
+    return None if form == "unknown" else ("WFS 1.1", "E" if form in ("short", "legacy") else "N")
+
+
+def meets(a: tuple[float, float, float, float], b: tuple[float, float, float, float]) -> bool:
+    return a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
+
+
+def envelope_warnings(e: Evidence, context: Context, swap: bool) -> list[str]:
+    """Boxes that disagree with the order decided; they don't vote."""
+    out = []
+    seen, turned = (e.a[0], e.b[0], e.a[1], e.b[1]), (e.b[0], e.a[0], e.b[1], e.a[1])
+    if e.envelope and not meets(seen, e.envelope) and meets(turned, e.envelope):
+        out.append("boundedBy is written in the other order than the geometries")
+    if context.requested_box:
+        read, other = (turned, seen) if swap else (seen, turned)
+        if not meets(read, context.requested_box) and meets(other, context.requested_box):
+            out.append("only in the other order the geometries are in the requested box")
+    return out
+
+
 def range_vote(crs: Crs, e: Evidence) -> str | None:
     """The reading that fits the area of use, if just one does."""
     from .project import area_in
 
     west, south, east, north = area_in(crs)
-    slack_x, slack_y = 0.1 * abs(east - west), 0.1 * abs(north - south)
+
+    def within(v: float, low: float, high: float) -> bool:
+        if low <= high:
+            return low - SLACK <= v <= high + SLACK
+        return v >= low - SLACK or v <= high + SLACK  # an area across the antimeridian
 
     def fits(x: tuple[float, float], y: tuple[float, float]) -> bool:
-        return west - slack_x <= x[0] and x[1] <= east + slack_x and south - slack_y <= y[0] and y[1] <= north + slack_y
+        return all(within(v, west, east) for v in x) and all(within(v, south, north) for v in y)
 
     xy, yx = fits(e.a, e.b), fits(e.b, e.a)
     return None if xy == yx else "E" if xy else "N"
@@ -221,16 +280,15 @@ def decide(srs: str, dialect: str, evidence: Evidence | None, context: Context,
         if v := range_vote(crs, evidence):
             votes.append(("coordinate range", v))
     if crs.first_axis == "N":
-        if "fme" in context.producer.lower() and name.form in ("short", "legacy"):
-            votes.append(("producer", "E"))
+        if who := writes_authority_order(context, name.form):
+            votes.append((who, "N"))
         if dialect == "gml2":
             votes.append(("GML 2", "E"))
-        if context.wfs_version.startswith("1.0") or name.form == "legacy":
-            votes.append(("WFS 1.0 or legacy name", "E"))
-        elif context.wfs_version.startswith("2.") or context.wfs_version.startswith("1.1") and name.form in ("urn", "x-ogc", "uri"):
-            votes.append(("WFS version", "N"))
+        if v := wfs_vote(context, name.form):
+            votes.append(v)
         votes.append(("form of the name", "E" if name.form in ("short", "legacy", "bare", "kvp", "proj") else "N"))
     else:
         votes.append(("authority", "E"))
     reason, first = votes[0]
-    return Decision(first == "N", reason, [f"{r} says {v} first" for r, v in votes[1:] if v != first])
+    conflicts = [f"{r} says {v} first" for r, v in votes[1:] if v != first]
+    return Decision(first == "N", reason, conflicts + (envelope_warnings(evidence, context, first == "N") if evidence else []))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ def ddl(fields: list[tuple]) -> str:
     return ", ".join(f"{n} {kinds.get(str(t)) or ('array<int>' if 'int32' in str(t) else 'array<string>')}" for n, t in fields)
 
 
-AXIS_FIELDS = [("source", pa.string()), ("srs_name", pa.string()), ("dialect", pa.string()), ("layer", pa.string()), ("a_min", pa.float64()), ("a_max", pa.float64()), ("b_min", pa.float64()), ("b_max", pa.float64()), ("n", pa.int64()), ("labels", pa.string())]
+AXIS_FIELDS = [("source", pa.string()), ("srs_name", pa.string()), ("dialect", pa.string()), ("layer_ns", pa.string()), ("layer", pa.string()), ("path", pa.string()), ("a_min", pa.float64()), ("a_max", pa.float64()), ("b_min", pa.float64()), ("b_max", pa.float64()), ("n", pa.int64()), ("labels", pa.string()), *((f"e_{c}", pa.float64()) for c in ("a_min", "b_min", "a_max", "b_max"))]
 
 
 class Stats:
@@ -118,7 +119,7 @@ class Observer:
         text = node.text.strip()
         if inside or is_geometry(node) and node.name == "Envelope":
             for g in inside:
-                self.geometry(s, g)
+                self.geometry(s, g, path)
             return
         if node.children:
             s.counts["n_elements"] += 1
@@ -139,7 +140,7 @@ class Observer:
         s.counts["by_reference"] += href and not content
         s.counts["empty"] += not href and not content
 
-    def geometry(self, s: Stats, node: Node) -> None:
+    def geometry(self, s: Stats, node: Node, path: str) -> None:
         s.counts["n_geometry"] += 1
         srs = srs_of(node, self.bounded.get("srs"))
         if srs:
@@ -153,10 +154,12 @@ class Observer:
         s.dims.add(g[1])
         s.curves |= has_curves(g)
         if (first := next(positions(g), None)) and srs:
-            key = (self.at[0], srs, dialect_of(node), self.key[1])
-            box = self.axis.setdefault(key, [first[0], first[0], first[1], first[1], 0, node.attr("axisLabels")])
+            key = (self.at[0], srs, dialect_of(node), *self.key, path)
+            box = self.axis.setdefault(key, [first[0], first[0], first[1], first[1], 0, node.attr("axisLabels"), None])
             box[0], box[1], box[2], box[3] = min(box[0], first[0]), max(box[1], first[0]), min(box[2], first[1]), max(box[3], first[1])
             box[4] += 1
+            if own := self.bounded.get("box"):
+                box[6] = own if box[6] is None else (*map(min, own[:2], box[6][:2]), *map(max, own[2:], box[6][2:]))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         out = []
@@ -166,7 +169,7 @@ class Observer:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), FIELDS, strict=True)], [n for n, _ in FIELDS])
 
     def axis_rows(self) -> Iterator[pa.RecordBatch]:
-        out = [(source, srs, dialect, layer, *v[:4], v[4], v[5]) for (source, srs, dialect, layer), v in self.axis.items()]
+        out = [(*key, *v[:4], v[4], v[5], *(v[6] or (None,) * 4)) for key, v in self.axis.items()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), AXIS_FIELDS, strict=True)], [n for n, _ in AXIS_FIELDS])
 
@@ -181,10 +184,16 @@ def bounded_info(bounded: str | None) -> dict:
     if env is None:
         return {}
     dim = env.attr("srsDimension")
-    return {"srs": env.attr("srsName").strip() if env.attr("srsName") else None, "dimension": int(dim) if dim else None}
+    try:
+        numbers = [float(x) for x in re.split(r"[\s,]+", env.all_text.strip())]
+        half = len(numbers) // 2
+        box = (*map(min, numbers[:2], numbers[half : half + 2]), *map(max, numbers[:2], numbers[half : half + 2])) if half >= 2 else None
+    except ValueError:
+        box = None
+    return {"srs": env.attr("srsName").strip() if env.attr("srsName") else None, "dimension": int(dim) if dim else None, "box": box}
 
 
-def observing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def observing(batches: Iterator[pa.RecordBatch], skip_bad: bool = False) -> Iterator[pa.RecordBatch]:
     """Statistics, axis evidence and headers of a task, told apart by `what`."""
     o, bounds, scopes, headers = Observer(), {}, {}, []
     for b in batches:
@@ -194,6 +203,8 @@ def observing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [b.column(i).to_pylist() for i in range(1, 8)]
         for source, start, ns, layer, _, bounded, _, node in zip(*columns, parse_batch(columns[6], columns[4], scopes), strict=True):
             if isinstance(node, SplitError):
+                if skip_bad:
+                    continue
                 raise node
             if bounded not in bounds:
                 bounds = {bounded: bounded_info(bounded)}
@@ -214,9 +225,9 @@ ALL_FIELDS = FIELDS + [f for f in AXIS_FIELDS if f[0] not in {n for n, _ in FIEL
 INPUT = ("source", "start", "layer_ns", "layer", "ns", "bounded", "xml")
 
 
-def observations(features: DataFrame) -> DataFrame:
+def observations(features: DataFrame, skip_bad: bool = False) -> DataFrame:
     """One pass over features: a few rows for each task, which observe(), axis_evidence() and headers() merge."""
-    return features.select("kind", *INPUT, "info").mapInArrow(observing, ddl([("what", pa.string()), *ALL_FIELDS]))
+    return features.select("kind", *INPUT, "info").mapInArrow(lambda batches: observing(batches, skip_bad), ddl([("what", pa.string()), *ALL_FIELDS]))
 
 
 def observe(seen: DataFrame) -> DataFrame:
@@ -236,7 +247,12 @@ def observe(seen: DataFrame) -> DataFrame:
 def axis_evidence(seen: DataFrame) -> DataFrame:
     """Ranges of first positions as written, for each source, srsName and dialect of observations()."""
     rows = seen.where("what = 'axis'").withColumn("srs", F.col("srs_name"))
-    return rows.groupBy("source", "srs", "dialect").agg(F.min("a_min").alias("a_min"), F.max("a_max").alias("a_max"), F.min("b_min").alias("b_min"), F.max("b_max").alias("b_max"), F.sum("n").alias("n"), F.collect_set("labels").alias("labels"))
+    return rows.groupBy("source", "srs", "dialect").agg(F.min("a_min").alias("a_min"), F.max("a_max").alias("a_max"), F.min("b_min").alias("b_min"), F.max("b_max").alias("b_max"), F.sum("n").alias("n"), F.collect_set("labels").alias("labels"), F.min("e_a_min").alias("e_a_min"), F.min("e_b_min").alias("e_b_min"), F.max("e_a_max").alias("e_a_max"), F.max("e_b_max").alias("e_b_max"))
+
+
+def srs_counts(seen: DataFrame) -> DataFrame:
+    """How many geometries of each (layer, path) have which srsName."""
+    return seen.where("what = 'axis'").groupBy("layer_ns", "layer", "path", "srs_name").agg(F.sum("n").alias("n"))
 
 
 def headers(seen: DataFrame) -> DataFrame:

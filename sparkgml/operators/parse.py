@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -19,6 +20,7 @@ from ..functions.lexical import Misfit, read_scalar
 from ..functions.project import Transform
 from ..plans.schema import LOCATION, Column, LayerSchema
 from ..sources.split import SplitError, inner_xml, layer_matches, parse_batch
+from .columns import ColumnReader, Unusual
 from .observe import INPUT, bounded_info
 
 REPORT = StructType([StructField("source", StringType()), StructField("start", LongType()), StructField("kind", StringType()), StructField("message", StringType())])
@@ -80,6 +82,7 @@ class RowReader:
         self.plan, self.columns = plan, plan.schema.columns
         self.root, self.anchors = routes(self.columns)
         self.transforms: dict[int, Transform] = {}
+        self.bounded_text, self.bounded_known = None, {}
 
     def read(self, source: str, node: Node, xml: bytes, bounded: dict) -> tuple[list[Any], list[str], Misfit | None]:
         """(row, warnings, first error)."""
@@ -191,6 +194,18 @@ class RowReader:
             self.plan.swaps[key] = d.swap
         return self.plan.swaps[key]
 
+    def wkb_of(self, i: int, node: Node, source: str, bounded: str | None) -> bytes | None:
+        """A geometry property's value; Unusual where anything is to be reported."""
+        if bounded != self.bounded_text:
+            self.bounded_text, self.bounded_known = bounded, bounded_info(bounded)
+        self.source, self.bounded, self.warnings, self.error = source, self.bounded_known, [], None
+        self.counts, self.row, self.filled = {}, [None] * len(self.columns), [0] * len(self.columns)
+        if node.attr("xsi:nil") not in ("true", "1"):
+            self.geometry(i, node)
+        if self.error or self.warnings:
+            raise Unusual
+        return self.row[i]
+
     def geometry(self, i: int, node: Node) -> None:
         c = self.columns[i]
         inner = [n for n in node.children if is_geometry(n)]
@@ -224,6 +239,9 @@ class RowReader:
 
         srs = srs_of(node, self.bounded.get("srs"))
         code = parse_srs(srs).code if srs else None
+        own = c.metadata.get("gml:srs_name")
+        if own and srs and own != srs and not self.plan.target_crs and (parse_srs(own).authority_code() or own.strip().lower()) != (parse_srs(srs).authority_code() or srs.strip().lower()):
+            raise GeometryError(f"srsName {srs!r} is another CRS than the column's {own!r}")
         known = crs_of(code) if code else None
         scope = Scope(srs, self.bounded.get("dimension"), None, bool(known and known.geographic), self.plan.linear, self.swap(srs, node), self.warnings)
         if node.name in ("Envelope", "Box"):
@@ -265,9 +283,9 @@ def subtree(node: Node, path: str, values: dict[str, str]) -> None:
         subtree(c, here, values)
 
 
-def walk(plan: ReadPlan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def walk(plan: ReadPlan, batches: Iterator[pa.RecordBatch], reader: RowReader | None = None) -> Iterator[tuple]:
     """(source, start, end, row, warnings, error) of each feature of the layer."""
-    reader, bounds, scopes = RowReader(plan), {}, {}
+    reader, bounds, scopes = reader or RowReader(plan), {}, {}
     layer = plan.schema.layer
     for b in batches:
         columns = [x.to_pylist() for x in b.columns]
@@ -295,9 +313,9 @@ def rows_of(plan: ReadPlan, size: int = 4096):
         columns = zip(*rows, strict=True) if rows else [[] for _ in arrow]
         return pa.RecordBatch.from_arrays([pa.array([tuple_struct(v, f.type) for v in x] if pa.types.is_struct(f.type) else list(x), f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    def work(batches: Iterator[pa.RecordBatch]):
+    def by_row(reader: RowReader, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
-        for source, start, end, row, _, error in walk(plan, batches):
+        for source, start, end, row, _, error in walk(plan, iter([part]), reader):
             if error is not None:
                 if plan.on_error == "skip":
                     continue
@@ -309,6 +327,27 @@ def rows_of(plan: ReadPlan, size: int = 4096):
         if out:
             yield batch(out)
 
+    def work(batches: Iterator[pa.RecordBatch]):
+        reader = RowReader(plan)
+        fast = ColumnReader(plan.schema.columns, reader.wkb_of, plan.strip_hash)
+        wanted: dict[tuple, bool] = {}
+        for b in batches:
+            names = list(zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True))
+            for key in set(names):
+                if key not in wanted:
+                    wanted[key] = layer_matches(plan.schema.layer, key[0], key[1], json.loads(key[2]))
+            if not all(wanted[k] for k in names):
+                b = b.filter(pa.array([wanted[k] for k in names]))
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                columns = fast.read(*(part.column(i).to_pylist() for i in (0, 6, 4, 5))) if plan.empty_as_null else None
+                if columns is None:
+                    yield from by_row(reader, part)
+                    continue
+                if plan.location:
+                    columns.append(pa.StructArray.from_arrays([part.column(i).cast(t.type) for i, t in zip((0, 1, 7), arrow.field(len(columns)).type, strict=True)], fields=list(arrow.field(len(columns)).type)))
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+
     return work
 
 

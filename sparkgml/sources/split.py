@@ -10,7 +10,7 @@ from functools import lru_cache
 from itertools import groupby
 from xml.etree import ElementTree
 from xml.parsers import expat
-from xml.sax.saxutils import quoteattr
+from xml.sax.saxutils import quoteattr, unescape as unescape_basic
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +23,9 @@ WFS1 = "http://www.opengis.net/wfs"
 #: kind: feature, header (one for each source), skipped (a source without features).
 SCHEMA = "kind string, source string, seq bigint, start bigint, end bigint, layer_ns string, layer string, ns string, bounded string, xml binary, info string"
 ARROW = pa.schema([("kind", pa.string()), ("source", pa.string()), ("seq", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("layer_ns", pa.string()), ("layer", pa.string()), ("ns", pa.string()), ("bounded", pa.string()), ("xml", pa.binary()), ("info", pa.string())])
-TAG = re.compile(rb"<(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>")
+TAG = re.compile(rb"<([^\s/><=\"']*+)(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>")
 #: Elements within each other in a feature, at most.
-MAX_DEPTH = 200
+MAX_DEPTH = 128
 #: Bytes of XML in an Arrow batch of features.
 BATCH_BYTES = 4 << 20
 
@@ -54,39 +54,53 @@ def layer_matches(selector: str, ns: str, name: str, prefixes: dict[str, str]) -
     return name == local and (not colon or prefixes.get(prefix) == ns)
 
 
-def name_of(expanded: str) -> tuple[str, str]:
-    ns, _, local = expanded.rpartition(" ")
-    return ns, local
+XMLNS = re.compile(rb"\sxmlns(?::([^\s=]+))?\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+ATTRIBUTE = re.compile(rb"\s([^\s=/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+#: How markup that isn't a tag starts and ends.
+OTHER_MARKUP = ((b"<!--", b"-->"), (b"<![CDATA[", b"]]>"), (b"<?", b"?>"))
+SPACE = b" \t\r\n"
+
+
+def unescape(text: str) -> str:
+    """References to characters, and the five named ones."""
+    text = re.sub(r"&#(?:x([0-9A-Fa-f]+)|([0-9]+));", lambda m: chr(int(m[1], 16) if m[1] else int(m[2])), text)
+    return unescape_basic(text, {"&quot;": '"', "&apos;": "'"})
+
+
+def unescaped(value: bytes) -> str:
+    text = value.decode("utf-8")
+    return unescape(text) if "&" in text else text
+
+
+@dataclass
+class Open:
+    """An element that is open outside features."""
+
+    raw: bytes
+    role: str  # collection, member, members
+    scope: dict[str, str]
+    bounded: str | None = None
 
 
 class Splitter:
-    """Walks a document once; features are handed on as byte ranges, unparsed."""
+    """Walks the markup around features; a feature is found by its end tag and handed on as a byte range, unparsed.
+
+    Only what stands outside features has to be well formed here; a feature
+    that isn't shows when it is parsed.
+    """
 
     def __init__(self, data: bytes, options: SplitOptions):
         self.data, self.options = data, options
-        self.out: list[tuple] = []
-        self.scopes: dict[str, list[str]] = {}
-        self.states: list[tuple[str, str | None]] = []  # role of each open element, and the boundedBy of its collection
+        self.open: list[Open] = []
+        self.outside: dict[str, str] = {}
         self.root: tuple[str, str] | None = None
         self.header: dict = {}
         self.referenced = self.seq = 0
-        self.feature: tuple | None = None
-        self.bounded_at: int | None = None
         self.members_seen = False
-        p = self.parser = expat.ParserCreate("utf-8", " ")
-        p.namespace_prefixes = False
-        p.ordered_attributes = False
-        p.StartNamespaceDeclHandler = lambda prefix, uri: self.scopes.setdefault(prefix or "", []).append(uri or "")
-        p.EndNamespaceDeclHandler = lambda prefix: self.scopes[prefix or ""].pop()
-        p.StartElementHandler, p.EndElementHandler = self.start, self.end
-        p.StartDoctypeDeclHandler = self.doctype
-
-    @staticmethod
-    def doctype(*_):
-        raise SplitError("a DTD is not supported")
-
-    def prefixes(self) -> dict[str, str]:
-        return {p: uris[-1] for p, uris in self.scopes.items() if uris}
+        self.contexts: dict[int, str] = {}
+        self.wanted: dict[tuple, bool] = {}
+        self.names: dict[tuple, tuple] = {}
+        self.scopes: dict[tuple, dict[str, str]] = {}
 
     def role(self, ns: str, name: str) -> str | None:
         for want, local, many in self.options.member_rules:
@@ -94,73 +108,164 @@ class Splitter:
                 return "members" if many else "member"
         return None
 
-    def start(self, expanded: str, attrs: dict[str, str]) -> None:
-        ns, name = name_of(expanded)
-        if not self.states:
+    def find(self, what: bytes, at: int) -> int:
+        found = self.data.find(what, at)
+        if found < 0:
+            raise SplitError(f"not well formed: no {what.decode()} after byte {at}")
+        return found
+
+    def after_other(self, at: int) -> int:
+        """The end of a comment, CDATA section or processing instruction at a byte."""
+        for start, end in OTHER_MARKUP:
+            if self.data.startswith(start, at):
+                return self.find(end, at + len(start)) + len(end)
+        if self.data.startswith(b"<!DOCTYPE", at):
+            raise SplitError("a DTD is not supported")
+        raise SplitError(f"not well formed: markup at byte {at}")
+
+    def tag(self, at: int) -> tuple[bytes, int]:
+        """Raw name and end of the start tag at a byte."""
+        m = TAG.match(self.data, at)
+        if not m or not m[1]:
+            raise SplitError(f"not well formed: no tag at byte {at}")
+        return m[1], m.end()
+
+    def scope_of(self, at: int, end: int, above: dict[str, str]) -> dict[str, str]:
+        if self.data.find(b"xmlns", at, end) < 0:
+            return above
+        key = (id(above), *XMLNS.findall(self.data, at, end))
+        if key not in self.scopes:  # features that declare the same share one scope
+            self.scopes[key] = above | {p.decode("utf-8"): unescaped(a or b) for p, a, b in key[1:]}
+        return self.scopes[key]
+
+    def resolve(self, raw: bytes, scope: dict[str, str]) -> tuple[str, str, str | None]:
+        """Namespace, local name, and the member rule that names it; found once for each scope."""
+        known = self.names.get((raw, id(scope)))
+        if known is None:
+            prefix, _, local = raw.decode("utf-8").rpartition(":")
+            if prefix and prefix not in scope:
+                raise SplitError(f"not well formed: unbound prefix {prefix}")
+            ns = scope.get(prefix, "")
+            known = self.names[raw, id(scope)] = (ns, local, self.role(ns, local))
+        return known
+
+    def attributes(self, at: int, end: int, scope: dict[str, str]) -> dict[tuple[str, str], str]:
+        """By namespace and local name, without declarations."""
+        out = {}
+        for m in ATTRIBUTE.finditer(self.data, at, end):
+            prefix, _, local = m[1].decode("utf-8").rpartition(":")
+            if "xmlns" not in (prefix, local if not prefix else ""):
+                out[scope.get(prefix, "") if prefix else "", local] = unescaped(m[2] if m[2] is not None else m[3])
+        return out
+
+    def element_end(self, raw: bytes, end: int) -> int:
+        """Where the element ends whose start tag, of a raw name, ends at a byte: its end tag, past nested elements of the same name."""
+        data = self.data
+        if data[end - 2 : end] == b"/>":
+            return end
+        opening, closing, depth, at = b"<" + raw, b"</" + raw, 1, end
+        while True:
+            stop = self.find(closing, at)
+            other = min((x for x in (data.find(b"<!", at, stop), data.find(b"<?", at, stop)) if x >= 0), default=-1)
+            until = stop if other < 0 else other
+            inner = data.find(opening, at, until)
+            while inner >= 0:
+                name, after = self.tag(inner)
+                depth += name == raw and data[after - 2 : after] != b"/>"
+                inner = data.find(opening, after, until)
+            if other >= 0:
+                at = self.after_other(other)
+                continue
+            at = stop + len(closing)
+            if data[at : at + 1] == b">" or data[at : at + 1] in SPACE:
+                depth -= 1
+                at = self.find(b">", at) + 1
+                if not depth:
+                    return at
+
+    def context(self, scope: dict[str, str]) -> str:
+        """The scope as text, made once for each."""
+        if id(scope) not in self.contexts:
+            self.contexts[id(scope)] = json.dumps(scope, sort_keys=True)
+        return self.contexts[id(scope)]
+
+    def emit(self, at: int, stop: int, ns: str, name: str, scope: dict[str, str], bounded: str | None) -> Iterator[tuple]:
+        key = (ns, name, id(scope))
+        if key not in self.wanted:
+            self.wanted[key] = self.options.layers is None or any(layer_matches(s, ns, name, scope) for s in self.options.layers)
+        self.seq += 1
+        if self.wanted[key]:
+            yield self.seq - 1, at, stop, ns, name, self.context(scope), bounded, self.data[at:stop]
+
+    def start(self, at: int) -> Iterator[tuple]:
+        """Handles the start tag at a byte; returns where to go on."""
+        raw, end = self.tag(at)
+        parent = self.open[-1] if self.open else None
+        scope = self.scope_of(at, end, parent.scope if parent else self.outside)
+        ns, name, rule = self.resolve(raw, scope)
+        empty = self.data[end - 2 : end] == b"/>"
+        if parent is None:
+            if self.root is not None:
+                raise SplitError("not well formed: a second root")
             self.root = ns, name
-            self.header = {"root": f"{{{ns}}}{name}", "namespaces": self.prefixes(), "attributes": {name_of(k)[1]: v for k, v in attrs.items()}, "at": self.parser.CurrentByteIndex, "prefixes": self.prefixes()}
-            self.states.append(("collection", None))
-            return
-        parent, bounded = self.states[-1]
-        role = "inside"
-        if parent == "collection":
-            role = self.role(ns, name) or ("collection" if name in ("additionalObjects", "SimpleFeatureCollection", "FeatureCollection") else "bounds" if name == "boundedBy" and ns in (GML, GML32, WFS2) else "other")
-            if role == "bounds":
-                self.bounded_at = self.parser.CurrentByteIndex
-            if role in ("member", "members"):
+            self.header = {"root": f"{{{ns}}}{name}", "namespaces": dict(scope), "attributes": {k[1]: v for k, v in self.attributes(at, end, scope).items()}}
+            if empty:
+                yield from self.whole_root(at, end, scope)
+            else:
+                self.root_at = at
+                self.open.append(Open(raw, "collection", scope))
+            return end
+        if parent.role == "collection":
+            role = rule
+            if role:
                 self.members_seen = True
-                if role == "member" and attrs.get(f"{XLINK} href"):
+                if role == "member" and self.data.find(b"href", at, end) >= 0 and self.attributes(at, end, scope).get((XLINK, "href")):
                     self.referenced += 1
-        elif parent in ("member", "members"):
-            if name.endswith("FeatureCollection") and ns in (GML, GML32, WFS1, WFS2):
+            elif name in ("additionalObjects", "SimpleFeatureCollection", "FeatureCollection"):
                 role = "collection"
             else:
-                role = "feature"
-                self.feature = (self.parser.CurrentByteIndex, ns, name, self.prefixes(), bounded)
-        self.states.append((role, bounded if role != "collection" else None))
-
-    def end_of_tag(self, at: int) -> int:
-        m = TAG.match(self.data, at)
-        if not m:
-            raise SplitError(f"no tag at byte {at}")
-        return m.end()
-
-    def stop(self, at: int) -> int:
-        """Where the element that starts at a byte ends."""
-        first = self.end_of_tag(at)
-        return first if self.data[first - 2 : first] == b"/>" else self.end_of_tag(self.parser.CurrentByteIndex)
-
-    def end(self, expanded: str) -> None:
-        role, _ = self.states.pop()
-        if role == "feature":
-            at, ns, name, prefixes, bounded = self.feature
-            self.emit(at, self.stop(at), ns, name, prefixes, bounded)
-        elif role == "bounds" and self.states:
-            inner = self.data[self.bounded_at : self.stop(self.bounded_at)]
-            self.states[-1] = (self.states[-1][0], json.dumps({"xml": inner.decode("utf-8"), "ns": self.prefixes()}))
-        elif not self.states and not self.members_seen and self.options.allow_single_feature_root and self.root and not self.root[1].endswith("Collection") and not (self.root[0] == WFS2 or self.root[0].startswith(WFS1)):
-            h = self.header
-            self.emit(h["at"], self.stop(h["at"]), *self.root, h["prefixes"], None)
-
-    def emit(self, at: int, stop: int, ns: str, name: str, prefixes: dict[str, str], bounded: str | None) -> None:
-        wanted = self.options.layers
-        if wanted is None or any(layer_matches(s, ns, name, prefixes) for s in wanted):
-            self.out.append((self.seq, at, stop, ns, name, json.dumps(prefixes, sort_keys=True), bounded, self.data[at:stop]))
-        self.seq += 1
+                stop = self.element_end(raw, end)
+                if name == "boundedBy" and ns in (GML, GML32, WFS2):
+                    parent.bounded = json.dumps({"xml": self.data[at:stop].decode("utf-8"), "ns": scope})
+                return stop
+        elif name.endswith("FeatureCollection") and ns in (GML, GML32, WFS1, WFS2):
+            role = "collection"
+        else:
+            stop = self.element_end(raw, end)
+            yield from self.emit(at, stop, ns, name, scope, parent.bounded)
+            return stop
+        if not empty:
+            self.open.append(Open(raw, role, scope, None if role == "collection" else parent.bounded))
+        return end
+
+    def whole_root(self, at: int, stop: int, scope: dict[str, str]) -> Iterator[tuple]:
+        ns, name = self.root
+        if not self.members_seen and self.options.allow_single_feature_root and not name.endswith("Collection") and ns != WFS2 and not ns.startswith(WFS1):
+            yield from self.emit(at, stop, ns, name, scope, None)
 
     def run(self) -> Iterator[tuple]:
         """Features as tuples (seq, start, end, namespace, name, prefixes, boundedBy, xml)."""
-        size = 1 << 20
-        try:
-            for at in range(0, len(self.data), size):
-                self.parser.Parse(self.data[at : at + size], False)
-                yield from self.out
-                self.out = []
-            self.parser.Parse(b"", True)
-        except expat.ExpatError as e:
-            raise SplitError(f"not well formed: {e}") from None
-        yield from self.out
-        self.out = []
+        data, at = self.data, 0
+        if data.startswith(b"\xef\xbb\xbf"):
+            at = 3
+        while (found := data.find(b"<", at)) >= 0:
+            if not self.open and data[at:found].strip():
+                raise SplitError(f"not well formed: text at byte {at}")
+            mark = data[found + 1 : found + 2]
+            if mark in (b"!", b"?"):
+                at = self.after_other(found)
+            elif mark == b"/":
+                at = self.find(b">", found) + 1
+                raw = data[found + 2 : at - 1].rstrip(SPACE)
+                if not self.open or self.open[-1].raw != raw:
+                    raise SplitError(f"not well formed: end tag {raw.decode('utf-8', 'replace')} at byte {found}")
+                closed = self.open.pop()
+                if not self.open:
+                    yield from self.whole_root(self.root_at, at, closed.scope)
+            else:
+                at = yield from self.start(found)
+        if self.open or self.root is None or data[at:].strip():
+            raise SplitError("not well formed: the document ends early" if self.open else "not well formed: no element" if self.root is None else f"not well formed: text at byte {at}")
 
 
 def split_rows(options: SplitOptions) -> Callable:
@@ -178,7 +283,7 @@ def split_rows(options: SplitOptions) -> Callable:
                     if held >= BATCH_BYTES:
                         yield batch(rows)
                         rows, held = [], 0
-                info = json.dumps({k: v for k, v in s.header.items() if k not in ("at", "prefixes")} | {"referenced": s.referenced, "features": s.seq})
+                info = json.dumps(s.header | {"referenced": s.referenced, "features": s.seq})
                 rows.append(("header" if s.seq else "skipped", name, None, None, None, None, None, None, None, None, info))
                 yield batch(rows)
 
@@ -220,6 +325,14 @@ def split_by_tag(spark, paths: str | list[str], member: str = "gml:featureMember
     return lines.mapInArrow(work, SCHEMA)
 
 
+def parse_scope(context: str, known: dict[str, bytes]) -> bytes:
+    """A start tag that declares the namespaces of a context; `known` is the caller's memory."""
+    if context not in known:
+        declared = "".join(f' xmlns{":" + p if p else ""}={quoteattr(u)}' for p, u in json.loads(context).items() if p != "xml")
+        known[context] = f"<_{declared}>".encode()
+    return known[context]
+
+
 def parse_elements(xmls: list[bytes], prefixes: dict[str, str]) -> list[Node]:
     """Elements cut out of a document, with the namespaces that hold there, as trees; all in one parse."""
     declared = "".join(f' xmlns{":" + p if p else ""}={quoteattr(u)}' for p, u in prefixes.items() if p != "xml").encode()

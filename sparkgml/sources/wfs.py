@@ -172,15 +172,17 @@ def inspect(xml: bytes) -> Page:
     return Page(number(attr("numberMatched")), number(attr("numberReturned") or attr("numberOfFeatures")), (attr("next") or "").replace("&amp;", "&") or None, not done)
 
 
-def read_pages(base: str, request: GetFeature, *, size: int, paged: bool, timeout: float = 30, retries: int = 3, headers: dict[str, str] | None = None) -> Iterator[tuple[str, bytes]]:
+def read_pages(base: str, request: GetFeature, *, size: int, paged: bool, first: int = 0, stop: int | None = None, timeout: float = 30, retries: int = 3, headers: dict[str, str] | None = None) -> Iterator[tuple[str, bytes]]:
     """(name, content) of page after page. By offset; a next link of a 2.0 answer is taken up.
 
     A truncated page is asked for again at half the size. With a known total
-    short pages go on; without one a short page is the last.
+    short pages go on; without one a short page is the last. With `stop` the
+    pages are those of features from `first` up to it: short pages are filled
+    up, and it is an error if the server gives fewer or others.
     """
-    start, got, total, link, tries = 0, 0, None, None, 0
+    start, got, total, link, tries = first, 0, None, None, 0
     while True:
-        request.start, request.count = (start, size) if paged else (None, None)
+        request.start, request.count = (start, size if stop is None else min(size, stop - start)) if paged else (None, None)
         url = link or request.url(base)
         body = None
         if link is None and len(url) > LONGEST_URL and not request.bbox and not request.vendor:
@@ -197,6 +199,13 @@ def read_pages(base: str, request: GetFeature, *, size: int, paged: bool, timeou
         n = page.returned if page.returned is not None else len(re.findall(rb"<(?:\w+:)?(?:featureMember|member)[\s>]", xml))
         total = page.matched if page.matched is not None else total
         got += n
+        if stop is not None:
+            start = first + got
+            if not n or start > stop:
+                raise WfsError(f"{url}: {got} features from {first} on, not {stop - first}")
+            if start == stop:
+                return
+            continue
         if page.next and request.version.startswith("2."):
             link = page.next
         elif link or not paged or not n or total is not None and got >= total or total is None and n < size:
@@ -245,13 +254,8 @@ class WfsClient:
         def work(batches: Iterator[pa.RecordBatch]):
             for b in batches:
                 for start in b.column(0).to_pylist():
-                    if start < 0:
-                        pages = read_pages(base, request, size=size, paged=caps.pages(), **http)
-                    else:
-                        request.start, request.count = start, size
-                        pages = [(request.url(base), http_get(request.url(base), **http))]
-                        inspect(pages[0][1])
-                    for name, xml in pages:
+                    stop = None if start < 0 else min(start + size, total)
+                    for name, xml in read_pages(base, request, size=size, paged=caps.pages(), first=max(start, 0), stop=stop, **http):
                         yield pa.record_batch([pa.array([name]), pa.array([xml], pa.binary())], ["name", "content"])
 
         return spark.createDataFrame([(s,) for s in starts], "start int").repartition(len(starts)).mapInArrow(work, SCHEMA)

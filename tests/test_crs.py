@@ -31,6 +31,21 @@ def test_decisions():
     assert decide("x", "gml3", None, Context()).reason == "unknown CRS"
 
 
+def test_range_and_producers():
+    urn, short = "urn:ogc:def:crs:EPSG::4258", "EPSG:4326"
+    north = decide(urn, "gml3", Evidence((42, 42), (30, 30)), Context())
+    assert north.swap and north.reason == "coordinate range"  # as (30, 42) it is in the area, as (42, 30) 1.8 degrees beyond
+    add_user_crs(Crs(999998, "across", "N", True, "GRS80", (170, -40, -170, -10), "WGS84"))
+    across = [decide("EPSG:999998", "gml3", Evidence(a, b), Context()) for a, b in (((-20, -15), (175, 179)), ((175, 179), (-20, -15)), ((-20, -15), (-179, 178)))]
+    assert [(d.swap, d.reason) for d in across] == [(True, "coordinate range"), (False, "coordinate range"), (True, "coordinate range")]
+    assert decide(short, "gml3", None, Context("fme")).swap and not decide("http://www.opengis.net/gml/srs/epsg.xml#4326", "gml3", None, Context("fme")).swap
+    assert decide(short, "gml3", None, Context("mapserver.gis.umn.edu", "1.1.0")).swap and not decide(short, "gml3", None, Context("mapserver.gis.umn.edu", "1.0.0")).swap
+    assert decide(short, "gml3", None, Context("/wfsserver", "1.1.0")).reason == "ArcGIS Server's WFS 1.1"
+    assert decide(short, "gml3", None, Context("", "1.1.0", "urn:ogc:def:crs:EPSG::4326")).swap and not decide(short, "gml3", None, Context("", "1.1.0")).swap
+    warned = decide(short, "gml3", Evidence((10, 11), (50, 51), [], (49, 9, 52, 12)), Context(requested_box=(49, 9, 52, 12)))
+    assert len(warned.conflicts) == 2 and not warned.swap
+
+
 def test_published_examples():
     """Worked examples of the EPSG guidance note on coordinate conversions."""
     lon, lat = np.array([0.5]), np.array([50.5])

@@ -14,7 +14,7 @@ CAPS = b"""<?xml version="1.0"?><w:WFS_Capabilities version="2.0.0" xmlns:w="htt
 
 
 class Handler(BaseHTTPRequestHandler):
-    failures = 1
+    failures, cap, cut, missing = 1, N, 0, 0
 
     def log_message(self, *_):
         pass
@@ -30,9 +30,12 @@ class Handler(BaseHTTPRequestHandler):
             self.send_error(503)
             return
         else:
-            start, count = int(q.get("startindex", 0)), int(q.get("count", N))
-            rows = "".join(f'<w:member><A xmlns="urn:t"><n>{i}</n></A></w:member>' for i in range(start, min(N, start + count)))
-            body = f'<w:FeatureCollection xmlns:w="http://www.opengis.net/wfs/2.0" numberMatched="{N}" numberReturned="{min(count, N - start)}">{rows}</w:FeatureCollection>'.encode()
+            start, count, there = int(q.get("startindex", 0)), min(int(q.get("count", N)), Handler.cap), N - Handler.missing
+            rows = "".join(f'<w:member><A xmlns="urn:t"><n>{i}</n></A></w:member>' for i in range(start, min(there, start + count)))
+            body = f'<w:FeatureCollection xmlns:w="http://www.opengis.net/wfs/2.0" numberMatched="{N}" numberReturned="{max(0, min(count, there - start))}">{rows}</w:FeatureCollection>'.encode()
+            if Handler.cut:
+                Handler.cut -= 1
+                body = body[: len(body) // 2]
         self.send_response(200)
         self.end_headers()
         self.wfile.write(body)
@@ -54,6 +57,22 @@ def test_paging(spark, server, sort_by):
     assert sorted(r.n for r in df.collect()) == list(range(N))
 
 
+@pytest.mark.parametrize("sort_by", [None, "n"])
+@pytest.mark.parametrize("cap, cut", [(4, 0), (10, 2), (3, 1)])
+def test_short_and_cut_pages(spark, server, monkeypatch, sort_by, cap, cut):
+    """A server may give less than it is asked for; nothing is lost."""
+    monkeypatch.setattr(Handler, "cap", cap)
+    monkeypatch.setattr(Handler, "cut", cut)
+    df = read(spark, WfsClient(server).sources(spark, "t:A", sort_by=sort_by), "A", {"n": "bigint"})
+    assert sorted(r.n for r in df.collect()) == list(range(N))
+
+
+def test_missing_features(spark, server, monkeypatch):
+    monkeypatch.setattr(Handler, "missing", 2)
+    with pytest.raises(Exception, match="features from 20 on, not 5"):
+        read(spark, WfsClient(server).sources(spark, "t:A", sort_by="n"), "A", {"n": "bigint"}).collect()
+
+
 def test_requests():
     r = GetFeature("t:A", "1.1.0", start=5, count=10, sort_by="a desc, b")
     assert "MAXFEATURES=10" in r.url("http://x/wfs?request=foo&map=1") and "map=1" in r.url("http://x/wfs?map=1") and "SORTBY=a+D%2Cb+A" in r.url("http://x")
