@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import re
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -17,6 +17,7 @@ ZONE = r"(Z|[+-][0-9]{2}:[0-9]{2})?"
 DATE = re.compile(rf"(-?[0-9]{{4,9}})-([0-9]{{2}})-([0-9]{{2}}){ZONE}\Z")
 TIME = re.compile(rf"([0-9]{{2}}):([0-9]{{2}}):([0-9]{{2}})(?:\.([0-9]+))?{ZONE}\Z")
 DATETIME = re.compile(rf"(-?[0-9]{{4,9}})-([0-9]{{2}})-([0-9]{{2}})T([0-9]{{2}}):([0-9]{{2}}):([0-9]{{2}})(?:\.([0-9]+))?{ZONE}\Z")
+NUMBER_CHARS = re.compile(r"[0-9+.eE-]+\Z")
 RANGES = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
 
 #: Bits of a type set.
@@ -133,9 +134,11 @@ def leading_zero(text: str) -> bool:
 
 def exact_float(text: str) -> bool:
     """Whether the shortest decimal of the double is the number written."""
+    if len(text) <= 15 + ("." in text) and "e" not in text and "E" not in text:
+        return True  # 15 digits always come back
     try:
         return Decimal(text).normalize() == Decimal(repr(float(text))).normalize() and math.isfinite(float(text))
-    except (InvalidOperation, OverflowError):
+    except ArithmeticError:
         return False
 
 
@@ -147,12 +150,15 @@ def classify(text: str) -> tuple[int, int]:
     and spellings 1, 0, True of a boolean are lossy.
     """
     exact, lossy = STRING, STRING
+    first = text[0]
+    if first not in "+-.0123456789" and first not in "tTfF":
+        return exact, lossy
     if text in ("true", "false"):
         exact |= BOOL
         lossy |= BOOL
     elif text in ("1", "0") or text.lower() in ("true", "false"):
         lossy |= BOOL
-    if not leading_zero(text):
+    if not leading_zero(text) and NUMBER_CHARS.match(text):
         if INT.match(text):
             if -(1 << 63) <= int(text) < 1 << 63:
                 lossy |= INTEGER
@@ -160,6 +166,8 @@ def classify(text: str) -> tuple[int, int]:
         if FLOAT.match(text):
             lossy |= DOUBLE
             exact |= DOUBLE if exact_float(text) and text[0] != "+" else 0
+    if len(text) < 8 or text[2] != ":" and "-" not in text[4:10]:
+        return exact, lossy
     for pattern, bit, read in ((DATE, DATE_, read_date), (TIME, TIME_, read_time), (DATETIME, TIMESTAMP, None)):
         if (m := pattern.match(text)) and ":60" not in text[:19] and not (bit != TIME_ and len(m[1].lstrip("-")) > 4 and m[1].lstrip("-")[0] == "0"):
             try:
@@ -172,12 +180,22 @@ def classify(text: str) -> tuple[int, int]:
 
 
 def zone_of(text: str) -> int | None:
+    if len(text) < 9 or text[-1] != "Z" and text[-3] != ":":
+        return None
     m = DATE.match(text) or TIME.match(text) or DATETIME.match(text)
     return zone_minutes(m[m.lastindex if m.re is not DATETIME else 8]) if m and m.group(m.re.groups) else None
 
 
+def digits_of(text: str) -> int:
+    """Significant digits of a decimal number as written: without sign, point, exponent and zeros before the first."""
+    m = FLOAT.match(text)
+    return max(1, len(re.split("[eE]", text.lstrip("+-"))[0].replace(".", "").lstrip("0"))) if m else 0
+
+
 def scale_of(text: str) -> int:
     """Fractional digits as written."""
+    if "." not in text:
+        return 0
     m = re.match(r"[+-]?[0-9]*\.([0-9]*)", text)
     return len(m[1]) if m else 0
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from xml.etree.ElementTree import Element
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.crs import dialect_of
-from ..functions.gml_geometry import UNSUPPORTED, Node, Scope, geometry, is_geometry, srs_of
+from ..functions.gml_geometry import UNSUPPORTED, XLINK, Node, Scope, geometry, is_geometry, srs_of
 from ..functions.geometry import GeometryError, has_curves, positions
-from ..functions.lexical import ALL, INTEGER, classify, scale_of, zone_of
-from ..sources.split import SplitError, parse_batch, parse_element
+from ..functions.lexical import ALL, DOUBLE, INTEGER, STRING, classify, digits_of, scale_of, zone_of
+from ..sources.split import SplitError, attribute_name, parse_element, parse_trees, tree_of
 
 MAX_DEPTH, MAX_CHILDREN, DISTINCT = 16, 512, 64
 COUNTS = ("instances", "parents", "empty", "single_child", "by_reference", "href_and_content", "nil", "n_values", "n_zone", "n_elements", "n_geometry")
-FIELDS = [("layer_ns", pa.string()), ("layer", pa.string()), ("path", pa.string()), ("source", pa.string()), ("start", pa.int64()), ("place", pa.int32()), *((c, pa.int64()) for c in COUNTS), ("max_occurs", pa.int64()), ("exact", pa.int32()), ("lossy", pa.int32()), ("int_min", pa.string()), ("int_max", pa.string()), ("max_len", pa.int64()), ("max_scale", pa.int64()), ("zone_min", pa.int32()), ("zone_max", pa.int32()), ("values", pa.list_(pa.string())), ("mixed", pa.bool_()), ("truncated", pa.bool_()), ("kinds", pa.list_(pa.string())), ("curves", pa.bool_()), ("srs", pa.list_(pa.string())), ("dims", pa.list_(pa.int32())), ("wrappers", pa.list_(pa.string()))]
+FIELDS = [("layer_ns", pa.string()), ("layer", pa.string()), ("path", pa.string()), ("source", pa.string()), ("start", pa.int64()), ("place", pa.int32()), *((c, pa.int64()) for c in COUNTS), ("max_occurs", pa.int64()), ("exact", pa.int32()), ("lossy", pa.int32()), ("int_min", pa.string()), ("int_max", pa.string()), ("max_len", pa.int64()), ("max_scale", pa.int64()), ("max_digits", pa.int64()), ("zone_min", pa.int32()), ("zone_max", pa.int32()), ("values", pa.list_(pa.string())), ("mixed", pa.bool_()), ("truncated", pa.bool_()), ("kinds", pa.list_(pa.string())), ("curves", pa.bool_()), ("srs", pa.list_(pa.string())), ("dims", pa.list_(pa.int32())), ("wrappers", pa.list_(pa.string()))]
 def ddl(fields: list[tuple]) -> str:
     kinds = {"int64": "bigint", "int32": "int", "bool": "boolean", "string": "string", "double": "double"}
     return ", ".join(f"{n} {kinds.get(str(t)) or ('array<int>' if 'int32' in str(t) else 'array<string>')}" for n, t in fields)
@@ -31,7 +34,7 @@ AXIS_FIELDS = [("source", pa.string()), ("srs_name", pa.string()), ("dialect", p
 class Stats:
     """Of one path within a task."""
 
-    __slots__ = ("at", "counts", "max_occurs", "exact", "lossy", "ints", "max_len", "scale", "zones", "values", "mixed", "truncated", "kinds", "curves", "srs", "dims", "wrappers")
+    __slots__ = ("at", "counts", "max_occurs", "exact", "lossy", "ints", "max_len", "scale", "zones", "values", "pending", "digits", "mixed", "truncated", "kinds", "curves", "srs", "dims", "wrappers")
 
     def __init__(self, at: tuple):
         self.at = at
@@ -40,29 +43,79 @@ class Stats:
         self.ints: list[int] = []
         self.zones: list[int] = []
         self.values: set[str] | None = set()
+        self.pending: list[str] = []
+        self.digits = 0
         self.mixed = self.truncated = self.curves = False
         self.kinds: set[str] = set()
         self.srs: set[str] = set()
         self.dims: set[int] = set()
         self.wrappers: set[str] = set()
 
-    def value(self, text: str) -> None:
-        self.counts["n_values"] += 1
-        exact, lossy = classify(text)
-        self.exact &= exact
-        self.lossy &= lossy
-        self.max_len = max(self.max_len, len(text))
-        self.scale = max(self.scale, scale_of(text))
-        if lossy & INTEGER:
-            self.ints = [min([*self.ints, int(text)]), max([*self.ints, int(text)])]
-        zone = zone_of(text)
-        if zone is not None:
-            self.counts["n_zone"] += 1
-            self.zones = [min([*self.zones, zone]), max([*self.zones, zone])]
+    def settle(self) -> None:
+        """Counts the values that have come in, each different one once."""
+        if not self.pending:
+            return
+        counted, self.pending = Counter(self.pending), []
+        self.counts["n_values"] += counted.total()
+        texts = list(counted)
         if self.values is not None:
-            self.values.add(text)
+            self.values.update(texts[: DISTINCT + 1])
             if len(self.values) > DISTINCT:
                 self.values = None
+        self.max_len = max(self.max_len, *map(len, texts))
+        if len(texts) > 16 and (kind := alike(texts)) is not None:
+            self.exact &= kind
+            self.lossy &= kind
+            if kind & INTEGER:
+                ints = pc.min_max(pa.array(texts).cast(pa.int64()))
+                self.ints = [min([*self.ints, ints["min"].as_py()]), max([*self.ints, ints["max"].as_py()])]
+            elif kind & DOUBLE:
+                self.scale = max(self.scale, *[len(t) - t.index(".") - 1 for t in texts])
+            if kind & DOUBLE:
+                self.digits = max(self.digits, *map(digits_of, texts))
+            return
+        for text, n in counted.items():
+            exact, lossy = classify(text)
+            self.exact &= exact
+            self.lossy &= lossy
+            self.scale = max(self.scale, scale_of(text))
+            self.digits = max(self.digits, digits_of(text))
+            if lossy & INTEGER:
+                self.ints = [min([*self.ints, int(text)]), max([*self.ints, int(text)])]
+            zone = zone_of(text)
+            if zone is not None:
+                self.counts["n_zone"] += n
+                self.zones = [min([*self.zones, zone]), max([*self.zones, zone])]
+
+
+#: Texts of one look whose type sets follow from it: integers (but 0 and 1) and decimals of 15 digits at most, words.
+LOOKS = ((r"^-?(?:[2-9]|[1-9][0-9]{1,14})$", STRING | INTEGER | DOUBLE), (r"^-?(?:0|[1-9][0-9]{0,7})\.[0-9]{1,6}$", STRING | DOUBLE), (r"^[^-+.0-9tTfF]", STRING))
+
+
+def alike(texts: list[str]) -> int | None:
+    """The type set of all texts, if they have one look."""
+    column = pa.array(texts, pa.string())
+    for pattern, kind in LOOKS:
+        if pc.all(pc.match_substring_regex(column, pattern)).as_py():
+            return kind
+    return None
+
+
+@lru_cache(maxsize=100_000)
+def named(tag: str) -> tuple[str, bool]:
+    """Local name of an element, and whether it is a geometry."""
+    ns, _, name = tag.rpartition("}")
+    return name, is_geometry(Node(ns[1:], name, {}, "", 0, None))
+
+
+@lru_cache(maxsize=100_000)
+def observed_attribute(key: str) -> str | None:
+    """Name of an attribute that counts."""
+    name = attribute_name(key)
+    return None if name.startswith(("xsi:", "xml:")) else name.split(":")[-1].rpartition("}")[2]
+
+
+XSI_NIL, XLINK_HREF = "{http://www.w3.org/2001/XMLSchema-instance}nil", f"{{{XLINK}}}href"
 
 
 class Observer:
@@ -72,76 +125,94 @@ class Observer:
         self.paths: dict[tuple, Stats] = {}
         self.axis: dict[tuple, list] = {}
 
-    def feature(self, source: str, start: int, ns: str, layer: str, node: Node, bounded: dict | None = None) -> None:
+    def feature(self, source: str, start: int, ns: str, layer: str, node: Element, bounded: dict | None = None) -> None:
         self.key, self.at, self.place, self.bounded = (ns, layer), (source or "", start or 0), 0, bounded or {}
         root = self.stats("")
         root.counts["instances"] += 1
         self.attributes(node, "")
         self.children(node, "", 0)
 
+    def settle(self) -> None:
+        for s in self.paths.values():
+            s.settle()
+
     def stats(self, path: str) -> Stats:
         self.place += 1
         key = (*self.key, path)
-        if key not in self.paths:
-            self.paths[key] = Stats((*self.at, self.place))
-        return self.paths[key]
-
-    def attributes(self, node: Node, path: str) -> None:
-        for name, value in node.attrs.items():
-            if name.startswith("xsi:") or name.startswith("xml:"):
+        s = self.paths.get(key)
+        if s is None:
+            s = self.paths[key] = Stats((*self.at, self.place))
+        return s
+
+    def attributes(self, node: Element, path: str) -> None:
+        for key, value in node.attrib.items():
+            name = observed_attribute(key)
+            if name is None:
                 continue
-            local = name.split(":")[-1]
-            s = self.stats(f"{path}/@{local}" if path else f"@{local}")
+            s = self.stats(f"{path}/@{name}" if path else f"@{name}")
             s.counts["instances"] += 1
-            s.value(value.strip()) if value.strip() else None
+            if value := value.strip():
+                s.pending.append(value)
 
-    def children(self, node: Node, path: str, depth: int) -> None:
+    def children(self, node: Element, path: str, depth: int) -> None:
+        if not len(node):
+            return
         seen: dict[str, int] = {}
-        for c in node.children:
-            seen[c.name] = seen.get(c.name, 0) + 1
+        names = [named(c.tag) for c in node]
+        for name, _ in names:
+            seen[name] = seen.get(name, 0) + 1
         if len(seen) > MAX_CHILDREN or depth >= MAX_DEPTH:
             self.stats(path).truncated = True
             return
-        for c in node.children:
-            self.element(c, f"{path}/{c.name}" if path else c.name, depth + 1)
+        for c, (name, is_geom) in zip(node, names, strict=True):
+            self.element(c, name, is_geom, f"{path}/{name}" if path else name, depth + 1)
         for name, n in seen.items():
             s = self.paths[(*self.key, f"{path}/{name}" if path else name)]
             s.counts["parents"] += 1
             s.max_occurs = max(s.max_occurs, n)
 
-    def element(self, node: Node, path: str, depth: int) -> None:
+    def element(self, node: Element, name: str, is_geom: bool, path: str, depth: int) -> None:
         s = self.stats(path)
-        s.counts["instances"] += 1
-        nil = node.attr("xsi:nil") in ("true", "1")
-        s.counts["nil"] += nil
-        self.attributes(node, path)
-        inside = [c for c in node.children if is_geometry(c)]
-        text = node.text.strip()
-        if inside or is_geometry(node) and node.name == "Envelope":
-            for g in inside:
-                self.geometry(s, g, path)
-            return
-        if node.children:
-            s.counts["n_elements"] += 1
+        counts = s.counts
+        counts["instances"] += 1
+        nil, href = False, False
+        if node.attrib:
+            nil = node.attrib.get(XSI_NIL) in ("true", "1")
+            href = XLINK_HREF in node.attrib
+            counts["nil"] += nil
+            self.attributes(node, path)
+        text = (node.text or "").strip()
+        if n := len(node):
+            names = [named(c.tag) for c in node]
+            if any(g for _, g in names) or is_geom and name == "Envelope":
+                for c, (_, g) in zip(node, names, strict=True):
+                    if g:
+                        self.geometry(s, c, path)
+                return
+            counts["n_elements"] += 1
             if text:
                 s.mixed = True
-            names = {c.name for c in node.children}
-            if len(names) == 1 and len(node.children) == 1 and not text:
-                s.counts["single_child"] += 1
-            s.wrappers |= names if len(s.wrappers) < 8 else set()
-            if node.name == "boundedBy":
+            elif n == 1:
+                counts["single_child"] += 1
+            if len(s.wrappers) < 8:
+                s.wrappers.update(k for k, _ in names)
+            if name == "boundedBy":
                 return
             self.children(node, path, depth)
         elif text and not nil:
-            s.value(text)
-        href = node.attr("xlink:href") is not None
-        content = bool(text or node.children)
-        s.counts["href_and_content"] += href and content
-        s.counts["by_reference"] += href and not content
-        s.counts["empty"] += not href and not content
-
-    def geometry(self, s: Stats, node: Node, path: str) -> None:
+            s.pending.append(text)
+        content = bool(text or n)
+        counts["href_and_content"] += href and content
+        counts["by_reference"] += href and not content
+        counts["empty"] += not href and not content
+
+    def geometry(self, s: Stats, element: Element, path: str) -> None:
         s.counts["n_geometry"] += 1
+        try:
+            node = tree_of(element)
+        except SplitError:
+            s.kinds.add("Invalid")
+            return
         srs = srs_of(node, self.bounded.get("srs"))
         if srs:
             s.srs.add(srs)
@@ -162,9 +233,10 @@ class Observer:
                 box[6] = own if box[6] is None else (*map(min, own[:2], box[6][:2]), *map(max, own[2:], box[6][2:]))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
         out = []
         for (ns, layer, path), s in self.paths.items():
-            out.append((ns, layer, path, *s.at, *s.counts.values(), s.max_occurs, s.exact, s.lossy, str(s.ints[0]) if s.ints else None, str(s.ints[1]) if s.ints else None, s.max_len, s.scale, min(s.zones, default=None), max(s.zones, default=None), None if s.values is None else sorted(s.values), s.mixed, s.truncated, sorted(s.kinds), s.curves, sorted(s.srs), sorted(s.dims), sorted(s.wrappers)))
+            out.append((ns, layer, path, *s.at, *s.counts.values(), s.max_occurs, s.exact, s.lossy, str(s.ints[0]) if s.ints else None, str(s.ints[1]) if s.ints else None, s.max_len, s.scale, s.digits, min(s.zones, default=None), max(s.zones, default=None), None if s.values is None else sorted(s.values), s.mixed, s.truncated, sorted(s.kinds), s.curves, sorted(s.srs), sorted(s.dims), sorted(s.wrappers)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), FIELDS, strict=True)], [n for n, _ in FIELDS])
 
@@ -201,7 +273,7 @@ def observing(batches: Iterator[pa.RecordBatch], skip_bad: bool = False) -> Iter
         headers += [(k, s, i) for k, s, i in zip(kinds, b.column(1).to_pylist(), b.column(8).to_pylist(), strict=True) if k != "feature"]
         b = b.filter(pc.equal(b.column(0), "feature"))
         columns = [b.column(i).to_pylist() for i in range(1, 8)]
-        for source, start, ns, layer, _, bounded, _, node in zip(*columns, parse_batch(columns[6], columns[4], scopes), strict=True):
+        for source, start, ns, layer, _, bounded, _, node in zip(*columns, parse_trees(columns[6], columns[4], scopes), strict=True):
             if isinstance(node, SplitError):
                 if skip_bad:
                     continue
@@ -209,6 +281,7 @@ def observing(batches: Iterator[pa.RecordBatch], skip_bad: bool = False) -> Iter
             if bounded not in bounds:
                 bounds = {bounded: bounded_info(bounded)}
             o.feature(source, start, ns, layer, node, bounds[bounded])
+        o.settle()
     for what, part in (("path", o.rows()), ("axis", o.axis_rows()), ("header", header_rows(headers))):
         for found in part:
             n = found.num_rows
@@ -234,7 +307,7 @@ def observe(seen: DataFrame) -> DataFrame:
     """One row for each (layer, path) of observations()."""
     rows = seen.where("what = 'path'")
     merged = [F.sum(c).alias(c) for c in COUNTS]
-    merged += [F.max(c).alias(c) for c in ("max_occurs", "max_len", "max_scale", "zone_max")] + [F.min("zone_min").alias("zone_min")]
+    merged += [F.max(c).alias(c) for c in ("max_occurs", "max_len", "max_scale", "max_digits", "zone_max")] + [F.min("zone_min").alias("zone_min")]
     merged += [F.bit_and(c).alias(c) for c in ("exact", "lossy")] + [F.bool_or(c).alias(c) for c in ("mixed", "truncated", "curves")]
     merged += [F.min(F.col("int_min").cast("decimal(20,0)")).alias("int_min"), F.max(F.col("int_max").cast("decimal(20,0)")).alias("int_max")]
     merged += [F.min(F.struct("source", "start", "place")).alias("first_seen")]

@@ -81,7 +81,7 @@ class Inference:
                 kind = next(k for k, b in (("smallint", 15), ("int", 31), ("bigint", 63)) if -(1 << b) <= low and high < 1 << b)
             return kind, meta, "all integers"
         if types & DOUBLE:
-            return "double", {"gml:max_scale": int(s["max_scale"])} if s["max_scale"] else meta, "all numbers"
+            return "double", ({"gml:max_scale": int(s["max_scale"]), "gml:significant_digits": int(s["max_digits"])} if s["max_scale"] else meta), "all numbers"
         zones, n = s["n_zone"], s["n_values"]
         fixed = zones == n and s["zone_min"] == s["zone_max"]
         if zones and zones < n:

@@ -343,6 +343,28 @@ def parse_elements(xmls: list[bytes], prefixes: dict[str, str]) -> list[Node]:
     return [tree_of(e) for e in root]
 
 
+def parse_trees(xmls: list[bytes], contexts: list[str], known: dict[str, bytes]) -> Iterator[ElementTree.Element | SplitError]:
+    """The parser's own elements of a batch's features; neighbours under the same namespaces are parsed together. `known` is the caller's memory of contexts."""
+    at = 0
+    for context, group in groupby(contexts):
+        part = xmls[at : at + sum(1 for _ in group)]
+        at += len(part)
+        head = parse_scope(context, known)
+        try:
+            tree = ElementTree.fromstring(b"".join([head, *part, b"</_>"]))
+        except ElementTree.ParseError:
+            tree = ()
+        if len(tree) == len(part):
+            yield from tree
+            continue
+        for xml in part:  # which one?
+            try:
+                (one,) = ElementTree.fromstring(b"".join([head, xml, b"</_>"]))
+                yield one
+            except (ElementTree.ParseError, ValueError) as e:
+                yield SplitError(f"not well formed: {e}")
+
+
 def parse_batch(xmls: list[bytes], contexts: list[str], scopes: dict[str, dict[str, str]]) -> Iterator[Node | SplitError]:
     """Trees of a batch's features; neighbours under the same namespaces are parsed together. `scopes` is the caller's memory of contexts."""
     at = 0
