@@ -14,8 +14,8 @@ from .common import mix, pin, release, slices, texts, unpin
 from .graph import connected
 from .shingles import shingle_hashes, simhashes
 
-#: Rounds in which each row is compared with one row of its buckets, before all pairs that are left are compared.
-STAR_ROUNDS = 3
+#: Rounds in which each row is compared with one row of its buckets, before what is left is searched exactly.
+STAR_ROUNDS = 2
 #: Bands, and minima that are hashed together in each.
 BANDS, ROWS = 24, 5
 
@@ -63,14 +63,15 @@ def sets_of(shingle: int, seed: int):
 
 
 def measured(batches: Iterator[pa.RecordBatch]):
-    """Rows (u, v, a, b) of two sets: their Jaccard similarity."""
+    """Rows (u, v, a, b) of two sets: their Jaccard similarity, and how many members they share."""
     for batch in batches:
-        j = []
+        j, n = [], []
         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             j.append(both / (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64())], ["u", "v", "j"])
+            n.append(both)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64()), pa.array(n, pa.int64())], ["u", "v", "j", "both"])
 
 
 def similar_pairs(docs: DataFrame, sketches: DataFrame, seeds: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
@@ -82,12 +83,15 @@ def similar_pairs(docs: DataFrame, sketches: DataFrame, seeds: DataFrame, simila
     every row is compared with the one of its buckets that stands in the
     largest buckets, as the original of many copies does, and `seeds` are
     looked at. Then each row is compared with one row of its buckets a round,
-    a different one in each, unless they are in one component already. All
-    pairs of a bucket that are left in different components are compared at
-    last, but for those that the triangle inequality rules out by their
-    distances from the same first row. So large groups of copies cost a few
-    comparisons a row. Only texts that share a bucket or a seed are fetched,
-    once, as sets.
+    a different one in each, unless they are in one component already. What
+    is left, rows whose buckets are in different components, goes by the
+    first row p that it was compared with. Two sets that were compared with
+    the same p share at most min(|a & p|, |b & p|) members of p: either that is
+    enough for the similarity, or they share a member that p lacks, and such
+    members, unlike p's, are rare in a group of copies of p. Rows of different
+    p are compared if they share a bucket. So large groups of copies cost a
+    few comparisons a row, also of copies that are just too different. Only
+    texts that share a bucket or a seed are fetched, once, as sets.
     """
     spark = docs.sparkSession
     keys = sketches.select("id", "n", F.explode("keys").alias("key"))
@@ -104,7 +108,7 @@ def similar_pairs(docs: DataFrame, sketches: DataFrame, seeds: DataFrame, simila
         pairs = pin(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         a = members.select(F.col("id").alias("u"), F.col("members").alias("a"))
         b = members.select(F.col("id").alias("v"), F.col("members").alias("b"))
-        return pin(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(measured, "u long, v long, j double"))
+        return pin(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(measured, "u long, v long, j double, both long"))
 
     def near(pairs: DataFrame) -> DataFrame:
         return pairs.where(F.col("j") >= similarity - 1e-9).select("u", "v")
@@ -117,8 +121,8 @@ def similar_pairs(docs: DataFrame, sketches: DataFrame, seeds: DataFrame, simila
 
     first = pin(with_one(F.col("weight")))
     found = compared(first.unionByName(seeds))
-    ends = first.select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), F.col("u").alias("id"), F.col("v").alias("pivot"))
-    pivots = pin(ends.join(found, (F.col("lo") == F.col("u")) & (F.col("hi") == F.col("v"))).select("id", "pivot", (1 - F.col("j")).alias("far")))
+    ends = first.select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), F.col("u").alias("id"), F.col("v").alias("p"))
+    pivots = pin(ends.join(found, (F.col("lo") == F.col("u")) & (F.col("hi") == F.col("v"))).select("id", "p", "both"))
     edges = pin(near(found))
     for turn in range(1, STAR_ROUNDS + 1):
         star = connected(edges)
@@ -130,10 +134,39 @@ def similar_pairs(docs: DataFrame, sketches: DataFrame, seeds: DataFrame, simila
             pairs = with_one(F.xxhash64("id", F.lit(turn)))
         else:
             mixed = buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-            left = buckets.join(mixed, "key").join(pivots, "id", "left").select("key", "id", "n", "label", "pivot", "far")
-            other = left.select("key", *[F.col(c).alias(f"{c}2") for c in left.columns if c != "key"])
-            apart = F.coalesce((F.col("pivot") == F.col("pivot2")) & (F.abs(F.col("far") - F.col("far2")) > 1 - similarity + 1e-9), F.lit(False))
-            sizes = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
-            pairs = left.join(other, (left["key"] == other["key"]) & (F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & sizes & ~apart).select(F.col("id").alias("u"), F.col("id2").alias("v"))
+            # a row that ranks highest in all its buckets was compared with none: it is its own p
+            left = buckets.join(mixed, "key").join(pivots, "id", "left")
+            left = pin(left.select("key", "id", "n", "label", F.coalesce("p", "id").alias("p"), F.coalesce("both", "n").alias("both")))
+            pairs = left_pairs(left, members, similarity)
         edges = pin(star.select("u", "v").unionByName(near(compared(pairs))))
     return edges
+
+
+def own_members(batches: Iterator[pa.RecordBatch]):
+    """Rows (id, n, label, p, members, of_p) become one for each member that p lacks."""
+    for batch in batches:
+        own = [np.setdiff1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        sizes = [len(x) for x in own]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in range(4)), pa.array(np.concatenate(own))], ["id", "n", "label", "p", "t"])
+
+
+def left_pairs(left: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of rows (key, id, n, label, p, both) of different labels that may be similar; see similar_pairs()."""
+
+    def of_two(rows: DataFrame, on: list[str], more) -> DataFrame:
+        """Pairs of rows that are equal in `on`, differ in label, and may be similar by size."""
+        other = rows.select(*on, *[F.col(c).alias(f"{c}2") for c in rows.columns if c not in on])
+        sizes = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
+        pairs = rows.join(other, on).where((F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & sizes & more)
+        return pairs.select(F.col("id").alias("u"), F.col("id2").alias("v"))
+
+    rows = left.select("id", "n", "label", "p", "both").distinct()
+    sets = rows.join(members, "id").join(members.select(F.col("id").alias("p"), F.col("members").alias("of_p")), "p")
+    own = pin(sets.select("id", "n", "label", "p", "members", "of_p").mapInArrow(own_members, "id long, n long, label long, p long, t long"))
+    shared = of_two(own, ["p", "t"], F.lit(True))
+    # without a member of their own in common, two sets share what both have of p at most
+    least = F.least("both", "both2")
+    full = of_two(rows.where(F.col("both") >= similarity * F.col("n") - 1e-9), ["p"], least >= similarity * (F.col("n") + F.col("n2") - least) - 1e-9)
+    apart = of_two(left.drop("both"), ["key"], F.col("p") != F.col("p2"))
+    return shared.unionByName(full).unionByName(apart)

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline as P
 from sparkgml.llm.common import pin
 from sparkgml.llm.simhash import simhash_dedup
@@ -38,8 +40,21 @@ def copies(seed, n):
     return [*docs, (n, "one two"), (n + 1, "ONE  two"), (n + 2, "one two three"), (n + 3, "")]
 
 
-def test_against_brute_force(spark):
-    docs = copies(5, 300)
+def crowd(seed, n):
+    """Copies of one text and of a shortened one, most of them just too different from each other."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(90)]
+    docs = []
+    for i in range(n):
+        words = list(base if i % 4 else base[: rng.randint(68, 80)])
+        for _ in range(rng.randint(2, 6)):
+            words[rng.randrange(len(words))] = rng.choice(["x1", "x2", f"y{rng.randint(0, 900)}"])
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+@pytest.mark.parametrize("docs", [copies(5, 300), crowd(6, 260)], ids=["copies", "crowd"])
+def test_against_brute_force(spark, docs):
     got = {r.doc_id: (r.component_id, r.kept) for r in simhash_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), shingle=5, similarity=0.8).collect()}
     want = brute(docs)
     assert got == {i: (x, i == x) for i, x in want.items()} and len(set(want.values())) > 30
