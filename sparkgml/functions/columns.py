@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.split import parse_element
-from .geometry import Geometry, bbox, linearize, read_wkb, swap_xy, wkt, write_wkb
+from .crs import parse_srs
+from .geometry import Geometry, bbox, linearize, read_wkb, reverse, swap_xy, wkt, write_wkb
 from .gml_geometry import Scope, geometry, srs_of
 from .project import Transform, geodesic_direct, geodesic_inverse
 
@@ -26,9 +26,19 @@ def each(s: pd.Series, f: Callable[[Geometry], object]) -> list:
     return [None if v is None else f(read_wkb(bytes(v))) for v in s]
 
 
+def points_of(g: pd.Series) -> np.ndarray | None:
+    """Positions of a column of two-dimensional little-endian points; None if it has anything else."""
+    if not len(g) or g.isna().any() or not (g.str.len() == 21).all():
+        return None
+    raw = np.frombuffer(b"".join(g), np.dtype([("head", "u1", 5), ("xy", "<f8", 2)]))
+    return raw["xy"] if (raw["head"] == [1, 1, 0, 0, 0]).all() else None
+
+
 @F.pandas_udf(BOX)
 def wkb_bbox(g: pd.Series) -> pd.DataFrame:
     """Box of each geometry, arcs as far as they reach; NaN for empty ones, null for null."""
+    if (xy := points_of(g)) is not None:
+        return pd.DataFrame(np.concatenate([xy, xy], axis=1), columns=["xmin", "ymin", "xmax", "ymax"])
     boxes = each(g, lambda x: (bbox(x) or (np.nan,) * 4)[:4])
     return pd.DataFrame([(None,) * 4 if b is None else b for b in boxes], columns=["xmin", "ymin", "xmax", "ymax"], dtype=object)
 
@@ -48,6 +58,11 @@ def wkb_swap_xy(g: pd.Series) -> pd.Series:
     return pd.Series(each(g, lambda x: write_wkb(swap_xy(x))), dtype=object)
 
 
+@F.pandas_udf(T.BinaryType())
+def wkb_reverse(g: pd.Series) -> pd.Series:
+    return pd.Series(each(g, lambda x: write_wkb(reverse(x))), dtype=object)
+
+
 @F.pandas_udf(T.BinaryType())
 def wkb_linearize(g: pd.Series) -> pd.Series:
     return pd.Series(each(g, lambda x: write_wkb(linearize(x))), dtype=object)
@@ -103,25 +118,17 @@ def gml_to_wkb(xml: pd.Series) -> pd.Series:
     return pd.Series([one(v) for v in xml], dtype=object)
 
 
-def point_x(g: Column) -> Column:
-    """First ordinate of little-endian two-dimensional point WKB, JVM-side as hex digits are."""
-    return wkb_bbox(g)["xmin"]
+@F.pandas_udf(T.StringType())
+def srs_code(name: pd.Series) -> pd.Series:
+    """EPSG:code of a srsName in any spelling, null if it isn't known."""
+    return pd.Series([None if v is None else parse_srs(v).authority_code() for v in name], dtype=object)
 
 
 def strip_local_hash(ref: Column) -> Column:
     return F.regexp_replace(ref, "^#", "")
 
 
-def zipped(*lists: str) -> Column:
-    """Aligned list columns as one list of structs, for inline()."""
-    return F.arrays_zip(*lists)
-
-
 def register(spark: SparkSession) -> None:
     """Make the functions known to SQL."""
-    for name, f in (("wkb_bbox", wkb_bbox), ("wkb_text", wkb_text), ("wkb_kind", wkb_kind), ("wkb_swap_xy", wkb_swap_xy), ("wkb_linearize", wkb_linearize), ("geod_inverse", geod_inverse), ("geod_direct", geod_direct), ("gml_to_wkb", gml_to_wkb)):
+    for name, f in (("wkb_bbox", wkb_bbox), ("wkb_text", wkb_text), ("wkb_kind", wkb_kind), ("wkb_swap_xy", wkb_swap_xy), ("wkb_linearize", wkb_linearize), ("wkb_reverse", wkb_reverse), ("srs_code", srs_code), ("geod_inverse", geod_inverse), ("geod_direct", geod_direct), ("gml_to_wkb", gml_to_wkb)):
         spark.udf.register(name, f)
-
-
-def crs_json(code: str | None) -> dict | None:
-    return json.loads(code) if code and code.startswith("{") else None

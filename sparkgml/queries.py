@@ -116,8 +116,11 @@ def inferred_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def never_occurred_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").where("o_orderkey % 16 = 0").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("os")), F.col("c_custkey") == F.col("o_custkey"), "left")
-    f = tag("C", tag("key", F.col("c_custkey")), F.array_join(F.transform(F.coalesce("os", F.array().cast("array<bigint>")), lambda k: tag("order", k)), ""))
+    """All orders of all customers; urgent ones are elements of a name of their own, which some customers lack."""
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(F.when(urgent, tag("order", F.col("o_orderkey"))).otherwise(tag("later", F.col("o_orderkey")))), "").alias("os"))
+    c = table(spark, sf_dir, "customer").select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    f = tag("C", tag("key", F.col("c_custkey")), F.coalesce("os", F.lit("")))
     df = read(spark, documents(c, "c_custkey", f), "C", {"key": "bigint", "orders": {"type": "bigint[]", "path": "order[]"}})
     return df.where(F.col("orders").isNull()).select("key")
 
@@ -139,8 +142,13 @@ def xlink_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unresolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, orders_gml(spark, sf_dir), "Order", {"key": "bigint", "ref": {"type": "text", "path": "customer/@href"}})
-    c = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.concat(F.lit("C."), F.col("c_custkey").cast("string")).alias("id"))
+    """Every order refers to its customer and every urgent one to an agent that no document has."""
+    t = table(spark, sf_dir, "orders")
+    ref = lambda name, prefix, of: tag(name, attrs=F.concat(F.lit(f' xlink:href="#{prefix}.'), F.col(of).cast("string"), F.lit('"')))
+    agent = F.when(F.col("o_orderpriority") == "1-URGENT", ref("ref", "A", "o_orderkey"))
+    docs = documents(t, "o_orderkey", tag("Order", tag("key", F.col("o_orderkey")), ref("ref", "C", "o_custkey"), agent))
+    o = read(spark, docs, "Order", {"key": "bigint", "ref": {"type": "text[]", "path": "ref[]/@href"}}).select("key", F.explode("ref").alias("ref"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("C."), F.col("c_custkey").cast("string")).alias("id"))
     return o.join(c, o["ref"] == c["id"], "left_anti").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -278,16 +286,17 @@ def projection_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geodesic_meridian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Along the equator the geodesic is an arc of the semi-major axis."""
+    """Along a meridian the geodesic is the meridian's arc; along the equator an arc of the semi-major axis."""
     k = F.col("s_suppkey")
-    s = table(spark, sf_dir, "supplier").select(k.alias("key"), geod_inverse(F.lit(0.0), F.lit(0.0), (k % 90).cast("double"), F.lit(0.0)).alias("g"))
-    return s.select("key", F.round("g.distance", 3).alias("distance"))
+    north, east = geod_inverse(F.lit(7.0), F.lit(0.0), F.lit(7.0), (k % 90).cast("double")), geod_inverse(F.lit(0.0), F.lit(0.0), (k % 90).cast("double"), F.lit(0.0))
+    s = table(spark, sf_dir, "supplier").select(k.alias("key"), north.alias("n"), east.alias("e"))
+    return s.select("key", F.round("n.distance", 3).alias("meridian"), F.round("e.distance", 3).alias("equator"))
 
 
 def skipped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    docs = p.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), F.encode(F.concat(F.lit("<html><body>"), escaped(F.col("url")), F.lit("</body></html>")), "utf-8").alias("content"))
-    seen = split_features(docs, SplitOptions(allow_single_feature_root=False))
+    """Whole web pages, well formed or not: none holds a feature."""
+    docs = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), F.encode("html", "utf-8").alias("content"))
+    seen = split_features(docs, SplitOptions(allow_single_feature_root=False, skip_malformed=True))
     return seen.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -311,7 +320,7 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where("urgent").select("customer").intersect(df.where("status = 'O'").select("customer")).subtract(df.where("price > 450000").select("customer"))
 
 
-def preserve_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def location_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, orders_gml(spark, sf_dir), "Order", {"key": "bigint"}, ReadOptions(location_column=True))
     return df.groupBy(F.col("_location.source").cast("bigint").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.max((F.col("_location.end") > F.col("_location.start")).cast("bigint")).alias("whole"))
 
@@ -319,7 +328,7 @@ def preserve_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     split_count, layer_filter, typed_scalars, column_lexical, infer_types, leading_zero_text, type_bitmask, anchored_lists, inferred_lists, never_occurred_anchor, attributes, xlink_join,
     unresolved_references, nil_and_empty, subtree_map, raw_and_inner_text, skip_bad_features, error_report, point_coordinates, axis_authority, axis_auto, axis_swap, point_wkb_hex, polygon_text,
-    promoted_kinds, bbox_extent, arcs, web_mercator, read_to_mercator, projection_round_trip, geodesic_meridian, skipped_sources, group_rollup, window_rank, limit_topk, set_ops, preserve_order,
+    promoted_kinds, bbox_extent, arcs, web_mercator, read_to_mercator, projection_round_trip, geodesic_meridian, skipped_sources, group_rollup, window_rank, limit_topk, set_ops, location_column,
 )}
 
 _ORDERS = """SELECT 'O.' || o_orderkey AS id, o_orderkey AS key, 'C.' || o_custkey AS customer, o_totalprice AS price, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date,
@@ -337,10 +346,10 @@ ORACLE_SQL: dict[str, str] = {
     "type_bitmask": "WITH n AS (SELECT count(*) AS n FROM orders) SELECT path, CAST(exact AS BIGINT) AS exact, CASE WHEN has THEN n ELSE 0 END AS n_values FROM n, (VALUES ('@id', 64, true), ('key', 70, true), ('customer', 127, false), ('customer/@href', 64, true), ('price', 68, true), ('date', 72, true), ('at', 80, true), ('urgent', 65, true), ('status', 64, true)) t(path, exact, has)",
     "anchored_lists": "SELECT l_orderkey AS key, CAST(l_linenumber AS BIGINT) AS no, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag FROM lineitem",
     "inferred_lists": "SELECT l_orderkey AS key, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS n_null FROM lineitem GROUP BY 1",
-    "never_occurred_anchor": "SELECT c_custkey AS key FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey % 16 = 0 WHERE o_custkey IS NULL",
+    "never_occurred_anchor": "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "attributes": "SELECT p_partkey AS key, CAST(p_size AS BIGINT) AS size, CAST(p_partkey % 2 AS BIGINT) AS kind, 'cm' AS uom FROM part",
     "xlink_join": "SELECT c_mktsegment AS segment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
-    "unresolved_references": "SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)",
+    "unresolved_references": "SELECT count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT'",
     "nil_and_empty": "SELECT s_suppkey AS key, CASE WHEN s_suppkey % 3 = 2 THEN s_suppkey END AS v FROM supplier",
     "subtree_map": "SELECT n_nationkey AS key, n_name AS name, 'en' AS lang, CAST(n_regionkey AS VARCHAR) AS region, CAST(3 AS BIGINT) AS n FROM nation",
     "raw_and_inner_text": "SELECT r_regionkey AS key, '<b>' || r_name || '</b> of the world' AS raw, r_name || ' of the world' AS inner FROM region",
@@ -358,11 +367,13 @@ ORACLE_SQL: dict[str, str] = {
     "web_mercator": _MERCATOR,
     "read_to_mercator": _MERCATOR,
     "projection_round_trip": _PLACE,
-    "geodesic_meridian": "SELECT s_suppkey AS key, round(6378137.0 * radians(CAST(s_suppkey % 90 AS DOUBLE)), 3) AS distance FROM supplier",
+    "geodesic_meridian": """WITH p AS (SELECT s_suppkey AS key, radians(CAST(s_suppkey % 90 AS DOUBLE)) AS f, CAST(0.0016792203863837047 AS DOUBLE) AS n FROM supplier)
+        SELECT key, round(6378137.0 / (1 + n) * ((1 + n * n / 4 + n * n * n * n / 64) * f - 1.5 * (n - n * n * n / 8) * sin(2 * f) + 15.0 / 16 * (n * n - n * n * n * n / 4) * sin(4 * f)
+                - 35.0 / 48 * n * n * n * sin(6 * f) + 315.0 / 512 * n * n * n * n * sin(8 * f)), 3) AS meridian, round(6378137.0 * f, 3) AS equator FROM p""",
     "skipped_sources": "SELECT 'skipped' AS kind, count(*) AS n FROM pages",
     "group_rollup": f"SELECT status, urgent, count(*) AS n, round(sum(price), 2) AS price FROM ({_ORDERS}) GROUP BY ROLLUP (status, urgent)",
     "window_rank": f"SELECT customer, key, place FROM (SELECT customer, key, row_number() OVER (PARTITION BY customer ORDER BY price DESC, key) AS place FROM ({_ORDERS})) WHERE place <= 2",
     "limit_topk": f"SELECT key, price FROM ({_ORDERS}) ORDER BY price DESC, key LIMIT 10",
     "set_ops": f"WITH o AS ({_ORDERS}) SELECT customer FROM o WHERE urgent INTERSECT SELECT customer FROM o WHERE status = 'O' EXCEPT SELECT customer FROM o WHERE price > 450000",
-    "preserve_order": f"SELECT CAST(floor(o_orderkey / {DOC_ROWS}.0) AS BIGINT) AS bucket, count(*) AS n, CAST(1 AS BIGINT) AS whole FROM orders GROUP BY 1",
+    "location_column": f"SELECT CAST(floor(o_orderkey / {DOC_ROWS}.0) AS BIGINT) AS bucket, count(*) AS n, CAST(1 AS BIGINT) AS whole FROM orders GROUP BY 1",
 }

@@ -44,6 +44,7 @@ class SplitOptions:
     ])
     layers: list[str] | None = None
     allow_single_feature_root: bool = True
+    skip_malformed: bool = False  # a source that can't be split is skipped, with the reason, instead of an error
 
 
 def layer_matches(selector: str, ns: str, name: str, prefixes: dict[str, str]) -> bool:
@@ -277,13 +278,19 @@ def split_rows(options: SplitOptions) -> Callable:
             for i in range(b.num_rows):
                 name, data = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 s, rows, held, n = Splitter(data, options), [], 0, 0
-                for seq, at, stop, ns, local, prefixes, bounded, xml in s.run():
-                    rows.append(("feature", name, seq, at, stop, ns, local, prefixes, bounded, xml, None))
-                    held, n = held + len(xml), n + 1
-                    if held >= BATCH_BYTES:
-                        yield batch(rows)
-                        rows, held = [], 0
-                info = json.dumps(s.header | {"referenced": s.referenced, "features": s.seq})
+                failed = {}
+                try:
+                    for seq, at, stop, ns, local, prefixes, bounded, xml in s.run():
+                        rows.append(("feature", name, seq, at, stop, ns, local, prefixes, bounded, xml, None))
+                        held, n = held + len(xml), n + 1
+                        if held >= BATCH_BYTES:
+                            yield batch(rows)
+                            rows, held = [], 0
+                except (SplitError, UnicodeDecodeError) as e:
+                    if not options.skip_malformed:
+                        raise
+                    failed = {"error": str(e)}
+                info = json.dumps(s.header | {"referenced": s.referenced, "features": s.seq} | failed)
                 rows.append(("header" if s.seq else "skipped", name, None, None, None, None, None, None, None, None, info))
                 yield batch(rows)
 
