@@ -14,7 +14,8 @@ from ..sources.split import parse_element
 from .crs import parse_srs
 from .geometry import Geometry, bbox, linearize, read_wkb, reverse, swap_xy, wkt, write_wkb
 from .gml_geometry import Scope, geometry, srs_of
-from .project import Transform, geodesic_direct, geodesic_inverse
+from .geodesic import polygon_area, solve_direct, solve_inverse
+from .project import Transform
 
 BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin", "xmax", "ymax")])
 INVERSE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("azimuth1", "azimuth2", "distance")])
@@ -94,16 +95,35 @@ def convert_xy(x: Column, y: Column, source: int, target: int, authority_order:
 
 @F.pandas_udf(INVERSE)
 def geod_inverse(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
-    a, b, s = geodesic_inverse(lon1.to_numpy(float), lat1.to_numpy(float), lon2.to_numpy(float), lat2.to_numpy(float))
+    a, b, s, _ = solve_inverse(lon1.to_numpy(float), lat1.to_numpy(float), lon2.to_numpy(float), lat2.to_numpy(float))
     return pd.DataFrame({"azimuth1": a, "azimuth2": b, "distance": s})
 
 
 @F.pandas_udf(DIRECT)
 def geod_direct(lon: pd.Series, lat: pd.Series, azimuth: pd.Series, distance: pd.Series) -> pd.DataFrame:
-    x, y, a = geodesic_direct(lon.to_numpy(float), lat.to_numpy(float), azimuth.to_numpy(float), distance.to_numpy(float))
+    x, y, a = solve_direct(lon.to_numpy(float), lat.to_numpy(float), azimuth.to_numpy(float), distance.to_numpy(float))
     return pd.DataFrame({"lon": x, "lat": y, "azimuth": a})
 
 
+AREA = T.StructType([T.StructField(n, T.DoubleType()) for n in ("area", "perimeter")])
+
+
+@F.pandas_udf(AREA)
+def geod_area(g: pd.Series) -> pd.DataFrame:
+    """Area and perimeter on WGS 84 of polygons of longitudes and latitudes: shells count, holes are taken off."""
+
+    def one(x: Geometry) -> tuple[float, float]:
+        kind, _, parts = x
+        if kind == "MultiPolygon":
+            return tuple(map(sum, zip(*map(one, parts), strict=True))) if parts else (0.0, 0.0)
+        if kind != "Polygon":
+            return 0.0, 0.0
+        rings = [polygon_area([p[0] for p in r], [p[1] for p in r]) for r in parts]
+        return sum((abs(a) if i == 0 else -abs(a)) for i, (a, _) in enumerate(rings)), sum(p for _, p in rings)
+
+    return pd.DataFrame([(None, None) if v is None else v for v in each(g, one)], columns=["area", "perimeter"], dtype=object)
+
+
 @F.pandas_udf(T.BinaryType())
 def gml_to_wkb(xml: pd.Series) -> pd.Series:
     """One GML geometry element as WKB, as written; prefixes gml and xlink need no declaration."""
@@ -130,5 +150,5 @@ def strip_local_hash(ref: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to SQL."""
-    for name, f in (("wkb_bbox", wkb_bbox), ("wkb_text", wkb_text), ("wkb_kind", wkb_kind), ("wkb_swap_xy", wkb_swap_xy), ("wkb_linearize", wkb_linearize), ("wkb_reverse", wkb_reverse), ("srs_code", srs_code), ("geod_inverse", geod_inverse), ("geod_direct", geod_direct), ("gml_to_wkb", gml_to_wkb)):
+    for name, f in (("wkb_bbox", wkb_bbox), ("wkb_text", wkb_text), ("wkb_kind", wkb_kind), ("wkb_swap_xy", wkb_swap_xy), ("wkb_linearize", wkb_linearize), ("wkb_reverse", wkb_reverse), ("srs_code", srs_code), ("geod_inverse", geod_inverse), ("geod_direct", geod_direct), ("geod_area", geod_area), ("gml_to_wkb", gml_to_wkb)):
         spark.udf.register(name, f)

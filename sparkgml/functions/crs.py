@@ -131,13 +131,12 @@ def parse_srs(raw: str) -> SrsName:
 
 
 def projjson(srs: str) -> str | None:
-    """PROJJSON with what is known: name, type and identifier."""
+    """PROJJSON of a srsName's CRS, if it is known."""
+    from .crs_text import to_projjson
+
     name = parse_srs(srs)
     crs = crs_of(name.code) if name.code else None
-    if crs is None:
-        return None
-    identity = {"authority": "OGC", "code": "CRS84"} if crs.code == -84 else {"authority": "EPSG", "code": crs.code}
-    return json.dumps({"$schema": "https://proj.org/schemas/v0.7/projjson.schema.json", "type": "GeographicCRS" if crs.geographic else "ProjectedCRS", "name": crs.name, "id": identity})
+    return None if crs is None else json.dumps(to_projjson(crs))
 
 
 def dialect_of(node: Node) -> str:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from sparkgml.functions.crs import KNOWN, Context, Crs, Evidence, add_user_crs, crs_of, decide, parse_srs, projjson
-from sparkgml.functions.project import METHODS, Transform, geodesic_direct, geodesic_inverse, laea, lcc, projection, sterea, tmerc
+from sparkgml.functions.project import METHODS, Transform, laea, lcc, projection, sterea, tmerc
 
 
 @pytest.mark.parametrize("raw, code", [
@@ -99,10 +99,3 @@ def test_transform():
     assert Transform(4326, 3857).convert_bounds((0, 0, 180, 10))[2] == pytest.approx(20037508.342789244)
     add_user_crs(Crs(999999, "own", "E", False, "GRS80", (0, 0, 6, 50), "ETRS89", ("tmerc", 0.0, 3.0, 1.0, 0.0, 0.0)))
     assert abs(float(Transform(4258, 999999).convert(3.0, 0.0)[0])) < 1e-6
-
-
-def test_geodesics():
-    az1, _, s = geodesic_inverse(-5.71475, 50.06632, -3.07009, 58.64402)
-    assert float(s) == pytest.approx(969954.166, abs=0.01) and float(az1) == pytest.approx(9.1418775, abs=1e-6)
-    lon, lat, _ = geodesic_direct(-5.71475, 50.06632, az1, s)
-    assert float(lon) == pytest.approx(-3.07009, abs=1e-8) and float(lat) == pytest.approx(58.64402, abs=1e-8)
