@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .functions.crs import Context, Decision, Evidence, decide
+from .functions.version import detect_version
 from .operators.observe import axis_evidence, headers, observations, observe, srs_counts
 from .operators.parse import ReadPlan, parse_layer, parse_report
 from .plans.infer import InferenceOptions, infer
-from .plans.schema import LayerSchema, SchemaError, load_settings, settings_json
+from .plans.schema import LayerSchema, SchemaError, load_settings, prefixes_for, settings_json
 from .sources.inputs import of_bytes, sources
 from .sources.split import SplitOptions, split_features
 
@@ -65,8 +66,8 @@ class ReadOptions:
                 out.location_column = str(v).lower() == "true"
             elif k == "columns":
                 out.columns = [c.strip() for c in v.split(",")]
-            elif k not in ("batch_size", "threads", "no_grids", "grid_dir"):
-                raise SchemaError(f"option {k}")
+            else:
+                raise SchemaError(f"option {k}" + (": Spark's own settings and partitions govern this" if k in ("batch_size", "threads") else ": no grid files are used" if k in ("no_grids", "grid_dir") else ""))
         return out
 
 
@@ -107,7 +108,25 @@ class Scan:
         return "\n\n".join(f"{k} ({self.counts[k]} features)\n{s.explain()}" for k, s in self.schemas.items())
 
     def save(self) -> str:
-        return settings_json(list(self.schemas.values()))
+        """A settings file: schemas, and the order of axes that was decided."""
+        mode, overrides = self.plain_axis()
+        return settings_json(list(self.schemas.values()), {"axis_order": mode, "axis_overrides": overrides} if self.decisions else None, self.prefixes())
+
+    def plain_axis(self) -> tuple[str, dict[str, str]]:
+        """The decisions as one order and the srsNames that have the other: what most sources have, for each name and for all."""
+        votes: dict[str, int] = {}
+        for (_, srs, _), d in self.decisions.items():
+            votes[srs] = votes.get(srs, 0) + (1 if d.swap else -1)
+        names = {srs: "yx" if n > 0 else "xy" for srs, n in sorted(votes.items())}
+        mode = "yx" if sum(1 if m == "yx" else -1 for m in names.values()) > 0 else "xy"
+        return mode, {srs: m for srs, m in names.items() if m != mode}
+
+    def prefixes(self) -> dict[str, str]:
+        declared: dict[str, str] = {}
+        for h in self.headers:
+            for p, uri in h.get("namespaces", {}).items():
+                declared.setdefault(p, uri)
+        return {p: ns for ns, p in prefixes_for(sorted({s.namespace for s in self.schemas.values() if s.namespace}), declared).items()}
 
 
 def pick(layer: str, layers: list[str]) -> str:
@@ -180,6 +199,10 @@ def scan(spark: SparkSession, inputs: Any, options: ReadOptions | None = None) -
     finally:
         seen.unpersist()
     schemas = infer(rows, inference)
+    dialects = {k[2] for k in decisions}
+    versions = {v for h in found if (v := detect_version(set(h.get("namespaces", {}).values()), h.get("attributes", {}).get("schemaLocation", ""), "", contexts_of([h]).get(h["source"], Context()).wfs_version, dialects))}
+    for s in schemas.values():
+        s.versions = ",".join(sorted(versions))
     local = {(r["layer_ns"], r["layer"]): r["instances"] for r in rows if r["path"] == ""}
     counts = {k: next(n for (ns, name), n in local.items() if k in (name, f"{{{ns}}}{name}") and s.namespace == ns) for k, s in schemas.items()}
     return Scan(counts, schemas, decisions, [h["source"] for h in found if h["kind"] == "skipped"], found, extent, rows)
@@ -212,7 +235,9 @@ def read_layer(spark: SparkSession, inputs: Any, layer: str | None = None, schem
     """
     options = options or ReadOptions()
     if isinstance(schema, str):
-        known, _ = load_settings(schema)
+        known, saved = load_settings(schema)
+        if options.axis_order == "auto" and saved.get("axis_order"):
+            options = replace(options, axis_order=saved["axis_order"], axis_overrides=saved.get("axis_overrides", {}) | options.axis_overrides)
         schema = known[pick(layer or next(iter(known)), list(known))]
     elif isinstance(schema, StructType):
         schema = LayerSchema.of_struct(layer or "", schema)

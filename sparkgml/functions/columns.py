@@ -148,7 +148,35 @@ def strip_local_hash(ref: Column) -> Column:
     return F.regexp_replace(ref, "^#", "")
 
 
+@F.pandas_udf(T.BinaryType())
+def wkb_transform_codes(g: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
+    """wkb_transform() for SQL, where the codes are columns."""
+    from ..operators.parse import converted
+
+    known: dict[tuple[int, int], Transform] = {}
+
+    def one(v, a, b):
+        if v is None:
+            return None
+        key = int(a), int(b)
+        if key not in known:
+            known[key] = Transform(*key)
+        return write_wkb(converted(read_wkb(bytes(v)), known[key]))
+
+    return pd.Series([one(*r) for r in zip(g, source, target, strict=True)], dtype=object)
+
+
+@F.pandas_udf(XY)
+def convert_xy_codes(x: pd.Series, y: pd.Series, source: pd.Series, target: pd.Series) -> pd.DataFrame:
+    """convert_xy() for SQL, where the codes are columns."""
+    out = pd.DataFrame({"x": np.nan, "y": np.nan}, index=x.index)
+    for (a, b), at in x.groupby([source, target]).groups.items():
+        u, v = Transform(int(a), int(b)).convert(x[at].to_numpy(float), y[at].to_numpy(float))
+        out.loc[at, "x"], out.loc[at, "y"] = u, v
+    return out
+
+
 def register(spark: SparkSession) -> None:
     """Make the functions known to SQL."""
-    for name, f in (("wkb_bbox", wkb_bbox), ("wkb_text", wkb_text), ("wkb_kind", wkb_kind), ("wkb_swap_xy", wkb_swap_xy), ("wkb_linearize", wkb_linearize), ("wkb_reverse", wkb_reverse), ("srs_code", srs_code), ("geod_inverse", geod_inverse), ("geod_direct", geod_direct), ("geod_area", geod_area), ("gml_to_wkb", gml_to_wkb)):
+    for name, f in (("wkb_bbox", wkb_bbox), ("wkb_text", wkb_text), ("wkb_kind", wkb_kind), ("wkb_swap_xy", wkb_swap_xy), ("wkb_linearize", wkb_linearize), ("wkb_reverse", wkb_reverse), ("srs_code", srs_code), ("wkb_transform", wkb_transform_codes), ("convert_xy", convert_xy_codes), ("geod_inverse", geod_inverse), ("geod_direct", geod_direct), ("geod_area", geod_area), ("gml_to_wkb", gml_to_wkb)):
         spark.udf.register(name, f)

@@ -15,6 +15,8 @@ PARAMETERS = {
     "tmerc": ("lat_0", "lon_0", "k_0", "x_0", "y_0"), "lcc": ("lat_0", "lon_0", "lat_1", "lat_2", "x_0", "y_0"), "merc": ("lat_ts", "lon_0", "k_0", "x_0", "y_0"), "webmerc": ("x_0", "y_0"), "laea": ("lat_0", "lon_0", "x_0", "y_0"),
     "aea": ("lat_0", "lon_0", "lat_1", "lat_2", "x_0", "y_0"), "stere": ("lat_ts", "lon_0", "x_0", "y_0"), "sterea": ("lat_0", "lon_0", "k_0", "x_0", "y_0"), "cea": ("lat_ts", "lon_0", "x_0", "y_0"), "eqearth": ("lon_0", "x_0", "y_0"),
     "eqc": ("lat_ts", "lon_0", "x_0", "y_0"), "sinu": ("lon_0", "x_0", "y_0"), "moll": ("lon_0", "x_0", "y_0"), "cass": ("lat_0", "lon_0", "x_0", "y_0"), "bonne": ("lat_1", "lon_0", "x_0", "y_0"), "eqdc": ("lat_0", "lon_0", "lat_1", "lat_2", "x_0", "y_0"), "poly": ("lat_0", "lon_0", "x_0", "y_0"),
+    "loxim": ("lat_1", "lon_0", "x_0", "y_0"), "nsper": ("lat_0", "lon_0", "h", "x_0", "y_0"), "gnom": ("lat_0", "lon_0", "x_0", "y_0"), "krovak": ("lat_0", "lon_0", "alpha", "lat_p", "k_0", "x_0", "y_0"),
+    **dict.fromkeys("mill gall natearth eck1 eck2 eck3 eck4 eck5 eck6 wag3 wag6 kav7 putp1 collg craster nell nell_h qua_aut times fahey robin patterson comill cc hammer aitoff wintri boggs".split(), ("lon_0", "x_0", "y_0")),
 }
 #: Names of methods and parameters in WKT 2 and WKT 1.
 METHOD_NAMES = {

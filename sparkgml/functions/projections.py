@@ -303,3 +303,150 @@ METHODS.update({
     "craster": pseudo(lambda p: 0.97720502380583984317 * (2 * np.cos(2 * p / 3) - 1), lambda p: 3.06998012383946546542 * np.sin(p / 3), lambda y: 3 * np.arcsin(y / 3.06998012383946546542)),
     "wag3": pseudo(lambda p: np.cos(2 * p / 3), lambda p: p, lambda y: y),
 })
+
+
+def through(angle, across, up, low: float = -math.pi / 2, high: float = math.pi / 2):
+    """A pseudocylindrical projection by an auxiliary angle t with angle(t) = right(phi): (t -> angle, scale), x = across(t) * lambda, y = up(t)."""
+    left, right = angle
+    back = solved(left, low, high)
+    height = solved(up, low, high)
+
+    def build(el: str, lon0: float, fe: float, fn: float):
+        a, _ = axes(el)
+
+        def forward(lon, lat):
+            t = back(right(np.radians(lat)))
+            return fe + a * across(t) * np.radians(lon - lon0), fn + a * up(t)
+
+        def inverse(x, y):
+            t = height((np.asarray(y, float) - fn) / a)
+            phi = np.arcsin(np.clip(left(t) / right(math.pi / 2), -1, 1))
+            return lon0 + np.degrees((x - fe) / (a * across(t))), np.degrees(phi)
+
+        return forward, inverse
+
+    return build
+
+
+def of_family(cx: float, cy: float, a0: float):
+    """x = cx * lambda * (a0 + sqrt(1 - 3 phi^2 / pi^2)), y = cy * phi."""
+    return pseudo(lambda p: cx * (a0 + np.sqrt(np.maximum(1 - 3 * p**2 / math.pi**2, 0))), lambda p: cy * p, lambda y: y / cy)
+
+
+def hammer(el: str, lon0: float, fe: float, fn: float):
+    a, _ = axes(el)
+
+    def forward(lon, lat):
+        phi, half = np.radians(lat), np.radians(lon - lon0) / 2
+        d = np.sqrt(2 / (1 + np.cos(phi) * np.cos(half)))
+        return fe + a * 2 * d * np.cos(phi) * np.sin(half), fn + a * d * np.sin(phi)
+
+    def inverse(x, y):
+        u, v = (x - fe) / a, (y - fn) / a
+        z = np.sqrt(np.maximum(1 - u * u / 16 - v * v / 4, 0))
+        return lon0 + np.degrees(2 * np.arctan2(z * u, 2 * (2 * z * z - 1))), np.degrees(np.arcsin(np.clip(z * v, -1, 1)))
+
+    return forward, inverse
+
+
+def by_newton(plane):
+    """A projection of the sphere from plane(lambda, phi); its inverse by Newton's method from the cylindrical guess."""
+
+    def build(el: str, lon0: float, fe: float, fn: float):
+        a, _ = axes(el)
+
+        def forward(lon, lat):
+            u, v = plane(np.radians(lon - lon0), np.radians(lat))
+            return fe + a * u, fn + a * v
+
+        def inverse(x, y):
+            gx, gy = (np.asarray(x, float) - fe) / a, (np.asarray(y, float) - fn) / a
+            phi, lam, step = np.clip(gy, -1.5, 1.5), gx.copy() if np.ndim(gx) else gx, 1e-6
+            for _ in range(60):
+                u, v = plane(lam, phi)
+                (ul, vl), (us, vs) = plane(lam + step, phi), plane(lam - step, phi)
+                (up, vp), (uq, vq) = plane(lam, phi + step), plane(lam, phi - step)
+                j11, j21, j12, j22 = (ul - us) / (2 * step), (vl - vs) / (2 * step), (up - uq) / (2 * step), (vp - vq) / (2 * step)
+                det = j11 * j22 - j12 * j21
+                du, dv = gx - u, gy - v
+                lam, phi = lam + np.clip((du * j22 - dv * j12) / det, -0.5, 0.5), np.clip(phi + np.clip((dv * j11 - du * j21) / det, -0.5, 0.5), -1.57, 1.57)
+            return lon0 + np.degrees(lam), np.degrees(phi)
+
+        return forward, inverse
+
+    return build
+
+
+def aitoff_plane(lam, phi):
+    angle = np.arccos(np.clip(np.cos(phi) * np.cos(lam / 2), -1, 1))
+    k = np.where(angle < 1e-9, 1.0, angle / np.where(angle < 1e-9, 1, np.sin(angle)))
+    return 2 * np.cos(phi) * np.sin(lam / 2) * k, np.sin(phi) * k
+
+
+def winkel_tripel_plane(lam, phi):
+    x, y = aitoff_plane(lam, phi)
+    return (x + lam * 2 / math.pi) / 2, (y + phi) / 2  # standard parallel arccos(2 / pi)
+
+
+def boggs_plane(lam, phi):
+    t = solved(lambda v: 2 * v + np.sin(2 * v))(math.pi * np.sin(phi))
+    return 2.00276 * lam / (1 / np.cos(phi) + 1.11072 / np.cos(t)), 0.49931 * (phi + math.sqrt(2) * np.sin(t))
+
+
+#: Robinson's table, every five degrees.
+ROBINSON_X = np.array([1, 0.9986, 0.9954, 0.99, 0.9822, 0.973, 0.96, 0.9427, 0.9216, 0.8962, 0.8679, 0.835, 0.7986, 0.7597, 0.7186, 0.6732, 0.6213, 0.5722, 0.5322])
+ROBINSON_Y = np.array([0, 0.062, 0.124, 0.186, 0.248, 0.31, 0.372, 0.434, 0.4958, 0.5571, 0.6176, 0.6769, 0.7346, 0.7903, 0.8435, 0.8936, 0.9394, 0.9761, 1])
+
+
+def tabled(values: np.ndarray, degrees):
+    """A cubic through four neighbours of a table for every five degrees."""
+    at = np.clip(np.abs(degrees) / 5, 0, 18)
+    i = np.clip(np.floor(at).astype(int), 1, 16)
+    t = at - i
+    a, b, c, d = (values[i + k] for k in (-1, 0, 1, 2))
+    return b + t * ((c - a / 3 - b / 2 - d / 6) + t * ((a + c) / 2 - b + t * ((d - a) / 6 + (b - c) / 2)))
+
+
+def perspective(el: str, lat0: float, lon0: float, h: float, fe: float, fn: float):
+    """The sphere seen from a height above a point."""
+    a, _ = axes(el)
+    p = 1 + h / a
+
+    def angle(r):
+        r = np.maximum(r, 1e-15)
+        return np.arcsin(np.clip((p - np.sqrt(np.maximum(1 - r * r * (p + 1) / (p - 1), 0))) / ((p - 1) / r + r / (p - 1)), -1, 1))
+
+    return azimuthal(lambda c: (p - 1) * np.sin(c) / (p - np.cos(c)), angle)(el, lat0, lon0, fe, fn)
+
+
+def loximuthal(el: str, lat1: float, lon0: float, fe: float, fn: float):
+    a, _ = axes(el)
+    p1 = math.radians(lat1)
+
+    def width(phi):
+        d = phi - p1
+        near = np.abs(d) < 1e-9
+        gap = np.log(np.tan(math.pi / 4 + phi / 2) / math.tan(math.pi / 4 + p1 / 2))
+        return np.where(near, math.cos(p1), d / np.where(near, 1, gap))
+
+    return (lambda lon, lat: (fe + a * width(np.radians(lat)) * np.radians(lon - lon0), fn + a * (np.radians(lat) - p1))), (lambda x, y: (lon0 + np.degrees((x - fe) / (a * width((y - fn) / a + p1))), np.degrees((y - fn) / a + p1)))
+
+
+# Constants of the published methods.
+METHODS.update({
+    "eck1": pseudo(lambda p: 0.92131773192356127802 * (1 - np.abs(p) / math.pi), lambda p: 0.92131773192356127802 * p, lambda y: y / 0.92131773192356127802),
+    "eck2": pseudo(lambda p: 0.46065886596178063902 * np.sqrt(4 - 3 * np.sin(np.abs(p))), lambda p: np.sign(p) * 1.44720250911653531871 * (2 - np.sqrt(4 - 3 * np.sin(np.abs(p)))), solved(lambda p: np.sign(p) * 1.44720250911653531871 * (2 - np.sqrt(4 - 3 * np.sin(np.abs(p)))))),
+    "eck4": through((lambda t: t + np.sin(t) * np.cos(t) + 2 * np.sin(t), lambda p: (2 + math.pi / 2) * np.sin(p)), lambda t: 0.42223820031577120149 * (1 + np.cos(t)), lambda t: 1.32650042817700232218 * np.sin(t)),
+    "eck5": pseudo(lambda p: 0.44101277172455148219 * (1 + np.cos(p)), lambda p: 0.88202554344910296438 * p, lambda y: y / 0.88202554344910296438),
+    "eck6": through((lambda t: t + np.sin(t), lambda p: (1 + math.pi / 2) * np.sin(p)), lambda t: (1 + np.cos(t)) / math.sqrt(2 + math.pi), lambda t: 2 * t / math.sqrt(2 + math.pi)),
+    "wag6": of_family(1.0, 1.0, 0.0), "kav7": of_family(0.8660254037844, 1.0, 0.0), "putp1": of_family(1.89490, 0.94745, -0.5),
+    "collg": pseudo(lambda p: 1.12837916709551257390 * np.sqrt(np.maximum(1 - np.sin(p), 0)), lambda p: 1.77245385090551602729 * (1 - np.sqrt(np.maximum(1 - np.sin(p), 0))), lambda y: np.arcsin(np.clip(1 - (1 - y / 1.77245385090551602729) ** 2, -1, 1))),
+    "nell": through((lambda t: t + np.sin(t), lambda p: 2 * np.sin(p)), lambda t: 0.5 * (1 + np.cos(t)), lambda t: t), "nell_h": pseudo(lambda p: 0.5 * (1 + np.cos(p)), lambda p: 2 * (p - np.tan(p / 2)), solved(lambda p: 2 * (p - np.tan(p / 2)))),
+    "qua_aut": pseudo(lambda p: np.cos(p) / np.cos(p / 2), lambda p: 2 * np.sin(p / 2), lambda y: 2 * np.arcsin(np.clip(y / 2, -1, 1))),
+    "times": pseudo(lambda p: 0.74482 - 0.34588 * np.sin(math.pi / 4 * np.tan(p / 2)) ** 2, lambda p: 1.70711 * np.tan(p / 2), lambda y: 2 * np.arctan(y / 1.70711)),
+    "fahey": pseudo(lambda p: 0.819152 * np.sqrt(np.maximum(1 - np.tan(p / 2) ** 2, 0)), lambda p: 1.819152 * np.tan(p / 2), lambda y: 2 * np.arctan(y / 1.819152)),
+    "robin": pseudo(lambda p: 0.8487 * tabled(ROBINSON_X, np.degrees(p)), lambda p: 1.3523 * np.sign(p) * tabled(ROBINSON_Y, np.degrees(p)), solved(lambda p: 1.3523 * np.sign(p) * tabled(ROBINSON_Y, np.degrees(p)))),
+    "patterson": cylinder(lambda p: p * (1.0148 + p**4 * (0.23185 + p**2 * (-0.14499 + 0.02406 * p**2))), solved(lambda p: p * (1.0148 + p**4 * (0.23185 + p**2 * (-0.14499 + 0.02406 * p**2))))),
+    "comill": cylinder(lambda p: p * (0.9902 + p**2 * (0.1604 - 0.03054 * p**2)), solved(lambda p: p * (0.9902 + p**2 * (0.1604 - 0.03054 * p**2)))), "cc": cylinder(np.tan, np.arctan),
+    "hammer": hammer, "aitoff": by_newton(aitoff_plane), "wintri": by_newton(winkel_tripel_plane), "boggs": by_newton(boggs_plane), "nsper": perspective, "loxim": loximuthal,
+})

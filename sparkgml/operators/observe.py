@@ -213,6 +213,10 @@ class Observer:
         except SplitError:
             s.kinds.add("Invalid")
             return
+        if own := node.attr("gml:id"):
+            ids = self.stats(f"{path}/*/@id")
+            ids.counts["instances"] += 1
+            ids.pending.append(own)
         srs = srs_of(node, self.bounded.get("srs"))
         if srs:
             s.srs.add(srs)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import fnmatch
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from ..functions.crs import parse_srs, projjson
@@ -29,6 +30,16 @@ class InferenceOptions:
     overrides: dict[str, str] = field(default_factory=dict)  # pattern -> type, drop, raw, map, list, scalar
     sampled: bool = False
     min_typed_values: int = 100
+    geometry_ids: bool = False  # identifiers of geometry elements as columns
+    hint: dict[str, str] = field(default_factory=dict)  # direct properties and their declared types, see wfs.hint_of()
+    per_layer: list[tuple[str, dict[str, Any]]] = field(default_factory=list)  # (glob of layers, other options), later ones win
+
+    def for_layer(self, layer: str) -> InferenceOptions:
+        out = self
+        for glob, changes in self.per_layer:
+            if fnmatch.fnmatchcase(layer.rpartition("}")[2], glob):
+                out = replace(out, **changes)
+        return out
 
 
 class Node:
@@ -55,8 +66,8 @@ def tree(rows: list[dict[str, Any]]) -> Node:
 
 class Inference:
     def __init__(self, layer: str, rows: list[dict[str, Any]], options: InferenceOptions):
-        self.layer, self.options = layer, options
-        self.root = tree(rows)
+        self.layer, self.options = layer, options.for_layer(layer)
+        self.root, self.by_path = tree(rows), {r["path"]: r for r in rows}
         self.columns: list[tuple[list[str], list[str], Column]] = []  # path steps, naming steps, column
 
     def action(self, path: str) -> str | None:
@@ -129,6 +140,10 @@ class Inference:
                 self.add([a.name], [name], type=kind, metadata=meta, reason=why)
         for c in self.root.children:
             self.element(c, [], [])
+        seen = {c.name for c in self.root.children}
+        for name, declared in self.options.hint.items():
+            if name not in seen:  # declared, but no feature has it
+                self.add([name], [name], reason="declared", **parse_type(declared))
         names = column_names([n for _, n, _ in self.columns])
         for name, (_, _, c) in zip(names, self.columns, strict=True):
             c.name = name
@@ -177,6 +192,8 @@ class Inference:
             if s["n_values"]:
                 kind, more, why = self.scalar(s)
                 self.add(steps, named, type=kind, metadata=meta | more, reason=why)
+            elif not rest and not above and node.name in o.hint and not anchored:
+                self.add(steps, named, metadata=meta, reason="declared", **parse_type(o.hint[node.name]))
             elif not rest:
                 self.add(steps, named, type="string", metadata=meta, reason="no values")
         for a in rest:
@@ -219,6 +236,10 @@ class Inference:
             meta["crs"] = projjson(s["srs"][0]) or parse_srs(s["srs"][0]).authority_code() or s["srs"][0]
         dims = list(s["dims"])
         self.add(steps, named, type="geometry", geom_kind=kind, geom_dim=(3 if 3 in dims else 2) if dims and kind != "Geometry" else None, metadata=meta, reason=f"geometries: {', '.join(s['kinds'])}")
+        own = self.by_path.get("/".join(x.removesuffix("[]") for x in steps) + "/*/@id")
+        if own and self.options.geometry_ids:
+            kind, more, why = self.scalar(own)
+            self.add([*steps, "*", "@id"], [*named, "@id"], type=kind, metadata=more, reason=why)
 
 
 def infer(rows: list[dict[str, Any]], options: InferenceOptions | None = None) -> dict[str, LayerSchema]:

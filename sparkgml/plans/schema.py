@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from typing import Any
 
@@ -170,6 +170,45 @@ class LayerSchema:
         return cls(layer, out)
 
 
+#: Metadata that only holds for the data it was inferred from.
+LOCAL_METADATA = ("gml:max_scale", "gml:significant_digits", "gml:versions", "gml:tz_offset")
+
+
+def portable(schema: T.StructType) -> T.StructType:
+    """A schema whose metadata is the same for all files of a layer, so that schemas of several files merge."""
+    return T.StructType([T.StructField(f.name, f.dataType, f.nullable, {k: v for k, v in (f.metadata or {}).items() if k not in LOCAL_METADATA}) for f in schema.fields])
+
+
+def merged(schemas: list[LayerSchema]) -> LayerSchema:
+    """One layer of several files: all columns in order of appearance, of a type that holds both; lists stay lists."""
+    wider = ["tinyint", "smallint", "int", "bigint", "double"]
+    columns: dict[str, Column] = {}
+    for c in (c for s in schemas for c in s.columns):
+        old = columns.setdefault(c.path.replace("[]", ""), c)
+        if (old.type, old.is_list, old.geom_kind, old.geom_dim) == (c.type, c.is_list, c.geom_kind, c.geom_dim):
+            continue
+        kind = old.type if old.type == c.type else max(old.type, c.type, key=wider.index) if old.type in wider and c.type in wider else "string"
+        longer = old if old.is_list or not c.is_list else c
+        same = old.geom_kind == c.geom_kind
+        columns[c.path.replace("[]", "")] = replace(longer, name=old.name, type=kind, is_list=old.is_list or c.is_list, geom_kind=old.geom_kind if same else "Geometry", geom_dim=old.geom_dim if same and old.geom_dim == c.geom_dim else None, nullable=old.nullable or c.nullable)
+    return LayerSchema(schemas[0].layer, list(columns.values()), schemas[0].namespace, ",".join(sorted({v for s in schemas for v in s.versions.split(",") if v})))
+
+
+#: Prefixes that namespaces usually have.
+WELL_KNOWN = {"http://www.opengis.net/gml": "gml", "http://www.opengis.net/gml/3.2": "gml", "http://www.opengis.net/wfs": "wfs", "http://www.opengis.net/wfs/2.0": "wfs", "http://www.w3.org/1999/xlink": "xlink", "http://www.w3.org/2001/XMLSchema-instance": "xsi"}
+
+
+def prefixes_for(namespaces: list[str], declared: dict[str, str] | None = None) -> dict[str, str]:
+    """A prefix for each namespace: the one that a document declares first, a well-known one, or ns1, ns2 ..."""
+    out: dict[str, str] = {}
+    own = {uri: p for p, uri in reversed(list((declared or {}).items())) if p}
+    for ns in namespaces:
+        taken = set(out.values())
+        name = next((p for p in (own.get(ns), WELL_KNOWN.get(ns)) if p and p not in taken), None)
+        out[ns] = name or next(f"ns{i}" for i in range(1, len(namespaces) + len(taken) + 2) if f"ns{i}" not in taken)
+    return out
+
+
 def settings_json(schemas: list[LayerSchema], options: dict[str, Any] | None = None, namespaces: dict[str, str] | None = None) -> str:
     """A settings file: what read() needs to read the same layers the same way."""
     layers = {s.layer: {c.name: type_string(c) if c.path == c.name and c.content == "value" else {"type": type_string(c), "path": c.path} | ({"content": c.content} if c.content != "value" else {}) for c in s.columns} for s in schemas}

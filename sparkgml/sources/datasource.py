@@ -14,8 +14,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..operators.observe import bounded_info
 from ..operators.parse import ReadPlan, RowReader, tuple_struct
 from ..plans.schema import LayerSchema, SchemaError, load_settings
-from .inputs import BARRIER, SUFFIXES, SourceError, as_utf8, members, unpacked
-from .split import SplitOptions, Splitter, layer_matches, parse_element
+from .inputs import BARRIER, SUFFIXES, SourceError, as_utf8, filesystem_read, member_names, members, unpacked
+from .split import SplitOptions, Splitter, parse_element
 
 
 class FilePart(InputPartition):
@@ -36,8 +36,7 @@ def expand(path: str) -> list[FilePart]:
     out = []
     for f in files:
         if f.lower().endswith(".zip"):
-            with open(f, "rb") as z:
-                out += [FilePart(f, m.partition(BARRIER)[2]) for m, _ in members(f, z.read(), member if found else None)]
+            out += [FilePart(f, m) for m in member_names(f, f, member if found else None)]
         else:
             out.append(FilePart(f, None))
     if not out:
@@ -45,6 +44,24 @@ def expand(path: str) -> list[FilePart]:
     return out
 
 
+def named_rows(name: str, data: bytes, layer: str, plan: ReadPlan, reader: RowReader) -> Iterator[tuple]:
+    """Rows of a layer of one document; features of other layers aren't parsed."""
+    bounds: dict = {}
+    fields = plan.schema.struct()
+    boxes = [(i, f.dataType) for i, f in enumerate(fields.fields) if isinstance(f.dataType, StructType)]
+    for _, start, _, _, _, context, bounded, xml in Splitter(data, SplitOptions(layers=[layer])).run():
+        if bounded not in bounds:
+            bounds = {bounded: bounded_info(bounded)}
+        row, _, error = reader.read(name, parse_element(xml, json.loads(context)), xml, bounds[bounded])
+        if error is not None:
+            if plan.on_error == "skip":
+                continue
+            raise ValueError(f"{name} at byte {start}: {error}")
+        for i, kind in boxes:
+            row[i] = None if row[i] is None else tuple_struct(row[i], _arrow_names(kind))
+        yield tuple(row)
+
+
 class GmlReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.options = dict(options)
@@ -64,31 +81,17 @@ class GmlReader(DataSourceReader):
 
     def read(self, partition: FilePart) -> Iterator[tuple]:
         layer = self.options["layer"]
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        name = partition.path
+        name, data = partition.path, filesystem_read(partition.path)
         if partition.member:
             name, data = next(iter(members(partition.path, data, partition.member)))
         has_layer = "_layer" in self.schema.names
         fields = StructType([f for f in self.schema.fields if f.name != "_layer"])
-        plan = ReadPlan(LayerSchema.of_struct(layer, fields), self.options.get("on_feature_error", "error"), linear=self.options.get("linear") == "true", target_crs=int(self.options["target_crs"].upper().removeprefix("EPSG:")) if "target_crs" in self.options else None, axis_mode=self.options.get("axis_order", "auto"))
-        reader, bounds = RowReader(plan), {}
-        boxes = {f.name: f.dataType for f in fields.fields if isinstance(f.dataType, StructType)}
-        at = fields.names.index
-        for _, start, _, ns, local, context, bounded, xml in Splitter(as_utf8(unpacked(data)), SplitOptions()).run():
-            prefixes = json.loads(context)
-            if not layer_matches(layer, ns, local, prefixes) or self.wanted not in (None, local):
-                continue
-            if bounded not in bounds:
-                bounds = {bounded: bounded_info(bounded)}
-            row, _, error = reader.read(name, parse_element(xml, prefixes), xml, bounds[bounded])
-            if error is not None:
-                if plan.on_error == "skip":
-                    continue
-                raise ValueError(f"{name} at byte {start}: {error}")
-            for b, kind in boxes.items():
-                row[at(b)] = None if row[at(b)] is None else tuple_struct(row[at(b)], _arrow_names(kind))
-            yield tuple([*row, local] if has_layer else row)
+        saved = load_settings(self.options["settings"])[1] if "settings" in self.options else {}
+        plan = ReadPlan(LayerSchema.of_struct(layer, fields), axis_overrides=saved.get("axis_overrides", {}), on_error=self.options.get("on_feature_error", "error"), linear=self.options.get("linear") == "true", target_crs=int(self.options["target_crs"].upper().removeprefix("EPSG:")) if "target_crs" in self.options else None, axis_mode=self.options.get("axis_order") or saved.get("axis_order", "auto"))
+        if self.wanted not in (None, layer.rpartition("}")[2].rpartition(":")[2]):
+            return
+        for row in named_rows(name, as_utf8(unpacked(data)), layer, plan, RowReader(plan)):
+            yield (*row, layer.rpartition("}")[2].rpartition(":")[2]) if has_layer else row
 
 
 class _arrow_names:

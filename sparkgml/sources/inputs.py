@@ -15,6 +15,7 @@ import zipfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,21 +74,39 @@ def glob_matches(name: str, pattern: str) -> bool:
     return len(steps) == len(wanted) and all(fnmatch.fnmatchcase(s, w) for s, w in zip(steps, wanted, strict=True))
 
 
+def filesystem_read(path: str) -> bytes:
+    """A whole file, of any store that pyarrow knows by its URI."""
+    fs, name = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    with fs.open_input_file(name) as f:
+        return f.read()
+
+
+def member_names(name: str, file, pattern: str | None) -> list[str]:
+    """What members() would give, by the archive's directory alone."""
+    with zipfile.ZipFile(file) as z:
+        return [i.filename for i in chosen_members(name, z, pattern)]
+
+
+def chosen_members(name: str, z: zipfile.ZipFile, pattern: str | None) -> list[zipfile.ZipInfo]:
+    infos = sorted((i for i in z.infolist() if not i.is_dir()), key=lambda i: i.filename)
+    if pattern is not None and not re.search(r"[*?\[]", pattern):
+        infos = [i for i in infos if i.filename == pattern]
+        if not infos:
+            raise SourceError(f"{name} has no member {pattern}")
+    else:
+        infos = [i for i in infos if i.filename.lower().endswith(MEMBER_SUFFIXES) and (pattern is None or glob_matches(i.filename, pattern))]
+    for i in infos:
+        if i.flag_bits & 1:
+            raise SourceError(f"{name}{BARRIER}{i.filename} is encrypted")
+        if i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            raise SourceError(f"{name}{BARRIER}{i.filename}: compression method {i.compress_type}")
+    return infos
+
+
 def members(name: str, data: bytes, pattern: str | None) -> Iterator[tuple[str, bytes]]:
     """Members of a zip: those with a known suffix, or matching a glob, or the one named."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        infos = sorted((i for i in z.infolist() if not i.is_dir()), key=lambda i: i.filename)
-        if pattern is not None and not re.search(r"[*?\[]", pattern):
-            infos = [i for i in infos if i.filename == pattern]
-            if not infos:
-                raise SourceError(f"{name} has no member {pattern}")
-        else:
-            infos = [i for i in infos if i.filename.lower().endswith(MEMBER_SUFFIXES) and (pattern is None or glob_matches(i.filename, pattern))]
-        for i in infos:
-            if i.flag_bits & 1:
-                raise SourceError(f"{name}{BARRIER}{i.filename} is encrypted")
-            if i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-                raise SourceError(f"{name}{BARRIER}{i.filename}: compression method {i.compress_type}")
+        for i in chosen_members(name, z, pattern):
             yield f"{name}{BARRIER}{i.filename}", z.read(i)
 
 

@@ -261,6 +261,17 @@ class WfsClient:
         return spark.createDataFrame([(s,) for s in starts], "start int").repartition(len(starts)).mapInArrow(work, SCHEMA)
 
 
+#: What declared types become; dateTime stays text, as a declaration doesn't say whether it has a time zone.
+DECLARED = {k: v for names, v in (("boolean", "boolean"), ("integer long int short byte nonNegativeInteger positiveInteger nonPositiveInteger negativeInteger unsignedInt unsignedShort unsignedByte", "bigint"), ("double float decimal", "double"), ("date", "date"), ("time", "time"), ("string dateTime anyURI token Name NCName normalizedString language duration gYear unsignedLong", "text")) for k in names.split()}
+GEOMETRY_TYPE = re.compile(r"(Geometry|GeometricPrimitive|Point|MultiPoint|LineString|MultiLineString|Curve|MultiCurve|Surface|MultiSurface|Polygon|MultiPolygon|MultiGeometry|GeometricComplex|CompositeCurve|CompositeSurface)PropertyType")
+
+
+def hint_of(xml: bytes, name: str) -> dict[str, str]:
+    """For InferenceOptions.hint: properties that a schema declares with a simple type or as geometries."""
+    out = {k: DECLARED.get(t) or ("geometry" if GEOMETRY_TYPE.fullmatch(t) else None) for k, t in describe(xml, name).items()}
+    return {k: t for k, t in out.items() if t}
+
+
 def describe(xml: bytes, name: str) -> dict[str, str]:
     """DescribeFeatureType: direct properties of a type and their XSD types, as a hint."""
     root = document(xml)

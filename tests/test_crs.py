@@ -71,7 +71,8 @@ def test_published_examples_of_other_methods():
 
 @pytest.mark.parametrize("method, parameters", [
     ("bonne", ("GRS80", 40.0, 10.0, 0.0, 0.0)), ("eqdc", ("GRS80", 40.0, 10.0, 30.0, 50.0, 0.0, 0.0)), ("poly", ("GRS80", 0.0, 10.0, 0.0, 0.0)), ("eqc", ("WGS84", 30.0, 10.0, 0.0, 0.0)), ("sinu", ("WGS84", 10.0, 0.0, 0.0)), ("moll", ("WGS84", 10.0, 0.0, 0.0)),
-    *[(m, ("sphere", 30.0, 10.0, 0.0, 0.0)) for m in ("aeqd_sphere", "ortho_sphere", "gnom", "stere_sphere")], *[(m, ("sphere", 10.0, 0.0, 0.0)) for m in ("mill", "gall", "natearth", "eck3", "craster", "wag3")],
+    *[(m, ("sphere", 30.0, 10.0, 0.0, 0.0)) for m in ("aeqd_sphere", "ortho_sphere", "gnom", "stere_sphere")], *[(m, ("sphere", 10.0, 0.0, 0.0)) for m in ("mill", "gall", "natearth", "eck3", "craster", "wag3", "eck1", "eck2", "eck4", "eck5", "eck6", "wag6", "kav7", "putp1", "collg", "nell", "nell_h", "qua_aut", "times", "fahey", "robin", "patterson", "comill", "cc", "hammer", "aitoff", "wintri", "boggs")],
+    ("loxim", ("sphere", 20.0, 10.0, 0.0, 0.0)), ("nsper", ("sphere", 30.0, 10.0, 3e6, 0.0, 0.0)),
 ])
 def test_other_round_trips(method, parameters):
     forward, inverse = METHODS[method](*parameters)
