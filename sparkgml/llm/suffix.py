@@ -104,16 +104,39 @@ def packed(ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[by
         yield int(ids[a]), [c[a:b].tobytes() for c in columns]
 
 
+def firsts(first: np.ndarray) -> np.ndarray:
+    """For each row of sorted columns the row that starts its run."""
+    return np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+
+
+def equal_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray, width: int, rows: int = 10_000) -> np.ndarray:
+    """Whether data[start:end] and data[other:other_end], of at most `width` bytes, are the same."""
+    same = end - start == other_end - other
+    columns = np.arange(width)
+    for a in range(0, len(start), rows):
+        b = slice(a, a + rows)
+        x, y = (np.minimum(s[b, None] + columns, len(data) - 1) for s in (start, other))
+        same[b] &= ((data[x] == data[y]) | (columns >= (end - start)[b, None])).all(axis=1)
+    return same
+
+
 def gathered(shape: Shape, shards: int):
-    """Anchors of a task, dealt into shards by hash. Those whose whole context came before in the task need no comparing."""
+    """Anchors of a task, dealt into shards by hash. Those whose whole context came before in the task, byte for byte, need no more comparing."""
 
     def send(parts: list) -> Iterator[pa.RecordBatch]:
-        h, c, i, off = (np.concatenate(x) for x in zip(*parts, strict=True))
+        *columns, blocks = zip(*parts, strict=True)
+        base = np.cumsum([0, *map(len, blocks)])
+        h, c, i, off, start, end = (np.concatenate([x + b if k > 3 else x for x, b in zip(column, base, strict=False)]) for k, column in enumerate(columns))
         order = np.lexsort((off, i, c, h))
-        h, c, i, off = h[order], c[order], i[order], off[order]
+        h, c, i, off, start, end = (x[order] for x in (h, c, i, off, start, end))
         once = runs_of(h, c, i, off)
         first = runs_of(h, c)
         again = once & ~first
+        x = np.flatnonzero(again)
+        y = firsts(first)[x]
+        same = equal_bytes(np.concatenate(blocks), start[x], end[x], start[y], end[y], shape.context)
+        again[x[~same]] = False
+        first[x[~same]] = True  # hashes that stand for different bytes are compared with others' later
         rows: list[tuple[int, bytes | None, bytes | None]] = []
         for doc, (data,) in packed(i[again], off[again].astype(np.uint32)):
             rows.append((int(mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(shards)), None, np.int64(doc).tobytes() + data))
@@ -140,7 +163,7 @@ def gathered(shape: Shape, shards: int):
             view, digest = data.tobytes(), xxhash.xxh3_64_intdigest
             seeds = ((at - start) << 20 | (end - at)).tolist()
             c = np.array([digest(view[a:b], s) for a, b, s in zip(start.tolist(), end.tolist(), seeds, strict=True)], np.uint64)
-            parts.append((h, c, batch.column(0).to_numpy()[owner], at - offsets[owner]))
+            parts.append((h, c, batch.column(0).to_numpy()[owner], at - offsets[owner], start, end, data))
             held += len(at)
             if held >= HELD:
                 yield from send(parts)
@@ -152,7 +175,7 @@ def gathered(shape: Shape, shards: int):
 
 
 def compared(most: int):
-    """Rows sorted by shard: anchors whose context came before, and those to be compared as their gram has several contexts; those of grams with over `most` contexts apart, as hot."""
+    """Rows sorted by shard: anchors whose context came before, with where, and those to be compared as their gram has several contexts; those of grams with over `most` contexts apart, as hot."""
 
     def done(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         columns: list[list] = [[], [], [], []]
@@ -171,11 +194,15 @@ def compared(most: int):
         once, first, group = runs_of(h, c, i, off), runs_of(h, c), np.cumsum(runs_of(h)) - 1
         classes = np.bincount(group, first, int(group[-1]) + 1 if len(group) else 0)
         again, ask = once & ~first, first & (classes[group] > 1)
+        x = np.flatnonzero(again)
+        y = firsts(first)[x]
+        refs = np.zeros(len(x), REFERENCE)
+        refs["off"], refs["of"], refs["at"] = off[x], i[y], off[y]
         hot = ask & (classes[group] > most)
         ask &= ~hot
-        yield from batched(((doc, data, None, None, None) for doc, (data,) in packed(i[again], off[again])), ANCHOR_ROWS)
-        yield from batched(((doc, None, a, b, None) for doc, (a, b) in packed(i[ask], off[ask], h[ask])), ANCHOR_ROWS)
-        yield from batched(((doc, None, None, None, data) for doc, (data,) in packed(i[hot], off[hot])), ANCHOR_ROWS)
+        yield from batched(((doc, None, None, None, None, data) for doc, (data,) in packed(i[x], refs)), ANCHOR_ROWS)
+        yield from batched(((doc, None, a, b, None, None) for doc, (a, b) in packed(i[ask], off[ask], h[ask])), ANCHOR_ROWS)
+        yield from batched(((doc, None, None, None, data, None) for doc, (data,) in packed(i[hot], off[hot])), ANCHOR_ROWS)
 
     def work(batches: Iterator[pa.RecordBatch]):
         shard, blobs = None, []
@@ -183,7 +210,7 @@ def compared(most: int):
             passed = []
             for s, found, again in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if again is not None:
-                    passed.append((int(np.frombuffer(again, np.int64, 1)[0]), again[8:], None, None, None))
+                    passed.append((int(np.frombuffer(again, np.int64, 1)[0]), again[8:], None, None, None, None))
                     continue
                 if s != shard and blobs:
                     yield from done(blobs)
@@ -233,7 +260,11 @@ def hot_spans(rows: DataFrame, hot: DataFrame, shape: Shape) -> DataFrame:
     return later.select("id", "start").mapInArrow(as_spans(shape), "id long, spans binary")
 
 
-ANCHOR_ROWS = pa.schema([("id", pa.int64()), ("again", pa.binary()), ("ask", pa.binary()), ("gram", pa.binary()), ("hot", pa.binary())])
+ANCHOR_ROWS = pa.schema([("id", pa.int64()), ("again", pa.binary()), ("ask", pa.binary()), ("gram", pa.binary()), ("hot", pa.binary()), ("refs", pa.binary())])
+#: An anchor of a document whose context, by its hashes, is that of an anchor of another.
+REFERENCE = np.dtype([("off", "<u4"), ("of", "<i8"), ("at", "<u4")])
+WANTED_ROWS = pa.schema([("of", pa.int64()), ("id", pa.int64()), ("wanted", pa.binary())])
+SOURCE_ROWS = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("source", pa.binary())])
 SPAN_ROWS = pa.schema([("id", pa.int64()), ("spans", pa.binary())])
 
 
@@ -248,6 +279,44 @@ def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
 
+def wanted(shape: Shape):
+    """Rows (id, refs) become, for each document that is referred to, the spans to be compared: start, end, start there."""
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield from batched(rows(batch), WANTED_ROWS)
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for doc, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            refs = np.frombuffer(b"".join(parts), REFERENCE)
+            off, at = refs["off"].astype(np.int64), refs["at"].astype(np.int64)
+            order = np.lexsort((off, at - off, refs["of"]))
+            off, at, of = off[order], at[order], refs["of"][order]
+            start, end = np.maximum(off - np.minimum(shape.left, at), 0), off + shape.length
+            new = runs_of(of, at - off)
+            new[1:] |= start[1:] > end[:-1]
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(off)) - 1
+            spans = np.stack([start[first], end[last], start[first] + (at - off)[first]], 1)
+            for source, (data,) in packed(of[first], spans):
+                yield source, doc, data
+
+    return work
+
+
+def sources(batches: Iterator[pa.RecordBatch]):
+    """Texts that are referred to, with who wants which spans of them: the bytes, for those who do."""
+    for batch in slices(batches, "text", 1 << 18):
+
+        def rows(batch=batch) -> Iterator[tuple]:
+            for text, askers in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                for a in askers:
+                    for start, end, there in np.frombuffer(a["wanted"], np.int64).reshape(-1, 3).tolist():
+                        yield a["id"], start, text[there : there + end - start]
+
+        yield from batched(rows(), SOURCE_ROWS, 1000)
+
+
 def fetched(shape: Shape, shards: int):
     """Texts with the anchors to be compared become suffixes with what stands before them, dealt by gram."""
     width = shape.context
@@ -448,10 +517,10 @@ def resolved(shape: Shape, most: int):
     return work
 
 
-def removal(n: int, again: list[bytes], spans: list[bytes], shape: Shape) -> list[tuple[int, int]]:
+def removal(n: int, again: list[bytes], spans: list[bytes], checked: list[tuple[int, int]], shape: Shape) -> list[tuple[int, int]]:
     """Maximal removed runs of a text of n bytes."""
     at = np.frombuffer(b"".join(again), np.uint32).astype(np.int64)
-    both = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
+    both = np.concatenate([np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2), np.array(checked, np.int64).reshape(-1, 2)])
     start = np.concatenate([np.maximum(at - shape.left, 0), both[:, 0]])
     end = np.minimum(np.concatenate([at + shape.length, both[:, 1]]), n)
     use = end - start >= shape.length
@@ -468,8 +537,10 @@ def applied(shape: Shape):
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches, "text"):
             size, gone, runs, kept = [], [], [], []
-            for text, again, spans in zip(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                cut = removal(len(text), again or [], spans or [], shape)
+            for text, again, spans, found in zip(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                # only bytes that are the source's go
+                checked = [(x["start"], x["start"] + len(x["source"])) for x in found or () if text.startswith(x["source"], x["start"])]
+                cut = removal(len(text), again or [], spans or [], checked, shape)
                 size.append(len(text))
                 runs.append(len(cut))
                 gone.append(sum(b - a for a, b in cut))
@@ -477,7 +548,7 @@ def applied(shape: Shape):
                     ends = [0, *(x for ab in cut for x in ab), len(text)]
                     text = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                 kept.append(text)
-            yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()), batch.column(4)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "row"])
+            yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()), batch.column(5)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "row"])
 
     return work
 
@@ -497,10 +568,12 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False, gra
     A gram that is the least by hash in some string is an anchor; equal
     strings have equal anchors, so only anchors (one in about `length` / 3
     bytes) are shuffled, with a 64-bit hash of the gram and one of the bytes
-    around it that any string through it can reach. Anchors with equal
-    surroundings need no look at bytes: all but the first are covered whole,
-    and those of one task are settled there, so that a text copied any number
-    of times adds one record for each task and anchor. Where a gram has
+    around it that any string through it can reach. Of anchors with equal
+    hashes all but the first are covered whole, if their bytes are equal too:
+    those of one task are compared there, so that a text copied any number of
+    times adds one record for each task and anchor; for those of other tasks
+    the first one's bytes are fetched, neighbouring anchors as one span, and
+    what differs from them stays. Where a gram has
     several surroundings, the first anchor of each is fetched with its bytes;
     the suffixes from the anchors on are sorted by a mergesort whose
     comparisons find common prefixes by binary search over prefix polynomial
@@ -521,7 +594,12 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False, gra
     tasks = max([tasks, *many])
     shards = max(tasks, total // (SHARD_ANCHORS * shape.places // 2) + 1)
     found = rows.select("id", "text").where(F.octet_length("text") >= length).mapInArrow(gathered(shape, shards), "shard long, found binary, again binary")
-    marks = pin(found.repartition(*many, F.col("shard")).sortWithinPartitions("shard").mapInArrow(compared(gram_contexts), "id long, again binary, ask binary, gram binary, hot binary"))
+    marks = pin(found.repartition(*many, F.col("shard")).sortWithinPartitions("shard").mapInArrow(compared(gram_contexts), "id long, again binary, ask binary, gram binary, hot binary, refs binary"))
+    release(spark)
+    refs = marks.where("refs is not null").groupBy("id").agg(F.collect_list("refs").alias("refs"))  # a document's own anchors
+    # askers of a text are few: a task sends one reference to it for each time that it sends its anchors
+    askers = refs.mapInArrow(wanted(shape), "of long, id long, wanted binary").groupBy("of").agg(F.collect_list(F.struct("id", "wanted")).alias("askers"))
+    checks = pin(rows.select("id", "text").join(askers, F.col("id") == F.col("of")).select("id", "text", "askers").mapInArrow(sources, "id long, start long, source binary"))
     release(spark)
     asked = marks.where("ask is not null")
     n = asked.agg(F.sum(F.octet_length("ask"))).first()[0] or 0
@@ -533,9 +611,11 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False, gra
     hot = marks.where("hot is not null").select("id", "hot")
     if not hot.isEmpty():
         spans = spans.unionByName(hot_spans(rows.select("id", "text"), hot, shape))
-    cut = marks.where("again is not null").select("id", "again", F.lit(None).cast("binary").alias("spans")).unionByName(spans.select("id", F.lit(None).cast("binary").alias("again"), "spans"))
-    cut = cut.groupBy("id").agg(F.collect_list("again").alias("again"), F.collect_list("spans").alias("spans"))
+    no, none = F.lit(None).cast("binary"), F.lit(None).cast("struct<start: bigint, source: binary>")
+    cut = marks.where("again is not null").select("id", "again", no.alias("spans"), none.alias("check")).unionByName(spans.select("id", no.alias("again"), "spans", none.alias("check")))
+    cut = cut.unionByName(checks.select("id", no.alias("again"), no.alias("spans"), F.struct("start", "source").alias("check")))
+    cut = cut.groupBy("id").agg(F.collect_list("again").alias("again"), F.collect_list("spans").alias("spans"), F.collect_list("check").alias("checks"))
     out = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary").add("row", rows.schema["row"].dataType)
-    done = rows.join(cut, "id", "left").select("id", "text", "again", "spans", "row").mapInArrow(applied(shape), out)
+    done = rows.join(cut, "id", "left").select("id", "text", "again", "spans", "checks", "row").mapInArrow(applied(shape), out)
     done = restored(done, named, "doc_id") if new else done
     return done if carry else done.drop("row")

@@ -304,3 +304,39 @@ def test_everything_null(spark):
     assert rows(simhash_dedup(df), "fingerprint", "component_id") == [("0" * 16, None)] * 3
     assert rows(suffix_dedup(df), "doc_id", "n_bytes") == [(None, 0)] * 3
     assert line_dedup(df.withColumn("more", F.lit(1))).count() == 3
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_suffix_hashes_that_meet(spark, monkeypatch, parts):
+    """With a context hash that tells nothing apart, in one task and across tasks, no byte goes that isn't a copy's."""
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abcdef") for _ in range(60))  # a common gram, but no common string of the length
+    docs = [(i, "".join(rng.choice("abcdef") for _ in range(90)) + shared + "".join(rng.choice("abcdef") for _ in range(90))) for i in range(12)]
+    docs += [(20 + i, docs[i][1]) for i in range(3)]
+    truth = {(r[0], r[2]) for r in brute_suffix(docs, 100)}
+    rows_of, real = suffix.gathered, suffix.xxhash.xxh3_64_intdigest
+
+    def blind(shape, shards):
+        work = rows_of(shape, shards)
+
+        def run(batches):
+            suffix.xxhash.xxh3_64_intdigest = lambda data, seed=0: 7
+            try:
+                yield from work(batches)
+            finally:
+                suffix.xxhash.xxh3_64_intdigest = real
+
+        return run
+
+    monkeypatch.setattr(suffix, "gathered", blind)
+    got = {(r.doc_id, r.n_removed) for r in suffix_dedup(frame(spark, docs, parts)).collect()}
+    assert {i: n for i, n in got if i < 20} == dict.fromkeys(range(12), 0) and all(n <= dict(truth)[i] for i, n in got) and truth
+
+
+def test_equal_bytes():
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 2, 400).astype(np.uint8)
+    start, other, n = rng.integers(0, 380, 3000), rng.integers(0, 380, 3000), rng.integers(0, 12, 3000)
+    end, other_end = np.minimum(start + n, 400), np.minimum(other + n, 400)
+    want = [data[a:b].tobytes() == data[c:d].tobytes() for a, b, c, d in zip(start, end, other, other_end, strict=True)]
+    assert suffix.equal_bytes(data, start, end, other, other_end, 12, rows=700).tolist() == want and any(want)
