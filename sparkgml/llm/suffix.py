@@ -19,7 +19,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: A random 64-bit word for each byte value, from the finaliser that everything else uses.
 WORDS = mix(np.arange(256, dtype=np.uint64), 7)
 #: Anchors that a task gathers before it sends them; anchors and suffixes of a shard.
-HELD, SHARD_ANCHORS, SHARD_SUFFIXES = 300_000, 1_000_000, 40_000
+HELD, SHARD_ANCHORS, SHARD_SUFFIXES = 200_000, 1_000_000, 40_000
 #: Bytes of the input for each shuffle partition at most.
 TASK_BYTES = 128 << 20
 #: Surroundings of one gram that a task compares; those of a gram with more become rows of their own strings.
@@ -109,7 +109,7 @@ def firsts(first: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
 
 
-def equal_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray, width: int, rows: int = 10_000) -> np.ndarray:
+def equal_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray, width: int, rows: int = 4_000) -> np.ndarray:
     """Whether data[start:end] and data[other:other_end], of at most `width` bytes, are the same."""
     same = end - start == other_end - other
     columns = np.arange(width)
@@ -533,7 +533,9 @@ def removal(n: int, again: list[bytes], spans: list[bytes], checked: list[tuple[
     return list(zip(start[new].tolist(), end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)].tolist(), strict=True))
 
 
-def applied(shape: Shape):
+def applied(shape: Shape, as_text: bool):
+    """Texts without what is to be removed, as bytes or as strings; what a cut left of a character goes from a string."""
+
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches, "text"):
             size, gone, runs, kept = [], [], [], []
@@ -548,7 +550,7 @@ def applied(shape: Shape):
                     ends = [0, *(x for ab in cut for x in ab), len(text)]
                     text = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                 kept.append(text)
-            yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()), batch.column(5)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "row"])
+            yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), batch.column(5)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text" if as_text else "kept_bytes", "row"])
 
     return work
 
@@ -562,8 +564,9 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False, gra
     input. Null counts as empty. Null and repeated doc_ids are documents of
     their own: null comes first, and of equal doc_ids an order by a hash of
     the text decides which is earlier. Other columns are ignored; with `carry`
-    a struct column `row` has all columns of the input but text. An empty
-    table gives an empty result.
+    a struct column `row` has all columns of the input but text, and
+    kept_text, a string, stands for kept_bytes. An empty table gives an empty
+    result.
 
     A gram that is the least by hash in some string is an anchor; equal
     strings have equal anchors, so only anchors (one in about `length` / 3
@@ -615,7 +618,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False, gra
     cut = marks.where("again is not null").select("id", "again", no.alias("spans"), none.alias("check")).unionByName(spans.select("id", no.alias("again"), "spans", none.alias("check")))
     cut = cut.unionByName(checks.select("id", no.alias("again"), no.alias("spans"), F.struct("start", "source").alias("check")))
     cut = cut.groupBy("id").agg(F.collect_list("again").alias("again"), F.collect_list("spans").alias("spans"), F.collect_list("check").alias("checks"))
-    out = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary").add("row", rows.schema["row"].dataType)
-    done = rows.join(cut, "id", "left").select("id", "text", "again", "spans", "checks", "row").mapInArrow(applied(shape), out)
+    out = StructType.fromDDL(f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, {'kept_text string' if carry else 'kept_bytes binary'}").add("row", rows.schema["row"].dataType)
+    done = rows.join(cut, "id", "left").select("id", "text", "again", "spans", "checks", "row").mapInArrow(applied(shape, carry), out)
     done = restored(done, named, "doc_id") if new else done
     return done if carry else done.drop("row")
