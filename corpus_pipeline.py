@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,17 +45,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(rows, simhash_dedup(rows, shingle=5, similarity=0.8), docs.columns)
 
 
-def as_text(batches: Iterator[pa.RecordBatch]):
-    """Bytes as strings; what a cut left of a character goes."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())], ["row", "text"])
-
-
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes strings of 100 bytes that start earlier; every row stays, with what is left of its text."""
-    done = suffix_dedup(docs, carry=True).select("row", "kept_bytes")
-    schema = done.select("row", F.lit("").cast("string").alias("text")).schema
-    cut = done.mapInArrow(as_text, schema)
+    cut = suffix_dedup(docs, carry=True).select("row", F.col("kept_text").alias("text"))
     kept = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return cut.select(*[(kept[c] if c in kept else F.col("row")[c]).alias(c) for c in docs.columns])
 
