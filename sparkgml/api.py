@@ -38,7 +38,8 @@ class ReadOptions:
     location_column: bool = False
     columns: list[str] | None = None
     preserve_order: bool = False
-    sample_features: int | None = None
+    sample_features: int | None = None  # the first of each source
+    sample_total: int | None = None  # the first of all, in order of source
     spread: bool = False  # deal features anew after splitting: for documents that are few and large
 
     @classmethod
@@ -52,8 +53,8 @@ class ReadOptions:
                 out.axis_order = v
             elif k in ("target_crs", "crs"):
                 out.target_crs = int(str(v).upper().removeprefix("EPSG:"))
-            elif k == "sample_features":
-                out.sample_features = int(v)
+            elif k in ("sample_features", "sample_total"):
+                setattr(out, k, int(v))
             elif k == "preserve_order":
                 out.preserve_order = str(v).lower() == "true"
             elif k == "on_feature_error":
@@ -90,6 +91,7 @@ class Scan:
     decisions: dict[tuple[str, str, str], Decision]
     skipped_sources: list[str]
     headers: list[dict[str, Any]]
+    is_complete: bool
     extent: dict[str, tuple[float, float, float, float]]
     rows: list[dict[str, Any]]
 
@@ -182,6 +184,9 @@ def scan(spark: SparkSession, inputs: Any, options: ReadOptions | None = None) -
     inference = options.inference
     if options.sample_features:
         features, inference = sampled(features, options.sample_features), replace(inference, sampled=True)
+    if options.sample_total:
+        some = features.where("kind = 'feature'").orderBy("source", "seq", "start").limit(options.sample_total)
+        features, inference = features.where("kind <> 'feature'").unionByName(some), replace(inference, sampled=True)
     seen = observations(features, options.on_feature_error != "error").persist()  # a few rows for each task: one pass serves all that follows
     try:
         found = headers_of(seen)
@@ -205,7 +210,7 @@ def scan(spark: SparkSession, inputs: Any, options: ReadOptions | None = None) -
         s.versions = ",".join(sorted(versions))
     local = {(r["layer_ns"], r["layer"]): r["instances"] for r in rows if r["path"] == ""}
     counts = {k: next(n for (ns, name), n in local.items() if k in (name, f"{{{ns}}}{name}") and s.namespace == ns) for k, s in schemas.items()}
-    return Scan(counts, schemas, decisions, [h["source"] for h in found if h["kind"] == "skipped"], found, extent, rows)
+    return Scan(counts, schemas, decisions, [h["source"] for h in found if h["kind"] == "skipped"], found, not inference.sampled, extent, rows)
 
 
 @dataclass

@@ -66,7 +66,7 @@ def is_geometry(node: Node) -> bool:
 
 def floats(text: str) -> list[float]:
     try:
-        return [float(x.replace("INF", "inf")) for x in text.split()]
+        return list(map(float, text.split()))
     except ValueError:
         raise GeometryError(f"not numbers: {text[:40]!r}") from None
 

@@ -83,18 +83,33 @@ def geo_metadata(fields: list[dict[str, Any]], covers: dict[str, str], seen: dic
     return {"version": "1.1.0", "primary_column": fields[0]["name"], "columns": columns}
 
 
+def committed(path: str, staging: str, files: list[str]) -> None:
+    """Move the files that count into their folder and drop what else was written."""
+    fs, root = filesystem(path)
+    fs.create_dir(f"{root}/{staging}", recursive=True)
+    for name in files:
+        fs.move(f"{root}/{staging}/{name}", f"{root}/{name}")
+    fs.delete_dir(f"{root}/{staging}")
+    if not fs.get_file_info(pafs.FileSelector(f"{root}/_temporary", allow_not_found=True)):
+        fs.delete_dir(f"{root}/_temporary")
+
+
 def write_geoparquet(df: DataFrame, path: str, *, box: str = "auto", settings: str | None = None, compression: str = "zstd") -> DataFrame:
     """Write one GeoParquet file for each partition into the folder `path`; returns (file, rows), which are the written files.
 
-    `path` is a folder or URI that pyarrow reaches from every executor. A
-    retried task writes a file of its own name; readers take the files that
-    are returned, also listed in `_files.json` beside them.
+    `path` is a folder or URI that pyarrow reaches from every executor. Tasks
+    write below `_temporary`; once all have succeeded, the files of those that
+    count are moved into the folder, so retried and speculative tasks leave
+    nothing. The files are also listed in `_files.json`.
     """
     df, covers = with_bbox(df, box)
     fields = [{"name": f.name, "metadata": dict(f.metadata)} for f in geometry_columns(df.schema)]
 
+    staging = f"_temporary/{uuid.uuid4().hex}"
+
     def work(batches: Iterator[pa.RecordBatch]):
         fs, root = filesystem(path)
+        root = f"{root}/{staging}"
         fs.create_dir(root, recursive=True)
         name, writer, n, seen = f"part-{uuid.uuid4().hex}.parquet", None, 0, {f["name"]: Seen() for f in fields}
         try:
@@ -117,6 +132,7 @@ def write_geoparquet(df: DataFrame, path: str, *, box: str = "auto", settings: s
             yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], ["file", "rows"])
 
     done = df.mapInArrow(work, "file string, rows bigint").collect()  # a row for each partition
+    committed(path, staging, [r.file for r in done])
     fs, root = filesystem(path)
     with fs.open_output_stream(f"{root}/_files.json") as out:
         out.write(json.dumps({r.file: r.rows for r in done}).encode())
@@ -124,10 +140,12 @@ def write_geoparquet(df: DataFrame, path: str, *, box: str = "auto", settings: s
 
 
 def write_ipc(df: DataFrame, path: str, *, settings: str | None = None) -> DataFrame:
-    """Write one Arrow IPC file for each partition; curves and types stay as they are."""
+    """Write one Arrow IPC file for each partition, moved into the folder once all are there; curves and types stay as they are."""
+    staging = f"_temporary/{uuid.uuid4().hex}"
 
     def work(batches: Iterator[pa.RecordBatch]):
         fs, root = filesystem(path)
+        root = f"{root}/{staging}"
         fs.create_dir(root, recursive=True)
         name, writer, n = f"part-{uuid.uuid4().hex}.arrow", None, 0
         for b in batches:
@@ -143,6 +161,7 @@ def write_ipc(df: DataFrame, path: str, *, settings: str | None = None) -> DataF
             yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], ["file", "rows"])
 
     done = df.mapInArrow(work, "file string, rows bigint").collect()  # a row for each partition
+    committed(path, staging, [r.file for r in done])
     return df.sparkSession.createDataFrame([(r.file, r.rows) for r in done], "file string, rows bigint")
 
 

@@ -105,6 +105,7 @@ def test_inference(spark):
     small = found.schema_with("A", InferenceOptions(integers="smallest"))
     assert next(c for c in small.columns if c.name == "n").type == "smallint"
     sampled = scan(spark, {"d": doc(*FEATURES)}, ReadOptions(sample_features=1))
+    assert not sampled.is_complete and found.is_complete and scan(spark, {"d": doc(*FEATURES), "e": doc(*FEATURES)}, ReadOptions(sample_total=3)).counts == {"A": 3}
     assert sampled.counts == {"A": 1} and next(c for c in sampled.schema("A").columns if c.name == "n").type == "string"
 
 
@@ -169,7 +170,7 @@ def test_sinks(spark, tmp_path):
     geo = json.loads(file.metadata.metadata[b"geo"])
     assert geo["columns"]["g"]["geometry_types"] == ["Polygon"] and geo["columns"]["g"]["bbox"] == [0, 0, 4, 4] and geo["columns"]["g"]["crs"]["id"]["code"] == 2180
     assert geo["columns"]["g"]["covering"]["bbox"]["xmin"] == ["g_bbox", "xmin"] and file.metadata.metadata[b"gml:settings"] == b"{}"
-    assert file.read().column("g_bbox").to_pylist()[0]["xmax"] == 4.0
+    assert file.read().column("g_bbox").to_pylist()[0]["xmax"] == 4.0 and sorted(x.name for x in (tmp_path / "p").iterdir()) == ["_files.json", done[0].file]
     ipc = write_ipc(layer.df.coalesce(1), str(tmp_path / "i")).collect()
     assert pa.ipc.open_file(io.BytesIO((tmp_path / "i" / ipc[0].file).read_bytes())).read_all().num_rows == 2
     arc = '<t:g><gml:Curve><gml:segments><gml:Arc><gml:posList>0 0 1 1 2 0</gml:posList></gml:Arc></gml:segments></gml:Curve></t:g>'
