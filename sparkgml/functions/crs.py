@@ -57,6 +57,46 @@ KNOWN = {c.code: c for c in (
     Crs(6933, "WGS 84 / NSIDC EASE-Grid 2.0 Global", "E", False, "WGS84", (-180, -86, 180, 86), "WGS84", ("cea", 30.0, 0.0, 0.0, 0.0)),
     Crs(8857, "WGS 84 / Equal Earth Greenwich", "E", False, "WGS84", (-180, -90, 180, 90), "WGS84", ("eqearth", 0.0, 0.0, 0.0)),
 )}
+#: More national systems of the dataset, by transverse Mercator.
+KNOWN |= {c.code: c for c in (
+    Crs(3006, "SWEREF99 TM", "N", False, "GRS80", (10.03, 54.96, 24.17, 69.07), "ETRS89", ("tmerc", 0.0, 15.0, 0.9996, 500000.0, 0.0)),
+    Crs(3059, "LKS92 / Latvia TM", "N", False, "GRS80", (19.06, 55.67, 28.24, 58.09), "ETRS89", ("tmerc", 0.0, 24.0, 0.9996, 500000.0, -6000000.0)),
+    Crs(3346, "LKS94 / Lithuania TM", "N", False, "GRS80", (19.02, 53.89, 26.82, 56.45), "ETRS89", ("tmerc", 0.0, 24.0, 0.9998, 500000.0, 0.0)),
+    Crs(3067, "ETRS89 / TM35FIN(E,N)", "E", False, "GRS80", (19.08, 58.84, 31.59, 70.09), "ETRS89", ("tmerc", 0.0, 27.0, 0.9996, 500000.0, 0.0)),
+    Crs(3765, "HTRS96 / Croatia TM", "E", False, "GRS80", (13.0, 41.62, 19.43, 46.54), "ETRS89", ("tmerc", 0.0, 16.5, 0.9999, 500000.0, 0.0)),
+    Crs(2157, "IRENET95 / Irish Transverse Mercator", "E", False, "GRS80", (-10.56, 51.39, -5.34, 55.43), "ETRS89", ("tmerc", 53.5, -8.0, 0.99982, 600000.0, 750000.0)),
+    Crs(3763, "ETRS89 / Portugal TM06", "E", False, "GRS80", (-9.56, 36.95, -6.19, 42.16), "ETRS89", ("tmerc", 39.66825833333333, -8.133108333333334, 1.0, 0.0, 0.0)),
+    Crs(2193, "NZGD2000 / New Zealand Transverse Mercator 2000", "N", False, "GRS80", (166.37, -47.33, 178.63, -34.1), "NZGD2000", ("tmerc", 0.0, 173.0, 0.9996, 1600000.0, 10000000.0)),
+    Crs(4283, "GDA94", "N", True, "GRS80", (93.41, -60.55, 173.34, -8.47), "GDA94"), Crs(4167, "NZGD2000", "N", True, "GRS80", (160.6, -55.95, -171.2, -25.88), "NZGD2000"), Crs(4674, "SIRGAS 2000", "N", True, "GRS80", (-122.19, -59.87, -25.28, 32.72), "SIRGAS2000"),
+    Crs(4277, "OSGB36", "N", True, "airy", (-9.01, 49.75, 2.01, 61.01), "OSGB36"), Crs(4312, "MGI", "N", True, "bessel", (9.53, 46.4, 17.17, 49.02), "MGI"), Crs(4289, "Amersfoort", "N", True, "bessel", (3.2, 50.75, 7.22, 53.7), "Amersfoort"), Crs(4313, "BD72", "N", True, "intl", (2.5, 49.5, 6.4, 51.51), "BD72"), Crs(4156, "S-JTSK", "N", True, "bessel", (12.09, 47.73, 22.56, 51.06), "S-JTSK"), Crs(4314, "DHDN", "N", True, "bessel", (5.86, 47.27, 13.84, 55.09), "DHDN"),
+)}
+
+
+def by_zone(code: int) -> Crs | None:
+    """Systems that follow from the number of a zone."""
+    if 31466 <= code <= 31469:
+        zone = code - 31464
+        return Crs(code, f"DHDN / 3-degree Gauss-Kruger zone {zone}", "N", False, "bessel", (zone * 3 - 1.5, 47.27, zone * 3 + 1.5, 55.09), "DHDN", ("tmerc", 0.0, zone * 3.0, 1.0, zone * 1e6 + 500000, 0.0))
+    if 3873 <= code <= 3885:
+        zone = code - 3854
+        return Crs(code, f"ETRS89 / GK{zone}FIN", "N", False, "GRS80", (zone - 0.5, 59.3, zone + 0.5, 70.09), "ETRS89", ("tmerc", 0.0, float(zone), 1.0, zone * 1e6 + 500000, 0.0))
+    if 5105 <= code <= 5130:
+        zone = code - 5100
+        return Crs(code, f"ETRS89 / NTM zone {zone}", "N", False, "GRS80", (float(zone), 57.9, zone + 1.0, 71.24), "ETRS89", ("tmerc", 58.0, zone + 0.5, 1.0, 100000.0, 1000000.0))
+    if 3942 <= code <= 3950:
+        zone = code - 3900
+        return Crs(code, f"RGF93 v1 / CC{zone}", "E", False, "GRS80", (-4.87, zone - 1.0, 9.63, zone + 1.0), "ETRS89", ("lcc", float(zone), 3.0, zone - 0.75, zone + 0.75, 1700000.0, (zone - 41) * 1e6 + 200000))
+    if 3007 <= code <= 3018:
+        middle = (12.0, 13.5, 15.0, 16.5, 18.0, 14.25, 15.75, 17.25, 18.75, 20.25, 21.75, 23.25)[code - 3007]
+        return Crs(code, f"SWEREF99 {int(middle)} {round(middle % 1 * 60):02d}", "N", False, "GRS80", (middle - 1.0, 54.96, middle + 1.0, 69.07), "ETRS89", ("tmerc", 0.0, middle, 1.0, 150000.0, 0.0))
+    for base, first, last, datum, title in ((28300, 48, 58, "GDA94", "GDA94 / MGA zone"), (31960, 18, 25, "SIRGAS2000", "SIRGAS 2000 / UTM zone")):
+        zone = code - base
+        if first <= zone <= last:
+            west = zone * 6 - 186.0
+            return Crs(code, f"{title} {zone}" + ("S" if base == 31960 else ""), "E", False, "GRS80", (west, -60.0, west + 6, 0.0), datum, ("tmerc", 0.0, west + 3, 0.9996, 500000.0, 10000000.0))
+    return None
+
+
 #: Names that stand for a code.
 NAMED = {"wgs84": 4326, "wgs 84": 4326, "etrs89": 4258, "crs84": -84, "ogc:crs84": -84, "wgs 84 / pseudo-mercator": 3857, "google": 3857}
 CRS84 = Crs(-84, "WGS 84 (CRS84)", "E", True, "WGS84", (-180, -90, 180, 90), "WGS84")
@@ -78,6 +118,8 @@ def crs_of(code: int) -> Crs | None:
         return KNOWN[code]
     if code == -84:
         return CRS84
+    if (crs := by_zone(code)) is not None:
+        return crs
     for base, south, datum, ellipsoid in ((32600, False, "WGS84", "WGS84"), (32700, True, "WGS84", "WGS84"), (25800, False, "ETRS89", "GRS80"), (26900, False, "NAD83", "GRS80")):
         zone = code - base
         if 1 <= zone <= 60 and (base != 25800 or 28 <= zone <= 38) and (base != 26900 or zone <= 23):

@@ -26,7 +26,7 @@ METHOD_NAMES = {
 }
 PARAMETER_NAMES = {"lat_0": ("Latitude of natural origin", "latitude_of_origin"), "lon_0": ("Longitude of natural origin", "central_meridian"), "k_0": ("Scale factor at natural origin", "scale_factor"), "x_0": ("False easting", "false_easting"), "y_0": ("False northing", "false_northing"), "lat_1": ("Latitude of 1st standard parallel", "standard_parallel_1"), "lat_2": ("Latitude of 2nd standard parallel", "standard_parallel_2"), "lat_ts": ("Latitude of standard parallel", "standard_parallel_1")}
 ALSO = {"latitude of false origin": "lat_0", "longitude of false origin": "lon_0", "easting at false origin": "x_0", "northing at false origin": "y_0", "latitude of projection centre": "lat_0", "longitude of projection centre": "lon_0", "latitude of center": "lat_0", "longitude of center": "lon_0"}
-DATUM_NAMES = {"WGS84": "World Geodetic System 1984", "ETRS89": "European Terrestrial Reference System 1989", "NAD83": "North American Datum 1983", "OSGB36": "Ordnance Survey of Great Britain 1936", "MGI": "Militar-Geographische Institut", "BD72": "Reseau National Belge 1972", "S-JTSK": "System of the Unified Trigonometrical Cadastral Network", "Amersfoort": "Amersfoort"}
+DATUM_NAMES = {"WGS84": "World Geodetic System 1984", "ETRS89": "European Terrestrial Reference System 1989", "NAD83": "North American Datum 1983", "OSGB36": "Ordnance Survey of Great Britain 1936", "MGI": "Militar-Geographische Institut", "BD72": "Reseau National Belge 1972", "S-JTSK": "System of the Unified Trigonometrical Cadastral Network", "Amersfoort": "Amersfoort", "GDA94": "Geocentric Datum of Australia 1994", "NZGD2000": "New Zealand Geodetic Datum 2000", "SIRGAS2000": "Sistema de Referencia Geocentrico para las AmericaS 2000", "DHDN": "Deutsches Hauptdreiecksnetz"}
 ELLIPSOID_NAMES = {"WGS84": "WGS 84", "GRS80": "GRS 1980", "bessel": "Bessel 1841", "airy": "Airy 1830", "intl": "International 1924", "clrk66": "Clarke 1866", "krass": "Krassowsky 1940"}
 UNITS = {"m": 1.0, "km": 1000.0, "ft": 0.3048, "us-ft": 1200 / 3937}
 DATUM_OF_PROJ = {"WGS84": ("WGS84", "WGS84"), "NAD83": ("NAD83", "GRS80"), "OSGB36": ("OSGB36", "airy")}
@@ -195,7 +195,7 @@ def of_tree(tree: list) -> Crs | Compound:
     ellipsoid = ellipsoid_of(shape[2], shape[3])
     frame = within(tree, "DATUM", "ENSEMBLE", "GEODETICDATUM", "TRF")
     title = frame[1] if frame else ""
-    datum = next((k for k, v in DATUM_NAMES.items() if name_key(title).removeprefix("d").startswith((name_key(v), name_key(k)))), {"WGS84": "WGS84", "GRS80": "ETRS89"}.get(ellipsoid, f"on {ellipsoid}"))
+    datum = next((k for k, v in DATUM_NAMES.items() if name_key(re.sub("^D_", "", title)).startswith((name_key(v), name_key(k)))), {"WGS84": "WGS84", "GRS80": "ETRS89"}.get(ellipsoid, f"on {ellipsoid}"))
     axes = parts(tree, "AXIS")
     first = "N" if axes and str(axes[0][2]).lower() in ("north", "south") else "E"
     if kind in ("GEOGCRS", "GEOGCS", "GEODCRS"):

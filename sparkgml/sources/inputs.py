@@ -139,6 +139,8 @@ def sources(spark: SparkSession, inputs: str | list[str], *, timeout: float = 30
         raise SourceError("no inputs")
     urls = [x for x in inputs if re.match("https?://", x)]
     given = [("stdin", sys.stdin.buffer.read())] if "-" in inputs else []
+    if remote := [x for x in urls if BARRIER in x.partition("://")[2] or x.partition("?")[0].lower().endswith(".zip")]:
+        raise SourceError(f"archives can't be read over http: {remote[0]}")
     paths = [x for x in inputs if x not in urls and x != "-"]
     patterns: dict[str, str | None] = {}
     plain: list[str] = []
@@ -150,9 +152,12 @@ def sources(spark: SparkSession, inputs: str | list[str], *, timeout: float = 30
     frames = []
     if plain:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(plain)
-        named = [p for p in plain if p.lower().endswith(SUFFIXES) or "." in p.rsplit("/", 1)[-1]]
-        if len(named) < len(plain):  # folders: only what looks like a document
-            files = files.where(F.lower("path").rlike("(" + "|".join(map(re.escape, SUFFIXES)) + ")$"))
+        folders = [p.rstrip("/") for p in plain if is_folder(spark, p)]
+        if folders:  # of folders only what looks like a document
+            own = F.lit(False)
+            for p in folders:
+                own |= F.col("path").contains(re.sub(r"^\w+:/*", "/", p) + "/")
+            files = files.where(~own | F.lower("path").rlike("(" + "|".join(map(re.escape, SUFFIXES)) + ")$"))
         frames.append(files.select(F.col("path").alias("name"), "content"))
     if urls:
         frames.append(spark.createDataFrame([(u,) for u in urls], "name string").repartition(len(urls)).mapInArrow(fetched(timeout, retries, headers or {}), SCHEMA))
@@ -164,6 +169,13 @@ def sources(spark: SparkSession, inputs: str | list[str], *, timeout: float = 30
     return out.mapInArrow(opened(patterns), SCHEMA)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path, of any file system that Spark reads, is a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not re.search(r"[*?\[{]", path) and fs.exists(where) and fs.getFileStatus(where).isDirectory()
+
+
 def of_bytes(spark: SparkSession, parts: list[tuple[str, bytes]]) -> DataFrame:
     """Documents that the driver has in memory."""
     return spark.createDataFrame(parts, SCHEMA)

@@ -80,7 +80,7 @@ def test_other_round_trips(method, parameters):
     assert np.allclose(lon, [12, 8], atol=1e-9) and np.allclose(lat, [35, 42], atol=1e-9)
 
 
-@pytest.mark.parametrize("code", [c for c in KNOWN if not KNOWN[c].geographic] + [32633, 32733, 25832, 26917])
+@pytest.mark.parametrize("code", [c for c in KNOWN if not KNOWN[c].geographic] + [32633, 32733, 25832, 26917, 31468, 3879, 5110, 3946, 3012, 28355, 31983])
 def test_round_trips(code):
     crs = crs_of(code)
     west, south, east, north = crs.area
@@ -91,6 +91,12 @@ def test_round_trips(code):
     assert np.allclose((x - lon + 180) % 360, 180, atol=1e-9) and np.allclose(y, lat, atol=1e-9)
 
 
+def test_zones():
+    names = {31468: "DHDN / 3-degree Gauss-Kruger zone 4", 3879: "ETRS89 / GK25FIN", 5110: "ETRS89 / NTM zone 10", 3946: "RGF93 v1 / CC46", 3011: "SWEREF99 18 00", 28355: "GDA94 / MGA zone 55", 31983: "SIRGAS 2000 / UTM zone 23S"}
+    assert {k: crs_of(k).name for k in names} == names and crs_of(31470) is None
+    assert Transform(4258, 3946).convert(3.0, 46.0) == pytest.approx((1700000, 5200000), abs=1) and Transform(4258, 3879).convert(25.0, 0.0) == pytest.approx((25500000, 0), abs=1e-6)
+
+
 def test_transform():
     t = Transform(27700, 4326)
     assert t.operations() == ["inverse tmerc", "Helmert OSGB36 to WGS84"]

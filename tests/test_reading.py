@@ -72,6 +72,13 @@ def test_inputs(spark, tmp_path):
         as_utf8(b'<?xml version="1.0" encoding="nope"?><a/>')
     with pytest.raises(SourceError):
         sources(spark, [])
+    (tmp_path / "v1.0").mkdir()
+    (tmp_path / "v1.0" / "a.gml").write_bytes(plain)
+    (tmp_path / "v1.0" / "odd.txt").write_bytes(plain)
+    assert [r.name.rsplit("/", 1)[1] for r in sources(spark, f"{tmp_path}/v1.0").collect()] == ["a.gml"] and sources(spark, f"{tmp_path}/v1.0/odd.txt").count() == 1
+    for bad in ("http://x/a.zip", "http://x/a.zip!/b.gml"):
+        with pytest.raises(SourceError, match="archives"):
+            sources(spark, bad)
 
 
 def test_split_by_tag(spark, tmp_path):
