@@ -18,6 +18,10 @@ ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WS = b" \t\n\x0b\x0c\r"
 
 
+#: Folders of pinned tables that are still there, as far as this process knows.
+_pinned: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder name under the session's spark.checkpoint.dir.
 
@@ -36,17 +40,35 @@ def pin(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark)
+    _pinned.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unpin(df: DataFrame) -> None:
     """Delete a pinned table that nothing will read again and let finished shuffles go."""
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = hadoop(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete(spark, path)
+        _pinned[:] = [p for p in _pinned if not path.endswith(p.rpartition("/")[2])]
+    release(spark)
+
+
+def pinned() -> list[str]:
+    """Folders of pinned tables, in the order in which this process wrote them."""
+    return list(_pinned)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete pinned tables by their folders."""
+    for path in paths:
+        delete(spark, path)
+        _pinned.remove(path)
     release(spark)
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline as P
-from sparkgml.llm.common import pin
+from sparkgml.llm.common import pin, pinned
 
 from .test_dedup import brute_exact, brute_suffix
 from .test_near import brute
@@ -60,6 +60,15 @@ def test_stages(spark, sf):
     assert sorted(r.doc_id for r in P.run(spark, sf).collect()) == [i for i, _ in pairs(d)] and P.ORACLE_SQL is None
 
 
+def test_run_leaves_its_last_tables_alone(spark, sf):
+    """What a stage's result was made from is deleted; results and what others have pinned stay."""
+    mine = pin(spark.range(3).toDF("doc_id"))
+    before = set(pinned())
+    result = P.run(spark, sf)
+    left = [p for p in pinned() if p not in before]
+    assert result.count() == result.count() > 0 and mine.count() == 3 and len(left) <= 3
+
+
 def test_empty_and_extra_columns(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, row string, kept string, id long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
