@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgml.llm.common import numbered, pin
+from sparkgml.llm.common import dropped, numbered, pin, pinned
 from sparkgml.llm.exact import exact_dedup
 from sparkgml.llm.language import fit_profiles, with_language
 from sparkgml.llm.packing import pack
@@ -70,8 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's result is written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; each one's result is written before the next reads it, and what it was made from goes."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
+        before = pinned()
         docs = pin(stage(spark, docs, sf_dir))
+        *parts, own = [p for p in pinned() if p not in before]
+        dropped(spark, last + parts)
+        last = [own]
     return STAGES[-1][1](spark, docs, sf_dir)
