@@ -67,6 +67,9 @@ KNOWN |= {c.code: c for c in (
     Crs(2157, "IRENET95 / Irish Transverse Mercator", "E", False, "GRS80", (-10.56, 51.39, -5.34, 55.43), "ETRS89", ("tmerc", 53.5, -8.0, 0.99982, 600000.0, 750000.0)),
     Crs(3763, "ETRS89 / Portugal TM06", "E", False, "GRS80", (-9.56, 36.95, -6.19, 42.16), "ETRS89", ("tmerc", 39.66825833333333, -8.133108333333334, 1.0, 0.0, 0.0)),
     Crs(2193, "NZGD2000 / New Zealand Transverse Mercator 2000", "N", False, "GRS80", (166.37, -47.33, 178.63, -34.1), "NZGD2000", ("tmerc", 0.0, 173.0, 0.9996, 1600000.0, 10000000.0)),
+    Crs(2056, "CH1903+ / LV95", "E", False, "bessel", (5.96, 45.82, 10.49, 47.81), "CH1903+", ("somerc", 46.952405555555565, 7.439583333333333, 1.0, 2600000.0, 1200000.0)),
+    Crs(21781, "CH1903 / LV03", "E", False, "bessel", (5.96, 45.82, 10.49, 47.81), "CH1903+", ("somerc", 46.952405555555565, 7.439583333333333, 1.0, 600000.0, 200000.0)),
+    Crs(27200, "NZGD49 / New Zealand Map Grid", "N", False, "intl", (166.37, -47.33, 178.63, -34.1), "NZGD49", ("nzmg", -41.0, 173.0, 2510000.0, 6023150.0)),
     Crs(4283, "GDA94", "N", True, "GRS80", (93.41, -60.55, 173.34, -8.47), "GDA94"), Crs(4167, "NZGD2000", "N", True, "GRS80", (160.6, -55.95, -171.2, -25.88), "NZGD2000"), Crs(4674, "SIRGAS 2000", "N", True, "GRS80", (-122.19, -59.87, -25.28, 32.72), "SIRGAS2000"),
     Crs(4277, "OSGB36", "N", True, "airy", (-9.01, 49.75, 2.01, 61.01), "OSGB36"), Crs(4312, "MGI", "N", True, "bessel", (9.53, 46.4, 17.17, 49.02), "MGI"), Crs(4289, "Amersfoort", "N", True, "bessel", (3.2, 50.75, 7.22, 53.7), "Amersfoort"), Crs(4313, "BD72", "N", True, "intl", (2.5, 49.5, 6.4, 51.51), "BD72"), Crs(4156, "S-JTSK", "N", True, "bessel", (12.09, 47.73, 22.56, 51.06), "S-JTSK"), Crs(4314, "DHDN", "N", True, "bessel", (5.86, 47.27, 13.84, 55.09), "DHDN"),
 )}

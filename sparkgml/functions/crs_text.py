@@ -15,7 +15,7 @@ PARAMETERS = {
     "tmerc": ("lat_0", "lon_0", "k_0", "x_0", "y_0"), "lcc": ("lat_0", "lon_0", "lat_1", "lat_2", "x_0", "y_0"), "merc": ("lat_ts", "lon_0", "k_0", "x_0", "y_0"), "webmerc": ("x_0", "y_0"), "laea": ("lat_0", "lon_0", "x_0", "y_0"),
     "aea": ("lat_0", "lon_0", "lat_1", "lat_2", "x_0", "y_0"), "stere": ("lat_ts", "lon_0", "x_0", "y_0"), "sterea": ("lat_0", "lon_0", "k_0", "x_0", "y_0"), "cea": ("lat_ts", "lon_0", "x_0", "y_0"), "eqearth": ("lon_0", "x_0", "y_0"),
     "eqc": ("lat_ts", "lon_0", "x_0", "y_0"), "sinu": ("lon_0", "x_0", "y_0"), "moll": ("lon_0", "x_0", "y_0"), "cass": ("lat_0", "lon_0", "x_0", "y_0"), "bonne": ("lat_1", "lon_0", "x_0", "y_0"), "eqdc": ("lat_0", "lon_0", "lat_1", "lat_2", "x_0", "y_0"), "poly": ("lat_0", "lon_0", "x_0", "y_0"),
-    "loxim": ("lat_1", "lon_0", "x_0", "y_0"), "nsper": ("lat_0", "lon_0", "h", "x_0", "y_0"), "gnom": ("lat_0", "lon_0", "x_0", "y_0"), "krovak": ("lat_0", "lon_0", "alpha", "lat_p", "k_0", "x_0", "y_0"),
+    "somerc": ("lat_0", "lon_0", "k_0", "x_0", "y_0"), "nzmg": ("lat_0", "lon_0", "x_0", "y_0"), "geos": ("h", "lon_0", "x_0", "y_0"), "loxim": ("lat_1", "lon_0", "x_0", "y_0"), "nsper": ("lat_0", "lon_0", "h", "x_0", "y_0"), "gnom": ("lat_0", "lon_0", "x_0", "y_0"), "krovak": ("lat_0", "lon_0", "alpha", "lat_p", "k_0", "x_0", "y_0"),
     **dict.fromkeys("mill gall natearth eck1 eck2 eck3 eck4 eck5 eck6 wag3 wag6 kav7 putp1 collg craster nell nell_h qua_aut times fahey robin patterson comill cc hammer aitoff wintri boggs".split(), ("lon_0", "x_0", "y_0")),
 }
 #: Names of methods and parameters in WKT 2 and WKT 1.
@@ -93,6 +93,12 @@ def from_proj(text: str) -> Crs:
     if method == "utm":
         zone, south = int(items["zone"]), "south" in items
         return Crs(0, f"unknown UTM {zone}", "E", False, ellipsoid, WORLD, datum, ("tmerc", 0.0, zone * 6 - 183.0, 0.9996, 500000.0, 10000000.0 if south else 0.0))
+    if method == "ob_tran":
+        inner = items.get("o_proj", "")
+        if inner not in ("longlat", "latlon") and (inner not in PARAMETERS or inner not in METHODS):
+            raise ProjectionError(f"method {inner}")
+        more = [0.0 if p == "lon_0" else float(items.get(p, "1" if p == "k_0" else "0")) for p in PARAMETERS.get(inner, ())]
+        return Crs(0, "unknown", "E", False, ellipsoid, WORLD, datum, ("ob_tran", inner, float(items.get("o_lat_p", "0")), float(items.get("o_lon_p", "0")), float(items.get("lon_0", "0")), *more), unit)
     if method not in PARAMETERS:
         raise ProjectionError(f"method {method}")
     defaults = {"k_0": items.get("k", "1"), "lat_ts": items.get("lat_1", "0"), "lat_2": items.get("lat_1", "0")}

@@ -450,3 +450,130 @@ METHODS.update({
     "comill": cylinder(lambda p: p * (0.9902 + p**2 * (0.1604 - 0.03054 * p**2)), solved(lambda p: p * (0.9902 + p**2 * (0.1604 - 0.03054 * p**2)))), "cc": cylinder(np.tan, np.arctan),
     "hammer": hammer, "aitoff": by_newton(aitoff_plane), "wintri": by_newton(winkel_tripel_plane), "boggs": by_newton(boggs_plane), "nsper": perspective, "loxim": loximuthal,
 })
+
+
+def swiss(el: str, lat0: float, lon0: float, k0: float, fe: float, fn: float):
+    """Oblique Mercator by way of a conformal sphere, centred on a point."""
+    a, e = axes(el)
+    p0 = math.radians(lat0)
+    c = math.sqrt(1 + e * e * math.cos(p0) ** 4 / (1 - e * e))
+    q0 = math.asin(math.sin(p0) / c)
+
+    def stretched(phi):
+        s = e * np.sin(phi)
+        return np.log(np.tan(math.pi / 4 + phi / 2)) - e / 2 * np.log((1 + s) / (1 - s))
+
+    shift = math.log(math.tan(math.pi / 4 + q0 / 2)) - c * stretched(p0)
+    r = a * k0 * math.sqrt(1 - e * e) / (1 - (e * math.sin(p0)) ** 2)
+
+    def forward(lon, lat):
+        phi = 2 * np.arctan(np.exp(c * stretched(np.radians(lat)) + shift)) - math.pi / 2
+        lam = c * np.radians(lon - lon0)
+        up = np.arcsin(math.cos(q0) * np.sin(phi) - math.sin(q0) * np.cos(phi) * np.cos(lam))
+        across = np.arcsin(np.cos(phi) * np.sin(lam) / np.cos(up))
+        return fe + r * across, fn + r * np.log(np.tan(math.pi / 4 + up / 2))
+
+    def inverse(x, y):
+        up, across = 2 * (np.arctan(np.exp((y - fn) / r)) - math.pi / 4), (x - fe) / r
+        phi = np.arcsin(math.cos(q0) * np.sin(up) + math.sin(q0) * np.cos(up) * np.cos(across))
+        lam = np.arcsin(np.cos(up) * np.sin(across) / np.cos(phi))
+        goal = (np.log(np.tan(math.pi / 4 + phi / 2)) - shift) / c
+        for _ in range(20):
+            s = e * np.sin(phi)
+            phi = phi - (stretched(phi) - goal) * np.cos(phi) * (1 - s * s) / (1 - e * e)
+        return lon0 + np.degrees(lam / c), np.degrees(phi)
+
+    return forward, inverse
+
+
+#: Series of the New Zealand Map Grid, latitude to isometric latitude and that to the plane.
+NZ_PSI = np.array([0.6399175073, -0.1358797613, 0.063294409, -0.02526853, 0.0117879, -0.0055161, 0.0026906, -0.001333, 0.00067, -0.00034])
+NZ_PLANE = np.array([0.7557853228, 0.249204646 + 0.003371507j, -0.001541739 + 0.041058560j, -0.10162907 + 0.01727609j, -0.26623489 - 0.36249218j, -0.6870983 - 1.1651967j])
+
+
+def nzmg(el: str, lat0: float, lon0: float, fe: float, fn: float):
+    """New Zealand Map Grid: a complex polynomial of longitude and isometric latitude."""
+    a, _ = axes(el)
+    unit = math.radians(1e5 / 3600)  # of latitude in the series
+
+    def series(z, coefficients):
+        out = 0 * z
+        for k in coefficients[::-1]:
+            out = (out + k) * z
+        return out
+
+    def slope(z, coefficients):
+        out = 0 * z
+        for n, k in list(enumerate(coefficients, 1))[::-1]:
+            out = out * z + n * k
+        return out
+
+    def forward(lon, lat):
+        z = series(np.asarray(np.radians(np.asarray(lat, float) - lat0) / unit, float), NZ_PSI) + 1j * np.radians(lon - lon0)
+        w = series(z, NZ_PLANE)
+        return fe + a * w.imag, fn + a * w.real
+
+    def inverse(x, y):
+        w = (np.asarray(y, float) - fn + 1j * (np.asarray(x, float) - fe)) / a
+        z = w / NZ_PLANE[0]
+        for _ in range(12):
+            z = z - (series(z, NZ_PLANE) - w) / slope(z, NZ_PLANE)
+        d = z.real / NZ_PSI[0]
+        for _ in range(12):
+            d = d - (series(d, NZ_PSI) - z.real) / slope(d, NZ_PSI)
+        return lon0 + np.degrees(z.imag), lat0 + np.degrees(d * unit)
+
+    return forward, inverse
+
+
+def geostationary(el: str, h: float, lon0: float, fe: float, fn: float):
+    """Scanning angles of a satellite above the equator, times its height; NaN where it doesn't see."""
+    a, e = axes(el)
+    near, far, p2 = h / a, 1 + h / a, 1 - e * e
+
+    def forward(lon, lat):
+        lam, phi = np.radians(lon - lon0), np.arctan(p2 * np.tan(np.radians(lat)))
+        r = math.sqrt(p2) / np.hypot(math.sqrt(p2) * np.cos(phi), np.sin(phi))
+        x, y, z = r * np.cos(lam) * np.cos(phi), r * np.sin(lam) * np.cos(phi), r * np.sin(phi)
+        seen = (far - x) * x - y * y - z * z / p2 >= 0
+        ahead = far - x
+        return np.where(seen, fe + a * near * np.arctan(y / ahead), np.nan), np.where(seen, fn + a * near * np.arctan(z / np.hypot(y, ahead)), np.nan)
+
+    def inverse(x, y):
+        v = np.tan((x - fe) / (a * near))
+        w = np.tan((y - fn) / (a * near)) * np.hypot(1, v)
+        square = v * v + w * w / p2 + 1
+        k = (far - np.sqrt(far * far - square * (far * far - 1))) / square
+        lam = np.arctan2(v * k, far - k)
+        return lon0 + np.degrees(lam), np.degrees(np.arctan(np.tan(np.arctan(w * k * np.cos(lam) / (far - k))) / p2))
+
+    return forward, inverse
+
+
+def rotated(inner: tuple, pole_lat: float, pole_lon: float, lon0: float):
+    """Another projection of the sphere after moving the pole; `inner` is its pair of functions."""
+    tilt, turn = math.radians(pole_lat), math.radians(pole_lon)
+
+    def forward(lon, lat):
+        lam, phi = np.radians(lon - lon0), np.radians(lat)
+        new = np.arctan2(np.cos(phi) * np.sin(lam), math.sin(tilt) * np.cos(phi) * np.cos(lam) + math.cos(tilt) * np.sin(phi)) + turn
+        up = np.arcsin(np.clip(math.sin(tilt) * np.sin(phi) - math.cos(tilt) * np.cos(phi) * np.cos(lam), -1, 1))
+        return inner[0]((np.degrees(new) + 180) % 360 - 180, np.degrees(up))
+
+    def inverse(x, y):
+        lon, lat = inner[1](x, y)
+        lam, phi = np.radians(lon) - turn, np.radians(lat)
+        new = np.arctan2(np.cos(phi) * np.sin(lam), math.sin(tilt) * np.cos(phi) * np.cos(lam) - math.cos(tilt) * np.sin(phi))
+        up = np.arcsin(np.clip(math.sin(tilt) * np.sin(phi) + math.cos(tilt) * np.cos(phi) * np.cos(lam), -1, 1))
+        return (lon0 + np.degrees(new) + 180) % 360 - 180, np.degrees(up)
+
+    return forward, inverse
+
+
+def oblique(el: str, inner: str, pole_lat: float, pole_lon: float, lon0: float, *more: float):
+    """Any method by name with a moved pole; plain longitudes and latitudes if it is longlat."""
+    pair = (lambda lon, lat: (lon, lat),) * 2 if inner in ("longlat", "latlon") else METHODS[inner](el, *(more or (0.0, 0.0, 0.0)))
+    return rotated(pair, pole_lat, pole_lon, lon0)
+
+
+METHODS.update({"somerc": swiss, "nzmg": nzmg, "geos": geostationary, "ob_tran": oblique})

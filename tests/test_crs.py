@@ -72,6 +72,7 @@ def test_published_examples_of_other_methods():
 @pytest.mark.parametrize("method, parameters", [
     ("bonne", ("GRS80", 40.0, 10.0, 0.0, 0.0)), ("eqdc", ("GRS80", 40.0, 10.0, 30.0, 50.0, 0.0, 0.0)), ("poly", ("GRS80", 0.0, 10.0, 0.0, 0.0)), ("eqc", ("WGS84", 30.0, 10.0, 0.0, 0.0)), ("sinu", ("WGS84", 10.0, 0.0, 0.0)), ("moll", ("WGS84", 10.0, 0.0, 0.0)),
     *[(m, ("sphere", 30.0, 10.0, 0.0, 0.0)) for m in ("aeqd_sphere", "ortho_sphere", "gnom", "stere_sphere")], *[(m, ("sphere", 10.0, 0.0, 0.0)) for m in ("mill", "gall", "natearth", "eck3", "craster", "wag3", "eck1", "eck2", "eck4", "eck5", "eck6", "wag6", "kav7", "putp1", "collg", "nell", "nell_h", "qua_aut", "times", "fahey", "robin", "patterson", "comill", "cc", "hammer", "aitoff", "wintri", "boggs")],
+    ("somerc", ("bessel", 46.95240555555556, 7.439583333333333, 1.0, 0.0, 0.0)), ("geos", ("GRS80", 35785831.0, 9.0, 0.0, 0.0)), ("ob_tran", ("sphere", "longlat", 40.0, -170.0, 10.0)), ("ob_tran", ("sphere", "moll", 45.0, -100.0, 0.0)),
     ("loxim", ("sphere", 20.0, 10.0, 0.0, 0.0)), ("nsper", ("sphere", 30.0, 10.0, 3e6, 0.0, 0.0)),
 ])
 def test_other_round_trips(method, parameters):
@@ -91,6 +92,18 @@ def test_round_trips(code):
     assert np.allclose((x - lon + 180) % 360, 180, atol=1e-9) and np.allclose(y, lat, atol=1e-9)
 
 
+def test_oblique_and_grids():
+    assert Transform(Crs(0, "", "E", True, "bessel", (0, 0, 1, 1), "CH1903+"), 2056).convert(7.439583333333333, 46.952405555555565) == pytest.approx((2600000, 1200000), abs=1e-6)
+    forward, inverse = METHODS["nzmg"]("intl", -41.0, 173.0, 2510000.0, 6023150.0)
+    assert np.allclose(forward(172.739194, -34.444066), (2487100.638, 6751049.719), atol=0.1) and np.allclose(inverse(2487100.638, 6751049.719), (172.739194, -34.444066), atol=1e-6)
+    assert np.isnan(METHODS["geos"]("GRS80", 35785831.0, 0.0, 0.0, 0.0)[0](np.array([120.0]), np.array([0.0]))[0]).all()
+    pole = METHODS["ob_tran"]("sphere", "longlat", 30.0, 0.0, 0.0)[0](np.array([180.0]), np.array([30.0]))
+    assert pole[1] == pytest.approx(90.0, abs=1e-5)
+    from sparkgml.functions.crs_text import from_proj
+
+    assert Transform(from_proj("+proj=ob_tran +o_proj=merc +o_lat_p=90 +o_lon_p=0 +R=6371000"), from_proj("+proj=merc +R=6371000")).convert(1e6, 2e6) == pytest.approx((1e6, 2e6), abs=1e-3)
+
+
 def test_zones():
     names = {31468: "DHDN / 3-degree Gauss-Kruger zone 4", 3879: "ETRS89 / GK25FIN", 5110: "ETRS89 / NTM zone 10", 3946: "RGF93 v1 / CC46", 3011: "SWEREF99 18 00", 28355: "GDA94 / MGA zone 55", 31983: "SIRGAS 2000 / UTM zone 23S"}
     assert {k: crs_of(k).name for k in names} == names and crs_of(31470) is None
