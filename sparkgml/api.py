@@ -254,7 +254,7 @@ def read_layer(spark: SparkSession, inputs: Any, layer: str | None = None, schem
             raise SchemaError(f"which layer: {', '.join(found.layers)}?")
         schema, decisions, contexts = found.schema(layer or found.layers[0]), found.decisions, contexts_of(found.headers)
     elif any(c.type in ("geometry", "binary") for c in schema.columns) and options.axis_order == "auto":
-        seen = observations(features_of(spark, inputs, only(options, schema.layer)), options.on_feature_error != "error").persist()
+        seen = observations(features_of(spark, inputs, only(options, schema.layer)), options.on_feature_error != "error", axis_only=True).persist()
         heads = headers_of(seen)
         decisions, contexts = decisions_of(seen, heads, options), contexts_of(heads)
         seen.unpersist()

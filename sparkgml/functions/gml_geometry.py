@@ -433,6 +433,20 @@ def srs_of(node: Node, outer: str | None = None) -> str | None:
     return None
 
 
+def first_position(node: Node) -> Position | None:
+    """The first two numbers that a geometry carries, without reading the rest; None if there are none."""
+    if node.name in ("pos", "posList", "lowerCorner"):
+        numbers = floats(" ".join(node.text.split(maxsplit=2)[:2]))
+        return tuple(numbers) if len(numbers) == 2 else None
+    if node.name == "coordinates":
+        found = coordinates(node)
+        return found[0][:2] if found else None
+    if node.name == "coord":
+        found = tuple(floats(x.text)[0] for k in "XY" for x in node.children if x.name == k)
+        return found if len(found) == 2 else None
+    return next((p for c in node.children if (p := first_position(c)) is not None), None)
+
+
 def geometry(node: Node, scope: Scope) -> Geometry:
     """As written, then axes swapped, then without curves if asked for."""
     g = simplify_types(as_written(node, scope))

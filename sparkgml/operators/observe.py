@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.crs import dialect_of
-from ..functions.gml_geometry import UNSUPPORTED, XLINK, Node, Scope, geometry, is_geometry, srs_of
+from ..functions.gml_geometry import UNSUPPORTED, XLINK, Node, Scope, first_position, geometry, is_geometry, srs_of
 from ..functions.geometry import GeometryError, has_curves, positions
 from ..functions.lexical import ALL, DOUBLE, INTEGER, STRING, classify, digits_of, scale_of, zone_of
 from ..sources.split import SplitError, attribute_name, parse_element, parse_trees, tree_of
@@ -125,8 +125,11 @@ class Observer:
         self.paths: dict[tuple, Stats] = {}
         self.axis: dict[tuple, list] = {}
 
-    def feature(self, source: str, start: int, ns: str, layer: str, node: Element, bounded: dict | None = None) -> None:
+    def feature(self, source: str, start: int, ns: str, layer: str, node: Element, bounded: dict | None = None, axis_only: bool = False) -> None:
         self.key, self.at, self.place, self.bounded = (ns, layer), (source or "", start or 0), 0, bounded or {}
+        if axis_only:
+            self.sniff(node)
+            return
         root = self.stats("")
         root.counts["instances"] += 1
         self.attributes(node, "")
@@ -229,12 +232,30 @@ class Observer:
         s.dims.add(g[1])
         s.curves |= has_curves(g)
         if (first := next(positions(g), None)) and srs:
-            key = (self.at[0], srs, dialect_of(node), *self.key, path)
-            box = self.axis.setdefault(key, [first[0], first[0], first[1], first[1], 0, node.attr("axisLabels"), None])
-            box[0], box[1], box[2], box[3] = min(box[0], first[0]), max(box[1], first[0]), min(box[2], first[1]), max(box[3], first[1])
-            box[4] += 1
-            if own := self.bounded.get("box"):
-                box[6] = own if box[6] is None else (*map(min, own[:2], box[6][:2]), *map(max, own[2:], box[6][2:]))
+            self.evidence(node, srs, first, path)
+
+    def evidence(self, node: Node, srs: str, first: tuple, path: str) -> None:
+        key = (self.at[0], srs, dialect_of(node), *self.key, path)
+        box = self.axis.setdefault(key, [first[0], first[0], first[1], first[1], 0, node.attr("axisLabels"), None])
+        box[0], box[1], box[2], box[3] = min(box[0], first[0]), max(box[1], first[0]), min(box[2], first[1]), max(box[3], first[1])
+        box[4] += 1
+        if own := self.bounded.get("box"):
+            box[6] = own if box[6] is None else (*map(min, own[:2], box[6][:2]), *map(max, own[2:], box[6][2:]))
+
+    def sniff(self, node: Element, path: str = "", depth: int = 0) -> None:
+        """Axis evidence alone: where geometries start, and under which name."""
+        for c in node:
+            name, is_geom = named(c.tag)
+            if is_geom:
+                try:
+                    g = tree_of(c)
+                    srs, first = srs_of(g, self.bounded.get("srs")), first_position(g)
+                except (SplitError, GeometryError, ValueError, IndexError):
+                    continue
+                if first and srs:
+                    self.evidence(g, srs, first, path)
+            elif depth < MAX_DEPTH and len(c):
+                self.sniff(c, f"{path}/{name}" if path else name, depth + 1)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         self.settle()
@@ -269,7 +290,7 @@ def bounded_info(bounded: str | None) -> dict:
     return {"srs": env.attr("srsName").strip() if env.attr("srsName") else None, "dimension": int(dim) if dim else None, "box": box}
 
 
-def observing(batches: Iterator[pa.RecordBatch], skip_bad: bool = False) -> Iterator[pa.RecordBatch]:
+def observing(batches: Iterator[pa.RecordBatch], skip_bad: bool = False, axis_only: bool = False) -> Iterator[pa.RecordBatch]:
     """Statistics, axis evidence and headers of a task, told apart by `what`."""
     o, bounds, scopes, headers = Observer(), {}, {}, []
     for b in batches:
@@ -284,7 +305,7 @@ def observing(batches: Iterator[pa.RecordBatch], skip_bad: bool = False) -> Iter
                 raise node
             if bounded not in bounds:
                 bounds = {bounded: bounded_info(bounded)}
-            o.feature(source, start, ns, layer, node, bounds[bounded])
+            o.feature(source, start, ns, layer, node, bounds[bounded], axis_only)
         o.settle()
     for what, part in (("path", o.rows()), ("axis", o.axis_rows()), ("header", header_rows(headers))):
         for found in part:
@@ -302,9 +323,9 @@ ALL_FIELDS = FIELDS + [f for f in AXIS_FIELDS if f[0] not in {n for n, _ in FIEL
 INPUT = ("source", "start", "layer_ns", "layer", "ns", "bounded", "xml")
 
 
-def observations(features: DataFrame, skip_bad: bool = False) -> DataFrame:
-    """One pass over features: a few rows for each task, which observe(), axis_evidence() and headers() merge."""
-    return features.select("kind", *INPUT, "info").mapInArrow(lambda batches: observing(batches, skip_bad), ddl([("what", pa.string()), *ALL_FIELDS]))
+def observations(features: DataFrame, skip_bad: bool = False, axis_only: bool = False) -> DataFrame:
+    """One pass over features: a few rows for each task, which observe(), axis_evidence() and headers() merge. axis_only looks at first positions alone."""
+    return features.select("kind", *INPUT, "info").mapInArrow(lambda batches: observing(batches, skip_bad, axis_only), ddl([("what", pa.string()), *ALL_FIELDS]))
 
 
 def observe(seen: DataFrame) -> DataFrame:

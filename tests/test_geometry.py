@@ -74,3 +74,17 @@ def test_model():
     for bad in (b"", b"\x01\x01\0\0\0", b"\x01\xff\0\0\0", write_wkb(arc) + b"x"):
         with pytest.raises(GeometryError):
             read_wkb(bad)
+
+
+def test_first_position():
+    from sparkgml.functions.geometry import positions
+    from sparkgml.functions.gml_geometry import Scope, first_position, geometry
+    from sparkgml.queries_geometry import FORMS
+    from sparkgml.sources.split import parse_element
+
+    scope = {"gml": "http://www.opengis.net/gml/3.2", "ce": "http://www.opengis.net/gml/3.3/ce"}
+    for name, (markup, _) in FORMS.items():
+        node = parse_element(markup.replace("{s}", "7").encode(), scope)
+        if node.name not in ("Envelope", "Box") and not name.startswith("orientable"):
+            assert first_position(node) == next(positions(geometry(node, Scope())))[:2], name
+    assert first_position(parse_element(b"<gml:Point><gml:pos>1</gml:pos></gml:Point>", scope)) is None and first_position(parse_element(b"<gml:Solid/>", scope)) is None
