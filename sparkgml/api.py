@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 
 from .functions.crs import Context, Decision, Evidence, decide
 from .functions.version import detect_version
-from .operators.observe import axis_evidence, headers, observations, observe, srs_counts
-from .operators.parse import ReadPlan, parse_layer, parse_report
+from .operators.observe import axis_evidence, headers, observations, observations_of, observe, srs_counts
+from .operators.parse import ReadPlan, parse_documents, parse_layer, parse_report
 from .plans.infer import InferenceOptions, infer
 from .plans.schema import LayerSchema, SchemaError, load_settings, prefixes_for, settings_json
 from .sources.inputs import of_bytes, sources
@@ -72,13 +72,16 @@ class ReadOptions:
         return out
 
 
-def features_of(spark: SparkSession, inputs: Any, options: ReadOptions) -> DataFrame:
+def documents_of(spark: SparkSession, inputs: Any) -> DataFrame:
     """`inputs`: paths, a DataFrame (name, content), or {name: bytes}."""
     if isinstance(inputs, dict):
-        docs = of_bytes(spark, list(inputs.items()))
-    else:
-        docs = inputs if isinstance(inputs, DataFrame) else sources(spark, inputs)
-    features = split_features(docs, options.split)
+        return of_bytes(spark, list(inputs.items()))
+    return inputs if isinstance(inputs, DataFrame) else sources(spark, inputs)
+
+
+def features_of(spark: SparkSession, inputs: Any, options: ReadOptions) -> DataFrame:
+    """The features of documents_of(), one row each."""
+    features = split_features(documents_of(spark, inputs), options.split)
     return features.repartition(spark.sparkContext.defaultParallelism * 4) if options.spread else features
 
 
@@ -158,14 +161,14 @@ def contexts_of(headers: list[dict[str, Any]]) -> dict[str, Context]:
 
 def headers_of(seen: DataFrame) -> list[dict[str, Any]]:
     """One for each source; not for each feature."""
-    return [json.loads(r.info) | {"source": r.source, "kind": r.kind} for r in headers(seen).toLocalIterator()]
+    return [json.loads(r.info) | {"source": r.source, "kind": r.kind} for r in headers(seen).coalesce(8).toLocalIterator()]
 
 
 def decisions_of(seen: DataFrame, found: list[dict[str, Any]], options: ReadOptions) -> dict[tuple[str, str, str], Decision]:
     """By source, srsName and dialect; only the automatic mode looks at coordinates."""
     contexts, out = contexts_of(found), {}
     if options.axis_order == "auto":
-        for r in axis_evidence(seen).toLocalIterator():
+        for r in axis_evidence(seen).coalesce(8).toLocalIterator():
             box = (r.e_a_min, r.e_b_min, r.e_a_max, r.e_b_max)
             e = Evidence((r.a_min, r.a_max), (r.b_min, r.b_max), [x for x in r.labels if x], None if None in box else box)
             out[r.source, r.srs, r.dialect] = decide(r.srs, r.dialect, e, contexts.get(r.source, Context()), "auto", options.axis_overrides)
@@ -180,17 +183,21 @@ def sampled(features: DataFrame, n: int) -> DataFrame:
 def scan(spark: SparkSession, inputs: Any, options: ReadOptions | None = None) -> Scan:
     """Discover layers and infer their schemas from all features, or the first of each source."""
     options = options or ReadOptions()
-    features = features_of(spark, inputs, options)
-    inference = options.inference
+    inference, skip_bad = options.inference, options.on_feature_error != "error"
+    if options.spread or options.sample_features or options.sample_total:
+        features = features_of(spark, inputs, options)
+    else:
+        features = None
     if options.sample_features:
         features, inference = sampled(features, options.sample_features), replace(inference, sampled=True)
     if options.sample_total:
         some = features.where("kind = 'feature'").orderBy("source", "seq", "start").limit(options.sample_total)
         features, inference = features.where("kind <> 'feature'").unionByName(some), replace(inference, sampled=True)
-    seen = observations(features, options.on_feature_error != "error").persist()  # a few rows for each task: one pass serves all that follows
+    seen = observations(features, skip_bad) if features is not None else observations_of(documents_of(spark, inputs), options.split, skip_bad)
+    seen = seen.persist()  # a few rows for each task: one pass serves all that follows
     try:
-        found = headers_of(seen)
         rows = [r.asDict(recursive=True) | {"first_seen": tuple(r.first_seen)} for r in observe(seen).collect()]  # as many as the layers have paths
+        found = headers_of(seen)  # after all tasks have run at once, as it takes them one by one
         if not rows:
             raise NoFeatures("no features in the input")
         counted: dict[tuple, list] = {}
@@ -254,7 +261,8 @@ def read_layer(spark: SparkSession, inputs: Any, layer: str | None = None, schem
             raise SchemaError(f"which layer: {', '.join(found.layers)}?")
         schema, decisions, contexts = found.schema(layer or found.layers[0]), found.decisions, contexts_of(found.headers)
     elif any(c.type in ("geometry", "binary") for c in schema.columns) and options.axis_order == "auto":
-        seen = observations(features_of(spark, inputs, only(options, schema.layer)), options.on_feature_error != "error", axis_only=True).persist()
+        seen = observations_of(documents_of(spark, inputs), only(options, schema.layer).split, options.on_feature_error != "error", axis_only=True).persist()
+        seen.count()  # all tasks at once; what follows takes them one by one
         heads = headers_of(seen)
         decisions, contexts = decisions_of(seen, heads, options), contexts_of(heads)
         seen.unpersist()
@@ -266,7 +274,7 @@ def read_layer(spark: SparkSession, inputs: Any, layer: str | None = None, schem
     # tasks decide by the name alone where nothing else was decided: only other decisions are sent
     swaps = {k: d.swap for k, d in decisions.items() if d.swap != decide(k[1], k[2], None, contexts.get(k[0], Context()), options.axis_order, options.axis_overrides).swap}
     plan = ReadPlan(schema, options.on_feature_error, options.location_column or options.preserve_order, options.linear, options.target_crs, axis_mode=options.axis_order, axis_overrides=options.axis_overrides, swaps=swaps, contexts=contexts)
-    df = parse_layer(features, plan)
+    df = parse_layer(features, plan) if options.spread else parse_documents(documents_of(spark, inputs), only(options, schema.layer).split, plan)
     if options.preserve_order:
         df = df.orderBy("_location.source", "_location.start")
         if not options.location_column:

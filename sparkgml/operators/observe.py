@@ -18,7 +18,7 @@ from ..functions.crs import dialect_of
 from ..functions.gml_geometry import UNSUPPORTED, XLINK, Node, Scope, first_position, geometry, is_geometry, srs_of
 from ..functions.geometry import GeometryError, has_curves, positions
 from ..functions.lexical import ALL, DOUBLE, INTEGER, STRING, classify, digits_of, scale_of, zone_of
-from ..sources.split import SplitError, attribute_name, parse_element, parse_trees, tree_of
+from ..sources.split import SplitError, SplitOptions, attribute_name, parse_element, parse_trees, split_and, tree_of
 
 MAX_DEPTH, MAX_CHILDREN, DISTINCT = 16, 512, 64
 COUNTS = ("instances", "parents", "empty", "single_child", "by_reference", "href_and_content", "nil", "n_values", "n_zone", "n_elements", "n_geometry")
@@ -115,6 +115,41 @@ def observed_attribute(key: str) -> str | None:
     return None if name.startswith(("xsi:", "xml:")) else name.split(":")[-1].rpartition("}")[2]
 
 
+def plain_shape(e: Element, inherited: int | None) -> tuple[str, int, tuple[float, float]] | None:
+    """Kind, dimension and first position of points, lines and polygons of the usual form, by counting their values; None for all else."""
+    kind = named(e.tag)[0]
+    if kind == "Point":
+        carriers, least = list(e), 1
+    elif kind == "LineString":
+        carriers, least = list(e), 2
+    elif kind == "Polygon":
+        rings = [r for b in e for r in b]
+        if not rings or any(named(b.tag)[0] not in ("exterior", "interior") or len(b) != 1 for b in e) or named(e[0].tag)[0] != "exterior" or any(named(r.tag)[0] != "LinearRing" or len(r) != 1 for r in rings):
+            return None
+        carriers, least = [r[0] for r in rings], 4
+    else:
+        return None
+    if not carriers or kind != "Polygon" and len(carriers) != 1:
+        return None
+    dims, first = set(), None
+    for c in carriers:
+        name = named(c.tag)[0]
+        if name != ("pos" if kind == "Point" else "posList") or "count" in c.attrib or len(c):
+            return None
+        values = (c.text or "").split()
+        own = c.get("srsDimension") or c.get("dimension") or e.get("srsDimension")
+        dim = int(own) if own and own.isdigit() else inherited or (len(values) if kind == "Point" else 2)
+        if dim not in (2, 3) or len(values) % dim or len(values) < least * dim or kind == "Point" and len(values) != dim:
+            return None
+        dims.add(dim)
+        if first is None:
+            try:
+                first = float(values[0]), float(values[1])
+            except ValueError:
+                return None
+    return (kind, dims.pop(), first) if len(dims) == 1 else None
+
+
 XSI_NIL, XLINK_HREF = "{http://www.w3.org/2001/XMLSchema-instance}nil", f"{{{XLINK}}}href"
 
 
@@ -211,15 +246,24 @@ class Observer:
 
     def geometry(self, s: Stats, element: Element, path: str) -> None:
         s.counts["n_geometry"] += 1
+        srs = element.get("srsName") or self.bounded.get("srs")
+        if srs and (shape := plain_shape(element, self.bounded.get("dimension"))) is not None:
+            kind, dim, first = shape
+            s.kinds.add(kind)
+            s.dims.add(dim)
+            s.srs.add(srs.strip())
+            for key, own in element.attrib.items():
+                if key.endswith("}id"):
+                    self.identifier(path, own)
+            self.evidence(srs.strip(), "gml3", first, path, element.get("axisLabels"))
+            return
         try:
             node = tree_of(element)
         except SplitError:
             s.kinds.add("Invalid")
             return
         if own := node.attr("gml:id"):
-            ids = self.stats(f"{path}/*/@id")
-            ids.counts["instances"] += 1
-            ids.pending.append(own)
+            self.identifier(path, own)
         srs = srs_of(node, self.bounded.get("srs"))
         if srs:
             s.srs.add(srs)
@@ -232,11 +276,16 @@ class Observer:
         s.dims.add(g[1])
         s.curves |= has_curves(g)
         if (first := next(positions(g), None)) and srs:
-            self.evidence(node, srs, first, path)
+            self.evidence(srs, dialect_of(node), first, path, node.attr("axisLabels"))
+
+    def identifier(self, path: str, own: str) -> None:
+        ids = self.stats(f"{path}/*/@id")
+        ids.counts["instances"] += 1
+        ids.pending.append(own)
 
-    def evidence(self, node: Node, srs: str, first: tuple, path: str) -> None:
-        key = (self.at[0], srs, dialect_of(node), *self.key, path)
-        box = self.axis.setdefault(key, [first[0], first[0], first[1], first[1], 0, node.attr("axisLabels"), None])
+    def evidence(self, srs: str, dialect: str, first: tuple, path: str, labels: str | None) -> None:
+        key = (self.at[0], srs, dialect, *self.key, path)
+        box = self.axis.setdefault(key, [first[0], first[0], first[1], first[1], 0, labels, None])
         box[0], box[1], box[2], box[3] = min(box[0], first[0]), max(box[1], first[0]), min(box[2], first[1]), max(box[3], first[1])
         box[4] += 1
         if own := self.bounded.get("box"):
@@ -247,13 +296,17 @@ class Observer:
         for c in node:
             name, is_geom = named(c.tag)
             if is_geom:
+                srs = c.get("srsName") or self.bounded.get("srs")
+                if srs and (shape := plain_shape(c, self.bounded.get("dimension"))) is not None:
+                    self.evidence(srs.strip(), "gml3", shape[2], path, c.get("axisLabels"))
+                    continue
                 try:
                     g = tree_of(c)
                     srs, first = srs_of(g, self.bounded.get("srs")), first_position(g)
                 except (SplitError, GeometryError, ValueError, IndexError):
                     continue
                 if first and srs:
-                    self.evidence(g, srs, first, path)
+                    self.evidence(srs, dialect_of(g), first, path, g.attr("axisLabels"))
             elif depth < MAX_DEPTH and len(c):
                 self.sniff(c, f"{path}/{name}" if path else name, depth + 1)
 
@@ -328,6 +381,11 @@ def observations(features: DataFrame, skip_bad: bool = False, axis_only: bool =
     return features.select("kind", *INPUT, "info").mapInArrow(lambda batches: observing(batches, skip_bad, axis_only), ddl([("what", pa.string()), *ALL_FIELDS]))
 
 
+def observations_of(docs: DataFrame, options: SplitOptions, skip_bad: bool = False, axis_only: bool = False) -> DataFrame:
+    """observations() of documents (name, content), split in the same tasks."""
+    return docs.mapInArrow(split_and(options, ["kind", *INPUT, "info"], lambda batches: observing(batches, skip_bad, axis_only)), ddl([("what", pa.string()), *ALL_FIELDS]))
+
+
 def observe(seen: DataFrame) -> DataFrame:
     """One row for each (layer, path) of observations()."""
     rows = seen.where("what = 'path'")

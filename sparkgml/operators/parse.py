@@ -19,7 +19,7 @@ from ..functions.gml_geometry import Node, Scope, envelope, geometry, is_geometr
 from ..functions.lexical import Misfit, read_scalar
 from ..functions.project import Transform
 from ..plans.schema import LOCATION, Column, LayerSchema
-from ..sources.split import SplitError, inner_xml, layer_matches, parse_batch
+from ..sources.split import SplitError, SplitOptions, inner_xml, layer_matches, parse_batch, split_and
 from .columns import ColumnReader, Unusual
 from .observe import INPUT, bounded_info
 
@@ -375,6 +375,11 @@ def parse_layer(features: DataFrame, plan: ReadPlan) -> DataFrame:
     return wanted.mapInArrow(rows_of(plan), output_type(plan))
 
 
+def parse_documents(docs: DataFrame, options: SplitOptions, plan: ReadPlan) -> DataFrame:
+    """parse_layer() of documents (name, content), split in the same tasks."""
+    return docs.mapInArrow(split_and(options, [*INPUT, "end"], rows_of(plan), features_only=True), output_type(plan))
+
+
 def parse_report(features: DataFrame, plan: ReadPlan) -> DataFrame:
     """What parsing the same features warns of or fails on: source, start, kind, message."""
     local = plan.schema.layer.rpartition("}")[2].rpartition(":")[2]

@@ -13,6 +13,7 @@ from xml.parsers import expat
 from xml.sax.saxutils import quoteattr, unescape as unescape_basic
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -302,6 +303,22 @@ def split_features(sources: DataFrame, options: SplitOptions | None = None) -> D
     return sources.mapInArrow(split_rows(options or SplitOptions()), SCHEMA)
 
 
+def split_and(options: SplitOptions, columns: list[str], then: Callable, features_only: bool = False) -> Callable:
+    """Splits and works on the features in one Python worker, so that their XML doesn't cross into the JVM and back."""
+    split = split_rows(options)
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        def some() -> Iterator[pa.RecordBatch]:
+            for b in split(batches):
+                b = b.filter(pc.equal(b.column(0), "feature")) if features_only else b
+                if b.num_rows:
+                    yield b.select(columns)
+
+        yield from then(some())
+
+    return work
+
+
 def split_by_tag(spark, paths: str | list[str], member: str = "gml:featureMember", namespaces: dict[str, str] | None = None) -> DataFrame:
     """Features of large plain UTF-8 files, each file cut by many tasks.
 

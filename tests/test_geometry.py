@@ -88,3 +88,31 @@ def test_first_position():
         if node.name not in ("Envelope", "Box") and not name.startswith("orientable"):
             assert first_position(node) == next(positions(geometry(node, Scope())))[:2], name
     assert first_position(parse_element(b"<gml:Point><gml:pos>1</gml:pos></gml:Point>", scope)) is None and first_position(parse_element(b"<gml:Solid/>", scope)) is None
+
+
+def test_plain_shape():
+    """What counting says of a geometry is what reading it says."""
+    from xml.etree import ElementTree
+
+    from sparkgml.functions.geometry import positions
+    from sparkgml.functions.gml_geometry import GeometryError, Scope, geometry
+    from sparkgml.operators.observe import plain_shape
+    from sparkgml.queries_geometry import FORMS
+    from sparkgml.sources.split import tree_of
+
+    forms = [m for m, _ in FORMS.values()] + [
+        "<gml:Point><gml:pos>1 2 3</gml:pos></gml:Point>", "<gml:Point><gml:pos>1</gml:pos></gml:Point>", "<gml:Point/>", '<gml:LineString srsDimension="3"><gml:posList>1 2 3 4 5 6</gml:posList></gml:LineString>', '<gml:LineString><gml:posList srsDimension="3">1 2 3 4 5 6</gml:posList></gml:LineString>',
+        "<gml:LineString><gml:posList>1 2 3</gml:posList></gml:LineString>", "<gml:LineString><gml:posList>1 x 3 4</gml:posList></gml:LineString>", "<gml:Polygon/>", "<gml:LineString><gml:posList/></gml:LineString>",
+    ]
+    taken = 0
+    for markup in forms:
+        (e,) = ElementTree.fromstring(f'<_ xmlns:gml="http://www.opengis.net/gml/3.2">{markup.replace("{s}", "7")}</_>')
+        for inherited in (None, 2, 3):
+            found = plain_shape(e, inherited)
+            if found is not None:
+                g = geometry(tree_of(e), Scope(None, inherited))
+                assert found == (g[0], g[1], next(positions(g))[:2]), markup
+                taken += 1
+    assert taken >= 9
+    with pytest.raises(GeometryError):
+        geometry(tree_of(ElementTree.fromstring('<gml:Point xmlns:gml="http://www.opengis.net/gml/3.2"><gml:pos>1</gml:pos></gml:Point>')), Scope())
