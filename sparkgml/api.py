@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .functions.crs import Context, Decision, Evidence, decide
+from .functions.crs import Context, Decision, Evidence, crs_of, decide, parse_srs
 from .functions.version import detect_version
 from .operators.observe import axis_evidence, headers, observations, observations_of, observe, srs_counts
 from .operators.parse import ReadPlan, parse_documents, parse_layer, parse_report
@@ -42,6 +42,26 @@ class ReadOptions:
     sample_total: int | None = None  # the first of all, in order of source
     spread: bool = False  # deal features anew after splitting: for documents that are few and large
 
+    @classmethod
+    def from_json(cls, text: str) -> ReadOptions:
+        """All options as JSON: {"axis_order": ..., "inference": {...}, "split": {...}}; unknown names are errors."""
+
+        def made(kind: type, given: dict[str, Any]) -> Any:
+            known = {f.name for f in fields(kind)}
+            if unknown := sorted(set(given) - known):
+                raise SchemaError(f"option {', '.join(unknown)}")
+            return kind(**given)
+
+        data = json.loads(text)
+        for k, kind in (("inference", InferenceOptions), ("split", SplitOptions)):
+            if k in data:
+                data[k] = made(kind, data[k])
+        if isinstance(data.get("inference"), InferenceOptions):
+            data["inference"].per_layer = [tuple(x) for x in data["inference"].per_layer]
+        if isinstance(data.get("split"), SplitOptions):
+            data["split"].member_rules = [tuple(x) for x in data["split"].member_rules]
+        return made(cls, data)
+
     @classmethod
     def parse(cls, pairs: dict[str, str]) -> ReadOptions:
         """From key=value options."""
@@ -117,6 +137,20 @@ class Scan:
         mode, overrides = self.plain_axis()
         return settings_json(list(self.schemas.values()), {"axis_order": mode, "axis_overrides": overrides} if self.decisions else None, self.prefixes())
 
+    def warnings(self) -> list[tuple[str, str]]:
+        """(kind, message) of what was found that a reader should know."""
+        out = [("skipped source", s) for s in self.skipped_sources]
+        for h in self.headers:
+            if h.get("referenced"):
+                out.append(("referenced member", f"{h['source']}: {h['referenced']} members that only refer"))
+        for srs in sorted({k[1] for k in self.decisions}):
+            name = parse_srs(srs)
+            if name.code is None:
+                out.append(("unknown srsName", srs))
+            elif crs_of(name.code) is None:
+                out.append(("unknown CRS", srs))
+        return out + sorted({("axis conflict", f"{srs}: {c}") for (_, srs, _), d in self.decisions.items() for c in d.conflicts})
+
     def plain_axis(self) -> tuple[str, dict[str, str]]:
         """The decisions as one order and the srsNames that have the other: what most sources have, for each name and for all."""
         votes: dict[str, int] = {}

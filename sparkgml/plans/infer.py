@@ -64,6 +64,15 @@ def tree(rows: list[dict[str, Any]]) -> Node:
     return root
 
 
+def tz_shape(s: dict[str, Any]) -> str:
+    """What times say of their zones: absent, fixed (one for all), mixed, or inconsistent (some have none)."""
+    if not s["n_zone"]:
+        return "absent"
+    if s["n_zone"] < s["n_values"]:
+        return "inconsistent"
+    return "fixed" if s["zone_min"] == s["zone_max"] else "mixed"
+
+
 class Inference:
     def __init__(self, layer: str, rows: list[dict[str, Any]], options: InferenceOptions):
         self.layer, self.options = layer, options.for_layer(layer)
@@ -93,9 +102,9 @@ class Inference:
             return kind, meta, "all integers"
         if types & DOUBLE:
             return "double", ({"gml:max_scale": int(s["max_scale"]), "gml:significant_digits": int(s["max_digits"])} if s["max_scale"] else meta), "all numbers"
-        zones, n = s["n_zone"], s["n_values"]
-        fixed = zones == n and s["zone_min"] == s["zone_max"]
-        if zones and zones < n:
+        zones, shape = s["n_zone"], tz_shape(s)
+        fixed = shape == "fixed"
+        if shape == "inconsistent":
             return "string", meta, "some values have a time zone, some don't"
         if zones and fixed:
             minutes = s["zone_min"]

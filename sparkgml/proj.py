@@ -132,6 +132,22 @@ class Transformer:
         yield from zip(*(np.asarray(v).tolist() for v in self.transform(*map(np.array, zip(*rows, strict=True)))), strict=True) if rows else ()
 
 
+class TransformerGroup:
+    """All operations between two CRSs, the best first."""
+
+    def __init__(self, source: Any, target: Any, always_xy: bool = False, area_of_interest: tuple[float, float, float, float] | None = None):
+        best = SelectedTransform(CRS(source).horizontal, CRS(target).horizontal, area=area_of_interest)
+        self.transformers = []
+        for c in best.candidates:
+            one = SelectedTransform(best.source, best.target, area=area_of_interest, per_point=False)
+            one.candidates = [c]
+            self.transformers.append(Transformer(one, one.source, one.target, always_xy))
+
+    @property
+    def accuracies(self) -> list[float]:
+        return [t.run.candidates[0].accuracy for t in self.transformers]
+
+
 class Geod:
     """Geodesics on an ellipsoid, degrees and metres."""
 

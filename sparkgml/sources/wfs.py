@@ -244,6 +244,20 @@ class WfsClient:
         page = inspect(http_get(self.request(type_name, hits=True).url(self.base), **self.http))
         return page.matched if page.matched is not None else page.returned
 
+    def warnings(self, type_name: str, *, page_size: int | None = None, **more) -> list[str]:
+        """What may go wrong with a read, before it starts."""
+        caps, out = self.capabilities(), []
+        if type_name not in self.layers():
+            out.append(f"{type_name} isn't among the layers")
+        total = self.count(type_name)
+        if caps.pages() and not more.get("sort_by"):
+            out.append("pages by offset without sort_by: a server may give a feature twice or not at all")
+        if total is None:
+            out.append("the server doesn't say how many features there are: a short page ends the read")
+        elif not caps.pages() and total > caps.page_size(page_size):
+            out.append(f"the server doesn't page: {total} features are asked for at once")
+        return out
+
     def sources(self, spark: SparkSession, type_name: str, *, page_size: int | None = None, **more) -> DataFrame:
         """(name, content) of all pages. Pages are tasks of their own where the total is known, the server pages and `sort_by` fixes the order; else one task reads on and on."""
         caps, http, base = self.capabilities(), self.http, self.base
