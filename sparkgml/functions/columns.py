@@ -74,10 +74,9 @@ def wkb_transform(g: Column, source: int, target: int) -> Column:
 
     @F.pandas_udf(T.BinaryType())
     def convert(s: pd.Series) -> pd.Series:
-        from ..operators.parse import converted
+        from ..operators.parse import converted_all
 
-        t = Transform(source, target)
-        return pd.Series(each(s, lambda x: write_wkb(converted(x, t))), dtype=object)
+        return pd.Series([None if g is None else write_wkb(g) for g in converted_all(each(s, lambda x: x), Transform(source, target))], dtype=object)
 
     return convert(g)
 

@@ -272,6 +272,30 @@ def converted(g: Geometry, t: Transform) -> Geometry:
     return mapped(g, f)
 
 
+def converted_all(geometries: list[Geometry | None], t: Transform) -> list[Geometry | None]:
+    """converted() of many geometries: all their positions at once."""
+    lists: dict[int, list[list]] = {2: [], 3: []}
+
+    def gather(ps: list) -> list:
+        if ps:
+            lists[len(ps[0])].append(ps)
+        return ps
+
+    for g in geometries:
+        if g is not None:
+            mapped(g, gather)
+    done: dict[int, Iterator] = {}
+    for dim, some in lists.items():
+        flat = [p for ps in some for p in ps]
+        columns = t.convert(*zip(*flat, strict=True)) if flat else ()
+        done[dim] = iter(list(zip(*(v.tolist() for v in columns), strict=True)))
+
+    def give(ps: list) -> list:
+        return [next(done[len(p)]) for p in ps]
+
+    return [None if g is None else mapped(g, give) for g in geometries]
+
+
 def subtree(node: Node, path: str, values: dict[str, str]) -> None:
     for c in node.children:
         here = f"{path}/{c.name}" if path else c.name

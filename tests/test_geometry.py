@@ -116,3 +116,12 @@ def test_plain_shape():
     assert taken >= 9
     with pytest.raises(GeometryError):
         geometry(tree_of(ElementTree.fromstring('<gml:Point xmlns:gml="http://www.opengis.net/gml/3.2"><gml:pos>1</gml:pos></gml:Point>')), Scope())
+
+
+def test_conversion_of_many():
+    from sparkgml.functions.project import Transform
+    from sparkgml.operators.parse import converted, converted_all
+
+    t = Transform(4326, 3857)
+    many = [("Point", 2, (1.0, 2.0)), None, ("LineString", 3, [(1.0, 2.0, 5.0), (3.0, 4.0, 6.0)]), ("Polygon", 2, [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)], []]), ("GeometryCollection", 2, [("Point", 2, (7.0, 8.0)), ("MultiPoint", 2, [("Point", 2, (9.0, 1.0))])]), ("Point", 2, None)]
+    assert converted_all(many, t) == [None if g is None else converted(g, t) for g in many] and converted_all([None], t) == [None]
