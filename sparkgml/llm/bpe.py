@@ -20,8 +20,10 @@ from .common import frugal, slices
 END = "</w>"
 #: No merge, or a token that nothing absorbs.
 NEVER = 1 << 40
+#: Characters of the longest words that are kept.
+LONG_WORD = 1000
 #: What the tokenizer's file format calls white space, and its pattern for pieces of text.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
@@ -207,11 +209,14 @@ class SpeculativeBpe:
         for w in new:
             if w in old:
                 cache[w] = old[w]
-        if new := [w for w in new if w not in cache]:
-            self.learn(new)
+        if unknown := [w for w in new if w not in cache]:
+            self.learn(unknown)
         for p in pieces:
             got = [cache[w] for w in p]
             yield sum([x[0] for x in got]), b"".join([x[1] for x in got]), " ".join([x[2] for x in got])
+        for w in new:  # words of this length hardly come again
+            if len(w) > LONG_WORD:
+                del cache[w]
 
 
 def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -223,7 +228,7 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     decoder, so decoding joins the tokens by spaces. Other columns are
     ignored, repeated rows have equal results.
 
-    Words are encoded once and kept in a table of bounded size. A new word is
+    Words are encoded once and kept in a table of bounded size, but for very long ones. A new word is
     cut by greedy longest match; if each adjacent pair of tokens is one that
     merging leaves alone, the cut is the word's encoding, else the word is
     merged step by step.

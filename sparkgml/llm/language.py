@@ -87,7 +87,8 @@ def merge_counts(parts: list) -> tuple[np.ndarray, np.ndarray]:
 def fit_profiles(docs: DataFrame, *, top: int = 600, sample: int = 5000) -> dict[str, np.ndarray]:
     """The `top` most frequent n-grams of each value of lang, in order of rank.
 
-    `docs` has doc_id, text and lang; rows without lang or text are left out.
+    `docs` has doc_id, text and lang; rows without lang or text are left out,
+    and without any there are no profiles. Repeated rows count as often.
     About `sample` rows of a language at most are used, chosen by a hash of
     doc_id; all of a language that has fewer. Each value of lang costs some
     `top` rows on the driver.

@@ -112,7 +112,7 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, per_class: int = 1000, max_bytes: int = 32 << 20, rounds: int = 80, penalty: float = 1e-5) -> QualityModel:
-    """Fit on about `per_class` labelled rows at most of each class, of about `max_bytes` together; every fifth of them calibrates."""
+    """Fit on about `per_class` labelled rows at most of each class, of about `max_bytes` together; every fifth of them calibrates. Without rows of both classes every text gets one half; rows without label, doc_id or text aren't used."""
     rows = sample_labelled(docs, labels, "quality", per_class, max_bytes)
     model = QualityModel(np.zeros((FAMILIES, BUCKETS), np.float32), 0.0)
     y = np.array([r[2] for r in rows])

@@ -26,17 +26,21 @@ TASK_BYTES = 128 << 20
 GRAM_CONTEXTS = 50_000
 
 _powers: dict[str, np.ndarray] = {}
+KEPT_POWERS = 1 << 20
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n; kept and grown."""
-    if len(_powers.get("up", ())) < n + 1:
-        size = max(n + 1, 1 << 20)
-        for name, b in (("up", BASE), ("down", INVERSE)):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            _powers[name] = np.cumprod(x)
-    return _powers["up"][: n + 1], _powers["down"][: n + 1]
+    """Powers of the base and of its inverse, up to n; kept, but for those that only very long texts need."""
+    if len(_powers.get("up", ())) > n:
+        return _powers["up"][: n + 1], _powers["down"][: n + 1]
+    made = {}
+    for name, b in (("up", BASE), ("down", INVERSE)):
+        x = np.full(max(n + 1, KEPT_POWERS), b, np.uint64)
+        x[0] = 1
+        made[name] = np.cumprod(x)
+    if n < KEPT_POWERS:
+        _powers.update(made)
+    return made["up"][: n + 1], made["down"][: n + 1]
 
 
 def sliding(x: np.ndarray, width: int, of) -> np.ndarray:
@@ -566,7 +570,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = 100, carry: bool = False, gra
     the text decides which is earlier. Other columns are ignored; with `carry`
     a struct column `row` has all columns of the input but text, and
     kept_text, a string, stands for kept_bytes. An empty table gives an empty
-    result.
+    result. A text of n bytes takes some 60 n bytes of memory in its task.
 
     A gram that is the least by hash in some string is an anchor; equal
     strings have equal anchors, so only anchors (one in about `length` / 3

@@ -251,7 +251,7 @@ def learn_insults(toxic: list[str], clean: list[str], known: frozenset[str] = IN
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, max_bytes: int = 32 << 20) -> ToxicityGrammar:
-    """Learn insults and weights from about `per_class` labelled rows at most of each class, of about `max_bytes` together."""
+    """Learn insults and weights from about `per_class` labelled rows at most of each class, of about `max_bytes` together; rows without label, doc_id or text aren't used, and without rows of both classes the known words alone count."""
     rows = sample_labelled(docs, labels, "toxic", per_class, max_bytes)
     toxic, clean = ([t for _, t, y in rows if y == k] for k in (1, 0))
     grammar = ToxicityGrammar()
