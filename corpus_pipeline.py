@@ -34,26 +34,34 @@ def without(rows: DataFrame, decisions: DataFrame, columns: list[str]) -> DataFr
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal texts."""
+    """Keeps one row of each group of equal texts; null and empty texts are equal, null and repeated doc_ids rows of their own."""
     rows, _ = numbered(docs)
     return without(rows, exact_dedup(rows), docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of each component of near copies (0.8 of 5-word shingles); a null doc_id counts as the greatest."""
+    """Keeps the row with the smallest doc_id of each component of near copies (0.8 of 5-word shingles).
+
+    A null doc_id counts as the greatest; null and repeated doc_ids are rows of
+    their own; texts without words are copies of each other.
+    """
     rows, _ = numbered(docs, nulls_first=False)
     return without(rows, simhash_dedup(rows, shingle=5, similarity=0.8), docs.columns)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes strings of 100 bytes that start earlier; every row stays, with what is left of its text."""
+    """Removes strings of 100 bytes that start earlier; every row stays, with what is left of its text.
+
+    Null doc_ids come first, repeated ones are documents of their own; a null
+    text comes back empty, and n_chars is that of what is left.
+    """
     cut = suffix_dedup(docs, carry=True).select("row", F.col("kept_text").alias("text"))
     kept = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return cut.select(*[(kept[c] if c in kept else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each document: its length in tokens, bucket, shard, batch and position."""
+    """The place of each row: its length in tokens, bucket, shard, batch and position; null and empty texts have length 0."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
