@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.crs import Context, Evidence, decide
 from ..operators.observe import Observer, bounded_info
 from ..operators.parse import ReadPlan, RowReader
-from ..plans.infer import InferenceOptions, infer
 from ..plans.schema import LayerSchema, SchemaError, load_settings
-from .datasource import FilePart, expand, named_rows
-from .inputs import as_utf8, filesystem_read, members, unpacked
+from .datasource import named_rows
+from .inputs import as_utf8, members, unpacked
 from .split import SplitOptions, Splitter, parse_trees
 
 OPTIONS = ("settings", "preset", "axis_order", "target_crs", "on_feature_error", "linear")
@@ -33,44 +32,24 @@ def options_of(pairs: list[str]) -> dict[str, str]:
     return out
 
 
-def documents_of(parts: list[FilePart]) -> Iterator[tuple[str, bytes]]:
-    for p in parts:
-        data = filesystem_read(p.path)
-        name, content = next(iter(members(p.path, data, p.member))) if p.member else (p.path, data)
-        yield name, as_utf8(unpacked(content))
-
-
-def observed(docs: Iterator[tuple[str, bytes]], layer: str) -> Observer:
-    """Statistics of a layer's features, in one process."""
+def evidence_of(docs: Iterator[tuple[str, bytes]], layer: str) -> Observer:
+    """Axis evidence of a layer's features, in one process; other statistics aren't kept."""
     o, known = Observer(), {}
     for name, data in docs:
         for _, start, _, ns, local, context, bounded, xml in Splitter(data, SplitOptions(layers=[layer])).run():
             (tree,) = parse_trees([xml], [context], known)
             if isinstance(tree, Exception):
                 raise tree
-            o.feature(name, start, ns, local, tree, bounded_info(bounded))
+            o.feature(name, start, ns, local, tree, bounded_info(bounded), axis_only=True)
     return o
 
 
-def schema_of(path: str, layer: str, options: dict[str, str]) -> LayerSchema:
-    if "settings" in options:
-        layers, _ = load_settings(filesystem_read(options["settings"]).decode("utf-8"))
-        if layer in layers:
-            return layers[layer]
-    o = observed(documents_of(expand(path)), layer)
-    rows = [r | {"first_seen": (r["source"], r["start"], r["place"])} for b in o.rows() for r in b.to_pylist()]
-    found = infer(rows, InferenceOptions(preset=options.get("preset", "default")))
-    if not found:
-        raise SchemaError(f"read_gml: no layer {layer} in {path}")
-    return next(iter(found.values()))
-
-
 def rows_of(docs: Iterator[tuple[str, bytes]], schema: LayerSchema, layer: str, options: dict[str, str]) -> Iterator[tuple]:
     target = options.get("target_crs")
     plan = ReadPlan(schema, options.get("on_feature_error", "error"), linear=options.get("linear") == "true", target_crs=int(target.upper().removeprefix("EPSG:")) if target else None, axis_mode=options.get("axis_order", "auto"))
     docs = list(docs) if plan.axis_mode == "auto" and any(c.type == "geometry" for c in schema.columns) else docs
     if isinstance(docs, list):  # axes go by evidence
-        for b in observed(iter(docs), layer).axis_rows():
+        for b in evidence_of(iter(docs), layer).axis_rows():
             for r in b.to_pylist():
                 e = Evidence((r["a_min"], r["a_max"]), (r["b_min"], r["b_max"]), [r["labels"]] if r["labels"] else [])
                 plan.swaps[r["source"], r["srs_name"], r["dialect"]] = decide(r["srs_name"], r["dialect"], e, Context()).swap
@@ -85,18 +64,48 @@ def constant(a: AnalyzeArgument, what: str) -> str:
     return a.value
 
 
+def layer_of(spark: SparkSession, path: str, layer: str, *pairs: str) -> DataFrame:
+    """read_gml()'s rows: without settings the layer's schema is inferred from all its features, in a scan by tasks."""
+    from ..api import NoFeatures, ReadOptions, read
+
+    chosen = options_of(list(pairs))
+    settings, schema = chosen.pop("settings", None), None
+    if settings is not None:
+        layers, _ = load_settings(bytes_of(spark, settings).decode("utf-8"))
+        schema = layers.get(layer)
+    options = ReadOptions.parse(chosen)
+    options.split = SplitOptions(layers=[layer])
+    try:
+        return read(spark, path, layer, schema, options)
+    except NoFeatures:
+        raise SchemaError(f"read_gml: no layer {layer} in {path}") from None
+
+
+def bytes_of(spark: SparkSession, path: str) -> bytes:
+    """A small file, of any file system that Spark reads."""
+    return bytes(spark.read.format("binaryFile").load(path).first().content)
+
+
 class ReadGml:
-    """One call is one task: for a few files. Without settings the layer's schema is inferred from all its features."""
+    """Spark's builder of a table function: constant arguments to the plan that reads the files, so that its tasks share the work."""
 
-    @staticmethod
-    def analyze(path: AnalyzeArgument, layer: AnalyzeArgument, *options: AnalyzeArgument) -> AnalyzeResult:
-        schema = schema_of(constant(path, "path"), constant(layer, "layer"), options_of([constant(o, "option") for o in options]))
-        return AnalyzeResult(schema=schema.struct())
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def apply(self, arguments):
+        texts = []
+        for i in range(arguments.length()):
+            a = arguments.apply(i)
+            value = a.eval(None) if a.foldable() else None
+            if value is None or a.dataType().typeName() != "string":
+                raise SchemaError(f"read_gml: {('path', 'layer', 'option')[min(i, 2)]} has to be a text")
+            texts.append(value.toString())
+        if len(texts) < 2:
+            raise SchemaError("read_gml: give a path and a layer")
+        return layer_of(self.spark, *texts)._jdf.queryExecution().analyzed()
 
-    def eval(self, path: str, layer: str, *options: str):
-        chosen = options_of(list(options))
-        parts = expand(path)
-        yield from rows_of(documents_of(parts), schema_of(path, layer, chosen), layer, chosen)
+    class Java:
+        implements = ["scala.Function1"]
 
 
 class ReadGmlFiles:
@@ -117,7 +126,9 @@ class ReadGmlFiles:
 
 def register(spark: SparkSession) -> None:
     """Make read_gml and read_gml_files known to SQL."""
+    from pyspark.java_gateway import ensure_callback_server_started
     from pyspark.sql.functions import udtf
 
-    spark.udtf.register("read_gml", udtf(ReadGml))
+    ensure_callback_server_started(spark.sparkContext._gateway)
+    spark._jsparkSession.sessionState().tableFunctionRegistry().createOrReplaceTempFunction("read_gml", ReadGml(spark), "built-in")
     spark.udtf.register("read_gml_files", udtf(ReadGmlFiles))

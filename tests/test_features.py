@@ -86,3 +86,14 @@ def test_table_functions(spark, tmp_path):
     for bad in ("'A', 'nope=1'", "'Nope'"):
         with pytest.raises(Exception, match="read_gml"):
             spark.sql(f"SELECT * FROM read_gml('{tmp_path}/a.gml', {bad})").collect()
+
+
+def test_read_gml_is_many_tasks(spark, tmp_path):
+    register(spark)
+    for i in range(8):
+        (tmp_path / f"{i}.gml").write_bytes(doc(*FEATURES))
+    got = spark.sql(f"SELECT n FROM read_gml('{tmp_path}', 'A')")
+    assert got.rdd.getNumPartitions() > 1
+    assert got.count() == 8 * len(FEATURES)
+    with pytest.raises(Exception, match="read_gml: layer has to be a text"):
+        spark.sql(f"SELECT * FROM read_gml('{tmp_path}', 1)").collect()
