@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from .sources.wfs import WfsClient
 from .streaming.reader import read_stream
 
 XY = ReadOptions(axis_order="xy")
+#: Triggers of a stream over files that are all there.
+TRIGGERS = 8
 _own: list[str] = []
 
 
@@ -292,12 +295,29 @@ def repeated_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files as they arrive; an order that comes twice counts once across batches, within the watermark."""
+    """Files as they arrive; an order that comes twice counts once across batches, within the watermark.
+
+    What a trigger costs besides its files (state, logs, a look at the folder)
+    is paid a bounded number of times: beyond TRIGGERS * 8 files, triggers
+    grow.
+    """
     docs = orders_gml(spark, sf_dir)
     path, state, out = written(docs, ("gml", "gml.gz")), folder(spark), folder(spark)
-    df = read_stream(spark, path, LayerSchema.given("Order", {"key": "bigint"}), max_files=8)
+    fs, root = filesystem(path)
+    n_files = len(fs.get_file_info(pafs.FileSelector(root)))
+    df = read_stream(spark, path, LayerSchema.given("Order", {"key": "bigint"}), max_files=max(8, -(-n_files // TRIGGERS)))
     df = df.withColumn("arrived", F.lit("2020-01-01").cast("timestamp")).withWatermark("arrived", "1 hour").dropDuplicatesWithinWatermark(["key"])
-    df.select("key").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    # each of the state's partitions is written in every trigger: as many as there are cores, and their keys on disk, not in the heap
+    own = {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism), "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    given = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        query = df.select("key").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    finally:  # the query has its own copy
+        for k, v in given.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query.awaitTermination()
     return spark.read.schema("key bigint").parquet(out)
 
 

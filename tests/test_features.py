@@ -1,5 +1,6 @@
 """Versions, hints, patches, prefixes, merged schemas, table functions."""
 
+import os
 import zipfile
 
 import pytest
@@ -97,3 +98,18 @@ def test_read_gml_is_many_tasks(spark, tmp_path):
     assert got.count() == 8 * len(FEATURES)
     with pytest.raises(Exception, match="read_gml: layer has to be a text"):
         spark.sql(f"SELECT * FROM read_gml('{tmp_path}', 1)").collect()
+
+
+def test_stream_has_few_triggers(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = spark.range(40_000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "'O' AS o_orderstatus", "1.5D AS o_totalprice", "timestamp'2020-01-02 03:04:05' AS o_orderdate", "'1-URGENT' AS o_orderpriority")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    before = {q: spark.conf.get(q, None) for q in ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")}
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    old = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    got = entry.queries()["stream_of_files"](spark, str(tmp_path))
+    assert got.count() == got.distinct().count() == 40_000
+    triggers = [len([n for n in os.listdir(f"{shared}/{d}/commits") if n.isdigit()]) for d in set(os.listdir(shared)) - old if os.path.isdir(f"{shared}/{d}/commits")]
+    assert len(triggers) == 1 and 1 < triggers[0] <= 8  # of 80 files
+    assert {q: spark.conf.get(q, None) for q in before} == before
