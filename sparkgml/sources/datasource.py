@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import glob
-import json
 import os
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.observe import bounded_info
-from ..operators.parse import ReadPlan, RowReader, tuple_struct
+from ..operators.observe import INPUT
+from ..operators.parse import ReadPlan, rows_of
 from ..plans.schema import LayerSchema, SchemaError, load_settings
 from .inputs import BARRIER, SUFFIXES, SourceError, as_utf8, filesystem_read, member_names, members, unpacked
-from .split import SplitOptions, Splitter, parse_element
+from .split import SplitOptions, split_and
 
 
 class FilePart(InputPartition):
@@ -44,22 +45,36 @@ def expand(path: str) -> list[FilePart]:
     return out
 
 
-def named_rows(name: str, data: bytes, layer: str, plan: ReadPlan, reader: RowReader) -> Iterator[tuple]:
-    """Rows of a layer of one document; features of other layers aren't parsed."""
-    bounds: dict = {}
-    fields = plan.schema.struct()
-    boxes = [(i, f.dataType) for i, f in enumerate(fields.fields) if isinstance(f.dataType, StructType)]
-    for _, start, _, _, _, context, bounded, xml in Splitter(data, SplitOptions(layers=[layer])).run():
-        if bounded not in bounds:
-            bounds = {bounded: bounded_info(bounded)}
-        row, _, error = reader.read(name, parse_element(xml, json.loads(context)), xml, bounds[bounded])
-        if error is not None:
-            if plan.on_error == "skip":
-                continue
-            raise ValueError(f"{name} at byte {start}: {error}")
-        for i, kind in boxes:
-            row[i] = None if row[i] is None else tuple_struct(row[i], _arrow_names(kind))
-        yield tuple(row)
+def named_batches(docs: Iterable[tuple[str, bytes]], layer: str, plan: ReadPlan) -> Iterator[pa.RecordBatch]:
+    """A layer's rows of documents, a batch at a time; features of other layers aren't parsed."""
+    work = split_and(SplitOptions(layers=[layer]), [*INPUT, "end"], rows_of(plan), features_only=True)
+    return work(pa.record_batch([pa.array([name]), pa.array([data], pa.binary())], ["name", "content"]) for name, data in docs)
+
+
+class FileGroup(InputPartition):
+    """Files and members that one task reads."""
+
+    def __init__(self, parts: list[FilePart]):
+        self.parts = parts
+
+
+#: Bytes of files in a task, at most, but for a larger file; and how many tasks there should be before they get that large.
+GROUP_BYTES, GROUPS = 16 << 20, 64
+
+
+def grouped(parts: list[FilePart]) -> list[FileGroup]:
+    """Neighbouring small files together, so that tasks don't become as many as files."""
+    members_of = Counter(p.path for p in parts)
+    sizes = [os.path.getsize(p.path) // members_of[p.path] if os.path.exists(p.path) else 0 for p in parts]
+    most = min(GROUP_BYTES, sum(sizes) // GROUPS)
+    out, held = [], 0
+    for p, n in zip(parts, sizes, strict=True):
+        if not out or held + n > most:
+            out.append(FileGroup([]))
+            held = 0
+        out[-1].parts.append(p)
+        held += n
+    return out
 
 
 class GmlReader(DataSourceReader):
@@ -77,33 +92,24 @@ class GmlReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return expand(self.options["path"])
+        return grouped(expand(self.options["path"]))
+
+    def documents(self, parts: list[FilePart]) -> Iterator[tuple[str, bytes]]:
+        for p in parts:
+            data = filesystem_read(p.path)
+            name, data = next(iter(members(p.path, data, p.member))) if p.member else (p.path, data)
+            yield name, as_utf8(unpacked(data))
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
+    def read(self, partition: FileGroup) -> Iterator[pa.RecordBatch]:
         layer = self.options["layer"]
-        name, data = partition.path, filesystem_read(partition.path)
-        if partition.member:
-            name, data = next(iter(members(partition.path, data, partition.member)))
         has_layer = "_layer" in self.schema.names
         fields = StructType([f for f in self.schema.fields if f.name != "_layer"])
         saved = load_settings(self.options["settings"])[1] if "settings" in self.options else {}
         plan = ReadPlan(LayerSchema.of_struct(layer, fields), axis_overrides=saved.get("axis_overrides", {}), on_error=self.options.get("on_feature_error", "error"), linear=self.options.get("linear") == "true", target_crs=int(self.options["target_crs"].upper().removeprefix("EPSG:")) if "target_crs" in self.options else None, axis_mode=self.options.get("axis_order") or saved.get("axis_order", "auto"))
         if self.wanted not in (None, layer.rpartition("}")[2].rpartition(":")[2]):
             return
-        for row in named_rows(name, as_utf8(unpacked(data)), layer, plan, RowReader(plan)):
-            yield (*row, layer.rpartition("}")[2].rpartition(":")[2]) if has_layer else row
-
-
-class _arrow_names:
-    """Field names of a struct, in the form tuple_struct() takes."""
-
-    def __init__(self, kind: StructType):
-        self.names, self.num_fields = kind.names, len(kind.names)
-
-    def field(self, i: int) -> _arrow_names:
-        out = _arrow_names.__new__(_arrow_names)
-        out.name = self.names[i]
-        return out
+        for b in named_batches(self.documents(partition.parts), layer, plan):
+            yield b.append_column("_layer", pa.array([layer.rpartition("}")[2].rpartition(":")[2]] * b.num_rows, pa.string())) if has_layer else b
 
 
 class GmlDataSource(DataSource):
@@ -111,7 +117,8 @@ class GmlDataSource(DataSource):
 
     The schema is a user's, or that of the settings; paths are local to the
     executors (other stores go through sparkgml.api, which lets Spark read
-    the bytes). A file, or a member of an archive, is a partition.
+    the bytes). Files and members of archives are dealt to partitions by
+    their sizes.
     """
 
     @classmethod

@@ -10,9 +10,9 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.crs import Context, Evidence, decide
 from ..operators.observe import Observer, bounded_info
-from ..operators.parse import ReadPlan, RowReader
+from ..operators.parse import ReadPlan
 from ..plans.schema import LayerSchema, SchemaError, load_settings
-from .datasource import named_rows
+from .datasource import named_batches
 from .inputs import as_utf8, members, unpacked
 from .split import SplitOptions, Splitter, parse_trees
 
@@ -53,9 +53,8 @@ def rows_of(docs: Iterator[tuple[str, bytes]], schema: LayerSchema, layer: str,
             for r in b.to_pylist():
                 e = Evidence((r["a_min"], r["a_max"]), (r["b_min"], r["b_max"]), [r["labels"]] if r["labels"] else [])
                 plan.swaps[r["source"], r["srs_name"], r["dialect"]] = decide(r["srs_name"], r["dialect"], e, Context()).swap
-    reader = RowReader(plan)
-    for name, data in docs:
-        yield from named_rows(name, data, layer, plan, reader)
+    for b in named_batches(docs, layer, plan):
+        yield from zip(*(x.to_pylist() for x in b.columns), strict=True)
 
 
 def constant(a: AnalyzeArgument, what: str) -> str:

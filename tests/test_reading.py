@@ -215,3 +215,15 @@ def test_skipped_sources(spark):
     seen = split_features(spark.createDataFrame([("a", doc("<t:A/>")), ("b", b'<f:FeatureCollection xmlns:f="http://www.opengis.net/wfs"/>')], "name string, content binary"))
     assert sorted((r.source, r.kind) for r in seen.where("kind <> 'feature'").collect()) == [("a", "header"), ("b", "skipped")]
     assert isinstance(seen.schema["source"].dataType, StringType)
+
+
+def test_small_files_share_tasks(tmp_path):
+    from sparkgml.sources.datasource import expand, grouped
+
+    for i in range(1000):
+        (tmp_path / f"{i}.gml").write_bytes(b"<a/>")
+    groups = grouped(expand(str(tmp_path)))
+    assert len(groups) <= 100
+    assert sorted(p.path for g in groups for p in g.parts) == sorted(str(tmp_path / f"{i}.gml") for i in range(1000))
+    (tmp_path / "0.gml").write_bytes(b"<a/>" * 1000)
+    assert len(grouped(expand(str(tmp_path / "[01].gml")))) == 2
