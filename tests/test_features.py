@@ -113,3 +113,19 @@ def test_stream_has_few_triggers(spark, tmp_path):
     triggers = [len([n for n in os.listdir(f"{shared}/{d}/commits") if n.isdigit()]) for d in set(os.listdir(shared)) - old if os.path.isdir(f"{shared}/{d}/commits")]
     assert len(triggers) == 1 and 1 < triggers[0] <= 8  # of 80 files
     assert {q: spark.conf.get(q, None) for q in before} == before
+
+
+def test_table_function_reads_batches(monkeypatch):
+    """A file's usual features are read by column, others by row, with the same rows."""
+    from sparkgml.operators.parse import RowReader
+    from sparkgml.sources.udtf import rows_of
+
+    schema = LayerSchema.given("A", {"n": "bigint", "code": "text"})
+    walked, read_row = [], RowReader.read
+    monkeypatch.setattr(RowReader, "read", lambda self, *a: (walked.append(1), read_row(self, *a))[1])
+    usual = "".join(f"<gml:featureMember><t:A><t:n>{i}</t:n><t:code>c</t:code></t:A></gml:featureMember>" for i in range(5))
+    for end, by_row in (("", 0), ("<gml:featureMember><t:A><t:n>5</t:n><t:code><t:b>c</t:b></t:code></t:A></gml:featureMember>", 6)):
+        text = f'<gml:FeatureCollection xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:t="urn:t">{usual}{end}</gml:FeatureCollection>'
+        got = list(rows_of(iter([("a", text.encode())]), schema, "A", {}))
+        assert got == [(i, "c") for i in range(5)] + ([(5, "<t:b>c</t:b>")] if end else [])
+        assert len(walked) == by_row
