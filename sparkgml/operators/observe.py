@@ -153,14 +153,134 @@ def plain_shape(e: Element, inherited: int | None) -> tuple[str, int, tuple[floa
 XSI_NIL, XLINK_HREF = "{http://www.w3.org/2001/XMLSchema-instance}nil", f"{{{XLINK}}}href"
 
 
+#: Different shapes of features that a task remembers, and marks of one shape, at most; features beyond are walked.
+SHAPES, MARKS = 1000, 1024
+
+
+class Unshaped(Exception):
+    """A feature with something that a shape doesn't tell."""
+
+
+def attribute_marks(node: Element, marks: list, values: list[str]) -> bool:
+    """Adds an element's attributes to a shape; whether it is nil."""
+    nil = False
+    for key, value in node.attrib.items():
+        if observed_attribute(key) is None:
+            if key == XSI_NIL:
+                nil = value in ("true", "1")
+                marks.append(nil)
+            continue
+        marks.append(key)
+        if value := value.strip():
+            values.append(value)
+        else:
+            marks.append(None)
+    return nil
+
+
+def shape_marks(node: Element, marks: list, values: list[str]) -> None:
+    """The shape of what is inside an element: all that counts but the values, which are given in order."""
+    for c in node:
+        tag = c.tag
+        marks.append(tag)
+        name, is_geom = named(tag)
+        if is_geom or name == "boundedBy":
+            raise Unshaped
+        nil = attribute_marks(c, marks, values) if c.attrib else False
+        text = (c.text or "").strip()
+        if len(c):
+            marks.append(1 if text else 2)
+            shape_marks(c, marks, values)
+            marks.append(3)
+        elif not text:
+            marks.append(4)
+        elif nil:
+            marks.append(5)
+        else:
+            marks.append(6)
+            values.append(text)
+
+
+def value_paths(node: Element, path: str, paths: list[str]) -> None:
+    """The path of each value of shape_marks(), in the same order; the root's attributes have path ''."""
+    nil = node.attrib.get(XSI_NIL) in ("true", "1")
+    for key, value in node.attrib.items():
+        if (name := observed_attribute(key)) is not None and value.strip():
+            paths.append(f"{path}/@{name}" if path else f"@{name}")
+    if not len(node) and path and not nil and (node.text or "").strip():
+        paths.append(path)
+    for c in node:
+        name = named(c.tag)[0]
+        value_paths(c, f"{path}/{name}" if path else name, paths)
+
+
+class Shape:
+    """Features of one shape: what each adds to the counts, and their values since the last settling."""
+
+    __slots__ = ("added", "targets", "rows")
+
+    def __init__(self, added: list[tuple[dict[str, int], list[tuple[str, int]]]], targets: list[Stats]):
+        self.added, self.targets = added, targets
+        self.rows: list[list[str]] = []
+
+    def settle(self) -> None:
+        if n := len(self.rows):
+            for counts, more in self.added:
+                for name, k in more:
+                    counts[name] += n * k
+            for s, column in zip(self.targets, zip(*self.rows, strict=True)):
+                s.pending.extend(column)
+            self.rows = []
+
+
 class Observer:
-    """Walks features and gathers the statistics of their paths."""
+    """Gathers the statistics of features' paths: walks the first feature of each shape, and takes but the values of others."""
 
     def __init__(self):
         self.paths: dict[tuple, Stats] = {}
         self.axis: dict[tuple, list] = {}
+        self.shapes: dict[tuple, Shape] = {}
+        self.unshaped = 0
 
     def feature(self, source: str, start: int, ns: str, layer: str, node: Element, bounded: dict | None = None, axis_only: bool = False) -> None:
+        if not axis_only and self.unshaped < SHAPES:
+            marks: list = [ns, layer]
+            values: list[str] = []
+            try:
+                attribute_marks(node, marks, values)
+                shape_marks(node, marks, values)
+            except (Unshaped, RecursionError):
+                marks = []
+            key = tuple(marks)
+            shape = self.shapes.get(key)
+            if shape is None and 0 < len(key) <= MARKS and len(self.shapes) < SHAPES:
+                shape = self.shapes[key] = self.shape(source, start, ns, layer, node)
+            if shape is not None:
+                shape.rows.append(values)
+                return
+            self.unshaped += 1
+        self.walk(source, start, ns, layer, node, bounded, axis_only)
+
+    def shape(self, source: str, start: int, ns: str, layer: str, node: Element) -> Shape:
+        """A shape from its first feature, whose places stay those of its paths."""
+        one, paths = Observer(), []
+        one.walk(source, start, ns, layer, node)
+        added = []
+        for key, s in one.paths.items():
+            mine = self.paths.get(key)
+            if mine is None:
+                mine = self.paths[key] = Stats(s.at)
+            mine.max_occurs = max(mine.max_occurs, s.max_occurs)
+            mine.mixed |= s.mixed
+            mine.truncated |= s.truncated
+            if len(mine.wrappers) < 8:
+                mine.wrappers |= s.wrappers
+            added.append((mine.counts, [(k, n) for k, n in s.counts.items() if n]))
+        value_paths(node, "", paths)
+        # paths that the walk cuts off take no values
+        return Shape(added, [self.paths[ns, layer, p] if (ns, layer, p) in one.paths else Stats(()) for p in paths])
+
+    def walk(self, source: str, start: int, ns: str, layer: str, node: Element, bounded: dict | None = None, axis_only: bool = False) -> None:
         self.key, self.at, self.place, self.bounded = (ns, layer), (source or "", start or 0), 0, bounded or {}
         if axis_only:
             self.sniff(node)
@@ -171,6 +291,8 @@ class Observer:
         self.children(node, "", 0)
 
     def settle(self) -> None:
+        for shape in self.shapes.values():
+            shape.settle()
         for s in self.paths.values():
             s.settle()
 

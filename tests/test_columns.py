@@ -97,3 +97,25 @@ def test_splitter_against_the_parser():
     for bad in (b"<a><b></a>", b"x<a/>", b"<a/>y", b"<a/><b/>", b"", b"<p:a/>", b"<a x='", b"<a><!-- </a>", b"<a", b"<a " + b"b" * 5000, b"<a><b"):
         with pytest.raises(SplitError):
             list(Splitter(bad, SplitOptions()).run())
+
+
+def test_shapes_observe_what_walking_does():
+    """Features of a shape that was met give their values alone; the statistics are those of walking each."""
+    from itertools import product
+    from xml.etree import ElementTree
+
+    from sparkgml.operators.observe import Observer
+
+    xlink, xsi = 'xmlns:x="http://www.w3.org/1999/xlink"', 'xmlns:i="http://www.w3.org/2001/XMLSchema-instance"'
+    parts = ["<a>{n}</a>", "<a/>", "<b k='{n}' e=' '> w{n} </b><b/>", "<c><d>{n}.5</d><d>7</d></c>", "<c>mixed<d>x</d></c>", f"<r {xlink} x:href='#{{n}}'/>", f"<r {xlink} x:href='#{{n}}'>t</r>", f"<v {xsi} i:nil='true'>gone</v>", f"<v {xsi} i:nil='false'>{{n}}</v>", "<deep>" + "<q>" * 20 + "1" + "</q>" * 20 + "</deep>", "<boundedBy><z/></boundedBy>", '<g><p:Point xmlns:p="http://www.opengis.net/gml/3.2" srsName="EPSG:4326"><p:pos>1 {n}</p:pos></p:Point></g>']
+    nodes = [ElementTree.fromstring(f"<A id='{n}' {xsi} i:nil='true'>{''.join(p)}</A>".replace("{n}", str(n % 90))) for n, p in enumerate(list(product(parts, parts, ["", parts[0]])) * 3)]
+    fast, slow = Observer(), Observer()
+    for i, node in enumerate(nodes):
+        fast.feature("s", i, "u", "A", node)
+        slow.walk("s", i, "u", "A", node)
+        if i % 100 == 99:
+            fast.settle()
+            slow.settle()
+    assert 0 < fast.unshaped < len(nodes) / 2 and len(fast.shapes) > 100
+    for of in (Observer.rows, Observer.axis_rows):
+        assert [b.to_pylist() for b in of(fast)] == [b.to_pylist() for b in of(slow)]
