@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .api import ReadOptions, pick, read, read_layer, scan
 from .functions.columns import wkb_bbox, wkb_text
 from .functions.geometry import ends, read_wkb, simplify_types, wkt
-from .operators.observe import observations, observe
+from .operators.observe import observations_of, observe
 from .plans.infer import InferenceOptions
 from .plans.schema import LayerSchema, SchemaError, column_names, parse_type, portable, split_path, type_string
 from .queries import HEAD, TAIL, documents, orders_gml, table, tag
@@ -118,7 +118,7 @@ def number_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def float_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digits after the point and significant digits, as written."""
-    seen = observe(observations(split_features(orders_gml(spark, sf_dir)))).where("path = 'price'")
+    seen = observe(observations_of(orders_gml(spark, sf_dir), SplitOptions())).where("path = 'price'")
     return seen.select("max_scale", "max_digits")
 
 
