@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .api import ReadOptions, read, scan
 from .functions.columns import srs_code, wkb_bbox
-from .operators.observe import observations, observe
+from .operators.observe import observations, observations_of, observe
 from .operators.sinks import filesystem, write_geoparquet, write_ipc
 from .plans.infer import InferenceOptions
 from .plans.schema import LayerSchema
@@ -172,7 +172,7 @@ def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = observe(observations(split_features(lines_gml(spark, sf_dir))))
+    seen = observe(observations_of(lines_gml(spark, sf_dir), SplitOptions()))
     return seen.select("path", "instances", "parents", "max_occurs", "n_values", "empty", "max_len", F.col("int_min").cast("bigint").alias("int_min"), F.col("int_max").cast("bigint").alias("int_max"))
 
 
