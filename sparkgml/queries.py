@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -316,8 +317,9 @@ def limit_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = orders(spark, sf_dir)
-    return df.where("urgent").select("customer").intersect(df.where("status = 'O'").select("customer")).subtract(df.where("price > 450000").select("customer"))
+    """Sets of customers, of one reading: different rows of a few flags for each customer are kept for the three of them."""
+    df = orders(spark, sf_dir).select("customer", "urgent", (F.col("status") == "O").alias("open"), (F.col("price") > 450000).alias("dear")).distinct().persist(StorageLevel.DISK_ONLY)
+    return df.where("urgent").select("customer").intersect(df.where("open").select("customer")).subtract(df.where("dear").select("customer"))
 
 
 def location_column(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,3 +129,10 @@ def test_table_function_reads_batches(monkeypatch):
         got = list(rows_of(iter([("a", text.encode())]), schema, "A", {}))
         assert got == [(i, "c") for i in range(5)] + ([(5, "<t:b>c</t:b>")] if end else [])
         assert len(walked) == by_row
+
+
+def test_set_ops_read_once(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["set_ops"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData().toString()
+    assert plan.count("InMemoryRelation") == 3 and plan.index("InMemoryRelation") < plan.index("MapInArrow")
